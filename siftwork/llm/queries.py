@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.llm import mixing, quality, secrets
+from siftwork.llm import bpe, media, mixing, quality, secrets
 from siftwork.llm._common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,13 +17,21 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read_table(spark, sf_dir, "documents"))
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.roundtrip(read_table(spark, sf_dir, "documents"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(read_table(spark, sf_dir, "documents"))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_quality_rules, op8_source_mix, op10_secret_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_quality_rules, op4_media_columns, op8_source_mix, op9_byte_bpe, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
