@@ -1,15 +1,15 @@
 """Mixing sources to target weights by pivotal dependent rounding, with DataFrame functions only.
 
 Each document of a source should be copied ``target / source size`` times on average. The whole
-part is fixed; the fractional parts are rounded by the pivotal method: two documents meet, mass
-moves at random from one to the other until one of the two is integral, and the other goes on
-with the rest. So the number of copies of a source is exact up to one, and the expected copies
-of each document are kept.
+part is fixed; the fractional parts are rounded by the pivotal method: two documents meet, and
+words move at random from one to the other until the copies of one of the two are integral; the
+other goes on with the rest. The chances are such that the expected copies of each document are
+kept, and the words of a source stay the same up to the last document that is left.
 
-Documents meet in blocks of about ``BLOCK`` of one source and nearly one size, so the words that
-move stay level too. A block leaves at most one fractional document. These residuals meet in
-blocks of the next, coarser level: a reduction tree whose levels shrink by the size of a block.
-The blocks come from hashes, so neither a hot source nor a common size makes a large group.
+Documents meet in blocks of about ``BLOCK`` of one source and nearly one size. A block leaves at
+most one fractional document. These residuals meet in blocks of the next, coarser level, the
+largest first: a reduction tree whose levels shrink by the size of a block. The blocks come from
+hashes, so neither a hot source nor a common size makes a large group.
 
 Reruns agree, as all randomness is hashed from ids, sizes and a seed. Defined cases: a null text
 has size 0; null sources form the last source; repeated rows are rounded one by one, each with
@@ -32,6 +32,8 @@ LEVELS = (1.02, 1.25, 3.0)
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 
 ITEM = "struct<row:bigint,size:bigint,p:double>"
+#: Probabilities nearer to 0 or 1 count as integral.
+EDGE = 1e-9
 
 
 def sizes(text: Column) -> Column:
@@ -63,19 +65,23 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
 def _meet(items: Column, seed: int) -> Column:
     """Array of the items of a block after all met in turn; the last is the residual, possibly fractional."""
     zero = F.struct(F.get(items, 0).cast(ITEM).alias("open"), F.array().cast(f"array<{ITEM}>").alias("done"))
+    item = lambda d, p: F.struct(d["row"].alias("row"), d["size"].alias("size"), F.when(p < EDGE, 0.0).when(p > 1 - EDGE, 1.0).otherwise(p).alias("p")).cast(ITEM)
 
     def step(acc: Column, x: Column) -> Column:
-        a, total = acc["open"], acc["open"]["p"] + x["p"]
+        a = acc["open"]
+        # words that can move from x to a, and from a to x
+        to_a = F.least((1.0 - a["p"]) * a["size"], x["p"] * x["size"])
+        to_x = F.least(a["p"] * a["size"], (1.0 - x["p"]) * x["size"])
         u = uniform(a["row"], a["size"], x["row"], x["size"], F.lit(seed))
-        item = lambda d, p: F.struct(d["row"].alias("row"), d["size"].alias("size"), p.alias("p"))
-        small = total < 1.0
-        # below 1, one takes all and the other ends at 0; from 1 on, one ends at 1 and the other keeps the rest
-        first = F.when(small, u * total < a["p"]).otherwise(u * (2.0 - total) < 1.0 - x["p"])
-        ends, rest = F.when(small, F.lit(0.0)).otherwise(F.lit(1.0)), F.when(small, total).otherwise(total - 1.0)
-        first_goes_on = F.when(small, first).otherwise(~first)
-        done = F.when(first_goes_on, item(x, ends)).otherwise(item(a, ends))
-        goes_on = F.when(first_goes_on, item(a, rest)).otherwise(item(x, rest))
-        return F.struct(goes_on.cast(ITEM).alias("open"), F.concat(acc["done"], F.array(done.cast(ITEM))).alias("done"))
+        words = F.when(u * (to_a + to_x) < to_x, to_a).otherwise(-to_x)
+        moved = F.array(item(a, a["p"] + words / a["size"]), item(x, x["p"] - words / x["size"]))
+        settled = (a["p"] == 0) | (a["p"] == 1)
+
+        def goes_on(m: Column) -> Column:
+            first_done = (m[0]["p"] == 0) | (m[0]["p"] == 1)
+            return F.struct(F.when(first_done, m[1]).otherwise(m[0]).alias("open"), F.concat(acc["done"], F.array(F.when(first_done, m[0]).otherwise(m[1]))).alias("done"))
+
+        return F.when(settled, F.struct(x.cast(ITEM).alias("open"), F.concat(acc["done"], F.array(a)).alias("done"))).otherwise(let(moved, goes_on))
 
     return F.aggregate(F.slice(items, F.lit(2), F.greatest(F.size(items), F.lit(1))), zero, step, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
 
@@ -87,19 +93,23 @@ def _level(items: DataFrame, factor: float | None, seed: int) -> DataFrame:
     parts = items.groupBy(F.col("source").alias("_source"), F.col("_band").alias("_of")).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("_parts"))
     same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("_band") == F.col("_of"))
     dealt = items.join(parts, same).select("source", "_band", "row", "size", "p", F.pmod(F.xxhash64("row", "size", F.lit(seed)), F.col("_parts")).alias("_part"))
-    # by size within the block, so that neighbours in size meet
-    block = F.transform(F.sort_array(F.collect_list(F.struct("size", "row", "p"))), lambda x: F.struct(x["row"].alias("row"), x["size"].alias("size"), x["p"].alias("p")).cast(ITEM))
+    # largest first within the block: neighbours in size meet, and what is left at the end is small
+    block = F.transform(F.sort_array(F.collect_list(F.struct("size", "row", "p")), asc=False), lambda x: F.struct(x["row"].alias("row"), x["size"].alias("size"), x["p"].alias("p")).cast(ITEM))
     met = dealt.groupBy("source", "_band", "_part").agg(block.alias("_items")).select("source", F.explode(let(F.col("_items"), lambda x: _meet(x, seed))).alias("x"))
-    return met.select("source", "x.row", "x.size", F.when(F.col("x.p") < 1e-9, 0.0).when(F.col("x.p") > 1 - 1e-9, 1.0).otherwise(F.col("x.p")).alias("p"))
+    return met.select("source", "x.row", "x.size", "x.p")
 
 
 def pivotal(items: DataFrame, path: str, seed: int = 0) -> DataFrame:
-    """Rounds ``p`` (in [0, 1]) of ``items`` (source, row, size, p); each source's sum changes by less than one.
+    """Rounds ``p`` (in [0, 1]) of ``items`` (source, row, size, p); each source's words change by less than one item's size.
 
     Each level is written to ``path``: what it decided, and the residuals that the next one reads.
     It ends when no source has two residuals; a last draw rounds what is left of a source.
     """
     fractional = (F.col("p") > 0) & (F.col("p") < 1)
+    near = F.when(F.col("p") < EDGE, 0.0).when(F.col("p") > 1 - EDGE, 1.0).otherwise(F.col("p"))
+    # items without words have nothing to move
+    alone = F.when(uniform("row", F.lit(seed)) < F.col("p"), 1.0).otherwise(0.0)
+    items = items.withColumn("p", F.when(F.col("size") == 0, alone).otherwise(near))
     done, rest, k = [items.where(~fractional)], items.where(fractional), 0
     while True:
         level = materialize(_level(rest, LEVELS[k] if k < len(LEVELS) else None, seed + k), f"{path}/level-{k}")

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftwork.llm import bpe, media, mixing, quality, secrets
+from siftwork.llm import bpe, chat, lm, media, mixing, quality, secrets, sharding, warc
 from siftwork.llm._common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,10 +18,29 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read_table(spark, sf_dir, "documents"))
 
 
+def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read_table(spark, sf_dir, "documents"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.roundtrip(read_table(spark, sf_dir, "documents"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]")
+    fixed = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    return chat.roundtrip(conversations.unionByName(fixed))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.roundtrip(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read_table(spark, sf_dir, "documents"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(read_table(spark, sf_dir, "documents"))
 
@@ -33,5 +53,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_quality_rules, op4_media_columns, op8_source_mix, op9_byte_bpe, op10_secret_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_quality_rules, op3_shards, op4_media_columns, op5_chat_format, op6_warc, op7_lm_score, op8_source_mix, op9_byte_bpe, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
