@@ -13,9 +13,8 @@ of documents segment by segment, so memory is bounded by ``SEGMENT_GRAMS`` at an
 corpus. The exact counts that the base score needs are kept in the same way, as sorted arrays of
 64-bit word hashes.
 
-The model: p(w | v) = (c(v, w) + D * T * p(w)) / (c(v) + D * T) with T = N1 pairs' share, here the
-Dirichlet form with a fixed strength ``MU``: p(w | v) = (min(c(v, w), c(v)) + MU * p(w)) / (c(v) + MU),
-where p(w) is the base's smoothed frequency taken from the filter's count. Counts come from the filter.
+The model: p(w | v) = (min(c(v, w), c(v)) + MU * p(w)) / (c(v) + MU), where p(w) is smoothed as in
+the base score. All its counts come from the filters.
 
 Words are runs outside ASCII white space with A-Z lowered; an end follows the last. Defined
 cases: a null or empty text is the end alone; a null id counts as the empty text for the
@@ -31,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwork.llm._arrays import hashes, mix, slices, word_hashes
 from siftwork.llm._common import materialize, open_fs, workspace
 
 #: Bits of the filter for each entry, probes for each entry, strength of the base in the model.
@@ -45,42 +44,16 @@ ALPHA = 0.1
 #: The end's hash input holds a space, so no word is equal to it.
 END = " </s>"
 WORDS, PAIRS = 0, 1
-M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Finalizer of a 64-bit hash."""
-    with np.errstate(over="ignore"):
-        x = (x ^ np.uint64(seed * 0x2545F4914F6CDD1D & (2**64 - 1))) * M1
-        x ^= x >> np.uint64(29)
-        x *= M2
-        return x ^ (x >> np.uint64(32))
-
-
-def _hashes(values: list[str]) -> np.ndarray:
-    import xxhash
-
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(v) for v in values), np.uint64, len(values))
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all tokens with each text's end, number of tokens by text)."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-    flat = split.flatten()
-    lengths = np.diff(split.offsets.to_numpy())
-    full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
-    sizes = np.zeros(len(lengths), np.int64)
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    coded = pc.dictionary_encode(flat)
-    h = _hashes(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.uint64)
-    h, owner = h[full], owner[full]
-    sizes += np.bincount(owner, minlength=len(lengths))
-    out = np.empty(len(h) + len(lengths), np.uint64)
+    h, sizes = word_hashes(texts, lower=True)
+    out = np.empty(len(h) + len(sizes), np.uint64)
     ends = np.cumsum(sizes + 1) - 1
     keep = np.ones(len(out), bool)
     keep[ends] = False
-    out[keep], out[ends] = h, _hashes([END])[0]
+    out[keep], out[ends] = h, hashes([END])[0]
     return out, sizes + 1
 
 
@@ -96,19 +69,6 @@ def pairs(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both, inner
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of about TEXT bytes of text (column 1)."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-    start, held = 0, 0
-    for k, n in enumerate(sizes.tolist()):
-        held += n
-        if held >= TEXT:
-            yield batch.slice(start, k + 1 - start)
-            start, held = k + 1, 0
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
 def held_out(ids: pa.Array) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0 for i in ids.to_pylist()], bool)
 
@@ -148,7 +108,7 @@ def count(docs: DataFrame, segments: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(PART)], schema=PART)
 
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch, 1, TEXT):
                 part = part.filter(pa.array(~held_out(part.column(0))))
                 h, sizes = tokens(part.column(1))
                 both, inner = pairs(h, sizes)
@@ -319,7 +279,7 @@ def score(docs: DataFrame, segments: int | None = None) -> DataFrame:
 
         names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch, 1, TEXT):
                 h, sizes = tokens(part.column(1))
                 both, inner = pairs(h, sizes)
                 starts = np.cumsum(sizes) - sizes

@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import bpe, chat, lm, media, mixing, quality, secrets, sharding, warc
+from siftwork.llm import bpe, chat, lm, media, mixing, ngram_join, quality, secrets, sharding, warc
 from siftwork.llm._common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read_table(spark, sf_dir, "documents"))
 
@@ -53,5 +57,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_quality_rules, op3_shards, op4_media_columns, op5_chat_format, op6_warc, op7_lm_score, op8_source_mix, op9_byte_bpe, op10_secret_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_join, op2_quality_rules, op3_shards, op4_media_columns, op5_chat_format, op6_warc, op7_lm_score, op8_source_mix, op9_byte_bpe, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
