@@ -115,7 +115,8 @@ def scan(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, owner: str = "source"
         F.count_if(~live).alias("n_examples"), F.count_if(live).alias("n_live"),
     ).drop("_row")
     rows = plain.unionByName(with_spans)
-    counts = [F.size(F.filter("base", lambda x, i=i: x["rank"] == i)).cast("long").alias(f"n_{k.name}") for i, k in enumerate(kinds) if k.base]
+    count = lambda rank: F.size(F.filter("base", lambda x: x["rank"] == rank)).cast("long")
+    counts = [count(i).alias(f"n_{k.name}") for i, k in enumerate(kinds) if k.base]
     return rows.select("doc_id", *counts, F.sha2(_joined(F.col("base"), kinds), 256).alias("base_sha256"), _joined(F.concat("base", "live"), kinds).alias("spans"), "n_live", "n_examples")
 
 

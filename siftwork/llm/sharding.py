@@ -28,11 +28,11 @@ from siftwork.llm._common import materialize, workspace
 DRAWS = 4096
 ROUNDS = 12
 #: Rows of a bucket, within which rows are numbered by one task.
-BUCKET = 50_000
+BUCKET = 10_000
 
 
 def _buckets(rows: int) -> int:
-    return max(16, rows // BUCKET)
+    return max(64, rows // BUCKET)
 
 
 def _counts(df: DataFrame, *by: str) -> dict[tuple, int]:
