@@ -7,7 +7,7 @@ its quota; of more candidates than there is room for, those go whose draw is low
 nothing moves. Unlinked documents have no neighbours: they fill the shards up to their quotas, so
 counts differ by one at most (law ``rows``).
 
-A group larger than a quota fills one shard after the other: a shard without room is no target,
+A group larger than a quota fills one shard after the other: a shard without room is no goal,
 so what is left of the group gathers in the next. No group is ever collected: groups are summed
 to at most one row a shard, and the driver sees counts by shard and draw only, whose number is
 fixed. Numbers within shards come from counts by bucket, not from a sort of a shard.
@@ -27,6 +27,8 @@ from siftwork.llm._common import materialize, workspace
 #: Draws are told apart in so many steps when moves exceed the room.
 DRAWS = 4096
 ROUNDS = 12
+#: A shard may hold one part in so many above its quota while groups move.
+SLACK = 20
 #: Rows of a bucket, within which rows are numbered by one task.
 BUCKET = 10_000
 
@@ -45,66 +47,66 @@ def _room(used: list[int], quota: list[int]) -> list[int]:
 
 
 def propagate(linked: DataFrame, quota: list[int], path: str, rounds: int = ROUNDS) -> DataFrame:
-    """``linked`` (row, group, shard) with the shards after label propagation under ``quota`` rows a shard.
+    """``linked`` (row, group, n, shard) with the shards after label propagation under ``quota`` rows a shard.
 
-    Each round is one job over ids and groups, written to ``path``.
+    A group's goal is the shard that most of its rows are in, or, if that is full, the one with
+    room where most of the others are; a group that the room can hold goes there as a whole. Of
+    a group that it can't hold, only rows from shards with fewer of it go. A group that came
+    together never moves again, so every round makes progress. Each round is one job over ids
+    and groups, written to ``path``.
     """
     n = len(quota)
-    # a start above its quota (a small table, a hash's whim) gives way first
     for k in range(rounds):
         used = [0] * n
         for (shard,), c in _counts(linked, "shard").items():
             used[shard] = c
         room = _room(used, quota)
-        free = F.array(*[F.lit(r > 0) for r in room])
-        over = F.array(*[F.lit(u > q) for u, q in zip(used, quota)])
-        held = linked.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("held"))
-        # the best shard is the one with most of the group; only those with room, or where the most already are, can be gone to
-        rank = F.struct(F.col("held"), -F.col("shard"))
-        best = held.groupBy("group").agg(F.max(F.when(free[F.col("shard")], rank)).alias("open"), F.max(rank).alias("most"))
-        best = best.select("group", F.col("most.held").alias("most"), (-F.col("most.col2")).alias("most_shard"), F.col("open.held").alias("open"), (-F.col("open.col2")).alias("open_shard"))
-        here = held.select("group", "shard", "held").join(best, "group")
-        goal = F.when(F.col("most_shard") == F.col("shard"), F.col("shard")).when(
-            F.col("open_shard").isNotNull() & (F.col("open_shard") != F.col("shard")) & ((F.col("open") > F.col("held")) | ((F.col("open") == F.col("held")) & (F.col("open_shard") < F.col("shard")))), F.col("open_shard")
-        )
-        moves = here.select(F.col("group").alias("_group"), F.col("shard").alias("_shard"), F.coalesce(goal, F.col("shard")).alias("goal")).where("goal != _shard")
+        free = F.array(*[F.lit(r) for r in room])
+        held = linked.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("held"), F.max("n").alias("n"))
+        rank = F.struct(F.col("held"), (-F.col("shard")).alias("minus"))
+        best = held.groupBy("group").agg(F.max(rank).alias("most"), F.max(F.when(free[F.col("shard")] > 0, rank)).alias("open"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        best = best.select(F.col("group").alias("_group"), (-F.col("most.minus")).alias("most_shard"), F.col("open.held").alias("open"), (-F.col("open.minus")).alias("open_shard"))
+        here = held.join(best, F.col("group") == F.col("_group"))
+        fits = F.col("n") - F.col("open") <= free[F.col("open_shard")]
+        fewer = (F.col("held") < F.col("open")) | ((F.col("held") == F.col("open")) & (F.col("shard") > F.col("open_shard")))
+        goes = F.col("open_shard").isNotNull() & (F.col("open_shard") != F.col("shard")) & (fits | fewer)
+        moves = here.where(goes).select("_group", F.col("shard").alias("_shard"), F.col("open_shard").alias("goal"), fits.alias("whole"))
         wished = linked.join(moves, (F.col("group") == F.col("_group")) & (F.col("shard") == F.col("_shard")), "left")
-        # whole groups share a draw unless the group alone is larger than a step can be
-        draw = F.pmod(F.xxhash64("group", "row", F.lit(k)), F.lit(DRAWS))
-        wished = materialize(wished.select("row", "group", "shard", "goal", F.when(F.col("goal").isNotNull(), draw).alias("draw")), f"{path}/wish-{k}")
+        draw = F.pmod(F.when(F.col("whole"), F.xxhash64("group", F.lit(k))).otherwise(F.xxhash64("group", "row", F.lit(k))), F.lit(DRAWS))
+        wished = materialize(wished.select("row", "group", "n", "shard", "goal", F.when(F.col("goal").isNotNull(), draw).alias("draw")), f"{path}/wish-{k}")
         asked = _counts(wished.where("goal is not null"), "goal", "draw")
-        if not asked and not any(u > q for u, q in zip(used, quota)):
-            return linked
         limit, moved = [0] * n, 0
-        for goal_shard in range(n):
+        for goal in range(n):
             total = 0
             for d in range(DRAWS):
-                c = asked.get((goal_shard, d), 0)
-                if total + c > room[goal_shard]:
+                c = asked.get((goal, d), 0)
+                if total + c > room[goal]:
                     break
-                total, limit[goal_shard] = total + c, d + 1
+                total, limit[goal] = total + c, d + 1
             moved += total
         if not moved:
             return linked
         limits = F.array(*[F.lit(x) for x in limit])
-        goes = F.col("goal").isNotNull() & (F.col("draw") < limits[F.col("goal")])
-        linked = wished.select("row", "group", F.when(goes, F.col("goal")).otherwise(F.col("shard")).cast("int").alias("shard"))
+        accepted = F.col("goal").isNotNull() & (F.col("draw") < limits[F.col("goal")])
+        linked = wished.select("row", "group", "n", F.when(accepted, F.col("goal")).otherwise(F.col("shard")).cast("int").alias("shard"))
     return linked
 
 
-def number(rows: DataFrame, by: str | None, buckets: int, name: str) -> DataFrame:
+def number(rows: DataFrame, by: str | None, buckets: int, name: str, key: Column | None = None) -> DataFrame:
     """``rows`` (with a column row) and a gapless number from 0, within each value of ``by``, which has few values.
 
+    Rows of one ``key`` (a hash; the row's own if None) follow one another.
+
     A bucket's rows are numbered by one task, from the sum of the buckets before it on. The
     table of sums has a row for each bucket.
     """
     keys = [by] if by else []
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
+    rows = rows.withColumn("_key", F.xxhash64("row") if key is None else key).withColumn("_bucket", F.pmod("_key", F.lit(buckets)))
     sums = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = W.partitionBy(*keys, "_bucket").orderBy("row")
-    return rows.join(sums, [*keys, "_bucket"]).withColumn(name, F.col("_before") + F.row_number().over(within) - 1).drop("_bucket", "_before")
+    within = W.partitionBy(*keys, "_bucket").orderBy("_key", "row")
+    return rows.join(sums, [*keys, "_bucket"]).withColumn(name, F.col("_before") + F.row_number().over(within) - 1).drop("_bucket", "_before", "_key")
 
 
 def shard(docs: DataFrame, shards: int = 8, rounds: int = ROUNDS) -> DataFrame:
@@ -120,12 +122,13 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = ROUNDS) -> DataFrame:
     total = rows.count()
     buckets = _buckets(total)
     quota = [total // shards + (k < total % shards) for k in range(shards)]
-    groups = rows.where("group is not null").groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
+    groups = rows.where("group is not null").groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     start = F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)).cast("int")
-    linked = materialize(rows.join(groups, "group").select("row", "group", start.alias("shard")), f"{path}/linked")
-    # quotas hold from the start: what a shard has too much is dealt to those with room
-    linked = materialize(_even(linked, quota, buckets).select("row", "group", "shard"), f"{path}/even")
-    placed = materialize(propagate(linked, quota, path, rounds).select("row", "shard"), f"{path}/placed")
+    linked = materialize(rows.join(groups, "group").select("row", "group", "n", start.alias("shard")), f"{path}/linked")
+    # a little slack lets groups pass each other; quotas hold at the end
+    loose = [q + q // SLACK + 1 for q in quota]
+    linked = materialize(_even(linked, loose, buckets), f"{path}/even")
+    placed = materialize(_even(propagate(linked, loose, path, rounds), quota, buckets).select("row", "shard"), f"{path}/placed")
     used = [0] * shards
     for (k,), c in _counts(placed, "shard").items():
         used[k] = c
@@ -147,18 +150,19 @@ def _interval(n: Column, ends: list[int]) -> Column:
 
 
 def _even(linked: DataFrame, quota: list[int], buckets: int) -> DataFrame:
-    """``linked`` with no shard above its quota: rows numbered beyond it go where there is room."""
+    """``linked`` with no shard above its quota: rows numbered beyond it go where there is room. Groups are numbered as a whole, so few are cut."""
     used = [0] * len(quota)
     for (k,), c in _counts(linked, "shard").items():
         used[k] = c
     if all(u <= q for u, q in zip(used, quota)):
         return linked
-    numbered = number(linked, "shard", buckets, "n")
+    key = F.when(F.col("n") > BUCKET, F.xxhash64("group", "row")).otherwise(F.xxhash64("group"))
+    numbered = number(linked, "shard", buckets, "at", key)
     quotas = F.array(*[F.lit(q) for q in quota])
-    stay = numbered.where(F.col("n") < quotas[F.col("shard")])
-    ends, at = [], 0
+    stay = numbered.where(F.col("at") < quotas[F.col("shard")])
+    ends, end = [], 0
     for r in _room([min(u, q) for u, q in zip(used, quota)], quota):
-        at += r
-        ends.append(at)
-    go = number(numbered.where(F.col("n") >= quotas[F.col("shard")]).drop("n", "shard"), None, buckets, "n")
-    return stay.select("row", "group", "shard").unionByName(go.select("row", "group", _interval(F.col("n"), ends).alias("shard")))
+        end += r
+        ends.append(end)
+    go = number(numbered.where(F.col("at") >= quotas[F.col("shard")]).drop("at", "shard"), None, buckets, "at", key)
+    return stay.select("row", "group", "n", "shard").unionByName(go.select("row", "group", "n", _interval(F.col("at"), ends).alias("shard")))
