@@ -184,13 +184,12 @@ IPV4 = r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"
 
 def non_public_ipv4(ip: Column) -> Column:
     """Whether a dotted address lies in a range that isn't public, or isn't an address."""
-    octets = F.transform(F.split(ip, r"\."), lambda x: F.expr("bigint(0)") + F.try_to_number(x, F.lit("999")).cast("bigint"))
-    value = octets[0] * (1 << 24) + octets[1] * (1 << 16) + octets[2] * (1 << 8) + octets[3]
-    reserved = F.lit(False)
-    for first, last in RESERVED_IPV4:
-        reserved = reserved | value.between(_number(first), _number(last))
-    bad = F.exists(octets, lambda x: x.isNull() | (x > 255))
-    return F.when(~ip.rlike(IPV4), True).otherwise(F.coalesce(bad | reserved, F.lit(True)))
+    octets = F.transform(F.split(ip, r"\."), lambda x: x.try_cast("bigint"))
+    # the address as one number, -1 if an octet is too large
+    value = F.aggregate(octets, F.lit(0).cast("bigint"), lambda a, x: F.when((a < 0) | (x > 255), -1).otherwise(a * 256 + x))
+    reserved = lambda v: F.exists(F.array(*[F.struct(F.lit(_number(a)).cast("bigint").alias("a"), F.lit(_number(b)).cast("bigint").alias("b")) for a, b in RESERVED_IPV4]), lambda r: v.between(r["a"], r["b"])) | (v < 0)
+    judged = F.transform(F.array(value), reserved)[0]
+    return F.when(~ip.rlike(IPV4), True).otherwise(F.coalesce(judged, F.lit(True)))
 
 
 def non_public_ipv6(ip: Column) -> Column:

@@ -25,8 +25,7 @@ def issue(field: str | None, rule: str, severity: str, message: str) -> Column:
 
 
 def is_http_url(c: Column) -> Column:
-    p = urls.parts(c)
-    return F.coalesce(p.is_http & (p.user == ""), F.lit(False))
+    return F.coalesce(urls.with_parts(c, lambda p: p.is_http & (p.user == "")), F.lit(False))
 
 
 def _missing(f: Field) -> Column:

@@ -21,21 +21,23 @@ LIFECYCLE = ("DISCOVERED", "ALLOWED", "BLOCKED", "QUEUED", "PROCESSING", "COLLEC
 
 def decide(sources: DataFrame, policy: SourcePolicy, url: str = "url") -> DataFrame:
     """``sources`` with canonical_url, domain, url_hash, allowed and code: the first reason that applies, or null."""
+    def judged(p: urls.Parts) -> Column:
+        host = F.regexp_replace(p.host, r"\.$", "")
+        code = (
+            F.when(~p.is_url, "INVALID_URL")
+            .when(~p.is_http, "UNSUPPORTED_SCHEME")
+            .when(p.user != "", "URL_CREDENTIALS_BLOCKED")
+            .when(urls.non_public_host(host), "NON_PUBLIC_HOST_BLOCKED")
+            .when(urls.matches_rules(host, policy.blocked), "DOMAIN_DENYLISTED")
+        )
+        if policy.allowed:
+            code = code.when(~urls.matches_rules(host, policy.allowed), "DOMAIN_NOT_ALLOWLISTED")
+        return F.struct(F.when(p.is_url, host).otherwise("").alias("domain"), code.alias("code"))
+
     c = F.col(url)
-    p = urls.parts(c)
-    host = F.regexp_replace(p.host, r"\.$", "")
-    code = (
-        F.when(c.isNull() | ~p.is_url, "INVALID_URL")
-        .when(~p.is_http, "UNSUPPORTED_SCHEME")
-        .when(p.user != "", "URL_CREDENTIALS_BLOCKED")
-        .when(urls.non_public_host(host), "NON_PUBLIC_HOST_BLOCKED")
-        .when(urls.matches_rules(host, policy.blocked), "DOMAIN_DENYLISTED")
-    )
-    if policy.allowed:
-        code = code.when(~urls.matches_rules(host, policy.allowed), "DOMAIN_NOT_ALLOWLISTED")
-    canonical = F.coalesce(urls.source_form(c), urls.safe_form(c))
-    out = sources.withColumns({"canonical_url": canonical, "domain": F.when(p.is_url, host).otherwise(""), "code": code})
-    return out.withColumns({"url_hash": F.sha2("canonical_url", 256), "allowed": F.col("code").isNull()})
+    out = sources.withColumns({"canonical_url": F.coalesce(urls.source_form(c), urls.safe_form(c)), "_judged": urls.with_parts(c, judged)})
+    out = out.withColumns({"domain": F.col("_judged.domain"), "code": F.col("_judged.code"), "url_hash": F.sha2("canonical_url", 256)})
+    return out.withColumn("allowed", F.col("code").isNull()).drop("_judged")
 
 
 def safe_addresses(addresses: Column) -> Column:
@@ -85,8 +87,8 @@ def robots_decisions(requests: DataFrame, rules: DataFrame, responses: DataFrame
     The longest matching rule decides, allow before disallow on ties. ``responses`` (origin,
     status) tells how the files were answered: 404 and 410 allow, other failures forbid.
     """
-    p = urls.parts(F.col("url"))
-    target = requests.withColumns({"origin": F.concat(p.scheme, F.lit("://"), p.authority), "_target": F.concat(p.path, p.query)})
+    asked = urls.with_parts(F.col("url"), lambda p: F.struct(F.concat(p.scheme, F.lit("://"), p.authority).alias("origin"), F.concat(p.path, p.query).alias("target")))
+    target = requests.withColumn("_asked", asked).withColumns({"origin": F.col("_asked.origin"), "_target": F.col("_asked.target")}).drop("_asked")
     hits = target.join(rules, "origin").withColumn("_hit", F.when(F.col("path").isNotNull(), F.rlike("_target", robots_pattern(F.col("path")))).otherwise(False))
     strength = F.when(F.col("_hit"), F.struct(F.length(F.regexp_replace("path", "[*$]", "")).alias("n"), F.col("allow").alias("allow")))
     best = hits.groupBy("id").agg(F.max(strength).alias("best"), F.max("delay_ms").alias("delay_ms"))

@@ -9,8 +9,6 @@ are similar enough, which a blocked join finds.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,6 +16,7 @@ from pyspark.sql import functions as F
 
 from siftwork.functions import text, urls
 from siftwork.functions.text import is_missing
+from siftwork.operators.store import settled
 from siftwork.plans import model
 from siftwork.plans.model import Field, MatchRule, Plan
 
@@ -99,16 +98,13 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
 
     Each round is checkpointed in the shared folder; only counters come to the driver.
     """
-    sc = edges.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", "file:///tmp/checkpoints"))
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
-    labels = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("label")).checkpoint()
+    both = settled(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("label"))
     for _ in range(rounds):
         near = both.join(labels.select(F.col("u").alias("v"), F.col("label").alias("other")), "v").groupBy("u").agg(F.min("other").alias("other"))
         step = labels.join(near, "u", "left").select("u", F.least("label", "other").alias("next"), "label")
         jump = step.select(F.col("u").alias("_u"), F.col("next").alias("far"))
-        step = step.join(jump, F.col("next") == F.col("_u"), "left").select("u", "label", F.least("next", "far").alias("next")).checkpoint()
+        step = settled(step.join(jump, F.col("next") == F.col("_u"), "left").select("u", "label", F.least("next", "far").alias("next")))
         if step.where("next <> label").isEmpty():
             break
         labels = step.select("u", F.col("next").alias("label"))
@@ -242,7 +238,7 @@ def resolve(records: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
     if named is None:
         return records, empty
     field = model.name_field(plan)
-    pairs = similar_pairs(named, fuzzy.threshold if fuzzy else 0.94)
+    pairs = settled(similar_pairs(settled(named), fuzzy.threshold if fuzzy else 0.94))
     ambiguous = fuzzy.ambiguous if fuzzy else "REVIEW_REQUIRED"
     parts = components(pairs.select(F.col("left_idx").alias("u"), F.col("right_idx").alias("v")))
     grouped = pairs.join(parts, pairs["right_idx"] == parts["node"]).select("component", "left_idx", "right_idx", "shared", "confidence")
@@ -260,10 +256,11 @@ def resolve(records: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
             rows.append((int(best["left_idx"]), int(right), "MERGED" if best["shared"] else ambiguous, float(best["confidence"])))
         return pd.DataFrame(rows, columns=["canonical_idx", "duplicate_idx", "decision", "confidence"])
 
-    settled = grouped.groupBy("component").applyInPandas(settle, "canonical_idx long, duplicate_idx long, decision string, confidence double")
+    decided = grouped.groupBy("component").applyInPandas(settle, "canonical_idx long, duplicate_idx long, decision string, confidence double")
     others = [k for k in (fuzzy.keys if fuzzy else ()) if k != field]
-    events = settled.select("canonical_idx", "duplicate_idx", "decision", F.lit("LIKELY_ENTITY").alias("match_type"), "confidence", F.array(*[F.lit(k) for k in [field, *others]]).alias("matched_fields"))
-    merged = settled.where("decision = 'MERGED'").select(F.col("duplicate_idx").alias("rec_idx"), F.col("canonical_idx").alias("duplicate_of"))
+    decided = settled(decided)
+    events = decided.select("canonical_idx", "duplicate_idx", "decision", F.lit("LIKELY_ENTITY").alias("match_type"), "confidence", F.array(*[F.lit(k) for k in [field, *others]]).alias("matched_fields"))
+    merged = decided.where("decision = 'MERGED'").select(F.col("duplicate_idx").alias("rec_idx"), F.col("canonical_idx").alias("duplicate_of"))
     before = records.withColumnRenamed("conflicts", "_old").withColumnRenamed("duplicate_of", "_linked") if "duplicate_of" in records.columns else records.withColumn("_old", F.array().cast(CONFLICT)).withColumn("_linked", F.lit(None).cast("long"))
     untouched = before.where("_linked is not null").drop("_old").withColumnRenamed("_linked", "duplicate_of").withColumn("conflicts", F.array().cast(CONFLICT))
     kept = before.where("_linked is null").drop("_linked").withColumnRenamed("_old", "old_conflicts")

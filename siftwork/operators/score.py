@@ -11,6 +11,7 @@ from siftwork.functions import urls
 from siftwork.functions.text import is_missing
 from siftwork.functions.values import clamp, rounded
 from siftwork.operators import check, clean, match
+from siftwork.operators.store import settled
 from siftwork.plans.model import Plan
 
 
@@ -72,9 +73,10 @@ class Result:
 
 
 def process(records: DataFrame, plan: Plan, sources: DataFrame | None = None) -> Result:
-    """Normalise, validate, deduplicate, resolve and score, as one lazy chain."""
-    current = check.validate(clean.normalize(records, plan), plan, sources)
+    """Normalise, validate, deduplicate, resolve and score. What several jobs read is written once: the validated records, and those after deduplication."""
+    current = settled(check.validate(clean.normalize(records, plan), plan, sources))
     current, keyed = match.deduplicate(current, plan)
+    current = settled(current)
     current, likely = match.resolve(current, plan)
     events = keyed.unionByName(likely)
     assessed = assess(current, plan)
