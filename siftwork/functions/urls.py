@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-GRAMMAR = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#@]*)@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\s\[\]]+)(?::(\d*))?([^?#]*)(\?[^#]*)?(#.*)?$"
+GRAMMAR = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#@]*)@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\s\[\]]+)(?::(\d*))?((?:/[^?#]*)?)(\?[^#]*)?(#.*)?$"
 #: Parameters that only track, and those that may hold secrets.
 TRACKING = r"(?i)^(utm_.+|gclid|fbclid|mc_cid|mc_eid)$"
 SECRET = r"(?i)^(token|access_token|api_key|apikey|key|session|sessionid|auth)$"

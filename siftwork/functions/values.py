@@ -32,7 +32,8 @@ COUNTRIES = dict(
 def iso_date(c: Column) -> Column:
     """An ISO date that exists as it is; an ISO time with a zone in UTC with milliseconds."""
     day = F.when(F.date_format(F.try_to_date(c, "yyyy-MM-dd"), "yyyy-MM-dd") == c, c)
-    at = F.try_to_timestamp(F.regexp_replace(c, r"([+-]\d{2})(\d{2})$", "$1:$2"))
+    with_seconds = F.regexp_replace(c, r"T(\d{2}:\d{2})(Z|[+-])", "T$1:00$2")
+    at = F.try_to_timestamp(F.regexp_replace(with_seconds, r"([+-]\d{2})(\d{2})$", "$1:$2"))
     return F.when(c.rlike(ISO_DATE), day).when(c.rlike(ISO_TIME), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
 
 
