@@ -319,6 +319,7 @@ def _classes(docs: DataFrame, threshold: float, recall: float, path: str) -> Dat
     named = parts.join(top, "component").select(F.col("node").alias("key"), "class_id").unionByName(top.select(F.col("component").alias("key"), "class_id"))
     texts = same.select("key", "copies", "text_id").join(named, "key", "left").join(links, "key", "left")
     texts = texts.select("key", "text_id", F.coalesce("class_id", "text_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    texts = materialize(texts, f"{path}/named")  # a table of its own: Spark can then split a hot text's side of the join
     rows = signed.select("doc_id", "key").join(texts, "key", "left")
     return rows.select("doc_id", "key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("text_id")).alias("text_id"))
 

@@ -123,6 +123,7 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = ROUNDS) -> DataFrame:
     buckets = _buckets(total)
     quota = [total // shards + (k < total % shards) for k in range(shards)]
     groups = rows.where("group is not null").groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = materialize(groups, f"{path}/groups")  # a table of its own: Spark can then split a hot group's side of the join
     start = F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)).cast("int")
     linked = materialize(rows.join(groups, "group").select("row", "group", "n", start.alias("shard")), f"{path}/linked")
     # a little slack lets groups pass each other; quotas hold at the end
