@@ -9,6 +9,7 @@ from siftwork.catalog import query, table
 from siftwork.catalog.scans import _HOST
 from siftwork.functions.text import fold, similarity
 from siftwork.operators import check, clean, match, score
+from siftwork.operators.store import settled
 from siftwork.plans.model import Field, MatchRule, Plan, Rule
 
 #: Orders as records whose defects depend on the key: missing, mistyped and malformed values.
@@ -79,7 +80,8 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     url = F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/"))
     rows = d.select(F.col("doc_id").alias("rec_idx"), F.array(url).alias("source_urls"), F.col("text").alias("title"), F.col("lang"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("site"))
-    return check.validate(clean.normalize(rows, DOCS), DOCS)
+    # matching reads its records several times, so they are written once, as in the pipeline
+    return settled(check.validate(clean.normalize(rows, DOCS), DOCS))
 
 
 _FOLD = "trim(regexp_replace(lower(strip_accents(text)), '[^\\p{L}\\p{N}]+', ' ', 'g'))"

@@ -98,8 +98,10 @@ def normalize(records: DataFrame, plan: Plan) -> DataFrame:
             rest.append(F.struct(F.lit(key).alias("key"), text.clean(F.coalesce(*[_as_text(c, kinds[c]) for c in cols])).alias("value")))
     unparsed = F.map_from_entries(F.filter(F.array(*rest), lambda x: x["value"].isNotNull())) if rest else F.create_map().cast("map<string,string>")
     remarks = F.map_from_entries(F.filter(F.array(*notes), lambda x: F.size(x["value"]) > 0)) if notes else F.create_map().cast("map<string,array<string>>")
+    # a condition that always holds keeps the optimizer from copying the fields' expressions into each of their uses
+    always = F.coalesce(F.size("source_urls"), F.lit(0)) >= -1
     return records.select(
-        "rec_idx", "source_urls", F.struct(*[F.col(f"`{c}`") for c in inputs]).alias("raw_values"), F.struct(*made).alias("values"), unparsed.alias("unparsed"), remarks.alias("notes"),
+        "rec_idx", "source_urls", F.struct(*[F.col(f"`{c}`") for c in inputs]).alias("raw_values"), F.when(always, F.struct(*made)).alias("values"), unparsed.alias("unparsed"), remarks.alias("notes"),
     )
 
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftwork.functions import text, urls
@@ -24,8 +23,8 @@ SEPARATOR = "\x1f"
 #: Fixed value: legal forms that don't count in a name.
 LEGAL_FORMS = ("incorporated", "inc", "limited", "ltd", "llc", "llp", "corp", "corporation", "company", "co", "plc", "private", "pvt")
 CONFLICT = "array<struct<field:string,canonical_value:string,alternate_value:string,canonical_urls:array<string>,alternate_urls:array<string>>>"
-#: Rows with one block key from which on the block is split for the join.
-BLOCK_ROWS = 2_000
+#: Tasks that the rows of one key are dealt to in joins.
+SALTS = 16
 
 
 def stable_json(c: Column, kind: str) -> Column:
@@ -64,15 +63,21 @@ def match_type(rule: MatchRule) -> str:
     return "URL" if any(model.is_url_key(k) for k in rule.keys) else rule.strategy
 
 
+def salted(rows: DataFrame, small: DataFrame, key: str, how: str = "left", salts: int = SALTS) -> DataFrame:
+    """``rows`` joined with ``small`` (one row a key) on a nullable key; the rows of a hot key are dealt to several tasks, to each of which its row of ``small`` is sent."""
+    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("rec_idx" if "rec_idx" in rows.columns else rows.columns[0]), F.lit(salts)).cast("int")).join(spread, [key, "_salt"], how).drop("_salt")
+
+
 def first_of_key(rows: DataFrame, match_key: Column, order: str) -> DataFrame:
     """``rows`` with ``duplicate_of``: least ``order`` with the same key, null for that row itself and for null keys.
 
     A key's rows are reduced to their minimum before anything is shuffled, and the minimum comes
-    back by a join, so a key that a third of all rows hold is no large group.
+    back by a salted join, so a key that a third of all rows hold is no large group.
     """
     rows = rows.withColumn("_key", match_key)
     least = rows.where("_key is not null").groupBy("_key").agg(F.min(order).alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    out = rows.join(least, "_key", "left")
+    out = salted(rows, least, "_key")
     return out.withColumn("duplicate_of", F.when(F.col(order) > F.col("_least"), F.col("_least"))).drop("_key", "_least")
 
 
@@ -129,35 +134,44 @@ def links(records: DataFrame, plan: Plan) -> DataFrame:
     return grouped.groupBy("component").applyInPandas(_settle(len(rules)), "rec_idx long, duplicate_of long, rule int")
 
 
+def _present(f: Field) -> Column:
+    c = F.col(f"values.`{f.key}`")
+    return F.when(~is_missing(c) if f.type == "string" else c.isNotNull(), c)
+
+
 def merge(records: DataFrame, links: DataFrame, fields: list[Field] | tuple[Field, ...]) -> DataFrame:
     """``records`` after their links: canonical values filled, urls united, conflicts listed, ``duplicate_of`` set.
 
     Within a group in order: a missing value of the canonical record is filled by the first record
     that has one, and a later value that isn't equivalent is a conflict, told with the urls of
-    both sides as they were then.
+    both sides as they were then. First values and first sightings of urls are minima, so they
+    are combined before the shuffle; only records of linked groups take part, and no group is
+    ordered as a whole.
     """
     linked = records.join(links.select("rec_idx", "duplicate_of"), "rec_idx", "left").drop("conflicts") if "duplicate_of" not in records.columns else records
-    group = F.coalesce("duplicate_of", "rec_idx")
-    w = W.partitionBy(group).orderBy("rec_idx")
-    so_far, before = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(W.unboundedPreceding, -1)
-    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    canonical = {}
-    for f in fields:
-        c = F.col(f"values.`{f.key}`")
-        canonical[f.key] = F.when(~is_missing(c) if f.type == "string" else c.isNotNull(), c)
-    urls_before = F.array_distinct(F.flatten(F.collect_list("source_urls").over(before)))
-    out = linked.select("*", *[F.first(c, ignorenulls=True).over(so_far).alias(f"_first_{k}") for k, c in canonical.items()], *[F.first(c, ignorenulls=True).over(whole).alias(f"_any_{k}") for k, c in canonical.items()], urls_before.alias("_urls_before"), F.array_distinct(F.flatten(F.collect_list("source_urls").over(whole))).alias("_urls_all"), F.count(F.lit(1)).over(whole).alias("_size"))
+    heads = links.select(F.col("duplicate_of").alias("rec_idx")).distinct()
+    members = linked.join(heads, "rec_idx", "left_semi").withColumn("group", F.col("rec_idx")).unionByName(linked.where("duplicate_of is not null").withColumn("group", F.col("duplicate_of")))
+    members = settled(members.select("group", "rec_idx", "values", "source_urls"))
+    first = members.groupBy("group").agg(*[F.min(F.when(_present(f).isNotNull(), F.struct("rec_idx", _present(f).alias("v")))).getField("v").alias(f"_first_{f.key}") if f.type != "object" else F.min_by(_present(f), F.when(_present(f).isNotNull(), F.col("rec_idx"))).alias(f"_first_{f.key}") for f in fields])
+    sightings = members.select("group", "rec_idx", F.posexplode("source_urls").alias("pos", "url")).groupBy("group", "url").agg(F.min(F.struct("rec_idx", "pos")).alias("at"))
+    seen = sightings.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("at", "url"))).alias("_seen"))
+    whole = settled(first.join(seen, "group", "left"))
     found = []
     for f in fields:
-        own, first = canonical[f.key], F.col(f"_first_{f.key}")
-        same = (text.fold(own) == text.fold(first)) if f.type == "string" else (F.to_json(F.struct(own.alias("v"))) == F.to_json(F.struct(first.alias("v"))))
-        as_text = (lambda c, f=f: c.cast("string") if f.type in ("string", "number", "integer", "boolean") else F.to_json(c))
-        found.append(F.when(own.isNotNull() & ~same, F.struct(F.lit(f.key).alias("field"), as_text(first).alias("canonical_value"), as_text(own).alias("alternate_value"), F.col("_urls_before").alias("canonical_urls"), F.col("source_urls").alias("alternate_urls"))))
-    out = out.withColumn("_conflicts", F.array_compact(F.array(*found)).cast(CONFLICT))
-    out = out.withColumn("_all", F.flatten(F.collect_list("_conflicts").over(whole)))
-    head = F.col("duplicate_of").isNull() & (F.col("_size") > 1)
-    values = F.struct(*[F.when(head, F.col(f"_any_{f.key}")).otherwise(F.col(f"values.`{f.key}`")).alias(f.key) for f in fields])
-    out = out.withColumns({"values": values, "source_urls": F.when(head, F.col("_urls_all")).otherwise(F.col("source_urls")), "conflicts": F.when(head, F.col("_all")).otherwise(F.array().cast(CONFLICT)).cast(CONFLICT)})
+        own, kept = _present(f), F.col(f"_first_{f.key}")
+        same = (text.fold(own) == text.fold(kept)) if f.type == "string" else (F.to_json(F.struct(own.alias("v"))) == F.to_json(F.struct(kept.alias("v"))))
+        shown = (lambda c: c.cast("string")) if f.type in ("string", "number", "integer", "boolean") else F.to_json
+        before = F.transform(F.filter("_seen", lambda x: x["at"]["rec_idx"] < F.col("rec_idx")), lambda x: x["url"])
+        found.append(F.when(own.isNotNull() & ~same, F.struct(F.lit(f.key).alias("field"), shown(kept).alias("canonical_value"), shown(own).alias("alternate_value"), before.alias("canonical_urls"), F.col("source_urls").alias("alternate_urls"))))
+    against = salted(members, whole, "group", "inner").select("group", "rec_idx", F.posexplode_outer(F.array_compact(F.array(*found)).cast(CONFLICT)).alias("pos", "c")).where("c is not null")
+    conflicts = against.groupBy("group").agg(F.transform(F.sort_array(F.collect_list(F.struct("rec_idx", "pos", "c"))), lambda x: x["c"]).alias("_conflicts"))
+    heads = whole.join(conflicts, "group", "left").withColumnRenamed("group", "rec_idx").withColumn("_head", F.lit(True))
+    out = linked.join(heads, "rec_idx", "left")
+    head = F.coalesce("_head", F.lit(False))
+    values = F.struct(*[F.when(head, F.col(f"_first_{f.key}")).otherwise(F.col(f"values.`{f.key}`")).alias(f.key) for f in fields])
+    united = F.transform(F.coalesce("_seen", F.array().cast("array<struct<at:struct<rec_idx:bigint,pos:int>,url:string>>")), lambda x: x["url"])
+    none = F.array().cast(CONFLICT)
+    out = out.withColumns({"values": values, "source_urls": F.when(head, united).otherwise(F.col("source_urls")), "conflicts": F.when(head, F.coalesce("_conflicts", none)).otherwise(none).cast(CONFLICT)})
     return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
@@ -189,23 +203,56 @@ def identifier(key_name: str, c: Column) -> Column:
     return F.when(folded != "", folded)
 
 
+def _segment(length: Column, edits: Column, i: Column) -> tuple[Column, Column]:
+    """(start, length) of part ``i`` of a text cut into ``edits`` + 1 nearly even parts."""
+    base = F.floor(length / (edits + 1)).cast("int")
+    short = edits + 1 - (length - base * (edits + 1))
+    return (i * base + F.greatest(F.lit(0), i - short)).cast("int"), (base + F.when(i >= short, 1).otherwise(0)).cast("int")
+
+
+def _key(length: Column, edits: Column, i: Column, part: Column) -> Column:
+    return F.concat_ws(":", length.cast("string"), edits.cast("string"), i.cast("string"), part)
+
+
 def similar_pairs(names: DataFrame, threshold: float) -> DataFrame:
     """left_idx, right_idx, shared, confidence of pairs that share a block and are similar enough; right is the later one.
 
     ``names``: rec_idx, name, blocks (array of keys), ids (array of identifiers by field, null
-    where absent). Large blocks are split: a block's rows meet in pairs of parts.
+    where absent). Blocks alone would pair whole letters of the alphabet. Instead the pairs come
+    from an equi-join on parts of the names: of two texts at most k edits apart, the shorter one
+    cut into k + 1 parts has a part that the longer one holds within k places of its own. The
+    number of edits follows from the threshold and the longer length, so no pair is lost. Blocks,
+    similarity and identifiers are then tested on the candidates.
     """
-    each = names.select("rec_idx", "name", "ids", F.explode("blocks").alias("block"))
-    parts = each.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("parts")).where("parts > 0")
-    each = each.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("rec_idx"), F.col("parts")).cast("int"))
-    # the left side is sent once to every part, the right side to its own
-    left = each.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("rec_idx").alias("left_idx"), F.col("name").alias("left_name"), F.col("ids").alias("left_ids"))
-    right = each.select("block", "part", F.col("rec_idx").alias("right_idx"), F.col("name").alias("right_name"), F.col("ids").alias("right_ids"))
-    near = text.similar(F.col("left_name"), F.col("right_name"), threshold)
-    pairs = left.join(right, ["block", "part"]).where((F.col("left_idx") < F.col("right_idx")) & near)
-    shared = F.exists(F.arrays_zip("left_ids", "right_ids"), lambda x: x["left_ids"] == x["right_ids"])
-    confidence = text.similarity(F.col("left_name"), F.col("right_name"))
-    return pairs.groupBy("left_idx", "right_idx").agg(F.bool_or(F.coalesce(shared, F.lit(False))).alias("shared"), F.max(confidence).alias("confidence"))
+    size = F.length("name")
+    edits = lambda n: F.floor(n * (1.0 - threshold) + 1e-9).cast("int")
+
+    def own(n_edits: Column) -> Column:
+        def one(i: Column) -> Column:
+            start, length = _segment(size, n_edits, i)
+            return _key(size, n_edits, i, F.substring("name", start + 1, length))
+
+        return F.transform(F.sequence(F.lit(0), n_edits), one)
+
+    def sought(length: Column) -> Column:
+        k = edits(size)
+
+        def at(i: Column) -> Column:
+            start, width = _segment(length, k, i)
+            places = F.filter(F.sequence(start - k, start + k), lambda p: (p >= 0) & (p + width <= size))
+            return F.transform(places, lambda p: _key(length, k, i, F.substring("name", p + 1, width)))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), k), at))
+
+    longest = F.floor(size / F.lit(threshold) + 1e-9).cast("int")
+    shortest = F.greatest(F.lit(1), F.ceil(size * threshold - 1e-9).cast("int"))
+    left = names.select("rec_idx", "name", "blocks", "ids", F.explode(F.flatten(F.transform(F.array_distinct(F.transform(F.sequence(size, longest), edits)), own))).alias("key"))
+    right = names.select(F.col("rec_idx").alias("_idx"), F.col("name").alias("_name"), F.col("blocks").alias("_blocks"), F.col("ids").alias("_ids"), F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(shortest, size), sought)))).alias("key"))
+    near = text.similar(F.col("name"), F.col("_name"), threshold)
+    pairs = left.join(right, "key").where((F.col("rec_idx") != F.col("_idx")) & F.arrays_overlap("blocks", "_blocks") & near)
+    shared = F.exists(F.arrays_zip("ids", "_ids"), lambda x: x["ids"] == x["_ids"])
+    low, high = F.least("rec_idx", "_idx").alias("left_idx"), F.greatest("rec_idx", "_idx").alias("right_idx")
+    return pairs.groupBy(low, high).agg(F.bool_or(F.coalesce(shared, F.lit(False))).alias("shared"), F.max(text.similarity(F.col("name"), F.col("_name"))).alias("confidence"))
 
 
 def _named(records: DataFrame, plan: Plan) -> DataFrame | None:
