@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Where intermediate tables go when the session names no shared folder (tests, one machine).
 FALLBACK_DIR = "file:///tmp/checkpoints/siftwork"
+#: Folders that this process was given.
+_MADE: list[str] = []
 
 
 def workspace(spark: SparkSession, name: str) -> str:
@@ -23,7 +27,20 @@ def workspace(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
     if "://" not in base and base.startswith("/"):
         base = f"file://{base}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def clear_workspaces() -> None:
+    """Removes this process's folders. Results read from them can't be read any more; it runs by itself when the driver's Python ends."""
+    while _MADE:
+        with contextlib.suppress(OSError):
+            fs, root = open_fs(_MADE.pop())
+            fs.delete_dir(root)
+
+
+atexit.register(clear_workspaces)
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:

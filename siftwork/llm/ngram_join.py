@@ -336,14 +336,14 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     # of a class whose least id has several texts, that of the least key
     kept = some.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("key").alias("kept"))
     goes = some.join(kept.withColumnRenamed("class_id", "_class"), F.col("class_id").eqNullSafe(F.col("_class")))
-    goes = goes.where(~(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("kept")))).select(F.col("doc_id").alias("_gone"), F.col("key").alias("_key")).distinct()
+    goes = goes.where(~(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("kept")))).select(F.col("doc_id").alias("__gone_id"), F.col("key").alias("__gone_key")).distinct()
     goes = materialize(goes, f"{path}/goes")
-    twice = some.groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias("_gone"), F.col("key").alias("_key"))
+    twice = some.groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias("__gone_id"), F.col("key").alias("__gone_key"))
     twice = materialize(twice, f"{path}/twice")
-    on = F.col("_gone").eqNullSafe(F.col("doc_id").cast("long")) & (text_key(F.col("text")) == F.col("_key"))
+    on = F.col("__gone_id").eqNullSafe(F.col("doc_id").cast("long")) & (text_key(F.col("text")) == F.col("__gone_key"))
     left = docs.join(_small(goes), on, "left_anti")
     if twice.isEmpty():
         return left
     one = left.join(_small(twice), on, "left_semi")
-    one = one.groupBy(F.col("doc_id").alias("_one"), text_key(F.col("text")).alias("_key")).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_doc"))
-    return left.join(_small(twice), on, "left_anti").unionByName(one.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns]))
+    one = one.groupBy(F.col("doc_id").alias("__one_id"), text_key(F.col("text")).alias("__gone_key")).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__doc"))
+    return left.join(_small(twice), on, "left_anti").unionByName(one.select(*[F.col(f"__doc.`{c}`").alias(c) for c in docs.columns]))
