@@ -257,3 +257,11 @@ def e7_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e8_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
     return provenance.delete(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), gone, "l_orderkey")
+
+
+@query("""SELECT o_orderkey AS rec_idx FROM orders WHERE o_orderkey % 2 = 1""")
+def e6_insert_with_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a dataset doesn't hold yet are added with their evidence; rows without evidence are refused."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("rec_idx"))
+    rows, _ = provenance.insert(orders.where("rec_idx % 2 = 0"), orders, orders.withColumn("source_id", F.lit(1)))
+    return rows

@@ -136,3 +136,23 @@ def x8_quoted_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j8_export_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = Plan((Field("p_partkey", "integer"), Field("p_name"), Field("p_size", "integer"), Field("p_brand")))
     return table(spark, sf_dir, "part").select(*export_columns(["p_size", "p_name", "p_partkey", "unknown"], plan))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'x.y' ELSE 'k,x.y' END AS missing, CASE WHEN event_id % 2 = 0 THEN '' ELSE 'z' END AS extra FROM events""")
+def v15_v16_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths that a record's JSON lacks, and keys that its closed schema doesn't know."""
+    doc = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.lit('{"z":1}'))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(payloads.missing_paths(doc, ["k", "x.y"]), ",").alias("missing"), F.array_join(payloads.extra_keys(doc, ["k", "x"]), ",").alias("extra"))
+
+
+@query("""SELECT * FROM (VALUES ('companies', 106, 102, 1, 3, 1), ('jobs', 32, 30, 0, 2, 1), ('sponsors', 27, 25, 0, 2, 1)) t(scenario, raw_records, valid, invalid, duplicates, conflicts)""")
+def s11_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The demo scenarios through the whole pipeline: a row of metrics each."""
+    from siftwork.operators import score
+
+    out = None
+    for name, s in fixtures.SCENARIOS.items():
+        m = score.process(s.records(spark), s.plan).metrics
+        row = m.select(F.lit(name).alias("scenario"), *[F.col(c).cast("int") for c in ("raw_records", "valid", "invalid", "duplicates", "conflicts")])
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -1,12 +1,16 @@
-"""Sources that make their rows: demo records by rule, and skill files."""
+"""Sources that make their rows: demo scenarios and records by rule, and skill files."""
 
 from __future__ import annotations
 
 import re
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwork.plans.model import Field, MatchRule, Plan
+
 #: Record counts of generated fixtures.
 LEAST, MOST, USUAL = 5, 100, 25
 #: Words of a prompt that choose a template, in order; the first template is the rest.
@@ -48,3 +52,42 @@ def front_matter(files: DataFrame, text: str = "value") -> DataFrame:
 def skills(spark: SparkSession, path: str) -> DataFrame:
     """Skill files below a directory: one row a file with its front matter."""
     return front_matter(spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").withColumn("path", F.input_file_name()))
+
+
+@dataclass(frozen=True)
+class Scenario:
+    """Records with seeded defects: ``repeats`` cite earlier records' key again, with values that differ; ``empty`` rows lack a required field."""
+
+    plan: Plan
+    distinct: int
+    repeats: int
+    empty: int
+    contested: str
+
+    @property
+    def rows(self) -> int:
+        return self.distinct + self.repeats + self.empty
+
+    def records(self, spark: SparkSession) -> DataFrame:
+        """Record k repeats record k - distinct from ``distinct`` on; the last ``empty`` rows are new and incomplete."""
+        k = F.col("id")
+        of = F.when(k.between(self.distinct, self.distinct + self.repeats - 1), k - self.distinct).otherwise(k)
+        n, again = F.format_string("%03d", of + 1), of != k
+        made = []
+        for f in self.plan.fields:
+            text = F.concat(F.lit("https://item-"), n, F.lit(".example.com/")) if f.format == "uri" else F.concat(F.lit(f"{f.key.title()} "), n)
+            if f.key == self.contested:  # only the first repetition differs
+                text = F.concat(F.lit("USD "), (of + F.when(again & (of == 0), 9000).otherwise(1000)).cast("string"))
+            if f.required and f.format != "uri" and f.key != self.plan.fields[0].key:
+                text = F.when(k >= self.distinct + self.repeats, "").otherwise(text)
+            made.append(text.alias(f.key))
+        site = F.concat(F.lit("https://source-"), (k % 18).cast("string"), F.lit(".example.com/"))
+        return spark.range(self.rows).select(k.alias("rec_idx"), F.array(site).alias("source_urls"), *made)
+
+
+#: Row counts are fixed values: 106 with 3 repeats and 1 incomplete, 32 with 2 repeats, 27 with 2 repeats.
+SCENARIOS = {
+    "companies": Scenario(Plan((Field("company_name", required=True), Field("founder", required=True), Field("website", format="uri"), Field("funding")), match_rules=(MatchRule(("website",)),)), 102, 3, 1, "funding"),
+    "jobs": Scenario(Plan((Field("company", required=True), Field("role", required=True), Field("salary"), Field("application_url", format="uri")), match_rules=(MatchRule(("application_url",)),)), 30, 2, 0, "salary"),
+    "sponsors": Scenario(Plan((Field("company_name", required=True), Field("industry"), Field("website", format="uri")), match_rules=(MatchRule(("website",)),)), 25, 2, 0, "industry"),
+}

@@ -90,6 +90,16 @@ def exec_rows(payloads: DataFrame, text: str = "payload") -> DataFrame:
     return payloads.select("id", F.coalesce(get(c, "$.stdout", "$.output"), F.lit("")).alias("stdout"), F.coalesce(get(c, "$.stderr"), F.lit("")).alias("stderr"), F.coalesce(get(c, "$.exitCode", "$.exit_code").try_cast("int"), F.lit(0)).alias("exit_code"))
 
 
+def missing_paths(c: Column, paths: list[str]) -> Column:
+    """Dotted paths that a JSON text lacks or holds null at, in order."""
+    return F.array_compact(F.array(*[F.when(F.get_json_object(c, f"$.{p}").isNull(), F.lit(p)) for p in paths]))
+
+
+def extra_keys(c: Column, keys: list[str]) -> Column:
+    """Top-level keys of a JSON text beyond ``keys``."""
+    return F.array_except(F.coalesce(F.json_object_keys(c), F.array().cast(ARRAY)), F.array(*[F.lit(k) for k in keys]).cast(ARRAY))
+
+
 def collect_sources(found: DataFrame) -> DataFrame:
     """One row a page of ``found`` (run, seq, url, title): the first, but with the first title that there is."""
     rows = found.withColumn("canonical_url", urls.source_form(F.col("url"))).where("canonical_url is not null")

@@ -118,3 +118,11 @@ def test_lifecycle_and_messages(spark):
     got = govern.lifecycle(spark.createDataFrame(rows, "run string, url_hash string, seq int, status string, code string, reason string")).first()
     assert (got.status, got.reason, got.attempts) == ("COLLECTED", "ok", 2)
     assert one(spark, govern.safe_message, "fc-0123456789abcd failed") == ["[REDACTED] failed"]
+
+
+def test_insert_needs_evidence(spark):
+    rows = spark.createDataFrame([(1,), (2,)], "rec_idx long")
+    added, evidence = provenance.insert(rows.where("rec_idx = 1"), rows, rows)
+    assert [r.rec_idx for r in added.collect()] == [2] and evidence.count() == 2
+    with pytest.raises(ValueError):
+        provenance.insert(rows, rows, rows.where("rec_idx = 1"))
