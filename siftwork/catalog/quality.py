@@ -97,7 +97,7 @@ def d1_d4_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_DOCS}, h AS (SELECT g.*, first_value(site IGNORE NULLS) OVER w AS any_site, first_value(source) OVER w AS s0, first_value(lang) OVER w AS l0, first_value(site IGNORE NULLS) OVER (PARTITION BY head ORDER BY doc_id) AS so_far, count(*) OVER w AS n FROM g WINDOW w AS (PARTITION BY head ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 c AS (SELECT head, sum(CASE WHEN site IS NOT NULL AND {{}} THEN 1 ELSE 0 END) + sum(CASE WHEN lang <> l0 THEN 1 ELSE 0 END) AS n_conflicts, count(DISTINCT source) AS n_urls FROM h GROUP BY head)
-SELECT h.doc_id AS rec_idx, CASE WHEN h.doc_id = h.head THEN h.any_site ELSE h.site END AS site, CASE WHEN h.doc_id = h.head THEN c.n_urls ELSE 1 END AS n_urls, CASE WHEN h.doc_id = h.head AND n > 1 THEN c.n_conflicts ELSE 0 END AS n_conflicts FROM h JOIN c USING (head)""".replace("{}", "lower(site) <> lower(so_far)"))
+SELECT h.doc_id AS rec_idx, CASE WHEN h.doc_id = h.head THEN h.any_site ELSE h.site END AS site, CASE WHEN h.doc_id = h.head THEN c.n_urls ELSE 1 END AS n_urls, CAST(CASE WHEN h.doc_id = h.head AND n > 1 THEN c.n_conflicts ELSE 0 END AS BIGINT) AS n_conflicts FROM h JOIN c USING (head)""".replace("{}", "lower(site) <> lower(so_far)"))
 def d6_d7_d8_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical rows take what they lack, unite the urls and keep what differs."""
     merged, _ = match.deduplicate(_docs(spark, sf_dir), DOCS)

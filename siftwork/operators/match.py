@@ -149,6 +149,8 @@ def merge(records: DataFrame, links: DataFrame, fields: list[Field] | tuple[Fiel
     ordered as a whole.
     """
     linked = records.join(links.select("rec_idx", "duplicate_of"), "rec_idx", "left").drop("conflicts") if "duplicate_of" not in records.columns else records
+    if links.isEmpty():
+        return linked.withColumn("conflicts", F.array().cast(CONFLICT))
     heads = links.select(F.col("duplicate_of").alias("rec_idx")).distinct()
     members = linked.join(heads, "rec_idx", "left_semi").withColumn("group", F.col("rec_idx")).unionByName(linked.where("duplicate_of is not null").withColumn("group", F.col("duplicate_of")))
     members = settled(members.select("group", "rec_idx", "values", "source_urls"))
@@ -178,7 +180,7 @@ def merge(records: DataFrame, links: DataFrame, fields: list[Field] | tuple[Fiel
 def deduplicate(records: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
     """(records with links and merges, events)."""
     rules = [r for r in plan.match_rules if r.strategy != "FUZZY_REVIEW"]
-    found = links(records, plan)
+    found = settled(links(records, plan))
     kinds = F.array(*[F.lit(match_type(r)) for r in rules]) if rules else F.array(F.lit(""))
     fields = F.array(*[F.array(*[F.lit(k) for k in r.keys]) for r in rules]) if rules else F.array(F.array(F.lit("")))
     kind = kinds[F.col("rule")]
@@ -286,6 +288,8 @@ def resolve(records: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
         return records, empty
     field = model.name_field(plan)
     pairs = settled(similar_pairs(settled(named), fuzzy.threshold if fuzzy else 0.94))
+    if pairs.isEmpty():
+        return records, empty
     ambiguous = fuzzy.ambiguous if fuzzy else "REVIEW_REQUIRED"
     parts = components(pairs.select(F.col("left_idx").alias("u"), F.col("right_idx").alias("v")))
     grouped = pairs.join(parts, pairs["right_idx"] == parts["node"]).select("component", "left_idx", "right_idx", "shared", "confidence")
