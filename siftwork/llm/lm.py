@@ -13,8 +13,11 @@ of documents segment by segment, so memory is bounded by ``SEGMENT_GRAMS`` at an
 corpus. The exact counts that the base score needs are kept in the same way, as sorted arrays of
 64-bit word hashes.
 
-The model: p(w | v) = (min(c(v, w), c(v)) + MU * p(w)) / (c(v) + MU), where p(w) is smoothed as in
-the base score. All its counts come from the filters.
+The model discounts: p(w | v) = max(c(v, w) - D, 0) / c(v) + D * t(v) / c(v) * p(w), where p(w) is
+smoothed as in the base score and t(v) is the number of different words after v. That number is
+taken to grow as a power of c(v), with a factor for which all words together have as many as
+there are distinct pairs. After an unseen word and at the start of a text, p(w) alone counts. All
+counts come from the filters.
 
 Words are runs outside ASCII white space with A-Z lowered; an end follows the last. Defined
 cases: a null or empty text is the end alone; a null id counts as the empty text for the
@@ -36,8 +39,10 @@ from pyspark.sql import functions as F
 from siftwork.llm._arrays import hashes, mix, slices, word_hashes
 from siftwork.llm._common import materialize, open_fs, workspace
 
-#: Bits of the filter for each entry, probes for each entry, strength of the base in the model.
-BITS, PROBES, MU = 10, 5, 2.0
+#: Bits of the filter for each entry, probes for each entry.
+BITS, PROBES = 10, 5
+#: The model's discount, and the power of a word's count with which the words after it grow in number.
+DISCOUNT, GROWTH = 0.75, 0.9
 #: Grams of a segment at most, on average; sums that a map task holds before it passes them on; bytes of text scored at once.
 SEGMENT_GRAMS, HELD, TEXT = 1 << 20, 1 << 21, 4 << 20
 ALPHA = 0.1
@@ -181,7 +186,7 @@ class Filter:
 
 
 def build(parts: DataFrame, path: str, segments: int) -> DataFrame:
-    """Writes each segment's exact words and filters below ``path``; returns segment, words, tokens, pairs."""
+    """Writes each segment's exact words and filters below ``path``; returns segment, words, tokens, pairs, and the sum of the counts' powers."""
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(path)
@@ -199,7 +204,7 @@ def build(parts: DataFrame, path: str, segments: int) -> DataFrame:
             with fs.open_output_stream(f"{root}/{now}.seg") as f:
                 f.write(struct.pack("<5q", len(wh), len(filters[0].bits), int(filters[0].size), len(filters[1].bits), int(filters[1].size)))
                 f.write(wh.astype("<u8").tobytes() + wc.astype("<i8").tobytes() + filters[0].bits.tobytes() + filters[1].bits.tobytes())
-            return pa.RecordBatch.from_pydict({"segment": [now], "words": [len(wh)], "tokens": [int(wc.sum())], "pairs": [len(ph)]})
+            return pa.RecordBatch.from_pydict({"segment": [now], "words": [len(wh)], "tokens": [int(wc.sum())], "pairs": [len(ph)], "growth": [float((wc**GROWTH).sum())]})
 
         for batch in batches:
             for kind, segment, h, c in zip(*(x for x in batch.columns)):
@@ -212,7 +217,7 @@ def build(parts: DataFrame, path: str, segments: int) -> DataFrame:
             yield done()
 
     dealt = parts.repartition("segment").sortWithinPartitions("segment")
-    return materialize(dealt.mapInArrow(built, "segment long, words long, tokens long, pairs long"), f"{path}/manifest")
+    return materialize(dealt.mapInArrow(built, "segment long, words long, tokens long, pairs long, growth double"), f"{path}/manifest")
 
 
 class Segment:
@@ -247,7 +252,7 @@ def score(docs: DataFrame, segments: int | None = None) -> DataFrame:
         size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
         segments = max(8, size // (6 * SEGMENT_GRAMS) + 1)
     manifest = build(count(docs, segments), f"{path}/segments", segments)
-    n, v = manifest.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    n, v, factor = manifest.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("pairs") / F.sum("growth"), F.lit(0.0))).first()
     present = {r[0] for r in manifest.select("segment").collect()}
     base_all = n + ALPHA * (v + 1)
 
@@ -292,7 +297,10 @@ def score(docs: DataFrame, segments: int | None = None) -> DataFrame:
                 pair[inner] = middle(plevel)[pback]
                 base = np.log10((exact + ALPHA) / base_all)
                 before = np.concatenate([[0.0], seen[:-1]]) * inner
-                p = (np.minimum(pair, before) + MU * (seen + ALPHA) / base_all) / (before + MU)
+                alone, known_before = (seen + ALPHA) / base_all, np.maximum(before, 1.0)
+                after = np.minimum(factor * known_before**GROWTH, known_before)
+                found = np.maximum(np.minimum(pair, known_before) - DISCOUNT, 0) / known_before
+                p = np.where(before > 0, found + DISCOUNT * after / known_before * alone, alone)
                 cols = [part.column(0), pa.array(held_out(part.column(0))), pa.array(sizes), pa.array(np.add.reduceat((exact > 0).astype(np.int64), starts)), pa.array(np.full(len(sizes), n, np.int64)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(np.log10(p), starts))]
                 yield pa.RecordBatch.from_arrays(cols, names=list(names))
 
