@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Shapes of dates, times and addresses.
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
 ISO_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(?::\d{2}(?:\.\d{1,3})?)?(?:Z|[+-]\d{2}:?\d{2})$"
 EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]{2,}$"
