@@ -23,10 +23,10 @@ def plain(v):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
         return tuple(plain(x) for x in v)
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return None
     if isinstance(v, float):
-        return round(v, 6)
+        return int(v) if v.is_integer() else round(v, 6)
     return str(v.tz_localize(None) if v.tzinfo else v) if isinstance(v, pd.Timestamp) else v
 
 
