@@ -28,6 +28,7 @@ unknown; an empty table gives an empty result.
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -186,7 +187,7 @@ class Filter:
 
 
 def build(parts: DataFrame, path: str, segments: int) -> DataFrame:
-    """Writes each segment's exact words and filters below ``path``; returns segment, words, tokens, pairs, and the sum of the counts' powers."""
+    """Writes each segment's exact words and filters below ``path``; returns segment, file, words, tokens, pairs, and the sum of the counts' powers."""
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(path)
@@ -200,11 +201,12 @@ def build(parts: DataFrame, path: str, segments: int) -> DataFrame:
                 got[kind] = _sum(np.concatenate([x[0] for x in own] or [np.zeros(0, np.uint64)]), np.concatenate([x[1] for x in own] or [np.zeros(0, np.int64)]))
             (wh, wc), (ph, pcount) = got[WORDS], got[PAIRS]
             filters = [Filter.build(wh, wc), Filter.build(ph, pcount)]
-            # the same content whichever attempt writes it
-            with fs.open_output_stream(f"{root}/{now}.seg") as f:
+            # a name that no other attempt uses; the manifest, which Spark commits, tells which one counts
+            name = f"{now}-{uuid.uuid4().hex}.seg"
+            with fs.open_output_stream(f"{root}/{name}", compression=None) as f:
                 f.write(struct.pack("<5q", len(wh), len(filters[0].bits), int(filters[0].size), len(filters[1].bits), int(filters[1].size)))
                 f.write(wh.astype("<u8").tobytes() + wc.astype("<i8").tobytes() + filters[0].bits.tobytes() + filters[1].bits.tobytes())
-            return pa.RecordBatch.from_pydict({"segment": [now], "words": [len(wh)], "tokens": [int(wc.sum())], "pairs": [len(ph)], "growth": [float((wc**GROWTH).sum())]})
+            return pa.RecordBatch.from_pydict({"segment": [now], "file": [name], "words": [len(wh)], "tokens": [int(wc.sum())], "pairs": [len(ph)], "growth": [float((wc**GROWTH).sum())]})
 
         for batch in batches:
             for kind, segment, h, c in zip(*(x for x in batch.columns)):
@@ -217,13 +219,13 @@ def build(parts: DataFrame, path: str, segments: int) -> DataFrame:
             yield done()
 
     dealt = parts.repartition("segment").sortWithinPartitions("segment")
-    return materialize(dealt.mapInArrow(built, "segment long, words long, tokens long, pairs long, growth double"), f"{path}/manifest")
+    return materialize(dealt.mapInArrow(built, "segment long, file string, words long, tokens long, pairs long, growth double"), f"{path}/manifest")
 
 
 class Segment:
-    def __init__(self, path: str, number: int):
+    def __init__(self, path: str, name: str):
         fs, root = open_fs(path)
-        with fs.open_input_file(f"{root}/{number}.seg") as f:
+        with fs.open_input_file(f"{root}/{name}") as f:
             raw = f.read()
         words, wb, ws, pb, ps = struct.unpack("<5q", raw[:40])
         at = 40
@@ -253,7 +255,7 @@ def score(docs: DataFrame, segments: int | None = None) -> DataFrame:
         segments = max(8, size // (6 * SEGMENT_GRAMS) + 1)
     manifest = build(count(docs, segments), f"{path}/segments", segments)
     n, v, factor = manifest.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("pairs") / F.sum("growth"), F.lit(0.0))).first()
-    present = {r[0] for r in manifest.select("segment").collect()}
+    present = {r[0]: r[1] for r in manifest.select("segment", "file").collect()}  # one name a segment, not a gram
     base_all = n + ALPHA * (v + 1)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +265,7 @@ def score(docs: DataFrame, segments: int | None = None) -> DataFrame:
         def segment(k: int) -> Segment:
             nonlocal held
             if k not in known:
-                out = Segment(f"{path}/segments", k)
+                out = Segment(f"{path}/segments", present[k])
                 size = out.words.nbytes * 2 + out.word_filter.bits.nbytes + out.pair_filter.bits.nbytes
                 if held + size > KEPT:
                     known.clear()
