@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,3 +55,24 @@ def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordB
             start, held = k + 1, 0
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers live on between stages, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def releasing(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` that ends by releasing memory, also every few batches."""
+
+    def run(batches: Iterator) -> Iterator:
+        for k, out in enumerate(work(batches), 1):
+            yield out
+            if k % 16 == 0:
+                release()
+        gc.collect()
+        release()
+
+    return run

@@ -27,12 +27,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwork.llm._arrays import releasing
+
 #: Characters of a chunk, and of the part it shares with the next one.
 CHUNK, OVERLAP = 1 << 16, 512
 #: Characters before a chunk's end in which its boundaries aren't sure: more than the pattern looks ahead.
 MARGIN = 8
 #: Pieces whose ids are remembered in a worker.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 ROWS = 128
 
 
@@ -217,7 +219,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = False, ch
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     long_text = F.coalesce(F.length("text") > chunk, F.lit(False))
-    short = docs.where(~long_text).mapInArrow(whole, _schema(ids))
+    short = docs.where(~long_text).mapInArrow(releasing(whole), _schema(ids))
     parts = docs.where(long_text).select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     kinds = "row long, doc_id long, n int, start long, text string, last boolean"
     parts = parts.mapInArrow(cut, kinds).repartition("row", "n").mapInArrow(tokenised, f"{kinds}, ends array<long>")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm._arrays import hashes, mix, slices, word_hashes
+from siftwork.llm._arrays import hashes, mix, releasing, slices, word_hashes
 from siftwork.llm._common import materialize, open_fs, workspace
 
 #: Bits of the filter for each entry, probes for each entry.
@@ -45,7 +45,7 @@ BITS, PROBES = 10, 5
 #: The model's discount, and the power of a word's count with which the words after it grow in number.
 DISCOUNT, GROWTH = 0.75, 0.9
 #: Grams of a segment at most, on average; sums that a map task holds before it passes them on; bytes of text scored at once.
-SEGMENT_GRAMS, HELD, TEXT = 1 << 20, 1 << 21, 4 << 20
+SEGMENT_GRAMS, HELD, TEXT = 1 << 20, 1 << 21, 2 << 20
 ALPHA = 0.1
 #: The end's hash input holds a space, so no word is equal to it.
 END = " </s>"
@@ -128,7 +128,7 @@ def count(docs: DataFrame, segments: int) -> DataFrame:
                     size = 0
         yield from flush()
 
-    return docs.mapInArrow(partial, "kind int, segment long, hashes binary, counts binary")
+    return docs.mapInArrow(releasing(partial), "kind int, segment long, hashes binary, counts binary")
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -219,7 +219,7 @@ def build(parts: DataFrame, path: str, segments: int) -> DataFrame:
             yield done()
 
     dealt = parts.repartition("segment").sortWithinPartitions("segment")
-    return materialize(dealt.mapInArrow(built, "segment long, file string, words long, tokens long, pairs long, growth double"), f"{path}/manifest")
+    return materialize(dealt.mapInArrow(releasing(built), "segment long, file string, words long, tokens long, pairs long, growth double"), f"{path}/manifest")
 
 
 class Segment:
@@ -306,4 +306,4 @@ def score(docs: DataFrame, segments: int | None = None) -> DataFrame:
                 cols = [part.column(0), pa.array(held_out(part.column(0))), pa.array(sizes), pa.array(np.add.reduceat((exact > 0).astype(np.int64), starts)), pa.array(np.full(len(sizes), n, np.int64)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(np.log10(p), starts))]
                 yield pa.RecordBatch.from_arrays(cols, names=list(names))
 
-    return docs.mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return docs.mapInArrow(releasing(scored), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm._arrays import mix, slices, word_hashes
+from siftwork.llm._arrays import mix, releasing, slices, word_hashes
 from siftwork.llm._common import materialize, workspace
 
 N, THRESHOLD = 5, 0.8
 #: Trees, lengths of the prefixes from the first to the last step, and the recall at which no more are needed.
 TREES, DEPTHS, RECALL = 12, (5, 4, 3), 0.9995
 #: Texts of a block; bytes of text that are worked on at once.
-BLOCK, TEXT = 1024, 4 << 20
+BLOCK, TEXT = 1024, 2 << 20
 #: Rows of a table that is broadcast at most; above, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -98,7 +98,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts), binary], names=["doc_id", "key", "shingles", "label"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text")
-    return rows.mapInArrow(signed, "doc_id long, key binary, shingles long, label binary")
+    return rows.mapInArrow(releasing(signed), "doc_id long, key binary, shingles long, label binary")
 
 
 def chance(similarity: np.ndarray | float, depth: int):
@@ -253,7 +253,7 @@ def _verified(members: DataFrame, texts: DataFrame, depth: int, before: int | No
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(RESULT)], schema=RESULT)
 
     rows = members.join(texts, "key").select("bucket", "a", "b", "block", "tree", "key", "copies", "label", "text")
-    return rows.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b").mapInArrow(checked, RESULT_SCHEMA)
+    return rows.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b").mapInArrow(releasing(checked), RESULT_SCHEMA)
 
 
 def components(edges: DataFrame, path: str, most_rounds: int = 50) -> DataFrame:
