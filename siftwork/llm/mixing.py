@@ -26,6 +26,8 @@ from siftwork.llm._common import WORD, let, materialize, uniform, workspace
 
 #: Rows that meet in a block on average.
 BLOCK = 64
+#: Tasks that the rows of one source and size are dealt to when they are matched with their number of blocks.
+SALTS = 16
 #: Sizes within a level's factor share blocks; the last level joins all sizes of a source.
 LEVELS = (1.02, 1.25, 3.0)
 #: Fixed values of the query: weights by turns, share of all sizes, most copies.
@@ -91,7 +93,10 @@ def _level(items: DataFrame, factor: float | None, seed: int) -> DataFrame:
     band = F.lit(0) if factor is None else F.floor(F.log(F.col("size") + 1.0) / F.log(F.lit(factor))).cast("int")
     items = items.withColumn("_band", band)
     parts = items.groupBy(F.col("source").alias("_source"), F.col("_band").alias("_of")).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("_parts"))
-    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("_band") == F.col("_of"))
+    # salted, as one source and size may have a third of all rows
+    parts = parts.withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    items = items.withColumn("_salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("_band") == F.col("_of")) & (F.col("_salt") == F.col("_to"))
     dealt = items.join(parts, same).select("source", "_band", "row", "size", "p", F.pmod(F.xxhash64("row", "size", F.lit(seed)), F.col("_parts")).alias("_part"))
     # largest first within the block: neighbours in size meet, and what is left at the end is small
     block = F.transform(F.sort_array(F.collect_list(F.struct("size", "row", "p")), asc=False), lambda x: F.struct(x["row"].alias("row"), x["size"].alias("size"), x["p"].alias("p")).cast(ITEM))
