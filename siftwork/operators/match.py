@@ -1,10 +1,10 @@
 """Deduplication by keys, merging, and entity resolution.
 
-"Canonical" always means the record with the lower ``rec_idx``. One rule needs one window over
-the key. Several rules interact, as only unmatched records register their keys: records are first
+"Canonical" always means the record with the lower ``rec_idx``. One rule needs one minimum by
+key. Several rules interact, as only unmatched records register their keys: records are first
 joined to components by shared keys, and each component is settled in order by itself; records
 of different components never meet. Entity resolution does the same over the graph of pairs that
-are similar enough, which a blocked join finds.
+are similar enough, which an equi-join on parts of the names finds.
 """
 
 from __future__ import annotations
@@ -31,9 +31,9 @@ def stable_json(c: Column, kind: str) -> Column:
     """JSON text whose objects have sorted keys."""
     if kind.startswith("map"):
         return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c))))
-    if kind in ("string",) or kind.startswith(("array", "struct")):
-        return F.to_json(c) if kind != "string" else F.to_json(F.struct(c.alias("v")))
-    return c.cast("string")
+    if kind.startswith(("array", "struct")):
+        return F.to_json(c)
+    return F.to_json(F.struct(c.alias("v"))) if kind == "string" else c.cast("string")
 
 
 def _part(key: str, kind: str, strategy: str, column: Column) -> Column:
