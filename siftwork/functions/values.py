@@ -51,13 +51,15 @@ def phone(c: Column) -> Column:
     return F.when(F.length(digits).between(7, 15), F.concat(F.when(F.trim(c).startswith("+"), "+").otherwise(""), digits))
 
 
+def _lookup(keys, values) -> Column:
+    return F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*[F.lit(v) for v in values]))
+
+
 def number(c: Column) -> Column:
     """The one number in a text, times its unit."""
     unit = F.lower(F.regexp_extract(c, r"(?i)\d[\d,]*(?:\.\d+)?\s*(thousand|million|billion|trillion|k|m|b|t)\b", 1))
     kept = F.regexp_replace(c, r"[^0-9.+-]", "")
-    times = F.lit(1.0)
-    for name, factor in UNITS.items():
-        times = F.when(unit == name, factor).otherwise(times)
+    times = F.coalesce(F.try_element_at(_lookup(UNITS, UNITS.values()), unit), F.lit(1.0))
     return F.when(kept.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)$"), kept.try_cast("double") * times)
 
 
@@ -80,15 +82,11 @@ def currency(c: Column) -> Column:
     return F.concat_ws(" ", currency_code(c), F.when(number(c).isNotNull(), plain_number(number(c))))
 
 
-def _countries(keys, values) -> Column:
-    return F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*[F.lit(v) for v in values]))
-
-
 def country(c: Column) -> Column:
     """English name of a country's code or name; other texts as they are."""
     folded = F.lower(F.regexp_replace(F.trim(c), r"[.]", ""))
-    by_code = _countries((k.lower() for k in COUNTRIES), COUNTRIES.values())
-    by_name = _countries((v.lower() for v in COUNTRIES.values()), COUNTRIES.values())
+    by_code = _lookup((k.lower() for k in COUNTRIES), COUNTRIES.values())
+    by_name = _lookup((v.lower() for v in COUNTRIES.values()), COUNTRIES.values())
     return F.coalesce(F.when(folded.rlike("^[a-z]{2}$"), F.try_element_at(by_code, folded)).otherwise(F.try_element_at(by_name, folded)), F.trim(c))
 
 
