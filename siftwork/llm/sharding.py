@@ -4,13 +4,16 @@ Documents with equal texts are linked. Every document begins in a shard drawn fr
 joins move linked documents: a group's documents count by shard, and each document wants to go to
 the shard that holds most of its group. Moves into a shard are limited by the room it has below
 its quota; of more candidates than there is room for, those go whose draw is lowest. It ends when
-nothing moves. Unlinked documents have no neighbours: they fill the shards up to their quotas, so
-counts differ by one at most (law ``rows``).
+nothing moves or after ``ROUNDS``. Then groups are settled as wholes: the driver packs them by size,
+largest first, and what propagation brought together stays if its shard has room. Unlinked documents
+have no neighbours: they fill the shards up to their quotas, so counts differ by one at most (law
+``rows``).
 
-A group larger than a quota fills one shard after the other: a shard without room is no goal,
-so what is left of the group gathers in the next. No group is ever collected: groups are summed
-to at most one row a shard, and the driver sees counts by shard and draw only, whose number is
-fixed. Numbers within shards come from counts by bucket, not from a sort of a shard.
+A group larger than a quota fills one shard after the other. Of the groups that a quota can hold,
+fewer than there are shards are cut, and only if no shard has room for them. No group is ever
+collected: groups are summed to at most one row a shard, and the driver sees counts by shard and
+draw, whose number is fixed, and by size and shard, whose number grows with the root of the rows.
+Numbers within shards come from counts by bucket, not from a sort of a shard.
 
 Defined cases: a null text has size 1, checksum 0 and no links; ids may repeat or be null (each
 row gets a place); fewer rows than shards leave shards empty; other columns are ignored.
@@ -18,6 +21,9 @@ row gets a place); fewer rows than shards leave shards empty; other columns are
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,14 +69,13 @@ def propagate(linked: DataFrame, quota: list[int], path: str, rounds: int = ROUN
         room = _room(used, quota)
         free = F.array(*[F.lit(r) for r in room])
         held = linked.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("held"), F.max("n").alias("n"))
-        rank = F.struct(F.col("held"), (-F.col("shard")).alias("minus"))
-        best = held.groupBy("group").agg(F.max(rank).alias("most"), F.max(F.when(free[F.col("shard")] > 0, rank)).alias("open"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        best = best.select(F.col("group").alias("_group"), (-F.col("most.minus")).alias("most_shard"), F.col("open.held").alias("open"), (-F.col("open.minus")).alias("open_shard"))
-        here = held.join(best, F.col("group") == F.col("_group"))
-        fits = F.col("n") - F.col("open") <= free[F.col("open_shard")]
-        fewer = (F.col("held") < F.col("open")) | ((F.col("held") == F.col("open")) & (F.col("shard") > F.col("open_shard")))
-        goes = F.col("open_shard").isNotNull() & (F.col("open_shard") != F.col("shard")) & (fits | fewer)
-        moves = here.where(goes).select("_group", F.col("shard").alias("_shard"), F.col("open_shard").alias("goal"), fits.alias("whole"))
+        # ties fall by hash, so that no shard fills before the others
+        rank = F.struct(F.col("held"), F.xxhash64("group", "shard").alias("tie"), F.col("shard"))
+        best = held.groupBy("group").agg(F.max(F.when(free[F.col("shard")] > 0, rank)).alias("open"), F.count(F.lit(1)).alias("parts")).where("parts > 1 and open is not null")
+        here = held.join(best.select(F.col("group").alias("_group"), "open"), F.col("group") == F.col("_group"))
+        fits = F.col("n") - F.col("open.held") <= free[F.col("open.shard")]
+        goes = (F.col("open.shard") != F.col("shard")) & (fits | (rank < F.col("open")))
+        moves = here.where(goes).select("_group", F.col("shard").alias("_shard"), F.col("open.shard").alias("goal"), fits.alias("whole"))
         wished = linked.join(moves, (F.col("group") == F.col("_group")) & (F.col("shard") == F.col("_shard")), "left")
         draw = F.pmod(F.when(F.col("whole"), F.xxhash64("group", F.lit(k))).otherwise(F.xxhash64("group", "row", F.lit(k))), F.lit(DRAWS))
         wished = materialize(wished.select("row", "group", "n", "shard", "goal", F.when(F.col("goal").isNotNull(), draw).alias("draw")), f"{path}/wish-{k}")
@@ -92,6 +97,104 @@ def propagate(linked: DataFrame, quota: list[int], path: str, rounds: int = ROUN
     return linked
 
 
+def pack(tally: dict[tuple, int], quota: list[int], stay: bool = True) -> tuple[dict[tuple, list[tuple]], list[tuple]]:
+    """Where groups go, from the number of groups by (rows, shard; -1 for a group in several).
+
+    First (groups, shard) runs by key of ``tally``; groups beyond them are cut: second (key, (rows,
+    shard) runs) of each. Groups come by size, largest first, each to the shard with the least room
+    that holds it (with ``stay`` to its own before). Those that no quota holds are cut at once,
+    the others that don't fit when all are placed. A group doesn't fit if it is larger than any
+    room, and the rooms hold all that is left, so these are fewer than the shards.
+    """
+    room, runs, cuts, late = list(quota), defaultdict(list), [], []
+
+    def pour(key: tuple) -> None:
+        n, parts = key[0], []
+        while n:
+            shard = min(range(len(room)), key=lambda k: (room[k] < n, room[k] if room[k] >= n else -room[k]))
+            took = min(n, room[shard])
+            room[shard] -= took
+            n -= took
+            parts.append((took, shard))
+        cuts.append((key, parts))
+
+    cells = defaultdict(dict)
+    for (n, at), c in sorted(tally.items()):
+        cells[n][at] = c
+    for n in sorted(cells, reverse=True):
+        left = cells[n]
+        if n > max(quota):
+            for at, c in left.items():
+                for _ in range(c):
+                    pour((n, at))
+            continue
+        for own in (True, False) if stay else (False,):
+            for shard in sorted(range(len(room)), key=room.__getitem__):
+                for at in [shard] if own else sorted(left, key=lambda k: k != shard):
+                    k = min(left.get(at, 0), room[shard] // n)
+                    if k:
+                        left[at] -= k
+                        room[shard] -= k * n
+                        runs[n, at].append((k, shard))
+        late += [(n, at) for at, c in left.items() for _ in range(c)]
+    for key in late:
+        pour(key)
+    if late and stay:
+        other = pack(tally, quota, False)
+        if len(other[1]) < len(cuts):
+            return other
+    return dict(runs), cuts
+
+
+def _table(of: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of integers from the driver; as Arrow, since a plain list would start Python on the executors."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    columns = [pa.array(x, pa.int32() if t.endswith("int") else pa.int64()) for x, t in zip(zip(*rows), schema.split(", "))]
+    return of.sparkSession.createDataFrame(pa.table(columns, names))
+
+
+def _run(rows: DataFrame, by: str, n: str, runs: list[tuple], name: str) -> DataFrame:
+    """``rows`` with the value of the run (by, first number, number after the last, value) that the number ``n`` is in; ``runs`` are few."""
+    table = _table(rows, runs, "_by int, _from long, _to long, _value int")
+    on = (F.col(by) == F.col("_by")) & (F.col(n) >= F.col("_from")) & (F.col(n) < F.col("_to"))
+    return rows.join(F.broadcast(table), on).drop("_by", "_from", "_to", n).withColumnRenamed("_value", name)
+
+
+def settle(linked: DataFrame, quota: list[int], buckets: int, path: str) -> DataFrame:
+    """``linked`` with groups as wholes where ``pack`` puts them and no shard above its quota."""
+    groups = linked.groupBy("group").agg(F.max("n").alias("n"), F.when(F.min("shard") == F.max("shard"), F.min("shard")).otherwise(-1).alias("at"))
+    groups = materialize(groups, f"{path}/wholes")
+    tally = _counts(groups, "n", "at")
+    runs, cuts = pack(tally, quota)
+    moved = sorted(key for key, c in tally.items() if runs.get(key) != [(c, key[1])])
+    if not moved:
+        return linked
+    n, cell_of = len(quota), {key: k for k, key in enumerate(moved)}
+    # groups of a cell go to their runs by number; values from n on are cuts
+    spans, at, pieces = [], [0] * len(moved), []
+    for key in moved:
+        for c, shard in runs.get(key, []):
+            cell = cell_of[key]
+            spans.append((cell, at[cell], at[cell] + c, shard))
+            at[cell] += c
+    for k, (key, parts) in enumerate(cuts):
+        cell, first = cell_of[key], 0
+        spans.append((cell, at[cell], at[cell] + 1, n + k))
+        at[cell] += 1
+        for c, shard in parts:
+            pieces.append((n + k, first, first + c, shard))
+            first += c
+    cells = _table(groups, [(*key, cell) for key, cell in cell_of.items()], "n long, at int, cell int")
+    some = number(groups.join(F.broadcast(cells), ["n", "at"]).select("cell", F.col("group").alias("row")), "cell", buckets, "k")
+    goals = materialize(_run(some, "cell", "k", spans, "goal").select(F.col("row").alias("_group"), "goal"), f"{path}/goals")
+    rows = linked.join(goals, F.col("group") == F.col("_group"), "left")
+    rows = materialize(rows.select("row", "group", "n", F.coalesce("goal", "shard").alias("shard")), f"{path}/settled")
+    if not pieces:
+        return rows
+    cut = _run(number(rows.where(F.col("shard") >= n).withColumnRenamed("shard", "cut"), "cut", buckets, "k"), "cut", "k", pieces, "shard")
+    return rows.where(F.col("shard") < n).unionByName(cut.select("row", "group", "n", "shard"))
+
+
 def number(rows: DataFrame, by: str | None, buckets: int, name: str, key: Column | None = None) -> DataFrame:
     """``rows`` (with a column row) and a gapless number from 0, within each value of ``by``, which has few values.
 
@@ -126,10 +229,10 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = ROUNDS) -> DataFrame:
     groups = materialize(groups, f"{path}/groups")  # a table of its own: Spark can then split a hot group's side of the join
     start = F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)).cast("int")
     linked = materialize(rows.join(groups, "group").select("row", "group", "n", start.alias("shard")), f"{path}/linked")
-    # a little slack lets groups pass each other; quotas hold at the end
+    # a little slack lets groups pass each other; settle holds the quotas
     loose = [q + q // SLACK + 1 for q in quota]
     linked = materialize(_even(linked, loose, buckets), f"{path}/even")
-    placed = materialize(_even(propagate(linked, loose, path, rounds), quota, buckets).select("row", "shard"), f"{path}/placed")
+    placed = materialize(settle(propagate(linked, loose, path, rounds), quota, buckets, path).select("row", "shard"), f"{path}/placed")
     used = [0] * shards
     for (k,), c in _counts(placed, "shard").items():
         used[k] = c

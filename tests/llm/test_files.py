@@ -63,6 +63,43 @@ def test_shards_with_a_group_of_a_third(spark):
     assert len({r["shard"] for r in got if texts[r.doc_id] == "hot"}) <= 5
 
 
+@pytest.mark.parametrize("size", [2, 6])
+def test_shards_with_all_rows_linked(spark, size):
+    """Fewer groups are cut than there are shards."""
+    texts = [f"text {k % (1800 // size)}" for k in range(1800)]
+    got = sharding.shard(docs(spark, texts)).collect()
+    check_shards(got)
+    held = {}
+    for r in got:
+        held.setdefault(texts[r.doc_id], set()).add(r["shard"])
+    assert sum(len(x) > 1 for x in held.values()) < 8
+
+
+def test_pack():
+    """Every group is placed, quotas hold, and only what no room holds is cut."""
+    rng = random.Random(3)
+    for _ in range(200):
+        n = rng.randrange(1, 9)
+        tally = {(rng.choice([2, 3, 4, 7, 30, 200]), rng.randrange(-1, n)): rng.randrange(1, 30) for _ in range(rng.randrange(1, 20))}
+        total = sum(s * c for (s, _), c in tally.items()) + rng.choice([0, 0, 5, 500])
+        quota = [total // n + (k < total % n) for k in range(n)]
+        runs, cuts = sharding.pack(tally, quota)
+        used, placed = [0] * n, Counter()
+        for key, parts in runs.items():
+            for c, shard in parts:
+                used[shard] += c * key[0]
+                placed[key] += c
+        for key, parts in cuts:
+            assert sum(c for c, _ in parts) == key[0] and all(c for c, _ in parts)
+            placed[key] += 1
+            for c, shard in parts:
+                used[shard] += c
+        assert placed == tally and all(u <= q for u, q in zip(used, quota))
+        assert sum(key[0] <= max(quota) for key, _ in cuts) < n
+    runs, cuts = sharding.pack({(5, 0): 1, (4, 1): 1, (3, -1): 3}, [9, 9])
+    assert not cuts
+
+
 def test_fewer_rows_than_shards(spark):
     got = sharding.shard(docs(spark, ["a", "a", "b"])).collect()
     assert len(got) == 3 and max(Counter(r["shard"] for r in got).values()) == 1
