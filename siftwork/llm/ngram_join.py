@@ -3,10 +3,10 @@
 A text is the set of its shingles of five words (a shorter text with a word: one shingle of all
 its words). Each tree of the forest labels a text with a sequence of short minhash values; sorted,
 the labels form a prefix trie. Texts that share a prefix of a label are candidates. The join
-begins with long prefixes and shortens them step by step: after each step the verified pairs, each
-weighed by the chance that the forest finds a pair of its similarity at this length, give an
-estimate of the recall, and it ends when that reaches the target or the prefixes are at their
-shortest, where the chance is above ``1 - (1 - 0.8**3)**12 = 0.9998`` at the threshold itself.
+begins with long prefixes and shortens them step by step, until the chance that the forest finds a
+pair at the threshold itself reaches the target or the prefixes are at their shortest. The pairs
+found have no say in it: one large group of very similar texts would end the search for all others.
+At 0.8 the chances are 0.9915, 0.9982 and ``1 - (1 - 0.8**3)**12 = 0.9998`` at lengths 5, 4 and 3.
 
 Equal texts are one class from the start. Texts that share a prefix are verified together, in
 blocks: a group larger than ``BLOCK`` is split, and each pair of blocks is a task of its own. A
@@ -135,8 +135,8 @@ def _members(reps: DataFrame, groups: DataFrame, depth: int) -> DataFrame:
     return rows.select("bucket", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "tree", "key", "copies", "label")
 
 
-RESULT = pa.schema([("key", pa.binary()), ("root", pa.binary()), ("links", pa.int64()), ("pairs", pa.int64()), ("weight", pa.list_(pa.float64()))])
-RESULT_SCHEMA = "key binary, root binary, links long, pairs long, weight array<double>"
+RESULT = pa.schema([("key", pa.binary()), ("root", pa.binary()), ("links", pa.int64())])
+RESULT_SCHEMA = "key binary, root binary, links long"
 
 
 def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -202,7 +202,7 @@ def verify(texts: pa.Array, keys: list[bytes], copies: np.ndarray, tries: np.nda
     both = _overlaps(sets, i, j)
     similarity = both / np.maximum(size[i] + size[j] - both, 1)
     linked = np.flatnonzero(similarity >= threshold - 1e-12)
-    i, j, similarity = i[linked], j[linked], similarity[linked]
+    i, j = i[linked], j[linked]
     root = list(range(m))
 
     def find(x: int) -> int:
@@ -216,9 +216,7 @@ def verify(texts: pa.Array, keys: list[bytes], copies: np.ndarray, tries: np.nda
         if x != y:
             root[max(x, y)] = min(x, y)
     links = np.bincount(i, copies[j], m) + np.bincount(j, copies[i], m)
-    pairs = np.bincount(i, minlength=m)
-    weights = np.stack([np.bincount(i, 1 / chance(similarity, d), m) for d in DEPTHS], 1)
-    return [(keys[k], keys[find(k)], int(links[k]), int(pairs[k]), weights[k].tolist()) for k in np.flatnonzero(links).tolist()]
+    return [(keys[k], keys[find(k)], int(links[k])) for k in np.flatnonzero(links).tolist()]
 
 
 def _verified(members: DataFrame, texts: DataFrame, depth: int, before: int | None, threshold: float) -> DataFrame:
@@ -300,7 +298,7 @@ def _classes(docs: DataFrame, threshold: float, recall: float, path: str) -> Dat
     same = materialize(same, f"{path}/texts")
     reps = same.where("shingles > 0").select("key", "copies", "label")
     source = docs.select(text_key(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("_id"), "text")
-    found, before, results = 0, None, []
+    before, results = None, []
     for depth in DEPTHS:
         groups = _groups(reps, depth, before, path)
         members = materialize(_members(reps, groups, depth), f"{path}/members-{depth}")
@@ -308,9 +306,8 @@ def _classes(docs: DataFrame, threshold: float, recall: float, path: str) -> Dat
         texts = source.join(_small(wanted), "key").where(F.col("_id").eqNullSafe(F.col("text_id"))).select("key", "text")
         results.append(materialize(_verified(members, texts, depth, before, threshold), f"{path}/links-{depth}"))
         every = results[0] if len(results) == 1 else results[0].unionByName(results[1]) if len(results) == 2 else results[0].unionByName(results[1]).unionByName(results[2])
-        found, weight = every.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum(F.col("weight")[DEPTHS.index(depth)]), F.lit(0.0))).first()
         before = depth
-        if found and found / weight >= recall:
+        if chance(threshold, depth) >= recall:
             break
     links = every.groupBy("key").agg(F.sum("links").alias("links"))
     parts = components(every.select(F.col("key").alias("u"), F.col("root").alias("v")), path)

@@ -119,6 +119,20 @@ def test_recall_of_the_forest():
     assert nj.chance(0.8, nj.DEPTHS[-1]) > 0.9997
 
 
+def test_a_large_group_does_not_end_the_search(spark, monkeypatch):
+    """Whatever pairs were found, prefixes shorten until the chance at the threshold is high enough."""
+    steps, groups = [], nj._groups
+    monkeypatch.setattr(nj, "_groups", lambda reps, depth, before, path: steps.append(depth) or groups(reps, depth, before, path))
+    hot = [f"h{k}" for k in range(400)]
+    rows = [(k, " ".join([*hot, f"v{k}"]), "x") for k in range(50)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r.n_links for r in nj.join(df).collect()} == {49}
+    assert tuple(steps) == nj.DEPTHS
+    steps.clear()
+    nj.join(df, 0.95).collect()
+    assert steps == [5]
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 480)] + [(500, k) for k in range(501, 560)]
