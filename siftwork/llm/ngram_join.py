@@ -313,27 +313,29 @@ def _classes(docs: DataFrame, threshold: float, recall: float, path: str) -> Dat
     parts = components(every.select(F.col("key").alias("u"), F.col("root").alias("v")), path)
     top = parts.join(same.select(F.col("key").alias("node"), "text_id"), "node").groupBy("component").agg(F.min("text_id").alias("low"))
     top = top.join(same.select(F.col("key").alias("component"), "text_id"), "component").select("component", F.least("low", "text_id").alias("class_id"))
-    named = parts.join(top, "component").select(F.col("node").alias("key"), "class_id").unionByName(top.select(F.col("component").alias("key"), "class_id"))
+    named = parts.join(top, "component").select(F.col("node").alias("key"), "class_id", "component").unionByName(top.select(F.col("component").alias("key"), "class_id", "component"))
     texts = same.select("key", "copies", "text_id").join(named, "key", "left").join(links, "key", "left")
-    texts = texts.select("key", "text_id", F.coalesce("class_id", "text_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    texts = texts.select("key", "text_id", F.coalesce("component", "key").alias("component"), F.coalesce("class_id", "text_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     texts = materialize(texts, f"{path}/named")  # a table of its own: Spark can then split a hot text's side of the join
     rows = signed.select("doc_id", "key").join(texts, "key", "left")
-    return rows.select("doc_id", "key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("text_id")).alias("text_id"))
+    return rows.select("doc_id", "key", "component", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("text_id")).alias("text_id"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The documents without the near copies: of each class the one with the least id stays, with all its columns.
 
-    Only the ids and text keys that go are joined to the documents. If rows are repeated as a
-    whole (id and text), one of them stays.
+    A class is what links and equal texts join, whatever its ids: ids may repeat or be null (a null
+    comes after all others), and of texts under one id the one with the least key stays. Only the
+    ids and text keys that go are joined to the documents. If rows are repeated as a whole (id and
+    text), one of them stays.
     """
     path = workspace(docs.sparkSession, "keep")
     classes = materialize(_classes(docs, threshold, recall, path), f"{path}/classes")
     some = classes.where("key is not null")
-    # of a class whose least id has several texts, that of the least key
-    kept = some.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("key").alias("kept"))
-    goes = some.join(kept.withColumnRenamed("class_id", "_class"), F.col("class_id").eqNullSafe(F.col("_class")))
-    goes = goes.where(~(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("kept")))).select(F.col("doc_id").alias("__gone_id"), F.col("key").alias("__gone_key")).distinct()
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    kept = some.groupBy("component").agg(F.min(rank).alias("kept"))
+    goes = some.join(kept.withColumnRenamed("component", "_component"), F.col("component") == F.col("_component"))
+    goes = goes.where(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("key") == F.col("kept.key")))).select(F.col("doc_id").alias("__gone_id"), F.col("key").alias("__gone_key")).distinct()
     goes = materialize(goes, f"{path}/goes")
     twice = some.groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias("__gone_id"), F.col("key").alias("__gone_key"))
     twice = materialize(twice, f"{path}/twice")

@@ -96,6 +96,19 @@ def test_keep_one(spark):
     assert all(r.class_id == f"c{r.doc_id}" and r.text == texts[r.doc_id] for r in out)
 
 
+def test_keep_one_with_null_and_clashing_ids(spark):
+    """Unrelated texts stay, whatever their ids; of near copies one stays."""
+    words = lambda name, n=40: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(None, words("a")), (None, words("b")), (None, words("b")), (None, words("c")), (None, words("c", 41)), (None, ""), (None, None), (None, None)]
+    rows += [(7, words("d")), (7, words("e")), (7, words("f")), (7, words("f", 41)), (9, words("g")), (None, words("g")), (None, words("g", 41)), (3, words("g", 42))]
+    rows += [(5, words("h")), (5, words("h")), (5, words("i")), (6, words("i", 41)), (1, words("j")), (2, words("j", 41)), (2, words("k"))]
+    out = nj.keep_one(spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA)).collect()
+    kinds = sorted((r.text or str(r.text))[:1] for r in out)
+    assert kinds == sorted(["N", "N", "", *"abcdefghijk"])
+    ids = {(r.text or " ")[0]: r.doc_id for r in out}
+    assert ids == {" ": None, "a": None, "b": None, "c": None, "d": 7, "e": 7, "f": 7, "g": 3, "h": 5, "i": 5, "j": 1, "k": 2}
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert nj.join(empty).collect() == [] and nj.keep_one(empty).collect() == []
