@@ -195,16 +195,14 @@ def settle(linked: DataFrame, quota: list[int], buckets: int, path: str) -> Data
     return rows.where(F.col("shard") < n).unionByName(cut.select("row", "group", "n", "shard"))
 
 
-def number(rows: DataFrame, by: str | None, buckets: int, name: str, key: Column | None = None) -> DataFrame:
+def number(rows: DataFrame, by: str | None, buckets: int, name: str) -> DataFrame:
     """``rows`` (with a column row) and a gapless number from 0, within each value of ``by``, which has few values.
 
-    Rows of one ``key`` (a hash; the row's own if None) follow one another.
-
     A bucket's rows are numbered by one task, from the sum of the buckets before it on. The
     table of sums has a row for each bucket.
     """
     keys = [by] if by else []
-    rows = rows.withColumn("_key", F.xxhash64("row") if key is None else key).withColumn("_bucket", F.pmod("_key", F.lit(buckets)))
+    rows = rows.withColumn("_key", F.xxhash64("row")).withColumn("_bucket", F.pmod("_key", F.lit(buckets)))
     sums = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -231,7 +229,6 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = ROUNDS) -> DataFrame:
     linked = materialize(rows.join(groups, "group").select("row", "group", "n", start.alias("shard")), f"{path}/linked")
     # a little slack lets groups pass each other; settle holds the quotas
     loose = [q + q // SLACK + 1 for q in quota]
-    linked = materialize(_even(linked, loose, buckets), f"{path}/even")
     placed = materialize(settle(propagate(linked, loose, path, rounds), quota, buckets, path).select("row", "shard"), f"{path}/placed")
     used = [0] * shards
     for (k,), c in _counts(placed, "shard").items():
@@ -251,22 +248,3 @@ def _interval(n: Column, ends: list[int]) -> Column:
     for k, end in enumerate(ends):
         out = F.when(n < end, F.lit(k)) if out is None else out.when(n < end, F.lit(k))
     return out.cast("int")
-
-
-def _even(linked: DataFrame, quota: list[int], buckets: int) -> DataFrame:
-    """``linked`` with no shard above its quota: rows numbered beyond it go where there is room. Groups are numbered as a whole, so few are cut."""
-    used = [0] * len(quota)
-    for (k,), c in _counts(linked, "shard").items():
-        used[k] = c
-    if all(u <= q for u, q in zip(used, quota)):
-        return linked
-    key = F.when(F.col("n") > BUCKET, F.xxhash64("group", "row")).otherwise(F.xxhash64("group"))
-    numbered = number(linked, "shard", buckets, "at", key)
-    quotas = F.array(*[F.lit(q) for q in quota])
-    stay = numbered.where(F.col("at") < quotas[F.col("shard")])
-    ends, end = [], 0
-    for r in _room([min(u, q) for u, q in zip(used, quota)], quota):
-        end += r
-        ends.append(end)
-    go = number(numbered.where(F.col("at") >= quotas[F.col("shard")]).drop("at", "shard"), None, buckets, "at", key)
-    return stay.select("row", "group", "n", "shard").unionByName(go.select("row", "group", "n", _interval(F.col("at"), ends).alias("shard")))

@@ -75,6 +75,18 @@ def test_shards_with_all_rows_linked(spark, size):
     assert sum(len(x) > 1 for x in held.values()) < 8
 
 
+def test_groups_above_a_bucket_stay_whole(spark, monkeypatch):
+    """A group that fits a shard is not spread, whatever the rows of a bucket."""
+    monkeypatch.setattr(sharding, "BUCKET", 20)
+    texts = [f"text {k % 14}" for k in range(980)] + [f"alone {k}" for k in range(20)]
+    got = sharding.shard(docs(spark, texts), 4).collect()
+    check_shards(got, 4)
+    held = {}
+    for r in got:
+        held.setdefault(texts[r.doc_id], set()).add(r["shard"])
+    assert sum(len(x) > 1 for x in held.values()) < 4
+
+
 def test_pack():
     """Every group is placed, quotas hold, and only what no room holds is cut."""
     rng = random.Random(3)
