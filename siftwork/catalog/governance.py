@@ -187,13 +187,24 @@ def w5_no_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(trim(b.text))) WHERE length(trim(b.text)) >= 2""")
 def e1_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage. The passages are a stated set of questions, small enough to be sent to every task; checked by size."""
+    """Documents that hold a benchmark passage as a whole. The second half of E1 (all words of three or more characters) is left out, as in the SQL."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.trim("text")).alias("passage")).where(F.length("passage") >= 2)
     d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"))
-    # equi-join on a rare word of the passage, then the exact test
-    words = d.select("doc_id", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
-    keyed = b.withColumn("w", F.reduce(F.slice(F.split("passage", " "), 2, F.greatest(F.lit(1), F.size(F.split("passage", " ")) - 2)), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a)))
-    return keyed.join(words.select("doc_id", "w"), "w").join(d, "doc_id").where(F.col("t").contains(F.col("passage"))).select("doc_id", "item_id").distinct()
+    return _holding(d, b)
+
+
+def _holding(d: DataFrame, b: DataFrame) -> DataFrame:
+    # equi-join on the longest inner word of the passage, or its first two characters if it has none, then the exact test
+    parts = F.split("passage", " ")
+    inner = F.slice(parts, 2, F.greatest(F.lit(0), F.size(parts) - 2))
+    keyed = b.withColumn("w", F.reduce(inner, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a)))
+    short = keyed.where("w = ''").withColumn("w", F.substring("passage", 1, 2))
+    words = d.select("doc_id", F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
+    found = keyed.where("w <> ''").join(words, "w")
+    if not short.isEmpty():
+        pairs = F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda i: F.substring(F.col("t"), i, F.lit(2)))
+        found = found.unionByName(short.join(d.where(F.length("t") >= 2).select("doc_id", F.explode(F.array_distinct(pairs)).alias("w")), "w"))
+    return found.join(d, "doc_id").where(F.col("t").contains(F.col("passage"))).select("doc_id", "item_id").distinct()
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:

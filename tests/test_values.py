@@ -126,3 +126,12 @@ def test_insert_needs_evidence(spark):
     assert [r.rec_idx for r in added.collect()] == [2] and evidence.count() == 2
     with pytest.raises(ValueError):
         provenance.insert(rows, rows, rows.where("rec_idx = 1"))
+
+
+def test_snippets_of_short_passages(spark):
+    from siftwork.catalog.governance import _holding
+
+    texts = {1: "so alpha betas, c", 2: "alpha", 3: "x", 4: None, 5: "a  b c"}
+    passages = {1: "alpha", 2: "alpha beta", 3: "pha betas, c", 4: "a  b", 5: "zz"}
+    got = _holding(spark.createDataFrame(list(texts.items()), "doc_id long, t string"), spark.createDataFrame(list(passages.items()), "item_id long, passage string")).collect()
+    assert sorted(map(tuple, got)) == sorted((d, i) for d, t in texts.items() for i, p in passages.items() if t and p in t)
