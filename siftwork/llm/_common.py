@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Where intermediate tables go when the session names no shared folder (tests, one machine).
 FALLBACK_DIR = "file:///tmp/checkpoints/siftwork"
+#: Copies of a row that one task makes.
+UNROLLED = 10_000
 #: Folders that this process was given.
 _MADE: list[str] = []
 
@@ -49,6 +51,25 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_key(*columns: str) -> Column:
+    """16 bytes for the contents of a row in ``columns``: equal rows have equal keys, wherever they lie."""
+    return F.substring(F.unhex(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns])), 256)), 1, 16)
+
+
+def unroll(rows: DataFrame, times: str, nth: str) -> DataFrame:
+    """Each row as often as its ``times`` says, which ``nth`` from 0 replaces.
+
+    Rows repeated more than ``UNROLLED`` times are first dealt to tasks in pieces of that many.
+    """
+    kept = [c for c in rows.columns if c != times]
+    span = lambda first, last: F.explode(F.sequence(first, last)).alias(nth)
+    zero, n = F.lit(0).cast("long"), F.col(times)
+    few = rows.where((n > 0) & (n <= UNROLLED)).select(*kept, span(zero, n - 1))
+    pieces = rows.where(n > UNROLLED).select("*", F.explode(F.sequence(zero, F.floor((n - 1) / UNROLLED))).alias("_piece")).repartition("_piece")
+    first = F.col("_piece") * UNROLLED
+    return few.unionByName(pieces.select(*kept, span(first, F.least(first + UNROLLED, n) - 1)))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]

@@ -1,6 +1,8 @@
 """Sharding by balanced label propagation.
 
-Documents with equal texts are linked. Every document begins in a shard drawn from its id. Then
+Documents with equal texts are linked. Every document begins in a shard drawn from its id, its text
+and its ordinal among equal ones, which together are its key: a rerun gives equal rows, however the
+input is split. Then
 joins move linked documents: a group's documents count by shard, and each document wants to go to
 the shard that holds most of its group. Moves into a shard are limited by the room it has below
 its quota; of more candidates than there is room for, those go whose draw is lowest. It ends when
@@ -21,6 +23,7 @@ row gets a place); fewer rows than shards leave shards empty; other columns are
 
 from __future__ import annotations
 
+import logging
 from collections import defaultdict
 
 import pyarrow as pa
@@ -28,8 +31,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftwork.llm._common import materialize, workspace
+from siftwork.llm._common import materialize, unroll, workspace
 
+LOG = logging.getLogger(__name__)
 #: Draws are told apart in so many steps when moves exceed the room.
 DRAWS = 4096
 ROUNDS = 12
@@ -94,6 +98,7 @@ def propagate(linked: DataFrame, quota: list[int], path: str, rounds: int = ROUN
         limits = F.array(*[F.lit(x) for x in limit])
         accepted = F.col("goal").isNotNull() & (F.col("draw") < limits[F.col("goal")])
         linked = wished.select("row", "group", "n", F.when(accepted, F.col("goal")).otherwise(F.col("shard")).cast("int").alias("shard"))
+    LOG.info("label propagation was cut after %d rounds with documents still moving; settle places what is left", rounds)
     return linked
 
 
@@ -217,15 +222,16 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = ROUNDS) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        F.unhex(F.sha2("text", 256)).alias("group"), F.monotonically_increasing_id().alias("row"),
-    )
-    rows = materialize(rows, f"{path}/rows")
+        F.unhex(F.sha2("text", 256)).alias("group"),
+    ).groupBy("doc_id", "size", "text_crc32", "group").agg(F.count(F.lit(1)).alias("times"))
+    key = F.unhex(F.md5(F.to_json(F.struct("doc_id", "group", "nth"))))
+    rows = materialize(unroll(rows, "times", "nth").withColumn("row", key).drop("nth"), f"{path}/rows")
     total = rows.count()
     buckets = _buckets(total)
     quota = [total // shards + (k < total % shards) for k in range(shards)]
     groups = rows.where("group is not null").groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     groups = materialize(groups, f"{path}/groups")  # a table of its own: Spark can then split a hot group's side of the join
-    start = F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)).cast("int")
+    start = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")
     linked = materialize(rows.join(groups, "group").select("row", "group", "n", start.alias("shard")), f"{path}/linked")
     # a little slack lets groups pass each other; settle holds the quotas
     loose = [q + q // SLACK + 1 for q in quota]

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from siftwork.llm import mixing, quality, secrets
+from siftwork.llm import _common, mixing, quality, secrets, sharding
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, source string, n_words string, kept int"
@@ -158,6 +158,51 @@ def test_mix_is_near_its_targets(spark):
     assert sorted(mixing.plan(df).collect()) == sorted(got)
 
 
+def as_split(spark, tmp_path, df, run, sort):
+    """Rows of ``run`` over one table read at two split sizes and from two writings of its files."""
+    out = []
+    for k, (files, split) in enumerate(((1, "128m"), (7, "4k"))):
+        df.repartition(files).write.parquet(f"{tmp_path}/{k}")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            out.append(sorted(run(spark.read.parquet(f"{tmp_path}/{k}")).collect(), key=sort))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    return out
+
+
+@pytest.mark.parametrize("run", [mixing.plan, mixing.mix, sharding.shard])
+def test_results_do_not_depend_on_splits(spark, tmp_path, run):
+    one, other = as_split(spark, tmp_path, many(spark), run, repr)
+    assert one == other
+
+
+def test_targets_of_many_sources(spark):
+    """A source a document; caps and shares as in the loop over sources."""
+    rows = spark.range(2000).select(F.concat(F.lit("s"), "id").alias("source"), (F.col("id") % 50 * F.col("id")).alias("source_size"))
+    sizes = {r.source: r.source_size for r in rows.collect()}
+    got = {r.source: r.target for r in mixing.targets(rows).collect()}
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sorted(sizes))}
+    level, full = 0.0, set()
+    while True:
+        level = (1.5 * sum(sizes.values()) - sum(2 * sizes[s] for s in full)) / sum(w for s, w in weight.items() if s not in full)
+        now = {s for s in sizes if 2 * sizes[s] <= weight[s] * level}
+        if now == full:
+            break
+        full = now
+    assert all(abs(got[s] - min(2 * sizes[s], weight[s] * level)) < 1e-6 for s in sizes)
+
+
+def test_row_repeated_many_times(spark, monkeypatch):
+    """More copies of a row than one task unrolls."""
+    monkeypatch.setattr(_common, "UNROLLED", 7)
+    df = spark.range(100).select(F.lit(1).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
+    got = mixing.plan(df).collect()
+    assert len(got) == 100 and abs(sum(r.taken for r in got) - 450) <= 3
+    assert mixing.mix(df).count() == sum(r.copies for r in got)
+    assert sorted(r["slot"] for r in sharding.shard(df, 1).collect()) == list(range(100))
+
+
 def test_mix_repeats_rows(spark):
     df = many(spark).repartition(1)
     out = mixing.mix(df)
