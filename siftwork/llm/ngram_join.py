@@ -2,18 +2,22 @@
 
 A text is the set of its shingles of five words (a shorter text with a word: one shingle of all
 its words). Each tree of the forest labels a text with a sequence of short minhash values; sorted,
-the labels form a prefix trie. Texts that share a prefix of a label are candidates. The join
-begins with long prefixes and shortens them step by step, until the chance that the forest finds a
-pair at the threshold itself reaches the target or the prefixes are at their shortest. The pairs
-found have no say in it: one large group of very similar texts would end the search for all others.
-At 0.8 the chances are 0.9915, 0.9982 and ``1 - (1 - 0.8**3)**12 = 0.9998`` at lengths 5, 4 and 3.
-
-Equal texts are one class from the start. Texts that share a prefix are verified together, in
-blocks: a group larger than ``BLOCK`` is split, and each pair of blocks is a task of its own. A
-pair is verified at the first tree whose prefix it shares, and only if no longer prefix did it
-before, so links are counted once. Blocks return a link count and a root for each text, not the
-pairs, so what leaves them is linear in the texts. Roots are joined to classes by alternating
-star contractions.
+the labels form a prefix trie, whose nodes at a depth are the texts that share a prefix of that
+length. The join begins with the deepest nodes of all tries. Then it shortens the prefixes, trie
+by trie and value by value, until the chance that some trie brings a pair at the threshold itself
+together reaches the target (``forest``); if prefixes of one value in all tries don't reach it, the
+forest gets more tries from the start. So the target holds at any threshold. The pairs found have
+no say in it: one large group of very similar texts would end the search for all others. At 0.8 and
+0.9995 all twelve tries are shortened to four values, and seven of them to three.
+
+Equal texts are one class from the start. Texts of a node are verified together, in blocks: a
+node larger than ``BLOCK`` is split, and each pair of blocks is a task of its own. Exact numbers of
+links need all pairs of a group of near copies, so a node of n texts that differ sends each of
+them to ``n / block`` tasks; blocks grow with the node up to ``BLOCK_MOST`` texts to keep that low. A pair is
+verified at the first trie whose prefix it shares, and only if no longer prefix did it before, so
+links are counted once. Blocks return a link count and a root for each text, not the pairs, so
+what leaves them is linear in the texts. Roots are joined to classes by alternating star
+contractions.
 
 Defined cases: a null text and a text without words have no shingles and no links; texts without
 words are still equal to themselves, so their copies are one class, null texts are alone each;
@@ -23,7 +27,11 @@ are ignored by ``join`` and carried through ``keep_one``.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +39,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.llm._arrays import mix, releasing, slices, word_hashes
-from siftwork.llm._common import materialize, workspace
+from siftwork.llm._common import materialize, row_key, workspace
 
 N, THRESHOLD = 5, 0.8
-#: Trees, lengths of the prefixes from the first to the last step, and the recall at which no more are needed.
-TREES, DEPTHS, RECALL = 12, (5, 4, 3), 0.9995
-#: Texts of a block; bytes of text that are worked on at once.
-BLOCK, TEXT = 1024, 2 << 20
+#: Trees at least, values of their labels, and the recall at the threshold at which no prefix is shortened further.
+TREES, DEPTH, RECALL = 12, 5, 0.9995
+#: Texts of a block in nodes of up to 16 blocks, and in the largest ones; shingles of a block; texts of a tile of a block; bytes of text that are worked on at once.
+BLOCK, BLOCK_MOST, BLOCK_SHINGLES, TILE, TEXT = 1024, 8192, 4 << 20, 1024, 2 << 20
 #: Rows of a table that is broadcast at most; above, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
-KEYS = np.array([int(x) for x in mix(np.arange(1, 2 * TREES * DEPTHS[0] + 1, dtype=np.uint64), 77)], np.uint64).reshape(2, -1)
+
+@dataclass(frozen=True)
+class Forest:
+    """``steps``: (length of the prefixes, number of tries that are cut to it), longest first."""
+
+    trees: int
+    steps: tuple[tuple[int, int], ...]
+
+    def missed(self, similarity: float) -> float:
+        """The chance that no trie brings a pair of this similarity together."""
+        lengths = [DEPTH] * self.trees
+        for depth, tries in self.steps:
+            lengths[:tries] = [depth] * tries
+        return math.prod(1 - similarity**n for n in lengths)
+
+
+def forest(threshold: float, recall: float) -> Forest:
+    """The forest that finds a pair at ``threshold`` with a chance of ``recall``, with prefixes as long as can be."""
+    if not (0 < threshold <= 1 and 0 < recall < 1):
+        raise ValueError(f"threshold {threshold} must be in (0, 1], recall {recall} in (0, 1): no number of tries finds pairs without shingles in common, or all pairs for certain")
+    trees, steps = TREES, []
+    if threshold < 1:
+        trees = max(trees, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
+    for depth in range(DEPTH, 0, -1):
+        for tries in [trees] if depth == DEPTH else range(1, trees + 1):
+            found = Forest(trees, (*steps, (depth, tries)))
+            if 1 - found.missed(threshold) >= recall:
+                return found
+        steps.append((depth, trees))
+    return found
+
+
+@lru_cache
+def _keys(values: int) -> np.ndarray:
+    """Multiplier and offset of each minhash function."""
+    return mix(np.arange(1, 2 * values + 1, dtype=np.uint64), 77).reshape(2, -1)
 
 
 def text_key(text: Column) -> Column:
@@ -73,27 +116,27 @@ def shingles(texts: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     return acc[keep], counts
 
 
-def labels(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def labels(s: np.ndarray, counts: np.ndarray, trees: int = TREES) -> np.ndarray:
     """(texts, trees, depth) minhash values of 16 bits; texts without shingles have zeros."""
-    full = np.flatnonzero(counts)
-    out = np.zeros((len(counts), TREES * DEPTHS[0]), np.uint16)
+    full, keys = np.flatnonzero(counts), _keys(trees * DEPTH)
+    out = np.zeros((len(counts), trees * DEPTH), np.uint16)
     if len(full):
         starts = (np.cumsum(counts) - counts)[full]
         for j in range(out.shape[1]):
             with np.errstate(over="ignore"):
-                low = np.minimum.reduceat(((s * (KEYS[0, j] | np.uint64(1)) + KEYS[1, j]) >> np.uint64(32)).astype(np.uint32), starts)
+                low = np.minimum.reduceat(((s * (keys[0, j] | np.uint64(1)) + keys[1, j]) >> np.uint64(32)).astype(np.uint32), starts)
             out[full, j] = (mix(low.astype(np.uint64), j) & np.uint64(0xFFFF)).astype(np.uint16)
-    return out.reshape(len(counts), TREES, DEPTHS[0])
+    return out.reshape(len(counts), trees, DEPTH)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, trees: int = TREES) -> DataFrame:
     """doc_id, key, shingles (their number) and label (all trees' values in one binary) of every document."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2, TEXT):
                 s, counts = shingles(part.column(2))
-                packed = labels(s, counts)
+                packed = labels(s, counts, trees)
                 binary = pa.array([x.tobytes() for x in packed], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts), binary], names=["doc_id", "key", "shingles", "label"])
 
@@ -101,14 +144,9 @@ def signatures(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(releasing(signed), "doc_id long, key binary, shingles long, label binary")
 
 
-def chance(similarity: np.ndarray | float, depth: int):
-    """That the forest finds a pair at a prefix length."""
-    return 1 - (1 - np.asarray(similarity) ** depth) ** TREES
-
-
 def _prefix(depth: int) -> Column:
-    """Hash of a tree's number and its label's prefix."""
-    return F.xxhash64("tree", F.substring("label", F.col("tree") * (2 * DEPTHS[0]) + 1, F.lit(2 * depth)))
+    """Hash of a trie's number and its label's prefix: the node of the trie."""
+    return F.xxhash64("tree", F.substring("label", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * depth)))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -116,20 +154,21 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _groups(reps: DataFrame, depth: int, before: int | None, path: str) -> DataFrame:
-    """bucket, n of the prefixes that hold pairs not verified before. Prefixes with the same texts in several trees count once, at the first."""
-    rows = reps.select("key", "label", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    rows = rows.select("tree", _prefix(depth).alias("bucket"), F.xxhash64("key").alias("k"), (_prefix(before) if before else F.lit(0)).alias("deep"))
-    some = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("k").alias("set"), F.min("tree").alias("tree"), F.min("deep").alias("low"), F.max("deep").alias("high"))
+def _groups(reps: DataFrame, depth: int, tries: int, before: int | None, path: str) -> DataFrame:
+    """bucket, n (texts) and weight (shingles) of the nodes that hold pairs not verified before. Nodes with the same texts in several tries count once, at the first."""
+    rows = reps.select("key", "label", "shingles", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("tree"))
+    rows = rows.select("tree", "shingles", _prefix(depth).alias("bucket"), F.xxhash64("key").alias("k"), F.xxhash64(F.lit(1), "key").alias("l"), (_prefix(before) if before else F.lit(0)).alias("deep"))
+    some = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("weight"), F.bit_xor("k").alias("set"), F.bit_xor("l").alias("also"), F.min("tree").alias("tree"), F.min("deep").alias("low"), F.max("deep").alias("high"))
     some = some.where("n > 1" + (" and low <> high" if before else ""))
-    return materialize(some.groupBy("n", "set").agg(F.min_by("bucket", "tree").alias("bucket")).select("bucket", "n"), f"{path}/buckets-{depth}")
+    return materialize(some.groupBy("n", "weight", "set", "also").agg(F.min_by("bucket", "tree").alias("bucket")).select("bucket", "n", "weight"), f"{path}/buckets-{depth}")
 
 
-def _members(reps: DataFrame, groups: DataFrame, depth: int) -> DataFrame:
+def _members(reps: DataFrame, groups: DataFrame, depth: int, tries: int) -> DataFrame:
     """bucket, tree, key, copies, label and the block and pair of blocks of each text in ``groups``."""
-    rows = reps.select("key", "copies", "label", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    rows = reps.select("key", "copies", "label", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("tree"))
     rows = rows.withColumn("bucket", _prefix(depth)).join(_small(groups), "bucket")
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    size = F.least(F.greatest(F.lit(BLOCK), F.ceil(F.col("n") / 16)), F.lit(max(BLOCK, BLOCK_MOST)))
+    blocks = F.greatest(F.ceil(F.col("n") / size), F.ceil(F.col("weight") / F.lit(BLOCK_SHINGLES))).cast("int")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return rows.select("bucket", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "tree", "key", "copies", "label")
@@ -164,10 +203,38 @@ def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
     return np.rint(total[left, right]).astype(np.int64)
 
 
+def _roots(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least node that each of ``m`` nodes is connected to by the edges (i, j)."""
+    root = np.arange(m)
+    while True:
+        now = root.copy()
+        np.minimum.at(now, i, root[j])
+        np.minimum.at(now, j, root[i])
+        now = now[now]
+        if (now == root).all():
+            return root
+        root = now
+
+
+def _tiles(blocks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places that a task compares, in parts: within its block, or between its two blocks."""
+    sides = [np.flatnonzero(blocks == x) for x in np.unique(blocks)]
+    parts = [[side[k : k + TILE] for k in range(0, len(side), TILE)] for side in sides]
+    if len(sides) == 2:
+        for left, right in itertools.product(*parts):
+            yield np.repeat(left, len(right)), np.tile(right, len(left))
+        return
+    for a, left in enumerate(parts[0]):
+        i, j = np.triu_indices(len(left), 1)
+        yield left[i], left[j]
+        for right in parts[0][a + 1 :]:
+            yield np.repeat(left, len(right)), np.tile(right, len(left))
+
+
 def verify(texts: pa.Array, keys: list[bytes], copies: np.ndarray, tries: np.ndarray, blocks: np.ndarray, tree: int, depth: int, before: int | None, threshold: float) -> list[tuple]:
     """Links of one block (or pair of blocks): rows of RESULT for the texts that have any.
 
-    ``tries``: their labels. Pairs that an earlier tree or a longer prefix brought together are left out.
+    ``tries``: their labels. Pairs that an earlier trie or a longer prefix brought together are left out.
     """
     first = {}
     for k, key in enumerate(keys):
@@ -178,45 +245,40 @@ def verify(texts: pa.Array, keys: list[bytes], copies: np.ndarray, tries: np.nda
     m = len(keys)
     if m < 2:
         return []
-    i, j = np.triu_indices(m, 1)
-    if blocks.min() != blocks.max():
-        cross = blocks[i] != blocks[j]
-        i, j = i[cross], j[cross]
-    for t in range(tree):
-        new = np.flatnonzero((tries[i, t, :depth] != tries[j, t, :depth]).any(1))
-        i, j = i[new], j[new]
-    same = np.flatnonzero((tries[i, tree, :depth] == tries[j, tree, :depth]).all(1))
-    i, j = i[same], j[same]
-    if before:
-        for t in range(TREES):
-            new = np.flatnonzero((tries[i, t, :before] != tries[j, t, :before]).any(1))
+    sets, size = [], np.zeros(0, np.int64)
+    links, edges = np.zeros(m), []
+    for i, j in _tiles(blocks):
+        for t in range(tree):
+            new = np.flatnonzero((tries[i, t, :depth] != tries[j, t, :depth]).any(1))
             i, j = i[new], j[new]
-    if not len(i):
+        same = np.flatnonzero((tries[i, tree, :depth] == tries[j, tree, :depth]).all(1))
+        i, j = i[same], j[same]
+        if before:
+            for t in range(tries.shape[1]):
+                new = np.flatnonzero((tries[i, t, :before] != tries[j, t, :before]).any(1))
+                i, j = i[new], j[new]
+        if not len(i):
+            continue
+        if not sets:
+            s, counts = shingles(texts)
+            cuts = np.concatenate([[0], np.cumsum(counts)])
+            sets = [np.unique(s[a:b]) for a, b in zip(cuts, cuts[1:])]
+            size = np.array([len(x) for x in sets])
+        near = np.flatnonzero(np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9)
+        i, j = i[near], j[near]
+        own, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+        both = _overlaps([sets[k] for k in own.tolist()], place[: len(i)], place[len(i) :])
+        similarity = both / np.maximum(size[i] + size[j] - both, 1)
+        linked = np.flatnonzero(similarity >= threshold - 1e-12)
+        i, j = i[linked], j[linked]
+        links += np.bincount(i, copies[j], m) + np.bincount(j, copies[i], m)
+        root = _roots(m, i, j)
+        moved = np.flatnonzero(root != np.arange(m))
+        edges.append((moved, root[moved]))
+    if not links.any():
         return []
-    s, counts = shingles(texts)
-    cuts = np.concatenate([[0], np.cumsum(counts)])
-    sets = [np.unique(s[a:b]) for a, b in zip(cuts, cuts[1:])]
-    size = np.array([len(x) for x in sets])
-    near = np.flatnonzero(np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9)
-    i, j = i[near], j[near]
-    both = _overlaps(sets, i, j)
-    similarity = both / np.maximum(size[i] + size[j] - both, 1)
-    linked = np.flatnonzero(similarity >= threshold - 1e-12)
-    i, j = i[linked], j[linked]
-    root = list(range(m))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for a, b in zip(i.tolist(), j.tolist()):
-        x, y = find(a), find(b)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-    links = np.bincount(i, copies[j], m) + np.bincount(j, copies[i], m)
-    return [(keys[k], keys[find(k)], int(links[k])) for k in np.flatnonzero(links).tolist()]
+    root = _roots(m, *(np.concatenate(x) for x in zip(*edges)))
+    return [(keys[k], keys[root[k]], int(links[k])) for k in np.flatnonzero(links).tolist()]
 
 
 def _verified(members: DataFrame, texts: DataFrame, depth: int, before: int | None, threshold: float) -> DataFrame:
@@ -243,7 +305,7 @@ def _verified(members: DataFrame, texts: DataFrame, depth: int, before: int | No
             cuts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, [len(key)]])
             blocks, trees, copies = (table.column(k).to_numpy() for k in (3, 4, 6))
             keys, texts = table.column(5).to_pylist(), table.column(8).chunk(0)
-            tries = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint16).reshape(-1, TREES, DEPTHS[0])
+            tries = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint16).reshape(len(keys), -1, DEPTH)
             rows: list[tuple] = []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 rows += verify(texts.slice(a, b - a), keys[a:b], copies[a:b], tries[a:b], blocks[a:b], int(trees[a]), depth, before, threshold)
@@ -254,7 +316,7 @@ def _verified(members: DataFrame, texts: DataFrame, depth: int, before: int | No
     return rows.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b").mapInArrow(releasing(checked), RESULT_SCHEMA)
 
 
-def components(edges: DataFrame, path: str, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, path: str) -> DataFrame:
     """node, component of the graph of ``edges`` (u, v): alternating large and small stars until nothing changes.
 
     Every round is written; the driver sees a count and a checksum.
@@ -275,7 +337,7 @@ def components(edges: DataFrame, path: str, most_rounds: int = 50) -> DataFrame:
 
     edges = materialize(edges.where("u <> v").distinct(), f"{path}/edges")
     now = state(edges)
-    for k in range(most_rounds):
+    for k in itertools.count():
         edges = materialize(star(star(edges, True), False), f"{path}/round-{k}")
         last, now = now, state(edges)
         if now == last:
@@ -293,22 +355,20 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
 
 
 def _classes(docs: DataFrame, threshold: float, recall: float, path: str) -> DataFrame:
-    signed = materialize(signatures(docs), f"{path}/signatures")
+    tries = forest(threshold, recall)
+    signed = materialize(signatures(docs, tries.trees), f"{path}/signatures")
     same = signed.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("text_id"), F.max("shingles").alias("shingles"), F.min("label").alias("label"))
     same = materialize(same, f"{path}/texts")
-    reps = same.where("shingles > 0").select("key", "copies", "label")
+    reps = same.where("shingles > 0").select("key", "copies", "label", "shingles")
     source = docs.select(text_key(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("_id"), "text")
-    before, results = None, []
-    for depth in DEPTHS:
-        groups = _groups(reps, depth, before, path)
-        members = materialize(_members(reps, groups, depth), f"{path}/members-{depth}")
+    before, every = None, None
+    for depth, cut in tries.steps:
+        groups = _groups(reps, depth, cut, before, path)
+        members = materialize(_members(reps, groups, depth, cut), f"{path}/members-{depth}")
         wanted = materialize(members.select("key").distinct().join(same.select("key", "text_id"), "key"), f"{path}/wanted-{depth}")
         texts = source.join(_small(wanted), "key").where(F.col("_id").eqNullSafe(F.col("text_id"))).select("key", "text")
-        results.append(materialize(_verified(members, texts, depth, before, threshold), f"{path}/links-{depth}"))
-        every = results[0] if len(results) == 1 else results[0].unionByName(results[1]) if len(results) == 2 else results[0].unionByName(results[1]).unionByName(results[2])
-        before = depth
-        if chance(threshold, depth) >= recall:
-            break
+        found = materialize(_verified(members, texts, depth, before, threshold), f"{path}/links-{depth}")
+        every, before = found if every is None else every.unionByName(found), depth
     links = every.groupBy("key").agg(F.sum("links").alias("links"))
     parts = components(every.select(F.col("key").alias("u"), F.col("root").alias("v")), path)
     top = parts.join(same.select(F.col("key").alias("node"), "text_id"), "node").groupBy("component").agg(F.min("text_id").alias("low"))
@@ -326,8 +386,8 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
 
     A class is what links and equal texts join, whatever its ids: ids may repeat or be null (a null
     comes after all others), and of texts under one id the one with the least key stays. Only the
-    ids and text keys that go are joined to the documents. If rows are repeated as a whole (id and
-    text), one of them stays.
+    ids and text keys that go are joined to the documents. Of rows with one id and text, the one
+    whose columns have the least digest stays.
     """
     path = workspace(docs.sparkSession, "keep")
     classes = materialize(_classes(docs, threshold, recall, path), f"{path}/classes")
@@ -344,5 +404,5 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     if twice.isEmpty():
         return left
     one = left.join(_small(twice), on, "left_semi")
-    one = one.groupBy(F.col("doc_id").alias("__one_id"), text_key(F.col("text")).alias("__gone_key")).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__doc"))
+    one = one.groupBy(F.col("doc_id").alias("__one_id"), text_key(F.col("text")).alias("__gone_key")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), row_key(*docs.columns)).alias("__doc"))
     return left.join(_small(twice), on, "left_anti").unionByName(one.select(*[F.col(f"__doc.`{c}`").alias(c) for c in docs.columns]))

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from siftwork.llm import ngram_join as nj
 
@@ -19,7 +20,7 @@ def sets(texts):
     return out
 
 
-def brute(texts):
+def brute(texts, threshold=0.8):
     """(links, class) of each id by comparing all pairs; texts that are equal are one class."""
     s, links, root = sets(texts), defaultdict(int), {i: i for i in texts}
 
@@ -32,7 +33,7 @@ def brute(texts):
     for a, i in enumerate(ids):
         for j in ids[a + 1 :]:
             both = len(s[i] & s[j])
-            near = s[i] and s[j] and both / (len(s[i]) + len(s[j]) - both) >= 0.8
+            near = s[i] and s[j] and both / (len(s[i]) + len(s[j]) - both) >= threshold
             if near or (texts[i] is not None and texts[i] == texts[j]):
                 links[i] += 1
                 links[j] += 1
@@ -129,21 +130,72 @@ def test_shingles():
 
 
 def test_recall_of_the_forest():
-    assert nj.chance(0.8, nj.DEPTHS[-1]) > 0.9997
+    """At any threshold the target is met, and one prefix less shortened would not meet it."""
+    assert nj.forest(0.8, 0.9995).steps == ((5, 12), (4, 12), (3, 7))
+    for threshold in (0.05, 0.1, 0.3, 0.4, 0.5, 0.7, 0.8, 0.9, 0.99, 1.0):
+        for recall in (0.9, 0.9995):
+            found = nj.forest(threshold, recall)
+            assert 1 - found.missed(threshold) >= recall
+            depth, tries = found.steps[-1]
+            if depth < nj.DEPTH and tries > 1:
+                assert 1 - nj.Forest(found.trees, (*found.steps[:-1], (depth, tries - 1))).missed(threshold) < recall
+    for bad in ((0.0, 0.9), (1.2, 0.9), (0.5, 1.0)):
+        with pytest.raises(ValueError):
+            nj.forest(*bad)
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.4, 0.6, 0.9])
+def test_recall_against_brute_force(spark, threshold):
+    """Planted pairs a little above the threshold, unrelated otherwise."""
+    rng, rows = random.Random(7), []
+    for k in range(120):
+        base = [f"p{k}w{x}" for x in range(100)]
+        shared = int(len(base) * 2 * (threshold + 0.02) / (1 + threshold + 0.02)) + 5
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[:shared] + [f"q{k}w{x}" for x in range(100 - shared)]))]
+    rng.shuffle(rows)
+    got = nj.join(spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA), threshold, 0.999).collect()
+    links, classes = brute(dict(rows), threshold)
+    assert sum(links.values()) == 240
+    assert sum(r.n_links == links[r.doc_id] for r in got) >= 0.99 * len(got)
+    assert sum(r.class_id == classes[r.doc_id] for r in got) >= 0.99 * len(got)
 
 
 def test_a_large_group_does_not_end_the_search(spark, monkeypatch):
     """Whatever pairs were found, prefixes shorten until the chance at the threshold is high enough."""
     steps, groups = [], nj._groups
-    monkeypatch.setattr(nj, "_groups", lambda reps, depth, before, path: steps.append(depth) or groups(reps, depth, before, path))
+    monkeypatch.setattr(nj, "_groups", lambda reps, depth, tries, before, path: steps.append((depth, tries)) or groups(reps, depth, tries, before, path))
     hot = [f"h{k}" for k in range(400)]
     rows = [(k, " ".join([*hot, f"v{k}"]), "x") for k in range(50)]
     df = spark.createDataFrame(rows, SCHEMA)
     assert {r.n_links for r in nj.join(df).collect()} == {49}
-    assert tuple(steps) == nj.DEPTHS
+    assert tuple(steps) == nj.forest(nj.THRESHOLD, nj.RECALL).steps
     steps.clear()
     nj.join(df, 0.95).collect()
-    assert steps == [5]
+    assert steps == [(5, 12)]
+
+
+def test_null_and_equal_ids(spark):
+    """Classes hold by text, whatever the ids."""
+    words = lambda name, n=40: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(None, words("a")), (None, words("a", 41)), (4, words("b")), (4, words("c")), (4, words("c", 41)), (None, words("d")), (9, words("d"))]
+    got = {(r.doc_id, r.class_id, r.n_links) for r in nj.join(spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA)).collect()}
+    assert got == {(None, None, 1), (4, 4, 0), (4, 4, 1), (None, 9, 1), (9, 9, 1)}
+
+
+def test_of_equal_rows_one_and_the_same_stays(spark):
+    """Equal ids and texts with other columns: the choice doesn't depend on the order."""
+    rows = [(1, "x y z", f"c{k}") for k in range(20)]
+    kept = [nj.keep_one(spark.createDataFrame(x, SCHEMA)).collect() for x in (rows, rows[::-1])]
+    assert len(kept[0]) == 1 and kept[0] == kept[1]
+
+
+def test_tiles_and_heavy_texts(spark, monkeypatch):
+    """Blocks split by shingles and compared in tiles give the same links."""
+    df = spark.createDataFrame([(i, t, "x") for i, t in corpus(4).items()], SCHEMA)
+    whole = sorted(nj.join(df).collect())
+    monkeypatch.setattr(nj, "TILE", 7)
+    monkeypatch.setattr(nj, "BLOCK_SHINGLES", 2000)
+    assert sorted(nj.join(df).collect()) == whole
 
 
 def test_components(spark):
