@@ -11,11 +11,11 @@ from siftwork.operators import runs
 from siftwork.plans.model import Field, Plan
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3 AND c_mktsegment = 'BUILDING')")
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 11 AND c_mktsegment = 'BUILDING')")
 def p1_tenant(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("user_id"), F.col("c_custkey").alias("workspace_id"), F.when(F.col("c_mktsegment") == "BUILDING", "ACTIVE").otherwise("LEFT").alias("status"))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("workspace_id"))
-    return q.tenant(rows, members, 3).select("o_orderkey")
+    return q.tenant(rows, members, 11).select("o_orderkey")
 
 
 def _dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,11 +50,32 @@ def p5_p6_p7_l8_field_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dataset(spark, sf_dir).where(q.predicate(wanted, [])).select("rec_idx")
 
 
-@query("""SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(c_name), 'an') OR contains(lower(n_name), 'an') OR contains(lower(o_orderpriority), 'an')""")
+@query("""SELECT o_orderkey, c_name, n_name, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(c_name), '000012') OR contains(lower(n_name), 'tion_7') OR contains(lower(o_orderpriority), 'tion_7')""")
 def p8_p9_p10_any_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One term over columns of three joined tables; here customers of one nation, and by a second term some names."""
     o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     rows = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
-    return rows.where(q.contains_any("AN", F.col("c_name"), F.col("n_name"), F.col("o_orderpriority"))).select("o_orderkey", "c_name", "n_name")
+    columns = (F.col("c_name"), F.col("n_name"), F.col("o_orderpriority"))
+    found = q.contains_any("tion_7", *columns) | q.contains_any("000012", *columns)
+    return rows.where(found).select("o_orderkey", "c_name", "n_name", "o_orderpriority")
+
+
+@query("""SELECT page_id FROM pages WHERE contains(lower(url), 'thth') OR contains(lower(regexp_extract(html, '<title>([^<]*)', 1)), 'thth') OR contains(lower(html), 'href="/thth')""")
+def p9_source_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A term in a source's address, title or text."""
+    title = F.regexp_extract("html", "<title>([^<]*)", 1)
+    link = F.when(F.lower("html").contains('href="/thth'), "thth")
+    return table(spark, sf_dir, "pages").where(q.contains_any("ThTh", F.col("url"), title, link)).select("page_id")
+
+
+@query("""SELECT o_orderkey, 'known' AS filter FROM orders WHERE o_orderstatus = 'F' AND (contains(lower(o_orderpriority), 'high') OR contains(lower(o_orderstatus), 'high'))
+UNION ALL SELECT o_orderkey, 'unknown' FROM orders WHERE contains(lower(o_orderpriority), 'urg') OR contains(lower(o_orderstatus), 'urg')""")
+def p10_status_and_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A status that isn't known is no filter, and no error."""
+    orders = table(spark, sf_dir, "orders")
+    columns = (F.col("o_orderpriority"), F.col("o_orderstatus"))
+    of = lambda status, term, name: orders.where(q.known_status(F.col("o_orderstatus"), status, ("O", "F", "P")) & q.contains_any(term, *columns)).select("o_orderkey", F.lit(name).alias("filter"))
+    return of("F", "High", "known").unionByName(of("lost", "URG", "unknown"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_suppkey = 7)")
@@ -129,10 +150,17 @@ def j9_key_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.explode(F.map_keys(own)).alias("k")).distinct()
 
 
-@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type || ' done: ' || user_id ELSE event_type || ' done' END AS message FROM events")
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'Stage started: ' || event_type WHEN 1 THEN 'Discovered source: 1 source' WHEN 2 THEN 'Extracted ' || user_id || ' records'
+WHEN 3 THEN event_type || ' done' WHEN 4 THEN 'Said ' || event_type ELSE 'Deduplication complete: 0 duplicates identified' END AS message FROM events""")
 def j10_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    action = F.concat(F.upper("event_type"), F.lit("_DONE"))
-    return table(spark, sf_dir, "events").select("event_id", runs.activity_message(action, F.when(F.col("event_id") % 2 == 0, F.col("user_id").cast("string"))).alias("message"))
+    k = F.col("event_id") % 6
+    action = F.element_at(F.array(F.lit("STAGE_STARTED"), F.lit("SOURCE_DISCOVERED"), F.lit("RECORDS_COLLECTED"), F.upper(F.concat("event_type", F.lit("_DONE"))), F.lit("RUN_FAILED"), F.lit("DEDUP_COMPLETED")), (k + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    details = F.map_from_arrays(
+        F.array(F.lit("stage"), F.lit("count"), F.lit("message")),
+        F.array(F.when(k == 0, F.col("event_type")).otherwise(none), F.col("user_id").cast("string"), F.when(k == 4, F.concat(F.lit("Said "), "event_type"))),
+    )
+    return table(spark, sf_dir, "events").select("event_id", runs.activity_message(action, details).alias("message"))
 
 
 @query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")

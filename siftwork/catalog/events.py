@@ -62,6 +62,57 @@ def r2_r3_run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_status(_steps(spark, sf_dir)).withColumn("progress", runs.progress(F.col("done"), F.col("steps"), F.col("status")))
 
 
+@query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
+def w7_latest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of the top 100: the limit is the feature."""
+    return runs.latest(table(spark, sf_dir, "events").select("event_id", "ts"))
+
+
+_RUNS = """u AS (SELECT o_orderkey AS run, CASE o_orderstatus WHEN 'O' THEN 'PENDING' WHEN 'F' THEN 'COMPLETED' ELSE 'RUNNING' END AS status, o_orderkey % 7 = 0 AS cancelled FROM orders)"""
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, status = table(spark, sf_dir, "orders"), F.col("o_orderstatus")
+    return o.select(
+        F.col("o_orderkey").alias("run"), F.when(status == "O", "PENDING").when(status == "F", "COMPLETED").otherwise("RUNNING").alias("status"), F.when(F.col("o_orderkey") % 7 == 0, F.col("o_orderdate")).alias("cancelled_at"),
+        F.lit(None).cast("timestamp_ntz").alias("started_at"), F.lit(0).alias("attempt"), F.lit(None).cast("string").alias("error_code"), F.lit(None).cast("string").alias("error_message"),
+    )
+
+
+@query(f"""WITH {_RUNS}, w AS (SELECT l_orderkey AS run, min(l_suppkey) AS worker FROM lineitem WHERE l_linenumber > 2 GROUP BY l_orderkey)
+SELECT u.run, CASE WHEN won THEN 'RUNNING' ELSE status END AS status, CAST(won AS INT) AS attempt, CASE WHEN won THEN worker END AS worker FROM (SELECT u.*, worker, status = 'PENDING' AND NOT cancelled AND worker IS NOT NULL AS won FROM u LEFT JOIN w USING (run)) u""")
+def r4_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workers ask for runs; of several the least gets a run, once."""
+    wanted = table(spark, sf_dir, "lineitem").where("l_linenumber > 2").select(F.col("l_orderkey").alias("run"), F.col("l_suppkey").alias("worker"))
+    after, claims = runs.claim(_runs(spark, sf_dir), wanted, F.lit("2024-01-31").cast("timestamp_ntz"))
+    return after.join(claims, "run", "left").select("run", "status", "attempt", "worker")
+
+
+@query(f"""WITH {_RUNS}, s AS (SELECT l_orderkey AS run, l_linenumber AS step, CASE WHEN l_linestatus = 'O' THEN 'PENDING' ELSE 'COMPLETED' END AS status FROM lineitem), f AS (SELECT run FROM u WHERE run % 3 = 0 AND status <> 'COMPLETED')
+SELECT 'run' AS kind, run, CAST(0 AS INT) AS step, CASE WHEN run IN (FROM f) THEN 'FAILED' ELSE status END AS status, CASE WHEN run IN (FROM f) THEN repeat('E', 100) END AS error_code FROM u
+UNION ALL SELECT 'step', run, step, CASE WHEN run IN (FROM f) AND status = 'PENDING' THEN 'FAILED' ELSE status END, CASE WHEN run IN (FROM f) AND status = 'PENDING' THEN repeat('E', 100) END FROM s
+UNION ALL SELECT 'event', run, 0, 'RUN_FAILED', repeat('E', 100) FROM f""")
+def r12_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A failure takes an open run and its open steps with it; completed ones stay."""
+    li, none = table(spark, sf_dir, "lineitem"), F.lit(None).cast("string")
+    steps = li.select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("step"), F.when(F.col("l_linestatus") == "O", "PENDING").otherwise("COMPLETED").alias("status"), none.alias("error_code"), none.alias("error_message"))
+    of = _runs(spark, sf_dir)
+    failures = of.where("run % 3 = 0").select("run", F.repeat(F.lit("E"), 120).alias("code"), F.lit("lost").alias("message"))
+    after, steps, events = runs.fail(of, steps, failures)
+    zero = F.lit(0).cast("int").alias("step")
+    out = after.select(F.lit("run").alias("kind"), "run", zero, "status", "error_code").unionByName(steps.select(F.lit("step").alias("kind"), "run", "step", "status", "error_code"))
+    return out.unionByName(events.select(F.lit("event").alias("kind"), "run", zero, F.col("action").alias("status"), "error_code"))
+
+
+@query("""SELECT o_orderkey AS run, CASE WHEN o_orderstatus = 'F' THEN 'old' ELSE 'new' END AS title FROM orders""")
+def r13_saved_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saving all runs, twice, adds a dataset to those that have none."""
+    o = table(spark, sf_dir, "orders")
+    datasets = o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("run"), F.lit("old").alias("title"))
+    new = o.select(F.col("o_orderkey").alias("run"), F.lit("new").alias("title"))
+    return runs.save_once(runs.save_once(datasets, new), new)
+
+
 @query("SELECT c_custkey, c_mktsegment IN ('BUILDING', 'MACHINERY') AS may FROM customer")
 def r9_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.when(F.col("c_mktsegment") == "BUILDING", "OWNER").when(F.col("c_mktsegment") == "MACHINERY", "ADMIN").when(F.col("c_mktsegment") == "FURNITURE", "VIEWER").otherwise("guest")

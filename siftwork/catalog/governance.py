@@ -100,7 +100,11 @@ def g9_robots_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return govern.robots_decisions(requests, govern.robots_rules(files), responses).select("id", "robots_status", "allowed")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_type AS key, event_id AS id, epoch_us(ts) // 1000 AS "at", row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT DISTINCT key, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS "at", CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS wait, CAST([] AS BIGINT[]) AS times FROM e UNION ALL
+SELECT key, id, "at", n, wait, CASE WHEN wait = 0 THEN list_append(kept, "at") ELSE kept END FROM (SELECT *, CAST(greatest(0, CASE WHEN len(kept) >= 3 THEN kept[1] + 3600000 - "at" ELSE 0 END, CASE WHEN len(kept) > 0 THEN kept[-1] + 60000 - "at" ELSE 0 END) AS BIGINT) AS wait
+FROM (SELECT e.key, e.id, e."at", e.n, list_filter(r.times, lambda t: t > e."at" - 3600000) AS kept FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1)))
+SELECT key, id, "at", wait = 0 AS allowed, wait AS retry_after_ms, greatest(0, 3 - len(times)) AS remaining FROM r WHERE n > 0""")
 def g10_g11_sliding_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls of each kind, three an hour at most: what is let through depends on what was let through before."""
     calls = table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))

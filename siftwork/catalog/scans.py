@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,6 +119,49 @@ def s14_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.history(table(spark, sf_dir, "events"), "purchase", 500, "event_type", "event_id").select("event_id", "event_type", "ts")
 
 
+@query("""SELECT n_nationkey, regexp_replace(substr(t, 1, 30), '-+$', '') || '-' || substr(sha256(n_name), 1, 8) || '.csv' AS file FROM (SELECT *, trim(regexp_replace(lower(n_name || ' of region number ' || n_regionkey || '!'), '[^a-z0-9]+', '-', 'g'), '-') AS t FROM nation)""")
+def x5_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.concat("n_name", F.lit(" of region number "), F.col("n_regionkey").cast("string"), F.lit("!"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", sinks.file_name_of(title, F.sha2("n_name", 256), "csv").alias("file"))
+
+
+@query("""SELECT part_no AS part, count(*) AS rows, CAST(sum(strlen(line) + 2) AS BIGINT) AS size FROM (SELECT o_orderkey % 4 AS part_no, o_orderkey || ',' || o_orderstatus AS line FROM orders) GROUP BY part_no""")
+def x4_counts_and_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and bytes of files that aren't written yet, from their lines."""
+    o = table(spark, sf_dir, "orders")
+    lines = o.select((F.col("o_orderkey") % 4).alias("part"), F.concat_ws(",", *[sinks.csv_cell(F.col(c), t) for c, t in o.select("o_orderkey", "o_orderstatus").dtypes]).alias("line"))
+    return lines.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("line") + 2).cast("long").alias("size"))
+
+
+@query("""SELECT n_nationkey AS row, n AS cell, v AS text FROM (SELECT n_nationkey, unnest(['A', 'B', 'C']) AS n, unnest([CAST(n_nationkey AS VARCHAR), n_name, CASE WHEN n_regionkey > 1 THEN '1' ELSE '0' END]) AS v FROM nation)""")
+def x3_sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook written and read back: number, text and boolean cells."""
+    n = table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_nationkey", "n_name", (F.col("n_regionkey") > 1).alias("high"))
+    with tempfile.TemporaryDirectory() as folder:
+        done = sinks.export(n, folder, "Nations", "x3", "xlsx")
+        with zipfile.ZipFile(done["path"]) as z:
+            sheet = z.read("xl/worksheets/sheet1.xml").decode()
+    cells = re.findall(r'<c r="([A-Z]+)(\d+)"[^>]*>(?:<v>|<is><t[^>]*>)([^<]*)', sheet)
+    rows = [(int(at) - 2, name, value) for name, at, value in cells if at != "1"]
+    return spark.createDataFrame(rows, "row long, cell string, text string")
+
+
+@query("""SELECT * FROM (VALUES ('csv', 'COMPLETED', 25, true), ('json', 'COMPLETED', 25, true), ('broken', 'FAILED', NULL, false), ('outside', 'FAILED', NULL, false)) t(job, status, rows, there)""")
+def x6_x7_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Export jobs that end well, fail while they write, and try to leave the folder; a failed one leaves no file."""
+    n, out = table(spark, sf_dir, "nation"), []
+    with tempfile.TemporaryDirectory() as folder:
+        for job, df, kind in (("csv", n, "csv"), ("json", n, "json"), ("broken", n.select(F.raise_error(F.lit("lost")).alias("x")), "csv")):
+            done = sinks.export(df, folder, f"Job {job}", job, kind)
+            out.append((job, done["status"], done.get("rows"), any(job in x for x in os.listdir(folder))))
+        try:
+            sinks.contained(folder, "../outside")
+            out.append(("outside", "COMPLETED", None, True))
+        except PermissionError:
+            out.append(("outside", "FAILED", None, os.path.exists(f"{folder}/../outside")))
+    return spark.createDataFrame(out, "job string, status string, rows int, there boolean")
+
+
 _CELL = "CASE WHEN regexp_matches({0}, '[,\"\\n\\r]') THEN '\"' || replace({0}, '\"', '\"\"') || '\"' ELSE {0} END"
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftwork.catalog import query, table
 from siftwork.functions import text, urls, values
 from siftwork.operators import clean
+from siftwork.plans import model
 from siftwork.plans.model import Field, Plan
 
 
@@ -69,7 +70,7 @@ def n12_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_partkey, list_filter(list_transform(string_split(p_type, ' '), lambda x: trim(x)), lambda x: x <> '') AS words FROM part""")
 def n15_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.array_append(F.transform(F.split("p_type", " "), lambda x: F.concat(F.lit("  "), x)), F.lit(" n/a "))
-    made, _ = clean.typed_value(raw, "array<string>", Field("words", "array"), Plan(()))
+    made = clean.prepared(raw, "array<string>", Field("words", "array"), Plan(()))
     return table(spark, sf_dir, "part").select("p_partkey", made.alias("words"))
 
 
@@ -105,3 +106,44 @@ def d12_entity_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwork.operators.match import entity_name
 
     return table(spark, sf_dir, "supplier").select("s_suppkey", entity_name(F.concat("s_name", F.lit(", Ltd. Co"))).alias("entity"))
+
+
+@query("""SELECT id, subject, CASE WHEN id = 'r5' THEN sha256(result) ELSE result END AS result FROM (VALUES ('n2', 'Café-Größe 1', 'cafegroe1'), ('n2', 'E-Mail', 'email'), ('n2', 'ﬁeld №2', 'fieldno2'),
+('n13', 'company_url', 'url'), ('n13', 'founded', 'date'), ('n13', 'mobile_no', 'phone'), ('n13', 'total_cost', 'money'), ('n13', 'created_at', ''),
+('n14', 'homepage', 'https://example.com/a'), ('n14', 'size', '1200'), ('d11', 'company_name,name', 'company_name'), ('d11', 'title,name', 'name'), ('d11', 'title', ''),
+('v17', 'consistent', '0'), ('v17', 'repeated step, late dependency, no save, unknown key', '4'), ('v18', 'parted', '0'), ('v18', 'both, neither, foreign', '3'),
+('r5', 'name', '{"fields": [{"enum": [], "filterable": true, "format": null, "key": "name", "label": "", "required": false, "type": "string"}], "match_rules": [], "policy": {"allowed": [], "blocked": [], "per_minute": 30, "preferred": []}, "required": [], "rules": [], "steps": [], "transforms": []}'),
+('r11', 'nothing', 'topic|A clear objective for the requested dataset|The kind of entity or information to collect|At least one requested field or attribute'), ('r11', 'all', '')) t(id, subject, result)""")
+def plan_level_n2_n13_n14_d11_v17_v18_r5_r11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is decided on the driver, from plans and keys alone."""
+    kinds = {"url": model.is_url_field, "date": model.is_date_field, "phone": model.is_phone_field, "money": model.is_money_field}
+    keys = ("company_url", "founded", "mobile_no", "total_cost", "created_at")
+    out = [("n2", k, text.fold_key(k)) for k in ("Café-Größe 1", "E-Mail", "ﬁeld №2")]
+    out += [("n13", k, ",".join(n for n, test in kinds.items() if test(Field(k)))) for k in keys]
+    out += [("d11", ks, model.name_field(Plan(tuple(Field(k) for k in ks.split(",")))) or "") for ks in ("company_name,name", "title,name", "title")]
+    steps = (model.Step("a", "EXTRACT"), model.Step("b", "SAVE", ("a",)))
+    bad = Plan((Field("x"),), rules=(model.Rule("REQUIRED", "y"),), steps=(model.Step("a", "EXTRACT", ("b",)), model.Step("a", "CHECK")))
+    out += [("v17", "consistent", str(len(Plan((Field("x"),), steps=steps).problems()))), ("v17", "repeated step, late dependency, no save, unknown key", str(len(bad.problems())))]
+    out += [("v18", "parted", str(len(model.Requirement(("a", "b"), ("a",), ("b",)).problems()))), ("v18", "both, neither, foreign", str(len(model.Requirement(("a", "c"), ("a",), ("a", "d")).problems())))]
+    out += [("r5", "name", Plan((Field("name"),)).digest())]
+    out += [("r11", "nothing", "|".join(model.Requirement((), missing=("topic",)).missing_information("", ""))), ("r11", "all", "|".join(model.Requirement(("a",)).missing_information("x", "y")))]
+    plan = Plan((Field("homepage"), Field("size")), transforms=(("homepage", "NORMALIZE_URL"), ("size", "PARSE_NUMBER")))
+    raw = spark.range(1).select(F.col("id").alias("rec_idx"), F.array().cast("array<string>").alias("source_urls"), F.lit("Example.com/a/").alias("homepage"), F.lit("1.2 thousand").alias("size"))
+    transformed = clean.normalize(raw, plan).select(F.lit("n14").alias("id"), F.explode(F.create_map(F.lit("homepage"), "values.homepage", F.lit("size"), "values.size")).alias("subject", "result"))
+    return spark.createDataFrame(out, "id string, subject string, result string").unionByName(transformed)
+
+
+@query("""SELECT p_partkey, CAST(NULL AS VARCHAR) AS email, CAST(NULL AS DOUBLE) AS price, CAST(NULL AS BOOLEAN) AS stocked, p_name AS company_name FROM part""")
+def n4_absent_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that no input has are null in their own type."""
+    plan = Plan((Field("company_name"), Field("email"), Field("price", "number"), Field("stocked", "boolean")))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("rec_idx"), F.array().cast("array<string>").alias("source_urls"), F.col("p_name").alias("company"))
+    out = clean.normalize(rows, plan)
+    return out.select(F.col("rec_idx").alias("p_partkey"), "values.email", "values.price", "values.stocked", "values.company_name")
+
+
+@query("""SELECT * FROM (VALUES ('ﬁne', 'fine'), ('Ｆｕｌｌ Ｗｉｄｔｈ １', 'full width 1'), ('№ ½', 'no 1 2'), ('Ǆ ŉ', 'dz ʼn'), ('㎏', 'kg'), ('ﷺ', 'صلى الله عليه وسلم'), ('Crème brûlée', 'creme brulee'), ('x² ™', 'x2 tm')) t(raw, folded)""")
+def d2_compatibility_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters that stand for one or several others."""
+    raw = spark.createDataFrame([(x,) for x in ("ﬁne", "Ｆｕｌｌ Ｗｉｄｔｈ １", "№ ½", "Ǆ ŉ", "㎏", "ﷺ", "Crème brûlée", "x² ™")], "raw string")
+    return raw.select("raw", text.fold(F.col("raw")).alias("folded"))

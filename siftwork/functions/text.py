@@ -1,7 +1,8 @@
-"""Text expressions. All are JVM-side; ``exact`` folding of rare compatibility forms is an Arrow UDF."""
+"""Text expressions. All are JVM-side; only ``exact`` folding, which also parts Hangul syllables, is an Arrow UDF."""
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 import pandas as pd
@@ -12,26 +13,42 @@ from pyspark.sql.types import StringType
 #: White space as the input format's language knows it, and the words that mean "no value".
 SPACE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 EMPTY_WORDS = ("", "null", "n/a", "na", "none", "not available", "not provided")
+#: A blank text or a word that means "no value", whatever the white space around and within it.
+EMPTY = rf"(?i)^{SPACE}*(?:" + "|".join(w.replace(" ", f"{SPACE}+") for w in EMPTY_WORDS if w) + rf")?{SPACE}*\z"
+#: White space that folding changes: a run, one at an end, or other than a plain space.
+UNFOLDED = rf"{SPACE}{{2}}|^{SPACE}|{SPACE}\z|[{SPACE[1:-1]}&&[^ ]]"
 MARKS = r"[\x{300}-\x{36F}]+"
 
 
-def _single_folds() -> tuple[str, str]:
-    """Characters below U+2000 whose compatibility form without marks is one other character."""
-    pairs = []
-    for code in range(0xA0, 0x2000):
-        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not "̀" <= c <= "ͯ")
-        if len(plain) == 1 and plain != chr(code) and unicodedata.category(chr(code))[0] in "LN":
-            pairs.append((chr(code), plain))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def _plain(text: str) -> str:
+    """Compatibility form without accents."""
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not "̀" <= c <= "ͯ")
 
 
-_FROM, _TO = _single_folds()
+def _folds() -> tuple[str, str, str, str]:
+    """By the rules of ``_plain``: characters that become one other, these others; those that become several, as entries of a map and as a class of ranges."""
+    singles, several, ranges = [], [], []
+    for code in range(0xA0, sys.maxunicode + 1):
+        c = chr(code)
+        plain = "" if 0xAC00 <= code <= 0xD7A3 or 0xD800 <= code <= 0xDFFF else _plain(c)
+        if len(plain) == 1 and plain != c:
+            singles.append((c, plain))
+        elif len(plain) > 1:
+            several.append(f"{c}\x01{plain}")
+            if ranges and code - ranges[-1][1] <= 8:
+                ranges[-1][1] = code
+            else:
+                ranges.append([code, code])
+    return "".join(a for a, _ in singles), "".join(b for _, b in singles), "\x02".join(several), "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
+_FROM, _TO, _SEVERAL, _WIDE = _folds()
 NOT_ASCII = r"[^\x00-\x7F]"
 
 
 def fold_space(c: Column) -> Column:
     """White space runs become one space; none at the ends."""
-    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
+    return F.when(c.rlike(UNFOLDED), F.trim(F.regexp_replace(c, f"{SPACE}+", " "))).otherwise(c)
 
 
 def is_empty_word(c: Column) -> Column:
@@ -40,26 +57,31 @@ def is_empty_word(c: Column) -> Column:
 
 def clean(c: Column) -> Column:
     """Folded text, null for words that mean "no value"."""
-    folded = fold_space(c)
-    return F.when(~F.lower(folded).isin(*EMPTY_WORDS), folded)
+    return F.when(~c.rlike(EMPTY), fold_space(c))
 
 
 def is_missing(c: Column) -> Column:
     """Null or blank."""
-    return c.isNull() | (F.regexp_replace(c.cast("string"), SPACE, "") == "")
+    return c.isNull() | c.cast("string").rlike(rf"^{SPACE}*\z")
 
 
 @F.pandas_udf(StringType())
 def _nfkd(s: pd.Series) -> pd.Series:
-    plain = lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not "̀" <= c <= "ͯ")
-    return s.map(plain)
+    return s.map(lambda t: None if t is None else _plain(t))
+
+
+def _native_plain(c: Column) -> Column:
+    """``_plain`` but for Hangul: characters that become several are looked up one by one, in the texts that have any."""
+    known = F.str_to_map(F.lit(_SEVERAL), F.lit("\x02"), F.lit("\x01"))
+    spelt = F.array_join(F.transform(F.split(c, ""), lambda x: F.when(x.rlike(_WIDE), F.coalesce(F.try_element_at(known, x), x)).otherwise(x)), "")
+    return F.regexp_replace(F.translate(F.when(c.rlike(_WIDE), spelt).otherwise(c), _FROM, _TO), MARKS, "")
 
 
 def strip_marks(c: Column, exact: bool = False) -> Column:
-    """Compatibility form without accents. Native: characters with a one-character form below U+2000; exact: all."""
+    """Compatibility form without accents; ``exact`` also parts Hangul syllables into letters, as the standard does."""
     if exact:
         return F.coalesce(_nfkd(F.when(c.rlike(NOT_ASCII), c)), c)
-    return F.when(c.rlike(NOT_ASCII), F.regexp_replace(F.translate(c, _FROM, _TO), MARKS, "")).otherwise(c)
+    return F.when(c.rlike(NOT_ASCII), _native_plain(c)).otherwise(c)
 
 
 def fold(c: Column, exact: bool = False) -> Column:
@@ -69,8 +91,7 @@ def fold(c: Column, exact: bool = False) -> Column:
 
 def fold_key(name: str) -> str:
     """A field name's letters and digits; schema-level, so on the driver."""
-    plain = "".join(c for c in unicodedata.normalize("NFKD", name) if not "̀" <= c <= "ͯ")
-    return "".join(c for c in plain.lower() if c.isascii() and c.isalnum())
+    return "".join(c for c in _plain(name).lower() if c.isascii() and c.isalnum())
 
 
 def escape_like(text: str) -> str:

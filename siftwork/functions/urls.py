@@ -80,7 +80,7 @@ def with_parts(c: Column, body: Callable[[Parts], Column]) -> Column:
 
 
 def _no_slashes(path: Column) -> Column:
-    return F.regexp_replace(path, "/+$", "")
+    return F.rtrim(path, F.lit("/"))
 
 
 def with_scheme(c: Column, slashes: bool = True) -> Column:

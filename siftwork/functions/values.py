@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import lru_cache
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Shapes of dates, times and addresses.
@@ -13,26 +15,20 @@ EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]{2,}$"
 UNITS = {"thousand": 1e3, "k": 1e3, "million": 1e6, "m": 1e6, "billion": 1e9, "b": 1e9, "trillion": 1e12, "t": 1e12}
 CODES = ("USD", "EUR", "GBP", "INR", "JPY", "CAD", "AUD", "CNY")
 SYMBOLS = {"$": "USD", "€": "EUR", "£": "GBP", "₹": "INR", "¥": "JPY"}
-#: English names of ISO 3166-1 alpha-2 regions.
-COUNTRIES = dict(
-    pair.split("=") for pair in (
-        "AD=Andorra|AE=United Arab Emirates|AF=Afghanistan|AG=Antigua & Barbuda|AL=Albania|AM=Armenia|AO=Angola|AR=Argentina|AT=Austria|AU=Australia|AZ=Azerbaijan|"
-        "BA=Bosnia & Herzegovina|BB=Barbados|BD=Bangladesh|BE=Belgium|BF=Burkina Faso|BG=Bulgaria|BH=Bahrain|BI=Burundi|BJ=Benin|BN=Brunei|BO=Bolivia|BR=Brazil|BS=Bahamas|BT=Bhutan|BW=Botswana|BY=Belarus|BZ=Belize|"
-        "CA=Canada|CD=Congo - Kinshasa|CF=Central African Republic|CG=Congo - Brazzaville|CH=Switzerland|CI=Côte d’Ivoire|CL=Chile|CM=Cameroon|CN=China|CO=Colombia|CR=Costa Rica|CU=Cuba|CV=Cape Verde|CY=Cyprus|CZ=Czechia|"
-        "DE=Germany|DJ=Djibouti|DK=Denmark|DM=Dominica|DO=Dominican Republic|DZ=Algeria|EC=Ecuador|EE=Estonia|EG=Egypt|ER=Eritrea|ES=Spain|ET=Ethiopia|FI=Finland|FJ=Fiji|FM=Micronesia|FR=France|"
-        "GA=Gabon|GB=United Kingdom|GD=Grenada|GE=Georgia|GH=Ghana|GM=Gambia|GN=Guinea|GQ=Equatorial Guinea|GR=Greece|GT=Guatemala|GW=Guinea-Bissau|GY=Guyana|HK=Hong Kong SAR China|HN=Honduras|HR=Croatia|HT=Haiti|HU=Hungary|"
-        "ID=Indonesia|IE=Ireland|IL=Israel|IN=India|IQ=Iraq|IR=Iran|IS=Iceland|IT=Italy|JM=Jamaica|JO=Jordan|JP=Japan|KE=Kenya|KG=Kyrgyzstan|KH=Cambodia|KI=Kiribati|KM=Comoros|KN=St. Kitts & Nevis|KP=North Korea|KR=South Korea|KW=Kuwait|KZ=Kazakhstan|"
-        "LA=Laos|LB=Lebanon|LC=St. Lucia|LI=Liechtenstein|LK=Sri Lanka|LR=Liberia|LS=Lesotho|LT=Lithuania|LU=Luxembourg|LV=Latvia|LY=Libya|MA=Morocco|MC=Monaco|MD=Moldova|ME=Montenegro|MG=Madagascar|MH=Marshall Islands|MK=North Macedonia|ML=Mali|MM=Myanmar (Burma)|MN=Mongolia|MR=Mauritania|MT=Malta|MU=Mauritius|MV=Maldives|MW=Malawi|MX=Mexico|MY=Malaysia|MZ=Mozambique|"
-        "NA=Namibia|NE=Niger|NG=Nigeria|NI=Nicaragua|NL=Netherlands|NO=Norway|NP=Nepal|NR=Nauru|NZ=New Zealand|OM=Oman|PA=Panama|PE=Peru|PG=Papua New Guinea|PH=Philippines|PK=Pakistan|PL=Poland|PT=Portugal|PW=Palau|PY=Paraguay|QA=Qatar|RO=Romania|RS=Serbia|RU=Russia|RW=Rwanda|"
-        "SA=Saudi Arabia|SB=Solomon Islands|SC=Seychelles|SD=Sudan|SE=Sweden|SG=Singapore|SI=Slovenia|SK=Slovakia|SL=Sierra Leone|SM=San Marino|SN=Senegal|SO=Somalia|SR=Suriname|SS=South Sudan|ST=São Tomé & Príncipe|SV=El Salvador|SY=Syria|SZ=Eswatini|"
-        "TD=Chad|TG=Togo|TH=Thailand|TJ=Tajikistan|TL=Timor-Leste|TM=Turkmenistan|TN=Tunisia|TO=Tonga|TR=Türkiye|TT=Trinidad & Tobago|TV=Tuvalu|TW=Taiwan|TZ=Tanzania|UA=Ukraine|UG=Uganda|US=United States|UY=Uruguay|UZ=Uzbekistan|VA=Vatican City|VC=St. Vincent & Grenadines|VE=Venezuela|VN=Vietnam|VU=Vanuatu|WS=Samoa|YE=Yemen|ZA=South Africa|ZM=Zambia|ZW=Zimbabwe"
-    ).split("|")
-)
+#: Names that differ from those of the Java library, or that it lacks.
+RENAMED = {"TR": "Türkiye", "XK": "Kosovo"}
+
+
+@lru_cache
+def countries() -> dict[str, str]:
+    """English names of all ISO 3166-1 alpha-2 regions, territories included, by the locale data of the session's Java."""
+    locale = SparkSession.active()._jvm.java.util.Locale
+    return {code: locale("", code).getDisplayCountry(locale.ENGLISH) for code in locale.getISOCountries()} | RENAMED
 
 
 def iso_date(c: Column) -> Column:
     """An ISO date that exists as it is; an ISO time with a zone in UTC with milliseconds."""
-    day = F.when(F.date_format(F.try_to_date(c, "yyyy-MM-dd"), "yyyy-MM-dd") == c, c)
+    day = F.when(c.try_cast("date").isNotNull(), c)
     with_seconds = F.regexp_replace(c, r"T(\d{2}:\d{2})(Z|[+-])", "T$1:00$2")
     at = F.try_to_timestamp(F.regexp_replace(with_seconds, r"([+-]\d{2})(\d{2})$", "$1:$2"))
     return F.when(c.rlike(ISO_DATE), day).when(c.rlike(ISO_TIME), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
@@ -42,7 +38,7 @@ def is_date(c: Column, with_time: bool = False) -> Column:
     """Whether a text is a valid ISO date, or time."""
     if with_time:
         return F.coalesce(c.rlike(r"^\d{4}-\d{2}-\d{2}T") & F.try_to_timestamp(c).isNotNull(), F.lit(False))
-    return F.coalesce(c.rlike(ISO_DATE) & (F.date_format(F.try_to_date(c, "yyyy-MM-dd"), "yyyy-MM-dd") == c), F.lit(False))
+    return F.coalesce(c.rlike(ISO_DATE) & c.try_cast("date").isNotNull(), F.lit(False))
 
 
 def phone(c: Column) -> Column:
@@ -84,14 +80,14 @@ def currency(c: Column) -> Column:
 
 def country(c: Column) -> Column:
     """English name of a country's code or name; other texts as they are."""
-    folded = F.lower(F.regexp_replace(F.trim(c), r"[.]", ""))
-    by_code = _lookup((k.lower() for k in COUNTRIES), COUNTRIES.values())
-    by_name = _lookup((v.lower() for v in COUNTRIES.values()), COUNTRIES.values())
+    folded, names = F.lower(F.regexp_replace(F.trim(c), r"[.]", "")), countries()
+    by_code = _lookup((k.lower() for k in names), names.values())
+    by_name = _lookup((v.lower() for v in names.values()), names.values())
     return F.coalesce(F.when(folded.rlike("^[a-z]{2}$"), F.try_element_at(by_code, folded)).otherwise(F.try_element_at(by_name, folded)), F.trim(c))
 
 
 def is_country(c: Column) -> Column:
-    known = [k.lower() for k in COUNTRIES] + [v.lower() for v in COUNTRIES.values()]
+    known = [k.lower() for k in countries()] + [v.lower() for v in countries().values()]
     return F.coalesce(F.lower(F.trim(c)).isin(*known), F.lit(False))
 
 

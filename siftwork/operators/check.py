@@ -28,36 +28,47 @@ def is_http_url(c: Column) -> Column:
     return F.coalesce(urls.with_parts(c, lambda p: p.is_http & (p.user == "")), F.lit(False))
 
 
-def _missing(f: Field) -> Column:
-    c = F.col(f"values.`{f.key}`")
-    absent = is_missing(c) if f.type == "string" else c.isNull()
-    return absent & F.try_element_at("unparsed", F.lit(f.key)).isNull()
-
-
-def _fails(rule: str, f: Field, plan_field: Field) -> Column:
-    """Whether a value that is there breaks a rule; a value of the wrong type breaks the text rules."""
-    c = F.col(f"values.`{f.key}`").cast("string") if plan_field.type in ("string", "number", "integer", "boolean") else F.lit(None).cast("string")
-    wrong = F.try_element_at("unparsed", F.lit(f.key)).isNotNull()
-    if rule == "TYPE":
-        integral = F.col(f"values.`{f.key}`") != F.floor(F.col(f"values.`{f.key}`")) if plan_field.type == "integer" else F.lit(False)
-        return wrong | F.coalesce(integral, F.lit(False))
-    test = {
-        "URL": lambda: is_http_url(c), "EMAIL": lambda: c.rlike(values.EMAIL), "DATE": lambda: values.is_date(c, plan_field.format == "date-time"),
-        "ENUM": lambda: c.isin(*plan_field.enum) if plan_field.enum else F.lit(False), "COUNTRY": lambda: values.is_country(c),
-    }[rule]()
-    return wrong | ~F.coalesce(test, F.lit(False))
-
-
-def _schema_issues(f: Field, required: bool) -> list[Column]:
-    there, wrong = ~_missing(f), _fails("TYPE", f, f)
-    out = [F.when(_missing(f), issue(f.key, "REQUIRED", "ERROR", MESSAGES["REQUIRED"]))] if required else []
+class Flags:
+    """What the checks of a field ask of its value: each flag is a column that is computed once, however many rules test it."""
+
+    def __init__(self):
+        self.columns: dict[str, Column] = {}
+
+    def _flag(self, name: str, made: Column) -> Column:
+        name = f"_flag_{name}"
+        self.columns.setdefault(name, made)
+        return F.col(f"`{name}`")
+
+    def missing(self, f: Field) -> Column:
+        c = F.col(f"values.`{f.key}`")
+        absent = is_missing(c) if f.type == "string" else c.isNull()
+        return self._flag(f"missing_{f.key}", absent & F.try_element_at("unparsed", F.lit(f.key)).isNull())
+
+    def fails(self, rule: str, f: Field) -> Column:
+        """Whether a value that is there breaks a rule; a value of the wrong type breaks the text rules."""
+        value = F.col(f"values.`{f.key}`")
+        c = value.cast("string") if f.type in ("string", "number", "integer", "boolean") else F.lit(None).cast("string")
+        wrong = F.try_element_at("unparsed", F.lit(f.key)).isNotNull()
+        if rule == "TYPE":
+            integral = value != F.floor(value) if f.type == "integer" else F.lit(False)
+            return self._flag(f"TYPE_{f.key}", wrong | F.coalesce(integral, F.lit(False)))
+        test = {
+            "URL": lambda: is_http_url(c), "EMAIL": lambda: c.rlike(values.EMAIL), "DATE": lambda: values.is_date(c, f.format == "date-time"),
+            "ENUM": lambda: c.isin(*f.enum) if f.enum else F.lit(False), "COUNTRY": lambda: values.is_country(c),
+        }[rule]()
+        return self._flag(f"{rule}_{f.key}", wrong | ~F.coalesce(test, F.lit(False)))
+
+
+def _schema_issues(flags: Flags, f: Field, required: bool) -> list[Column]:
+    there, wrong = ~flags.missing(f), flags.fails("TYPE", f)
+    out = [F.when(~there, issue(f.key, "REQUIRED", "ERROR", MESSAGES["REQUIRED"]))] if required else []
     out.append(F.when(there & wrong, issue(f.key, "TYPE", "ERROR", f"Expected {f.type} value.")))
     rules = [("URL", "ERROR")] * (f.format == "uri") + [("EMAIL", "ERROR")] * (f.format == "email") + [("DATE", "ERROR")] * (f.format in ("date", "date-time"))
     rules += [("ENUM", "ERROR")] * bool(f.enum) + [("COUNTRY", "WARNING")] * model.has_country_token(f.key)
-    return out + [F.when(there & ~wrong & _fails(rule, f, f), issue(f.key, rule, severity, MESSAGES[rule])) for rule, severity in rules]
+    return out + [F.when(there & ~wrong & flags.fails(rule, f), issue(f.key, rule, severity, MESSAGES[rule])) for rule, severity in rules]
 
 
-def _explicit(plan: Plan, supported: Column) -> list[Column]:
+def _explicit(flags: Flags, plan: Plan, supported: Column) -> list[Column]:
     out, fields = [], plan.by_key()
     for r in plan.rules:
         if r.rule == "SOURCE_EVIDENCE":
@@ -73,9 +84,9 @@ def _explicit(plan: Plan, supported: Column) -> list[Column]:
         elif r.rule in ("RANGE", "CUSTOM"):
             out.append(issue(r.field, r.rule, "WARNING", f"Rule requires machine-readable parameters and was not executed: {r.message}"))
         elif f is not None and r.rule == "REQUIRED":
-            out.append(F.when(_missing(f), issue(f.key, r.rule, r.severity, r.message)))
+            out.append(F.when(flags.missing(f), issue(f.key, r.rule, r.severity, r.message)))
         elif f is not None:
-            out.append(F.when(~_missing(f) & _fails(r.rule, f, f), issue(f.key, r.rule, r.severity, r.message)))
+            out.append(F.when(~flags.missing(f) & flags.fails(r.rule, f), issue(f.key, r.rule, r.severity, r.message)))
     return out
 
 
@@ -96,13 +107,13 @@ def with_verified_sources(records: DataFrame, sources: DataFrame | None) -> Data
 def validate(records: DataFrame, plan: Plan, sources: DataFrame | None = None) -> DataFrame:
     """``records`` with ``issues`` (no repetitions), ``is_valid`` and a provisional ``confidence``."""
     records = with_verified_sources(records, sources)
-    supported = F.size("source_urls") > 0
+    supported, flags = F.size("source_urls") > 0, Flags()
     found = [F.when(~supported, issue(None, "SOURCE_EVIDENCE", "ERROR", MESSAGES["SOURCE_EVIDENCE"]))]
     for f in plan.fields:
-        found += _schema_issues(f, f.required or f.key in plan.required)
-    found += _explicit(plan, supported)
+        found += _schema_issues(flags, f, f.required or f.key in plan.required)
+    found += _explicit(flags, plan, supported)
     issues = F.array_distinct(F.array_compact(F.array(*found))).cast(f"array<{ISSUE}>")
-    records = records.withColumn("issues", issues)
+    records = records.withColumns(flags.columns).withColumn("issues", issues).drop(*flags.columns)
     provisional = F.when(supported, F.least(F.lit(0.7), 0.45 + 0.1 * (F.size("source_urls") - 1))).otherwise(0.1)
     return records.withColumns({"is_valid": ~F.exists("issues", lambda x: x["severity"] == "ERROR"), "confidence": provisional})
 

@@ -39,27 +39,31 @@ def text_value(c: Column, f: Field, plan: Plan) -> Column:
     return c
 
 
-def typed_value(c: Column, kind: str, f: Field, plan: Plan) -> tuple[Column, Column]:
-    """(value in the field's type, text that isn't of that type)."""
-    nothing = F.lit(None).cast("string")
+def prepared(c: Column, kind: str, f: Field, plan: Plan) -> Column:
+    """The input in standard forms, before its type is looked at."""
     if kind.startswith("array"):
         items = F.filter(F.transform(c, lambda x: text_value(x.cast("string"), Field(f.key, "array"), plan)), lambda x: x.isNotNull())
-        items = F.when(F.size(items) > 0, items)
-        return (items, nothing) if f.type == "array" else (F.lit(None).cast(f.spark_type), F.to_json(items))
+        return F.when(F.size(items) > 0, items)
     if kind.startswith(("map", "struct")):
         pairs = c if kind.startswith("map") else F.from_json(F.to_json(c), "map<string,string>")
-        made = F.transform_values(pairs, lambda k, v: text.clean(v.cast("string")))
-        return (made, nothing) if f.type == "object" else (F.lit(None).cast(f.spark_type), F.to_json(made))
-    cleaned = text_value(c.cast("string"), f, plan)
+        return F.transform_values(pairs, lambda k, v: text.clean(v.cast("string")))
+    return text_value(c.cast("string"), f, plan)
+
+
+def typed_value(made: Column, c: Column, kind: str, f: Field) -> tuple[Column, Column]:
+    """(value in the field's type, text that isn't of that type) of a prepared input."""
+    nothing, none = F.lit(None).cast("string"), F.lit(None).cast(f.spark_type)
+    if kind.startswith("array"):
+        return (made, nothing) if f.type == "array" else (none, F.to_json(made))
+    if kind.startswith(("map", "struct")):
+        return (made, nothing) if f.type == "object" else (none, F.to_json(made))
     if f.type in ("number", "integer"):
-        made = values.number(cleaned) if kind == "string" else c.cast("double")
-        return made, F.when(made.isNull(), cleaned)
+        value = values.number(made) if kind == "string" else c.cast("double")
+        return value, F.when(value.isNull(), made)
     if f.type == "boolean":
-        made = c if kind == "boolean" else F.lit(None).cast("boolean")
-        return made, F.when(made.isNull(), cleaned)
-    if f.type == "string":
-        return cleaned, nothing
-    return F.lit(None).cast(f.spark_type), cleaned
+        value = c if kind == "boolean" else F.lit(None).cast("boolean")
+        return value, F.when(value.isNull(), made)
+    return (made, nothing) if f.type == "string" else (none, made)
 
 
 def _note(c: Column, kind: str, f: Field) -> Column:
@@ -71,24 +75,36 @@ def _note(c: Column, kind: str, f: Field) -> Column:
 
 
 def normalize(records: DataFrame, plan: Plan) -> DataFrame:
+    """In three projections, each of which uses what the one before made: inputs in standard forms, typed values, the record.
+
+    What a projection makes at some cost and the next uses more than once is a column, which
+    the optimizer doesn't copy into its uses.
+    """
     names, kinds = plan.names(), dict(records.dtypes)
     inputs = [c for c in records.columns if c not in RESERVED]
     sources: dict[str, list[str]] = {}
     for c in inputs:
         sources.setdefault(names.get(fold_key(c), c), []).append(c)
+    forms, typed, found = {}, {}, {}
+    for f in plan.fields:
+        for c in sources.get(f.key, []):
+            n = len(forms)
+            forms[f"_form{n}"] = prepared(F.col(f"`{c}`"), kinds[c], f, plan)
+            typed[f"_value{n}"], typed[f"_text{n}"] = typed_value(F.col(f"_form{n}"), F.col(f"`{c}`"), kinds[c], f)
+            found.setdefault(f.key, []).append((F.col(f"_value{n}"), F.col(f"_text{n}"), c))
     made, rest, notes = [], [], []
     for f in plan.fields:
-        found = [(typed_value(F.col(f"`{c}`"), kinds[c], f, plan), c) for c in sources.get(f.key, [])]
-        if not found:
+        own = found.get(f.key, [])
+        if not own:
             made.append(F.lit(None).cast(f.spark_type).alias(f.key))
             continue
-        kept = F.coalesce(*[v for (v, _), _ in found])
+        kept = F.coalesce(*[v for v, _, _ in own])
         made.append(kept.alias(f.key))
-        rest.append(F.struct(F.lit(f.key).alias("key"), F.when(kept.isNull(), F.coalesce(*[u for (_, u), _ in found])).alias("value")))
-        remarks = [_note(F.col(f"`{c}`"), kinds[c], f) for _, c in found]
-        if len(found) > 1 and f.type not in ("object",):
+        rest.append(F.struct(F.lit(f.key).alias("key"), F.when(kept.isNull(), F.coalesce(*[u for _, u, _ in own])).alias("value")))
+        remarks = [_note(F.col(f"`{c}`"), kinds[c], f) for _, _, c in own]
+        if len(own) > 1 and f.type not in ("object",):
             differs = F.lit(False)
-            for (v, _), _ in found:
+            for v, _, _ in own:
                 differs = differs | (v.isNotNull() & ~v.eqNullSafe(kept))
             remarks.append(F.when(differs, F.concat(F.lit("Several inputs differ for "), F.lit(f.key), F.lit("; the first value that isn't empty was kept."))))
         notes.append(F.struct(F.lit(f.key).alias("key"), F.array_compact(F.array(*remarks)).alias("value")))
@@ -98,10 +114,10 @@ def normalize(records: DataFrame, plan: Plan) -> DataFrame:
             rest.append(F.struct(F.lit(key).alias("key"), text.clean(F.coalesce(*[_as_text(c, kinds[c]) for c in cols])).alias("value")))
     unparsed = F.map_from_entries(F.filter(F.array(*rest), lambda x: x["value"].isNotNull())) if rest else F.create_map().cast("map<string,string>")
     remarks = F.map_from_entries(F.filter(F.array(*notes), lambda x: F.size(x["value"]) > 0)) if notes else F.create_map().cast("map<string,array<string>>")
-    # a condition that always holds keeps the optimizer from copying the fields' expressions into each of their uses
-    always = F.coalesce(F.size("source_urls"), F.lit(0)) >= -1
+    records = records.withColumns(forms) if forms else records
+    records = records.withColumns(typed) if typed else records
     return records.select(
-        "rec_idx", "source_urls", F.struct(*[F.col(f"`{c}`") for c in inputs]).alias("raw_values"), F.when(always, F.struct(*made)).alias("values"), unparsed.alias("unparsed"), remarks.alias("notes"),
+        "rec_idx", "source_urls", F.struct(*[F.col(f"`{c}`") for c in inputs]).alias("raw_values"), F.struct(*made).alias("values"), unparsed.alias("unparsed"), remarks.alias("notes"),
     )
 
 

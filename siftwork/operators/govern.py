@@ -126,23 +126,31 @@ class Window:
 def limit_calls(calls: DataFrame, limit: int, width_ms: int = 60_000, interval_ms: int = 0) -> DataFrame:
     """``calls`` (key, id, at in ms) with allowed, retry_after_ms, remaining.
 
-    The decision on a call depends on those before it, so a key's calls are met in order by one
-    task. They stream through it sorted; only the accepted calls of one window are held.
+    The decision on a call depends on those before it, but not across a time in which the window
+    runs empty. So a key's calls are parted where a stretch of the window's width has none, which
+    the distinct (key, stretch) tell; each part is met in order by one task. It streams through
+    sorted; only the accepted calls of one window are held.
     """
     kind = dict(calls.dtypes)["key"]
 
     def decide(batches):
-        key, state, some = None, None, False
+        now, state = None, None
         for pdf in batches:
             rows = []
-            for k, i, at in zip(pdf["key"], pdf["id"], pdf["at"]):
-                if not some or k != key:
-                    key, state, some = k, Window(limit, width_ms, interval_ms), True
+            for k, part, i, at in zip(pdf["key"], pdf["part"], pdf["id"], pdf["at"]):
+                if state is None or (k, part) != now:
+                    now, state = (k, part), Window(limit, width_ms, interval_ms)
                 ok, wait = state.ask(int(at))
                 rows.append((k, i, at, ok, wait, max(0, limit - len(state.times))))
             yield pd.DataFrame(rows, columns=["key", "id", "at", "allowed", "retry_after_ms", "remaining"])
 
-    dealt = calls.select("key", F.col("id").cast("long").alias("id"), F.col("at").cast("long").alias("at")).repartition("key").sortWithinPartitions("key", "at", "id")
+    at = F.col("at").cast("long")
+    calls = calls.select("key", F.col("id").cast("long").alias("id"), at.alias("at"), F.floor(at / F.lit(width_ms)).alias("stretch"))
+    # stretches that follow each other have one difference of number and rank
+    rank = F.row_number().over(W.partitionBy("key").orderBy("stretch"))
+    parts = calls.select("key", "stretch").distinct().select(F.col("key").alias("_key"), F.col("stretch").alias("_stretch"), (F.col("stretch") - rank).alias("part"))
+    calls = calls.join(parts, F.col("key").eqNullSafe(F.col("_key")) & (F.col("stretch") == F.col("_stretch"))).select("key", "part", "id", "at")
+    dealt = calls.repartition("key", "part").sortWithinPartitions("key", "part", "at", "id")
     return dealt.mapInPandas(decide, f"key {kind}, id long, at long, allowed boolean, retry_after_ms long, remaining long")
 
 

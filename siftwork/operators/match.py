@@ -1,15 +1,15 @@
 """Deduplication by keys, merging, and entity resolution.
 
-"Canonical" always means the record with the lower ``rec_idx``. One rule needs one minimum by
-key. Several rules interact, as only unmatched records register their keys: records are first
-joined to components by shared keys, and each component is settled in order by itself; records
-of different components never meet. Entity resolution does the same over the graph of pairs that
-are similar enough, which an equi-join on parts of the names finds.
+"Canonical" always means the record with the lower ``rec_idx``. Keys are folded once, to digests of
+16 bytes; what is shuffled and joined are record numbers and digests. One rule needs one minimum by
+key. Several rules interact, as only unmatched records register their keys: records are decided in
+rounds, in each of which those register that are the first undecided ones of all their keys, and
+those that hold a registered key are out. Entity resolution decides the same way over the graph of
+pairs that share an identifier. No component of linked records is ever gathered.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,19 +40,17 @@ def _part(key: str, kind: str, strategy: str, column: Column) -> Column:
     if kind == "string" and model.is_url_key(key):
         return urls.match_key(column)
     if kind == "string" and strategy == "NORMALIZED":
-        folded = text.fold(column)
-        return F.when(folded != "", folded)
+        return F.nullif(text.fold(column), F.lit(""))
     made = stable_json(column, kind)
     return F.when(column.cast("string") != "", made) if kind == "string" else made
 
 
 def key(rule: MatchRule, kinds: dict[str, str], prefix: str = "values.") -> Column:
-    """Composite key of a rule: null unless every part is there."""
-    parts = [_part(k, kinds[k], rule.strategy, F.col(f"{prefix}`{k}`")) for k in rule.keys]
-    whole = F.lit(True)
-    for p in parts:
-        whole = whole & p.isNotNull()
-    return F.when(whole, F.concat_ws(SEPARATOR, *parts))
+    """Digest of a rule's composite key: null unless every part is there, as a text is if one of its pieces is null."""
+    pieces = []
+    for k in rule.keys:
+        pieces += [F.lit(SEPARATOR), _part(k, kinds[k], rule.strategy, F.col(f"{prefix}`{k}`"))]
+    return F.unhex(F.md5(F.concat(*pieces[1:])))
 
 
 def _kinds(records: DataFrame) -> dict[str, str]:
@@ -81,57 +79,38 @@ def first_of_key(rows: DataFrame, match_key: Column, order: str) -> DataFrame:
     return out.withColumn("duplicate_of", F.when(F.col(order) > F.col("_least"), F.col("_least"))).drop("_key", "_least")
 
 
-def _settle(rules: int):
-    """The sequential rule within one component: a record takes the first rule whose key is known, else registers all its keys."""
+def registered(each: DataFrame) -> DataFrame:
+    """rule, k, first: the record that registers each key of ``each`` (rec_idx, rule, k; settled), if one does.
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        known: dict[tuple[int, str], int] = {}
-        rows = []
-        for rec, keys in sorted(zip(pdf["rec_idx"], pdf["keys"])):
-            hit = next(((k, known[k, v]) for k, v in enumerate(keys) if v is not None and (k, v) in known), None)
-            if hit is None:
-                known |= {(k, v): rec for k, v in enumerate(keys) if v is not None}
-            else:
-                rows.append((rec, hit[1], hit[0]))
-        return pd.DataFrame(rows, columns=["rec_idx", "duplicate_of", "rule"])
-
-    return settle
-
-
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """node, component (least node) of ``edges`` (u, v): labels spread and jump until they stay.
-
-    Each round is checkpointed in the shared folder; only counters come to the driver.
+    In order, a record registers all its keys unless one of them is known by then. In each round
+    the first undecided record of all its keys registers, and whoever holds one of these keys
+    can't any more; the rounds are few, as both leave together. Only counters come to the driver.
     """
-    both = settled(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("label"))
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("u").alias("v"), F.col("label").alias("other")), "v").groupBy("u").agg(F.min("other").alias("other"))
-        step = labels.join(near, "u", "left").select("u", F.least("label", "other").alias("next"), "label")
-        jump = step.select(F.col("u").alias("_u"), F.col("next").alias("far"))
-        step = settled(step.join(jump, F.col("next") == F.col("_u"), "left").select("u", "label", F.least("next", "far").alias("next")))
-        if step.where("next <> label").isEmpty():
-            break
-        labels = step.select("u", F.col("next").alias("label"))
-    return step.select(F.col("u").alias("node"), F.col("next").alias("component"))
+    sizes = settled(each.groupBy("rec_idx").agg(F.count(F.lit(1)).alias("n")))
+    found, open_ = None, each
+    while not open_.isEmpty():
+        lows = open_.groupBy("rule", "k").agg(F.min("rec_idx").alias("rec_idx"))
+        firsts = lows.groupBy("rec_idx").agg(F.count(F.lit(1)).alias("held")).join(sizes, "rec_idx").where("held = n").select("rec_idx")
+        new = settled(lows.join(firsts, "rec_idx").select("rule", "k", F.col("rec_idx").alias("first")))
+        found = new if found is None else found.unionByName(new)
+        out = open_.join(new.select("rule", "k"), ["rule", "k"]).select("rec_idx").distinct()
+        open_ = settled(open_.join(out, "rec_idx", "left_anti"))
+    return found if found is not None else each.withColumnRenamed("rec_idx", "first").select("rule", "k", "first")
 
 
 def links(records: DataFrame, plan: Plan) -> DataFrame:
-    """rec_idx, duplicate_of, rule (its number) of every record that a rule links to an earlier one."""
+    """rec_idx, duplicate_of, rule (its number) of every record that a rule links to an earlier one: the first rule whose key an earlier record registered."""
     rules, kinds = [r for r in plan.match_rules if r.strategy != "FUZZY_REVIEW"], _kinds(records)
     if not rules:
         return records.select("rec_idx", F.lit(None).cast("long").alias("duplicate_of"), F.lit(0).alias("rule")).limit(0)
     keys = [key(r, kinds) for r in rules]
     if len(rules) == 1:
-        found = first_of_key(records.select("rec_idx", keys[0].alias("_k")), F.col("_k"), "rec_idx")
+        found = first_of_key(settled(records.select("rec_idx", keys[0].alias("_k"))), F.col("_k"), "rec_idx")
         return found.where("duplicate_of is not null").select("rec_idx", "duplicate_of", F.lit(0).alias("rule"))
-    keyed = records.select("rec_idx", F.array(*keys).alias("keys"))
-    each = keyed.select("rec_idx", F.posexplode("keys").alias("rule", "k")).where("k is not null")
-    first = each.groupBy("rule", "k").agg(F.min("rec_idx").alias("first"))
-    edges = each.join(first, ["rule", "k"]).where("rec_idx <> first").select(F.col("rec_idx").alias("u"), F.col("first").alias("v"))
-    parts = components(edges)
-    grouped = keyed.join(parts, keyed["rec_idx"] == parts["node"]).select("rec_idx", "keys", "component")
-    return grouped.groupBy("component").applyInPandas(_settle(len(rules)), "rec_idx long, duplicate_of long, rule int")
+    each = settled(records.select("rec_idx", F.posexplode(F.array(*keys)).alias("rule", "k")).where("k is not null"))
+    known = settled(registered(each))
+    hits = each.join(known, ["rule", "k"]).where("first < rec_idx").groupBy("rec_idx").agg(F.min(F.struct("rule", "first")).alias("hit"))
+    return hits.select("rec_idx", F.col("hit.first").alias("duplicate_of"), F.col("hit.rule").alias("rule"))
 
 
 def _present(f: Field) -> Column:
@@ -274,12 +253,28 @@ def _named(records: DataFrame, plan: Plan) -> DataFrame | None:
     return open_.select("rec_idx", name.alias("name"), F.array_distinct(F.array_compact(F.array(*blocks))).alias("blocks"), ids.alias("ids")).where("name is not null")
 
 
+def merged_away(edges: DataFrame) -> DataFrame:
+    """idx of the records that go to an earlier one: ``edges`` (left_idx, right_idx) lead from one that isn't itself gone to a later one.
+
+    In each round the records without an earlier undecided neighbour stay, and their later
+    neighbours go; edges of decided records are done with.
+    """
+    gone, open_ = None, settled(edges)
+    while not open_.isEmpty():
+        stay = open_.select(F.col("left_idx").alias("idx")).distinct().join(open_.select(F.col("right_idx").alias("idx")).distinct(), "idx", "left_anti")
+        new = settled(open_.join(stay.withColumnRenamed("idx", "left_idx"), "left_idx").select(F.col("right_idx").alias("idx")).distinct())
+        gone = new if gone is None else gone.unionByName(new)
+        left = open_.join(new.withColumnRenamed("idx", "left_idx"), "left_idx", "left_anti").join(new.withColumnRenamed("idx", "right_idx"), "right_idx", "left_anti")
+        open_ = settled(left)
+    return gone if gone is not None else edges.select(F.col("left_idx").alias("idx")).limit(0)
+
+
 def resolve(records: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
     """(records with further links and merges, events MERGED, KEPT_SEPARATE or REVIEW_REQUIRED).
 
     Each record goes to its best earlier one that is no duplicate itself: one with a shared
-    identifier first, then the more similar, then the earlier. Pairs form components, and each
-    component is settled in order; identifiers are those of the records before merging.
+    identifier first, then the more similar, then the earlier. Identifiers are those of the
+    records before merging.
     """
     named = _named(records, plan)
     fuzzy = next((r for r in plan.match_rules if r.strategy == "FUZZY_REVIEW"), None)
@@ -291,23 +286,11 @@ def resolve(records: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
     if pairs.isEmpty():
         return records, empty
     ambiguous = fuzzy.ambiguous if fuzzy else "REVIEW_REQUIRED"
-    parts = components(pairs.select(F.col("left_idx").alias("u"), F.col("right_idx").alias("v")))
-    grouped = pairs.join(parts, pairs["right_idx"] == parts["node"]).select("component", "left_idx", "right_idx", "shared", "confidence")
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        gone: set[int] = set()
-        rows = []
-        for right, own in pdf.sort_values(["right_idx", "left_idx"]).groupby("right_idx", sort=True):
-            own = own[~own["left_idx"].isin(gone)].sort_values(["shared", "confidence", "left_idx"], ascending=[False, False, True])
-            if own.empty:
-                continue
-            best = own.iloc[0]
-            if best["shared"]:
-                gone.add(right)
-            rows.append((int(best["left_idx"]), int(right), "MERGED" if best["shared"] else ambiguous, float(best["confidence"])))
-        return pd.DataFrame(rows, columns=["canonical_idx", "duplicate_idx", "decision", "confidence"])
-
-    decided = grouped.groupBy("component").applyInPandas(settle, "canonical_idx long, duplicate_idx long, decision string, confidence double")
+    gone = merged_away(pairs.where("shared").select("left_idx", "right_idx"))
+    rank = F.struct((~F.col("shared")).alias("other"), (-F.col("confidence")).alias("distance"), "left_idx", "confidence")
+    decided = pairs.join(gone.select(F.col("idx").alias("left_idx")), "left_idx", "left_anti").groupBy("right_idx").agg(F.min(rank).alias("best"))
+    decision = F.when(F.col("best.other"), ambiguous).otherwise("MERGED")
+    decided = decided.select(F.col("best.left_idx").alias("canonical_idx"), F.col("right_idx").alias("duplicate_idx"), decision.alias("decision"), F.col("best.confidence").alias("confidence"))
     others = [k for k in (fuzzy.keys if fuzzy else ()) if k != field]
     decided = settled(decided)
     events = decided.select("canonical_idx", "duplicate_idx", "decision", F.lit("LIKELY_ENTITY").alias("match_type"), "confidence", F.array(*[F.lit(k) for k in [field, *others]]).alias("matched_fields"))

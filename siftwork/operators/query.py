@@ -35,6 +35,11 @@ def contains_any(query: str, *columns: Column) -> Column:
     return out
 
 
+def known_status(column: Column, status: str | None, known: tuple[str, ...]) -> Column:
+    """Whether a row has the status; a status that isn't known filters nothing."""
+    return column == status if status in known else F.lit(True)
+
+
 def compare(column: Column, op: str, value: Any) -> Column:
     """The requirement's filter algebra; a null never matches, but for ``exists`` = False."""
     if op == "exists":

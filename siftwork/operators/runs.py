@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,10 +52,88 @@ def relative_label(then: Column, now: Column) -> Column:
     )
 
 
-def activity_message(action: Column, name: Column) -> Column:
-    """A sentence for an event; unknown actions in plain words."""
-    plain = F.lower(F.replace(action, F.lit("_"), F.lit(" ")))
-    return F.when(name.isNull(), plain).otherwise(F.concat(plain, F.lit(": "), name))
+#: What an action's message says; braces name a detail, or the first there is of several, and what stands for none.
+MESSAGES = {
+    "RUN_STARTED": "Workflow mission initiated",
+    "STAGE_STARTED": "Stage started: {stage|Processing}",
+    "STAGE_COMPLETED": "Stage completed: {stage|Processing}",
+    "SOURCE_DISCOVERY_STARTED": "Discovering permitted sources...",
+    "SOURCE_DISCOVERED": "Discovered source: {url,domain|1 source}",
+    "SCRAPE_STARTED": "Collecting source contents...",
+    "SCRAPE_COMPLETED": "Collected data from sources",
+    "SOURCE_PROCESSED": "Collected data from sources",
+    "EXTRACTION_STARTED": "Extracting structured fields...",
+    "RECORDS_EXTRACTED": "Extracted {recordCount,count|} records",
+    "RECORDS_COLLECTED": "Extracted {recordCount,count|} records",
+    "VALIDATION_COMPLETED": "Validation finished: {validRecords|} valid records",
+    "DEDUPLICATION_COMPLETED": "Deduplication complete: {duplicatesFound|0} duplicates identified",
+    "DEDUP_COMPLETED": "Deduplication complete: {duplicatesFound|0} duplicates identified",
+    "DATASET_CREATED": "Cargo dataset materialized",
+    "RUN_COMPLETED": "Workflow mission successfully completed",
+    "RUN_FAILED": "Mission failed: {error|Internal error}",
+}
+
+
+def activity_message(action: Column, details: Column, message: Column | None = None) -> Column:
+    """A sentence for an event: its own message, that of its details (a map of texts), its action's, else the action in plain words."""
+    detail = lambda k: F.try_element_at(details, F.lit(k))
+    out = F.lower(F.replace(action, F.lit("_"), F.lit(" ")))
+    for name, text in MESSAGES.items():
+        pieces = []
+        for fixed, keys, default in re.findall(r"([^{]*)(?:\{([^|]*)\|([^}]*)\})?", text):
+            pieces.append(F.lit(fixed))
+            if keys:
+                pieces.append(F.coalesce(*[detail(k) for k in keys.split(",")], F.lit(default)))
+        out = F.when(action == name, F.concat(*pieces)).otherwise(out)
+    own = [message] if message is not None else []
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in own], detail("message"), out)
+
+
+def latest(events: DataFrame, n: int = 100, order: str = "ts", key: str = "event_id") -> DataFrame:
+    """The ``n`` latest events over all runs, the last first."""
+    return events.orderBy(F.desc(order), F.desc(key)).limit(n)
+
+
+#: States of a run that can still fail, and of a step.
+OPEN_RUN, OPEN_STEP = ("PENDING", "PLANNING", "RUNNING"), ("PENDING", "RUNNING")
+
+
+def claim(runs: DataFrame, wanted: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(runs after the claims of ``wanted`` (run, worker), the claims that won: run, worker).
+
+    A run is claimed if it is PENDING and not cancelled, by the least worker that asks: as a merge
+    of tables, compare and set is one join. ``runs``: run, status, cancelled_at, started_at, attempt.
+    """
+    first = wanted.groupBy("run").agg(F.min("worker").alias("worker"))
+    out = runs.join(first, "run", "left")
+    won = (F.col("status") == "PENDING") & F.col("cancelled_at").isNull() & F.col("worker").isNotNull()
+    out = out.withColumn("_won", F.coalesce(won, F.lit(False)))
+    claims = out.where("_won").select("run", "worker")
+    after = out.withColumns({"status": F.when(F.col("_won"), "RUNNING").otherwise(F.col("status")), "started_at": F.when(F.col("_won"), now).otherwise(F.col("started_at")), "attempt": F.col("attempt") + F.col("_won").cast("int")})
+    return after.drop("_won", "worker"), claims
+
+
+def fail(runs: DataFrame, steps: DataFrame, failures: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(runs, steps, events) after ``failures`` (run, code, message): open runs and their open steps fail, others stay as they are.
+
+    ``runs``: run, status, error_code, error_message; ``steps``: run, step and the same.
+    """
+    hit = runs.where(F.col("status").isin(*OPEN_RUN)).select("run").join(failures, "run").select("run", F.substring("code", 1, 100).alias("_code"), F.substring("message", 1, 1000).alias("_message"))
+
+    def failed(rows: DataFrame, states: tuple[str, ...]) -> DataFrame:
+        rows = rows.join(hit, "run", "left")
+        now = F.col("_code").isNotNull() & F.col("status").isin(*states)
+        new = {"status": F.lit("FAILED"), "error_code": F.col("_code"), "error_message": F.col("_message")}
+        return rows.withColumns({c: F.when(now, v).otherwise(F.col(c)) for c, v in new.items()}).drop("_code", "_message")
+
+    return failed(runs, OPEN_RUN), failed(steps, OPEN_STEP), hit.select("run", F.lit("RUN_FAILED").alias("action"), F.col("_code").alias("error_code"))
+
+
+def save_once(datasets: DataFrame, new: DataFrame, key: str = "run") -> DataFrame:
+    """``datasets`` with the rows of ``new`` whose run has none yet, the first of a run by its other columns; saving again changes nothing."""
+    rest = [c for c in datasets.columns if c != key]
+    fresh = new.join(datasets.select(key), key, "left_anti").groupBy(key).agg(F.min(F.struct(*rest)).alias("_first"))
+    return datasets.unionByName(fresh.select(key, *[F.col(f"_first.{c}").alias(c) for c in rest]))
 
 
 def usage(events: DataFrame, key: str = "run") -> DataFrame:

@@ -29,6 +29,8 @@ SPARK_TYPES = {"string": "string", "number": "double", "integer": "double", "boo
 STORED_FORMATS = {"date": "DATE", "date-time": "DATETIME", "uri": "URL", "email": "EMAIL"}
 STORED_TYPES = {"number": "NUMBER", "integer": "NUMBER", "boolean": "BOOLEAN", "array": "JSON", "object": "JSON"}
 MAX_LABEL = 64
+#: What is asked for if a requirement has no objective, no entity type, no fields.
+MISSING = ("A clear objective for the requested dataset", "The kind of entity or information to collect", "At least one requested field or attribute")
 
 
 @dataclass(frozen=True)
@@ -157,29 +159,40 @@ class Requirement:
         foreign = (set(self.required) | set(self.optional)) - set(self.fields)
         return [f"{x} is required and optional" for x in sorted(both)] + [f"{x} is neither required nor optional" for x in sorted(loose)] + [f"{x} isn't a field" for x in sorted(foreign)]
 
-    def missing_information(self, sources: int, filters: int, limit: int | None) -> list[str]:
-        """What a user should still be asked: given points, then what the counts show, without repetition."""
-        derived = [("sources" if not sources else None), ("filters" if not filters else None), ("record count" if limit is None else None)]
-        return list(dict.fromkeys([*self.missing, *[d for d in derived if d]]))
+    def missing_information(self, objective: str, entity: str) -> list[str]:
+        """What a user should still be asked: given points, then what the requirement lacks, without repetition."""
+        lacks = (not objective, not entity, not self.fields)
+        return list(dict.fromkeys([*self.missing, *[text for text, lack in zip(MISSING, lacks) if lack]]))
+
+
+#: What detectors look for in folded keys (the first group) and in keys as they are.
+URL_END, URL_NAMES = "url", ("website", "domain")
+DATE_END, DATE_NAMES = "date", ("founded",)
+PHONE_WORDS = ("phone", "mobile", "telephone")
+MONEY = re.compile("funding|salary|price|revenue|amount|cost|budget|valuation")
+COUNTRY_TOKEN = re.compile(r"(?i)(^|_)(country|nation)(_|$)")
+URL_TOKEN = re.compile(r"(?i)(^|_)(url|website|domain|linkedin)(_|$)")
+IDENTIFIER = re.compile(r"(?i)(website|url|domain|linkedin|email|registration|tax)")
+NAME = re.compile(r"(?i)(^|_)(company|organization|organisation|entity|person|event|product)?_?name$|^name$")
 
 
 # field detectors: by folded key and declared type
 def is_url_field(f: Field) -> bool:
     k = fold_key(f.key)
-    return f.type == "string" and (k.endswith("url") or k in ("website", "domain"))
+    return f.type == "string" and (k.endswith(URL_END) or k in URL_NAMES)
 
 
 def is_date_field(f: Field) -> bool:
     k = fold_key(f.key)
-    return f.type == "string" and (k.endswith("date") or k == "founded")
+    return f.type == "string" and (k.endswith(DATE_END) or k in DATE_NAMES)
 
 
 def is_phone_field(f: Field) -> bool:
-    return any(w in fold_key(f.key) for w in ("phone", "mobile", "telephone"))
+    return any(w in fold_key(f.key) for w in PHONE_WORDS)
 
 
 def is_money_field(f: Field) -> bool:
-    return bool(re.search("funding|salary|price|revenue|amount|cost|budget|valuation", fold_key(f.key)))
+    return bool(MONEY.search(fold_key(f.key)))
 
 
 def is_email_field(f: Field) -> bool:
@@ -191,20 +204,20 @@ def is_country_field(f: Field) -> bool:
 
 
 def has_country_token(key: str) -> bool:
-    return bool(re.search(r"(?i)(^|_)(country|nation)(_|$)", key))
+    return bool(COUNTRY_TOKEN.search(key))
 
 
 def is_url_key(key: str) -> bool:
-    return bool(re.search(r"(?i)(^|_)(url|website|domain|linkedin)(_|$)", key))
+    return bool(URL_TOKEN.search(key))
 
 
 def is_identifier(key: str) -> bool:
-    return bool(re.search(r"(?i)(website|url|domain|linkedin|email|registration|tax)", key))
+    return bool(IDENTIFIER.search(key))
 
 
 def name_field(plan: Plan) -> str | None:
     """First field that names an entity."""
-    return next((f.key for f in plan.fields if re.search(r"(?i)(^|_)(company|organization|organisation|entity|person|event|product)?_?name$|^name$", f.key)), None)
+    return next((f.key for f in plan.fields if NAME.search(f.key)), None)
 
 
 def leaf_paths(schema: T.DataType, depth: int = 4, prefix: str = "") -> list[str]:

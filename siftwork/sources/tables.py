@@ -17,6 +17,21 @@ def table(spark: SparkSession, path: str, columns: list[str] | None = None, kind
     return df.select(*columns) if columns else df
 
 
+#: Estimated bytes from which on rows are worth dealing over the cores.
+WORTH = 1 << 20
+
+
+def spread(df: DataFrame, worth: int = WORTH) -> DataFrame:
+    """``df`` dealt over all cores if its scan has fewer partitions than there are and ``worth`` bytes or more, for work that outweighs a shuffle of the rows.
+
+    Files of one row group are read by one task, however large. At scale a scan has more
+    partitions than cores, and this does nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size >= worth and df.rdd.getNumPartitions() < cores else df
+
+
 def relational(spark: SparkSession, url: str, name: str, key: str | None = None, low: int = 0, high: int = 0, parts: int = 1) -> DataFrame:
     """Scan of a database table, split by a key's range. The driver class must be on the class path."""
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", name)

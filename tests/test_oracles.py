@@ -42,5 +42,6 @@ def test_query(spark, data, duck, name):
         assert len(got.columns) > 0
         return
     want = duck.execute(catalog.SQL[name]).df()
+    assert len(want), "a query that finds nothing proves nothing"
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)

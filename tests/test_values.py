@@ -73,7 +73,8 @@ def test_plan_and_requirement():
     bad = Plan((Field("a"), Field("a")), steps=(Step("x", "EXTRACT", ("y",)), Step("x", "CUT")), required=("z",))
     assert len(bad.problems()) == 5
     assert Requirement(("a", "b"), ("a",), ("b",)).problems() == [] and len(Requirement(("a", "b", "c"), ("a", "b"), ("b", "d")).problems()) == 3
-    assert Requirement((), missing=("topic", "filters")).missing_information(0, 0, 5) == ["topic", "filters", "sources"]
+    assert Requirement((), missing=("topic", "topic")).missing_information("x", "") == ["topic", "The kind of entity or information to collect", "At least one requested field or attribute"]
+    assert Requirement(("a",)).missing_information("x", "y") == []
     assert model.name_field(plan) == "company_name" and model.name_field(Plan((Field("x"),))) is None
 
 
@@ -135,3 +136,18 @@ def test_snippets_of_short_passages(spark):
     passages = {1: "alpha", 2: "alpha beta", 3: "pha betas, c", 4: "a  b", 5: "zz"}
     got = _holding(spark.createDataFrame(list(texts.items()), "doc_id long, t string"), spark.createDataFrame(list(passages.items()), "item_id long, passage string")).collect()
     assert sorted(map(tuple, got)) == sorted((d, i) for d, t in texts.items() for i, p in passages.items() if t and p in t)
+
+
+def test_folds_are_those_of_the_standard(spark):
+    """Every character but Hangul, alone and in a word, folds natively as by the exact way."""
+    chars = [chr(c) for c in range(0x21, 0x30000) if not 0xAC00 <= c <= 0xD7A3 and not 0xD800 <= c <= 0xDFFF and text._plain(chr(c)) != chr(c)]
+    df = spark.createDataFrame([(f"a{c}b",) for c in chars], "raw string")
+    assert df.where(~text.strip_marks(F.col("raw")).eqNullSafe(text.strip_marks(F.col("raw"), exact=True))).collect() == []
+
+
+def test_countries(spark):
+    """Territories count, by code and by name."""
+    rows = [("PR", "Puerto Rico"), ("gl", "Greenland"), ("X.K.", "Kosovo"), ("faroe islands", "Faroe Islands"), ("TR", "Türkiye"), ("ZZ", "ZZ"), (" nowhere ", "nowhere")]
+    df = spark.createDataFrame(rows, "raw string, want string")
+    assert all(r[0] == r[1] for r in df.select(values.country(F.col("raw")), "want").collect())
+    assert len(values.countries()) >= 250
