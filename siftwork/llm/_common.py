@@ -2,53 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwork.operators.store import clear_workspaces, materialize, workspace
+
+__all__ = ["BROADCAST_ROWS", "UNROLLED", "WORD", "clear_workspaces", "let", "materialize", "open_fs", "read_table", "row_key", "uniform", "unroll", "words", "workspace"]
+
 #: Fixed value: a word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Where intermediate tables go when the session names no shared folder (tests, one machine).
-FALLBACK_DIR = "file:///tmp/checkpoints/siftwork"
+#: Rows of a table that is broadcast at most; above, the join shuffles.
+BROADCAST_ROWS = 1_000_000
 #: Copies of a row that one task makes.
 UNROLLED = 10_000
-#: Folders that this process was given.
-_MADE: list[str] = []
-
-
-def workspace(spark: SparkSession, name: str) -> str:
-    """URI of a fresh folder below the cluster's shared ``spark.checkpoint.dir``.
-
-    Nothing is created here. All processes of the job can reach the folder, so what is
-    written there outlives a lost executor.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
-    if "://" not in base and base.startswith("/"):
-        base = f"file://{base}"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _MADE.append(path)
-    return path
-
-
-def clear_workspaces() -> None:
-    """Removes this process's folders. Results read from them can't be read any more; it runs by itself when the driver's Python ends."""
-    while _MADE:
-        with contextlib.suppress(OSError):
-            fs, root = open_fs(_MADE.pop())
-            fs.delete_dir(root)
-
-
-atexit.register(clear_workspaces)
-
-
-def materialize(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` as Parquet and return the table read back: its lineage ends at the files."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def row_key(*columns: str) -> Column:

@@ -12,8 +12,8 @@ conversation is numbered as if it stood by itself) and the intervals of its ance
 the node itself are all that it may attend to. The loss mask covers the assistant's texts.
 
 Defined cases: a null text or role is empty; turns are ordered by turn, role and text, null
-first; rows that are repeated are turns of their own; rows without a conversation id form one
-conversation; an empty table gives no packs. A conversation is one training example and is held
+first; rows that are repeated are turns of their own; a row without a conversation id belongs to no other
+and is a conversation by itself; an empty table gives no packs. A conversation is one training example and is held
 as a whole by the task that formats it; conversations are never gathered.
 """
 
@@ -23,10 +23,10 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm._common import materialize, workspace
+from siftwork.llm._common import let, materialize, workspace
 
 #: Characters after which a pack takes no further conversation.
 PACK = 1 << 17
@@ -99,9 +99,16 @@ class Pack:
 def format_conversations(conversations: DataFrame, pack: int = PACK) -> DataFrame:
     """One row a pack: its text, its nodes and which node each conversation ends at."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    convs = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list("t")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t"))
+    said = lambda turns: F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    convs = rows.where("conv_id is not null").groupBy("conv_id").agg(said(F.sort_array(F.collect_list("t"))).alias("turns"))
+    convs = convs.unionByName(rows.where("conv_id is null").select("conv_id", said(F.array("t")).alias("turns")))
+
     # digests of the turns up to each, in a string that sorts paths depth first
-    grown = lambda acc, t: F.struct(F.sha2(F.concat_ws("\x00", acc["last"], F.sha2(t["role"], 256), F.sha2(t["text"], 256)), 256).alias("last"), F.concat(acc["path"], F.substring(F.sha2(F.concat_ws("\x00", acc["last"], F.sha2(t["role"], 256), F.sha2(t["text"], 256)), 256), 1, 16)).alias("path"))
+    def grown(acc: Column, t: Column) -> Column:
+        digest = F.sha2(F.concat_ws("\x00", acc["last"], F.sha2(t["role"], 256), F.sha2(t["text"], 256)), 256)
+        return let(digest, lambda d: F.struct(d.alias("last"), F.concat(acc["path"], F.substring(d, 1, 16)).alias("path")))
+
     path = F.aggregate("turns", F.struct(F.lit("").alias("last"), F.lit("").alias("path")), grown, lambda acc: acc["path"])
     ordered = convs.withColumn("path", path).repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id").select("conv_id", "turns")
 

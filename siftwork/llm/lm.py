@@ -1,23 +1,26 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Counts of words and of word pairs are gathered from the training documents and kept in Bloom
-filters by their logarithm: a gram counted c times is entered once for each level up to
-1 + log2(c). To look a gram up, its levels are probed one after the other until one is missing;
-the middle of the last level's range is the count. A filter never forgets, so a count is rarely
-too high and never too low by more than its level.
+Counts of pairs and triples of words are gathered from the training documents and kept in Bloom
+filters by their level, on a scale that is exact up to ``EXACT`` and grows by ``RATIO`` from there: a
+gram is entered once for each level up to its own. To look a gram up, its levels are probed one
+after the other until one is missing; the mean of the last level's counts is the gram's. A filter
+never forgets, so a count is rarely too high and never too low by more than its level.
 
 Grams are dealt by hash to segments. A segment is built by one task from the sums of the map
-tasks, and written to the shared folder, from where the workers fetch it: this is the broadcast,
-and it does not pass through the driver. A worker holds one segment at a time and scores a block
-of documents segment by segment, so memory is bounded by ``SEGMENT_GRAMS`` at any size of the
-corpus. The exact counts that the base score needs are kept in the same way, as sorted arrays of
-64-bit word hashes.
-
-The model discounts: p(w | v) = max(c(v, w) - D, 0) / c(v) + D * t(v) / c(v) * p(w), where p(w) is
-smoothed as in the base score and t(v) is the number of different words after v. That number is
-taken to grow as a power of c(v), with a factor for which all words together have as many as
-there are distinct pairs. After an unseen word and at the start of a text, p(w) alone counts. All
-counts come from the filters.
+tasks, merged as they come, and written to the shared folder, from where the workers fetch it: this
+is the broadcast, and it does not pass through the driver. To score, documents are dealt to slices
+of some MB. A slice asks for each of its distinct grams once; the questions are shuffled to the
+segments, a worker fetches each segment once and answers all questions to it by membership
+probes, and the answers are shuffled back to their slices. So the work is in proportion to the
+text at any size, and a worker holds a segment and a slice. The exact counts of words, which the
+base score needs, are kept in the segments too, as sorted arrays of 64-bit hashes.
+
+The model is a trigram model with Dirichlet priors: p(w | u v) = (c(u v w) + B3 p(w | v)) / (c(u v) + B3),
+p(w | v) = (c(v w) + B2 p(w)) / (c(v) + B2), and p(w) is smoothed as in the base score, with a share for
+one unseen word. It sums to 1 over the vocabulary and the unseen word, up to the levels' rounding: the
+counts of what follows a context, each off by a factor of ``RATIO ** 0.5`` at most above ``EXACT``, no
+longer add to the context's own. So the sum is within ``RATIO - 1`` of 1, apart from filter errors.
+At the start of a text, and after a context that is unseen, the shorter context counts alone.
 
 Words are runs outside ASCII white space with A-Z lowered; an end follows the last. Defined
 cases: a null or empty text is the end alone; a null id counts as the empty text for the
@@ -37,19 +40,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm._arrays import hashes, mix, releasing, slices, word_hashes
+from siftwork.llm._arrays import hashes, mix, release, releasing, slices, word_hashes
 from siftwork.llm._common import materialize, open_fs, workspace
 
-#: Bits of the filter for each entry, probes for each entry.
-BITS, PROBES = 10, 5
-#: The model's discount, and the power of a word's count with which the words after it grow in number.
-DISCOUNT, GROWTH = 0.75, 0.9
-#: Grams of a segment at most, on average; sums that a map task holds before it passes them on; bytes of text scored at once.
-SEGMENT_GRAMS, HELD, TEXT = 1 << 20, 1 << 21, 4 << 20
+#: Bits of the filter for each entry, probes for each entry; the scale of counts.
+BITS, PROBES, EXACT, RATIO, LEVELS = 10, 5, 4, 1.25, 120
+#: Words of the longest grams, and the weights of the priors of pairs and triples.
+ORDER, PRIORS = 3, {2: 20.0, 3: 8.0}
+#: Grams of a segment at most, on average; sums that a map task holds before it passes them on; bytes of text of a slice, and of a partition of slices.
+SEGMENT_GRAMS, HELD, TEXT, PART_BYTES = 1 << 20, 1 << 21, 4 << 20, 16 << 20
 ALPHA = 0.1
 #: The end's hash input holds a space, so no word is equal to it.
 END = " </s>"
-WORDS, PAIRS = 0, 1
+#: Kinds of what is counted; grams of more words have their number.
+WORDS = 1
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -63,16 +67,15 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes + 1
 
 
-def pairs(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each token with the one before it, which tokens have one)."""
-    with np.errstate(over="ignore"):
-        before = np.concatenate([h[:1], h[:-1]])
-        both = mix(before * np.uint64(3) + mix(h, 11), 5)
-    inner = np.ones(len(h), bool)
-    inner[np.cumsum(sizes)[:-1]] = False
-    if len(h):
-        inner[0] = False
-    return both, inner
+def grams(h: np.ndarray, sizes: np.ndarray, order: int = ORDER) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By number of words from 2 on: (hash of the gram that ends at each token, which tokens have one)."""
+    starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at, out, now = np.arange(len(h)) - starts, {}, h
+    for n in range(2, order + 1):
+        with np.errstate(over="ignore"):
+            now = mix(np.concatenate([now[:1], now[:-1]]) * np.uint64(3) + mix(h, 9 + n), 3 + n)
+        out[n] = (now, at >= n - 1)
+    return out
 
 
 def held_out(ids: pa.Array) -> np.ndarray:
@@ -84,6 +87,23 @@ def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
 
 
+def packed(kind: int, h: np.ndarray) -> bytes:
+    """Hashes as they travel to their segment: whole for words, which are counted exactly, the lower half for grams."""
+    return h.astype("<u8").tobytes() if kind == WORDS else (h & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
+
+
+def unpacked(kind: int, raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u8" if kind == WORDS else "<u4").astype(np.uint64)
+
+
+def by_segment(h: np.ndarray, segments: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(segment, its part) of sorted hashes, for segments that have any."""
+    at = segment_of(h, segments)
+    cuts = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(h)]]) if len(h) else []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield int(at[a]), np.arange(a, b)
+
+
 def _sum(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(h, kind="stable")
     h, c = h[order], c[order]
@@ -93,14 +113,34 @@ def _sum(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[first], np.add.reduceat(c, first)
 
 
+class Sums:
+    """Counts by hash that are merged whenever what came since outweighs what there is."""
+
+    def __init__(self):
+        self.h, self.c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.new, self.size = [], 0
+
+    def add(self, h: np.ndarray, c: np.ndarray) -> None:
+        self.new.append((h, c))
+        self.size += len(h)
+        if self.size > len(self.h) + 65_536:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.new:
+            self.h, self.c = _sum(np.concatenate([self.h, *[h for h, _ in self.new]]), np.concatenate([self.c, *[c for _, c in self.new]]))
+            self.new, self.size = [], 0
+        return self.h, self.c
+
+
 PART = pa.schema([("kind", pa.int32()), ("segment", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
 
 
-def count(docs: DataFrame, segments: int) -> DataFrame:
-    """Partial sums of the grams' counts: one row for each map flush, kind and segment, with packed arrays."""
+def count(docs: DataFrame, segments: int, order: int = ORDER) -> DataFrame:
+    """Partial sums of the counts of words and grams: one row for each map flush, kind and segment, with packed arrays."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {WORDS: [], PAIRS: []}
+        held = {kind: [] for kind in range(WORDS, order + 1)}
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -109,16 +149,17 @@ def count(docs: DataFrame, segments: int) -> DataFrame:
                     continue
                 h, c = _sum(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
                 parts.clear()
-                cuts = np.searchsorted(segment_of(h, segments), np.arange(segments + 1))
-                rows = [(kind, s, h[a:b].tobytes(), c[a:b].astype("<u4" if not len(c) or c.max() < 2**32 else "<u8").tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+                rows = []
+                for segment, own in by_segment(h, segments):
+                    n = c[own]
+                    rows.append((kind, segment, packed(kind, h[own]), n.astype("<u1" if n.max() < 1 << 8 else "<u4" if n.max() < 1 << 32 else "<u8").tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(PART)], schema=PART)
 
         for batch in batches:
             for part in slices(batch, 1, TEXT):
                 part = part.filter(pa.array(~held_out(part.column(0))))
                 h, sizes = tokens(part.column(1))
-                both, inner = pairs(h, sizes)
-                for kind, x in ((WORDS, h), (PAIRS, both[inner])):
+                for kind, x in [(WORDS, h)] + [(n, g[there]) for n, (g, there) in grams(h, sizes, order).items()]:
                     got = np.unique(x, return_counts=True)
                     if len(got[0]):
                         held[kind].append(got)
@@ -131,14 +172,21 @@ def count(docs: DataFrame, segments: int) -> DataFrame:
     return docs.mapInArrow(releasing(partial), "kind int, segment long, hashes binary, counts binary")
 
 
-def levels(counts: np.ndarray) -> np.ndarray:
-    """1 + floor(log2(count))."""
-    return np.frexp(counts.astype(np.float64))[1].astype(np.int64)
+def _edges() -> np.ndarray:
+    """Least count of each level from 1 on."""
+    out = list(range(1, EXACT + 1))
+    while len(out) < LEVELS:
+        out.append(max(out[-1] + 1, int(np.ceil(out[-1] * RATIO))))
+    return np.array(out, np.float64)
 
 
-def middle(level: np.ndarray) -> np.ndarray:
-    """Mean of the counts of a level, 0 for level 0; the first two levels' counts weigh by how rare words fall off."""
-    return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 2.0 ** np.maximum(level - 1, 0) * 1.4))
+EDGES = _edges()
+#: Count that a level stands for: the mean of its own. Level 0 is none.
+MEANS = np.concatenate([[0.0], (EDGES[:-1] + EDGES[1:] - 1) / 2, EDGES[-1:]])
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    return np.searchsorted(EDGES, counts, side="right")
 
 
 class Filter:
@@ -153,27 +201,28 @@ class Filter:
         size = max(64, int(top.sum()) * BITS)
         size += -size % 8
         out = Filter(np.zeros(size // 8, np.uint8), size)
+        order = np.argsort(-top, kind="stable")
+        left, sorted_top = h[order], top[order]
         for level in range(1, int(top.max(initial=0)) + 1):
-            some = h[top >= level]
-            for p in range(PROBES):
-                at = out._place(some, level, p)
+            left = left[: np.searchsorted(-sorted_top, -level, side="right")]
+            for at in out._places(left, level):
                 np.bitwise_or.at(out.bits, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
         return out
 
-    def _place(self, h: np.ndarray, level: int, probe: int) -> np.ndarray:
+    def _places(self, h: np.ndarray, level: int) -> Iterator[np.ndarray]:
         """Double hashing: probes of a level step on by an odd stride."""
-        with np.errstate(over="ignore"):
-            a, b = mix(h, 2 * level + 1), mix(h, 2 * level + 2) | np.uint64(1)
-            return (a + np.uint64(probe) * b) % self.size
+        a, b = mix(h, 2 * level + 1), mix(h, 2 * level + 2) | np.uint64(1)
+        for probe in range(PROBES):
+            with np.errstate(over="ignore"):
+                yield (a + np.uint64(probe) * b) % self.size
 
     def look(self, h: np.ndarray) -> np.ndarray:
         """Level of each gram, 0 if it isn't there."""
         found = np.zeros(len(h), np.int64)
         open_, level = np.arange(len(h)), 1
-        while len(open_):
+        while len(open_) and level <= LEVELS:
             left = h[open_]
-            with np.errstate(over="ignore"):
-                a, b = mix(left, 2 * level + 1), mix(left, 2 * level + 2) | np.uint64(1)
+            a, b = mix(left, 2 * level + 1), mix(left, 2 * level + 2) | np.uint64(1)
             for p in range(PROBES):
                 with np.errstate(over="ignore"):
                     at = (a + np.uint64(p) * b) % self.size
@@ -186,40 +235,39 @@ class Filter:
         return found
 
 
-def build(parts: DataFrame, path: str, segments: int) -> DataFrame:
-    """Writes each segment's exact words and filters below ``path``; returns segment, file, words, tokens, pairs, and the sum of the counts' powers."""
+def build(parts: DataFrame, path: str, order: int = ORDER) -> DataFrame:
+    """Writes each segment's exact words and filters below ``path``; returns segment, file, words and tokens."""
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(path)
         fs.create_dir(root, recursive=True)
-        now, held = None, []
+        now, held = None, {}
 
         def done() -> pa.RecordBatch:
-            got = {}
-            for kind in (WORDS, PAIRS):
-                own = [(h, c) for k, h, c in held if k == kind]
-                got[kind] = _sum(np.concatenate([x[0] for x in own] or [np.zeros(0, np.uint64)]), np.concatenate([x[1] for x in own] or [np.zeros(0, np.int64)]))
-            (wh, wc), (ph, pcount) = got[WORDS], got[PAIRS]
-            filters = [Filter.build(wh, wc), Filter.build(ph, pcount)]
+            wh, wc = held.pop(WORDS, Sums()).merge()
+            filters = [Filter.build(*held.pop(n, Sums()).merge()) for n in range(2, order + 1)]
             # a name that no other attempt uses; the manifest, which Spark commits, tells which one counts
             name = f"{now}-{uuid.uuid4().hex}.seg"
             with fs.open_output_stream(f"{root}/{name}", compression=None) as f:
-                f.write(struct.pack("<5q", len(wh), len(filters[0].bits), int(filters[0].size), len(filters[1].bits), int(filters[1].size)))
-                f.write(wh.astype("<u8").tobytes() + wc.astype("<i8").tobytes() + filters[0].bits.tobytes() + filters[1].bits.tobytes())
-            return pa.RecordBatch.from_pydict({"segment": [now], "file": [name], "words": [len(wh)], "tokens": [int(wc.sum())], "pairs": [len(ph)], "growth": [float((wc**GROWTH).sum())]})
+                f.write(struct.pack(f"<{2 + 2 * len(filters)}q", len(wh), len(filters), *[x for g in filters for x in (len(g.bits), int(g.size))]))
+                f.write(wh.astype("<u8").tobytes() + wc.astype("<i8").tobytes())
+                for g in filters:
+                    f.write(g.bits.tobytes())
+            return pa.RecordBatch.from_pydict({"segment": [now], "file": [name], "words": [len(wh)], "tokens": [int(wc.sum())]})
 
         for batch in batches:
             for kind, segment, h, c in zip(*(x for x in batch.columns)):
-                if segment.as_py() != now and held:
+                if segment.as_py() != now and now is not None:
                     yield done()
                     held.clear()
-                now, h, c = segment.as_py(), np.frombuffer(h.as_py(), "<u8"), c.as_py()
-                held.append((kind.as_py(), h, np.frombuffer(c, "<u4" if len(c) == 4 * len(h) else "<u8").astype(np.int64)))
-        if held:
+                now, kind, c = segment.as_py(), kind.as_py(), c.as_py()
+                h = unpacked(kind, h.as_py())
+                held.setdefault(kind, Sums()).add(h, np.frombuffer(c, f"<u{len(c) // len(h)}").astype(np.int64))
+        if now is not None:
             yield done()
 
     dealt = parts.repartition("segment").sortWithinPartitions("segment")
-    return materialize(dealt.mapInArrow(releasing(built), "segment long, file string, words long, tokens long, pairs long, growth double"), f"{path}/manifest")
+    return materialize(dealt.mapInArrow(releasing(built), "segment long, file string, words long, tokens long"), f"{path}/manifest")
 
 
 class Segment:
@@ -227,83 +275,117 @@ class Segment:
         fs, root = open_fs(path)
         with fs.open_input_file(f"{root}/{name}") as f:
             raw = f.read()
-        words, wb, ws, pb, ps = struct.unpack("<5q", raw[:40])
-        at = 40
+        words, n = struct.unpack("<2q", raw[:16])
+        sizes = struct.unpack(f"<{2 * n}q", raw[16 : 16 + 16 * n])
+        at = 16 + 16 * n
         self.words = np.frombuffer(raw, "<u8", words, at)
         self.counts = np.frombuffer(raw, "<i8", words, at := at + 8 * words)
-        self.word_filter = Filter(np.frombuffer(raw, np.uint8, wb, at := at + 8 * words), ws)
-        self.pair_filter = Filter(np.frombuffer(raw, np.uint8, pb, at + wb), ps)
-
-    def exact(self, h: np.ndarray) -> np.ndarray:
+        at += 8 * words
+        self.filters = {}
+        for k in range(n):
+            self.filters[2 + k] = Filter(np.frombuffer(raw, np.uint8, sizes[2 * k], at), sizes[2 * k + 1])
+            at += sizes[2 * k]
+
+    def answer(self, kind: int, h: np.ndarray) -> bytes:
+        """Exact counts of words, levels of grams."""
+        if kind != WORDS:
+            return self.filters[kind].look(h).astype("<u1").tobytes()
         if not len(self.words):
-            return np.zeros(len(h), np.int64)
+            return np.zeros(len(h), "<i8").tobytes()
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, self.counts[at], 0)
+        return np.where(self.words[at] == h, self.counts[at], 0).astype("<i8").tobytes()
+
+
+def distinct(texts: pa.Array, order: int) -> tuple[np.ndarray, dict[int, tuple]]:
+    """(tokens by text; by kind: distinct hashes in order, each token's place among them, which tokens count)."""
+    h, sizes = tokens(texts)
+    out = {WORDS: (*np.unique(h, return_inverse=True), np.ones(len(h), bool))}
+    for n, (g, there) in grams(h, sizes, order).items():
+        out[n] = (*np.unique(g[there], return_inverse=True), there)
+    return sizes, out
+
+
+def interpolate(p: np.ndarray, counts: np.ndarray, context: np.ndarray, prior: float) -> np.ndarray:
+    """Probabilities in longer contexts from those in shorter ones, ``p``; a context that was never seen leaves them as they are."""
+    return np.where(context > 0, (np.minimum(counts, context) + prior * p) / (context + prior), p)
+
+
+QUESTION = pa.schema([("slice", pa.int64()), ("kind", pa.int32()), ("segment", pa.int64()), ("hashes", pa.binary())])
+ANSWER = pa.schema([("slice", pa.int64()), ("kind", pa.int32()), ("segment", pa.int64()), ("found", pa.binary())])
+
+
+def ask(sliced: DataFrame, segments: int, order: int) -> DataFrame:
+    """The questions of all slices: a row for each slice, kind and segment."""
 
+    def asked(table: pa.Table) -> pa.Table:
+        _, kinds = distinct(pa.concat_arrays(table.column("text").chunks), order)
+        at = table.column("slice")[0].as_py()
+        rows = [(at, kind, segment, packed(kind, u[own])) for kind, (u, _, _) in kinds.items() for segment, own in by_segment(u, segments)]
+        release()
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(QUESTION)], schema=QUESTION)
 
-#: Segments that a worker keeps at hand while they hold no more than so many bytes together.
-KEPT = 64 << 20
+    return sliced.groupBy("slice").applyInArrow(asked, "slice long, kind int, segment long, hashes binary")
 
 
-def score(docs: DataFrame, segments: int | None = None) -> DataFrame:
+def answer(questions: DataFrame, path: str, present: dict[int, str]) -> DataFrame:
+    """The questions with ``found`` in place of the hashes: a worker fetches a segment and answers all questions to it."""
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, segment = None, None
+        for batch in batches:
+            found = []
+            for kind, k, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                if k != now:
+                    now, segment = k, Segment(path, present[k]) if k in present else None
+                h = unpacked(kind, h.as_py())
+                found.append(segment.answer(kind, h) if segment else bytes(len(h) * (8 if kind == WORDS else 1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], schema=ANSWER)
+
+    dealt = questions.repartition("segment").sortWithinPartitions("segment")
+    return dealt.mapInArrow(releasing(answered), "slice long, kind int, segment long, found binary")
+
+
+def score(docs: DataFrame, segments: int | None = None, order: int = ORDER, slice_bytes: int = TEXT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = docs.sparkSession
     path = workspace(spark, "lm")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if segments is None:  # about 6 bytes a pair; sizes are a table statistic, of which only the order counts
-        size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-        segments = max(8, size // (6 * SEGMENT_GRAMS) + 1)
-    manifest = build(count(docs, segments), f"{path}/segments", segments)
-    n, v, factor = manifest.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("pairs") / F.sum("growth"), F.lit(0.0))).first()
+    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    if segments is None:  # about 6 bytes a token, and most grams of a text are its own
+        segments = max(8, (order - 1) * size // (6 * SEGMENT_GRAMS) + 1)
+    manifest = build(count(docs, segments, order), f"{path}/segments", order)
+    n, v = manifest.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     present = {r[0]: r[1] for r in manifest.select("segment", "file").collect()}  # one name a segment, not a gram
     base_all = n + ALPHA * (v + 1)
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, Segment] = {}
-        held = 0
-
-        def segment(k: int) -> Segment:
-            nonlocal held
-            if k not in known:
-                out = Segment(f"{path}/segments", present[k])
-                size = out.words.nbytes * 2 + out.word_filter.bits.nbytes + out.pair_filter.bits.nbytes
-                if held + size > KEPT:
-                    known.clear()
-                    held = 0
-                known[k], held = out, held + size
-            return known[k]
-
-        def by_segment(h: np.ndarray, looks: list) -> list[np.ndarray]:
-            """Results of ``looks`` for the distinct ``h``, in order."""
-            outs = [np.zeros(len(h), np.int64) for _ in looks]
-            cuts = np.searchsorted(segment_of(h, segments), np.arange(segments + 1))
-            for k in range(segments):
-                a, b = cuts[k], cuts[k + 1]
-                if b > a and k in present:
-                    for out, look in zip(outs, looks):
-                        out[a:b] = look(segment(k), h[a:b])
-            return outs
-
-        names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-        for batch in batches:
-            for part in slices(batch, 1, TEXT):
-                h, sizes = tokens(part.column(1))
-                both, inner = pairs(h, sizes)
-                starts = np.cumsum(sizes) - sizes
-                u, back = np.unique(h, return_inverse=True)
-                exact, level = by_segment(u, [Segment.exact, lambda s, x: s.word_filter.look(x)])
-                exact, seen = exact[back], middle(level)[back]
-                pu, pback = np.unique(both[inner], return_inverse=True)
-                (plevel,) = by_segment(pu, [lambda s, x: s.pair_filter.look(x)])
-                pair = np.zeros(len(h))
-                pair[inner] = middle(plevel)[pback]
-                base = np.log10((exact + ALPHA) / base_all)
-                before = np.concatenate([[0.0], seen[:-1]]) * inner
-                alone, known_before = (seen + ALPHA) / base_all, np.maximum(before, 1.0)
-                after = np.minimum(factor * known_before**GROWTH, known_before)
-                found = np.maximum(np.minimum(pair, known_before) - DISCOUNT, 0) / known_before
-                p = np.where(before > 0, found + DISCOUNT * after / known_before * alone, alone)
-                cols = [part.column(0), pa.array(held_out(part.column(0))), pa.array(sizes), pa.array(np.add.reduceat((exact > 0).astype(np.int64), starts)), pa.array(np.full(len(sizes), n, np.int64)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(np.log10(p), starts))]
-                yield pa.RecordBatch.from_arrays(cols, names=list(names))
-
-    return docs.mapInArrow(releasing(scored), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    # by contents, and the partition that a row lies in, so that rows repeated often are spread; a lost task deals its rows alike again
+    place = F.pmod(F.xxhash64("doc_id", "text") + F.spark_partition_id(), F.lit(size // slice_bytes + 1))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES + 1)
+    sliced = docs.withColumn("slice", place).repartition(parts, "slice")
+    answers = answer(ask(sliced, segments, order), f"{path}/segments", present)
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def scored(texts: pa.Table, found: pa.Table) -> pa.Table:
+        sizes, own = distinct(pa.concat_arrays(texts.column("text").chunks), order)
+        starts = np.cumsum(sizes) - sizes
+        parts: dict[int, list] = {}
+        for kind, segment, raw in zip(found.column("kind").to_pylist(), found.column("segment").to_pylist(), found.column("found").to_pylist()):
+            parts.setdefault(kind, []).append((segment, raw))
+        values = {}
+        for kind, (_, back, there) in own.items():
+            raw = b"".join(x for _, x in sorted(parts.get(kind, [])))
+            known = np.frombuffer(raw, "<i8").astype(np.float64) if kind == WORDS else MEANS[np.frombuffer(raw, "<u1")]
+            values[kind] = np.zeros(len(there))
+            values[kind][there] = known[back]
+        exact = values[WORDS]
+        p = (exact + ALPHA) / base_all
+        base = np.log10(p)
+        for k in range(2, order + 1):
+            context = np.concatenate([[0.0], values[k - 1][:-1]]) * own[k][2]
+            p = interpolate(p, values[k], context, PRIORS[k])
+        ids = pa.concat_arrays(texts.column("doc_id").chunks)
+        columns = [ids, held_out(ids), sizes, np.add.reduceat((exact > 0).astype(np.int64), starts), np.full(len(sizes), n, np.int64), np.add.reduceat(base, starts), np.add.reduceat(np.log10(p), starts)]
+        release()
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+    return sliced.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

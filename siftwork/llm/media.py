@@ -9,7 +9,11 @@ Payloads stream out in Arrow batches. A member whose bytes don't match its check
 again by its offset a few times, and then given with an error and no payload, while the others
 go on.
 
-``store_texts`` turns texts into 8-bit grey PNG images without loss; ``features`` reads them back.
+``store_texts`` turns texts into 8-bit grey PNG images of one row without loss; ``features`` reads
+them back, and gives a damaged member's error with nulls beside it. The format allows rows of
+2**31 - 1 samples, more than a text can have; some other readers must be told to accept more than
+a million.
+
 Defined cases: a null text is empty; an empty text is one block of zeros; repeated rows are
 members of their own; an empty table gives an archive directory without members; other columns
 are ignored.
@@ -181,14 +185,11 @@ class MediaArchive(DataSource):
 
 
 def to_png(raw: bytes) -> bytes:
-    """8-bit grey image whose samples are the padded bytes: one row up to a million, else rows of 64. A text chunk holds the unpadded length."""
+    """8-bit grey image of one row, whose samples are the padded bytes. A text chunk holds the unpadded length."""
     payload = pad(raw)
-    width = len(payload) if len(payload) <= 1_000_000 else BLOCK
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, width)
-    lines = np.concatenate([np.zeros((len(rows), 1), np.uint8), rows], 1).tobytes()
     part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(data, zlib.crc32(kind)))
-    head = struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"tEXt", b"bytes\0%d" % len(raw)) + part(b"IDAT", zlib.compress(lines, 6)) + part(b"IEND", b"")
+    head = struct.pack(">IIBBBBB", len(payload), 1, 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"tEXt", b"bytes\0%d" % len(raw)) + part(b"IDAT", zlib.compress(b"\0" + payload, 6)) + part(b"IEND", b"")
 
 
 def from_png(media: bytes) -> tuple[np.ndarray, int]:
@@ -242,25 +243,25 @@ def features(media: DataFrame) -> DataFrame:
     """Per member: key, n_bytes (without the padding), digests of payload and media, and features of the samples."""
 
     def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error")
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
         for batch in batches:
             rows = []
-            for key, m in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for key, m, error in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 m = m.as_py()
                 if m is None:
-                    rows.append((key, *[None] * 7))
+                    rows.append((key, *[None] * 7, error))
                     continue
                 samples, length = from_png(m)
                 payload = samples.tobytes()
                 flat = samples.reshape(-1)
                 shares = np.bincount(flat >> 4, minlength=16) * 1000 // len(flat)
                 feature = f"{samples.shape[1]}x{samples.shape[0]};mean={int(flat.sum(dtype=np.int64)) * 1000 // len(flat)};hist={','.join(map(str, shares.tolist()))}"
-                rows.append((key, length, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(m), hashlib.sha256(m).hexdigest(), feature))
+                rows.append((key, length, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(m), hashlib.sha256(m).hexdigest(), feature, None))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=list(names))
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select("key", "media").mapInArrow(computed, schema)
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
+    return media.select("key", "media", "error").mapInArrow(computed, schema)
 
 
 def roundtrip(docs: DataFrame) -> DataFrame:

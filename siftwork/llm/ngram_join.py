@@ -39,15 +39,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.llm._arrays import mix, releasing, slices, word_hashes
-from siftwork.llm._common import materialize, row_key, workspace
+from siftwork.llm._common import BROADCAST_ROWS, materialize, row_key, workspace
 
 N, THRESHOLD = 5, 0.8
 #: Trees at least, values of their labels, and the recall at the threshold at which no prefix is shortened further.
 TREES, DEPTH, RECALL = 12, 5, 0.9995
 #: Texts of a block in nodes of up to 16 blocks, and in the largest ones; shingles of a block; texts of a tile of a block; bytes of text that are worked on at once.
 BLOCK, BLOCK_MOST, BLOCK_SHINGLES, TILE, TEXT = 1024, 8192, 4 << 20, 1024, 2 << 20
-#: Rows of a table that is broadcast at most; above, the join shuffles.
-BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from siftwork.llm.chat import CLOSE, MIDDLE, OPEN
 from siftwork.llm.quality import MAX_REPEAT_PERCENT, MIN_WORDS
+from siftwork.llm.secrets import EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES, KINDS
 
 _W = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -35,3 +36,20 @@ CAST(sum({len(OPEN + MIDDLE + CLOSE) + 1} + {_ESCAPED('role')} + {_ESCAPED('text
 WARC = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to FROM f"""
+
+_QUOTED = lambda x: "'" + x.replace("'", "''") + "'"
+_MATCHES = " UNION ALL ".join(
+    f"SELECT doc_id, source, {i} AS rank, {_QUOTED(k.name)} AS kind, {k.base} AS base, {k.least} AS least, regexp_extract_all(text, {_QUOTED(k.pattern)}) AS found, "
+    f"regexp_extract_all(text, {_QUOTED(k.pattern)}, {k.value}) AS secret, string_split_regex(text, {_QUOTED(k.pattern)}) AS gaps FROM t"
+    for i, k in enumerate(KINDS)
+)
+_SPANS = lambda condition: f"coalesce(string_agg(CASE WHEN {condition} THEN kind || ':' || start || ':' || stop END, ',' ORDER BY start, rank), '')"
+SECRETS = f"""WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents), m AS ({_MATCHES}),
+e AS (SELECT doc_id, source, rank, kind, base, least, secret[i] AS value, length(found[i]) AS n, list_sum(list_transform(gaps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[:i - 1], lambda x: length(x))), 0) AS start
+FROM (SELECT *, unnest(generate_series(1, len(found))) AS i FROM m)),
+s AS (SELECT doc_id, source, rank, kind, base, value, CAST(start AS BIGINT) AS start, CAST(start + n AS BIGINT) AS stop FROM e WHERE length(value) >= least),
+v AS (SELECT value, count(DISTINCT coalesce(source, chr(1))) >= {EXAMPLE_OWNERS} OR count(DISTINCT doc_id) >= {EXAMPLE_REPOSITORIES} AS example FROM s GROUP BY value),
+d AS (SELECT s.*, example FROM s JOIN v USING (value)),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, sha256({_SPANS('base')}) AS base_sha256, {_SPANS('base OR NOT example')} AS spans,
+count(*) FILTER (NOT example) AS n_live, count(*) FILTER (example) AS n_examples FROM d GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_examples, 0) AS n_examples FROM t LEFT JOIN g USING (doc_id)"""

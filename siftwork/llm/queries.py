@@ -58,4 +58,4 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_join, op2_quality_rules, op3_shards, op4_media_columns, op5_chat_format, op6_warc, op7_lm_score, op8_source_mix, op9_byte_bpe, op10_secret_scan)}
-ORACLE_SQL: dict[str, str] = {"op1_ngram_join": oracles.JOIN, "op2_quality_rules": oracles.QUALITY, "op5_chat_format": oracles.CHAT, "op6_warc": oracles.WARC}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_join": oracles.JOIN, "op2_quality_rules": oracles.QUALITY, "op5_chat_format": oracles.CHAT, "op6_warc": oracles.WARC, "op10_secret_scan": oracles.SECRETS}

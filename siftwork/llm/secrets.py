@@ -2,8 +2,10 @@
 
 Base kinds are found by fixed patterns and always reported. Candidates of the further kinds are
 hashed; for each hash the corpus tells in how many distinct repositories and for how many
-distinct owners it occurs. A value spread over many owners is a copied example, one that stays
-with few owners looks live and is added to the spans.
+distinct owners it occurs. A value that ``EXAMPLE_OWNERS`` owners share is a copied example, and so
+is one that ``EXAMPLE_REPOSITORIES`` repositories hold, even of one owner. One that stays with few of
+both looks live and is added to the spans. No table that is written holds a secret: values are
+SHA-256 digests from where they are found on.
 
 Positions are code points, ends are exclusive. Defined cases: a null text is empty and has no
 spans; null owners and repositories count as one value of their own; repeated rows each keep
@@ -20,8 +22,10 @@ from pyspark.sql import functions as F
 
 from siftwork.llm._common import let, materialize, workspace
 
-#: Owners from which on a value counts as a widely copied example.
-EXAMPLE_OWNERS = 3
+#: Owners, and repositories, from which on a value counts as a widely copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 20
+#: Tasks that the spans of one value are dealt to when they meet its verdict.
+SALTS = 8
 
 
 @dataclass(frozen=True)
@@ -45,7 +49,7 @@ KINDS: tuple[Kind, ...] = (
     Kind("prefixed", r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{20,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})"),
 )
 
-SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
+SPAN = "array<struct<start:int,rank:int,end:int,value:binary>>"
 
 
 def _spans(text: Column, kind: Kind, rank: int) -> Column:
@@ -60,7 +64,7 @@ def _spans(text: Column, kind: Kind, rank: int) -> Column:
         def step(acc: Column, i: Column) -> Column:
             start = acc["at"] + F.length(p["gaps"][i])
             end = start + F.length(p["found"][i])
-            span = F.struct(start.cast("int").alias("start"), F.lit(rank).alias("rank"), end.cast("int").alias("end"), p["secret"][i].alias("value"))
+            span = F.struct(start.cast("int").alias("start"), F.lit(rank).alias("rank"), end.cast("int").alias("end"), F.unhex(F.sha2(p["secret"][i], 256)).alias("value"))
             return F.struct(end.cast("int").alias("at"), F.when(F.length(p["secret"][i]) >= kind.least, F.concat(acc["out"], F.array(span).cast(SPAN))).otherwise(acc["out"]).alias("out"))
 
         return F.aggregate(F.sequence(F.lit(0), F.size(p["found"]) - 1), zero, step)["out"]
@@ -89,25 +93,32 @@ def ownership(found: DataFrame) -> DataFrame:
     Counted in two steps, so that a value in a third of all documents is first reduced on each
     map side, then to one row for each of its owners and repositories.
     """
-    hashed = found.select("_owner", "_repo", F.explode(F.concat("base", "more")).alias("x")).select("_owner", "_repo", F.sha2("x.value", 256).alias("value_hash"))
+    hashed = found.select("_owner", "_repo", F.explode(F.concat("base", "more")).alias("x")).select("_owner", "_repo", F.col("x.value").alias("value_hash"))
     by_owner = hashed.groupBy("value_hash", "_owner").agg(F.lit(1).alias("one")).groupBy("value_hash").agg(F.count("one").alias("owners"))
     by_repo = hashed.groupBy("value_hash", "_repo").agg(F.lit(1).alias("one")).groupBy("value_hash").agg(F.count("one").alias("repositories"))
     return by_owner.join(by_repo, "value_hash")
 
 
-def verdicts(found: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def verdicts(found: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
     """``ownership`` with the verdict on each value: copied example or live."""
-    return ownership(found).withColumn("verdict", F.when(F.col("owners") >= example_owners, "example").otherwise("live"))
+    copied = (F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories)
+    return ownership(found).withColumn("verdict", F.when(copied, "example").otherwise("live"))
 
 
-def scan(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, owner: str = "source", repository: str = "doc_id", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def _judged(each: DataFrame, judged: DataFrame, how: str = "inner") -> DataFrame:
+    """``each`` with what ``judged`` (one row a value) says on its ``value_hash``; salted, as a third of all documents may hold one value."""
+    spread = judged.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return each.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).join(spread, ["value_hash", "_salt"], how).drop("_salt")
+
+
+def scan(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, owner: str = "source", repository: str = "doc_id", example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
     """doc_id, all spans (base ones and live candidates) with their verdicts, for every document."""
     found = find(docs, kinds, owner, repository)
-    judged = verdicts(found, example_owners).select("value_hash", "verdict", "owners")
+    judged = verdicts(found, example_owners, example_repositories).select("value_hash", "verdict")
     some = (F.size("base") > 0) | (F.size("more") > 0)
     plain = found.where(~some).select("doc_id", "base", F.array().cast(SPAN).alias("live"), F.lit(0).cast("long").alias("n_examples"), F.lit(0).cast("long").alias("n_live"))
     each = found.where(some).select("_row", "doc_id", "base", F.explode(F.concat(F.transform("base", lambda x: F.struct(x.alias("x"), F.lit(True).alias("b"))), F.transform("more", lambda x: F.struct(x.alias("x"), F.lit(False).alias("b"))))).alias("s"))
-    each = each.withColumn("value_hash", F.sha2("s.x.value", 256)).join(judged, "value_hash")
+    each = _judged(each.withColumn("value_hash", F.col("s.x.value")), judged)
     live = F.col("verdict") == "live"
     with_spans = each.groupBy("_row").agg(
         F.first("doc_id").alias("doc_id"), F.first("base").alias("base"),
@@ -120,7 +131,7 @@ def scan(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, owner: str = "source"
     return rows.select("doc_id", *counts, F.sha2(_joined(F.col("base"), kinds), 256).alias("base_sha256"), _joined(F.concat("base", "live"), kinds).alias("spans"), "n_live", "n_examples")
 
 
-def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, owner: str = "source", repository: str = "doc_id", example_owners: int = EXAMPLE_OWNERS, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, owner: str = "source", repository: str = "doc_id", example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every base span and every live candidate replaced by ``mark``.
 
     Values that many owners share are judged as in ``scan``. The texts are scanned once more for
@@ -131,7 +142,7 @@ def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, owner: str = "sourc
     found = find(docs.select("doc_id", "text", *dict.fromkeys(c for c in (owner, repository) if c not in ("doc_id", "text"))), kinds, owner, repository)
     text = F.coalesce(F.col("text"), F.lit(""))
     of = lambda base: F.flatten(F.array(*[_spans(text, k, i) for i, k in enumerate(kinds) if k.base == base]))
-    live = verdicts(found, example_owners)
+    live = verdicts(found, example_owners, example_repositories).where("verdict = 'live'").select("value_hash")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"), F.col("text"), of(True).alias("_base"), of(False).alias("_more"))
 
     def cut(spans: Column, text: Column) -> Column:
@@ -152,7 +163,7 @@ def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, owner: str = "sourc
 
     plain = rebuilt(rows.where(F.size("_more") == 0), F.col("_base"))
     some = rows.where(F.size("_more") > 0).withColumn("_row", F.sha2(F.to_json("_doc"), 256))
-    each = some.select("_row", F.explode("_more").alias("x")).distinct().withColumn("value_hash", F.sha2("x.value", 256)).join(live.where(F.col("verdict") == "live").select("value_hash"), "value_hash", "left_semi")
+    each = _judged(some.select("_row", F.explode("_more").alias("x")).distinct().withColumn("value_hash", F.col("x.value")), live, "left_semi")
     kept = each.groupBy("_row").agg(F.collect_list("x").cast(SPAN).alias("_live"))
     some = some.join(kept, "_row", "left")
     return plain.unionByName(rebuilt(some, F.concat("_base", F.coalesce("_live", F.array().cast(SPAN)))))

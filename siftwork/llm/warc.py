@@ -9,11 +9,18 @@ The reader trusts nothing: a member must inflate with its check sum, its version
 and length must be sound and its block must have the stated digest. After a failed check it
 searches for the next place where a member (or, in plain archives, a version line) is valid, goes
 on there, and reports the bytes between as a quarantined gap. So a damaged record costs itself
-alone. A compressed archive is read in byte ranges by several tasks: a range begins with that
-same search.
-
-Defined cases: null html is an empty payload; a null page id or url is kept as null or empty;
-rows with the same id and payload are responses all; an empty table gives no archives.
+alone. A compressed archive is read in byte ranges, each a partition of its own up to ``TASKS``: a
+range begins with that same search. A plain archive is one range, since a payload may hold what
+looks like a record, and only reading from the start tells. Records and gaps are written to one
+table; ``quarantine`` is the log of the gaps.
+
+Revisits name the response by page (``WARC-Refers-To-Page``) and by the standard headers, so other
+readers find it too; of foreign archives, which don't number pages, ``record_id`` and
+``refers_to_record`` tell the same.
+
+Defined cases: null html is an empty payload; a null page id or url is kept as null or empty, and
+a page without an id revisits the response of its payload if there is one; rows with the same id
+and payload as the response are responses all; an empty table gives no archives.
 """
 
 from __future__ import annotations
@@ -30,17 +37,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm._common import materialize, open_fs, workspace
+from siftwork.llm._common import BROADCAST_ROWS, materialize, open_fs, workspace
 
 #: Payloads from this size on are stored once. Fixed value of the query.
 LEAST = 100
 #: Bytes before a new archive is begun, of a reader's range, and of one read.
 ARCHIVE, RANGE, READ = 128 << 20, 32 << 20, 4 << 20
+#: Partitions that ranges are read in at most; beyond, a task reads several.
+TASKS = 100_000
+#: All records' date.
+DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 VERSION = re.compile(rb"WARC/(?:1\.[01]|0\.\d+)\r\n")
 MAGIC = b"\x1f\x8b\x08"
 
-RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, record_id string, refers_to_record string, payload binary"
 READ_SCHEMA = f"kind string, archive string, offset long, length long, reason string, {RECORD}"
 
 
@@ -49,10 +60,12 @@ def payload(html: Column) -> Column:
 
 
 def revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """_page, _html (a hash that tells rows of one id apart) and refers_to of the pages whose payload an earlier page holds: a small table of ids."""
-    thin = pages.where(F.octet_length("html") >= least).select("page_id", F.xxhash64("html").alias("_html"), F.unhex(F.sha2("html", 256)).alias("digest"))
-    first = thin.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return thin.join(first, "digest").where(F.col("page_id") > F.col("refers_to")).select(F.col("page_id").alias("_page"), "_html", "refers_to").distinct()
+    """_page, _html (a hash that tells rows of one id apart), refers_to and refers_url of the pages whose payload an earlier page holds: a small table of ids."""
+    thin = pages.where(F.octet_length("html") >= least).select("page_id", "url", F.xxhash64("html").alias("_html"), F.unhex(F.sha2("html", 256)).alias("digest"))
+    low = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("low")
+    first = thin.groupBy("digest").agg(low, F.count(F.lit(1)).alias("n")).where("n > 1 and low is not null").select("digest", "low")
+    later = thin.join(first, "digest").where(F.col("page_id").isNull() | (F.col("page_id") > F.col("low.page_id")))
+    return later.select(F.col("page_id").alias("_page"), "_html", F.col("low.page_id").alias("refers_to"), F.col("low.url").alias("refers_url")).distinct()
 
 
 def _safe(text: str | None) -> str:
@@ -60,19 +73,25 @@ def _safe(text: str | None) -> str:
     return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in text or "")
 
 
-def build(page_id: int | None, url: str | None, body: bytes, refers_to: int | None) -> bytes:
+def record_id(page_id: int | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest}')}>"
+
+
+def build(page_id: int | None, url: str | None, body: bytes, refers_to: int | None, refers_url: str | None = None) -> bytes:
     """Bytes of a record, not compressed."""
     digest = hashlib.sha256(body).hexdigest()
     kind = "response" if refers_to is None else "revisit"
     block = HTTP + (body if refers_to is None else b"")
-    uid = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id} {digest}")
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uid}>", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Target-URI: {_safe(url)}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {_safe(url)}",
         "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
         f"WARC-Payload-Length: {len(body)}", f"WARC-Page: {'' if page_id is None else page_id}",
     ]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Page: {refers_to}"]
+        head += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}",
+            f"WARC-Refers-To-Target-URI: {_safe(refers_url)}", f"WARC-Refers-To-Date: {DATE}", f"WARC-Refers-To-Page: {refers_to}",
+        ]
     return ("\r\n".join([*head, f"Content-Length: {len(block)}"]) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
@@ -93,11 +112,11 @@ def write(pages: DataFrame, path: str, least: int = LEAST, compress: bool = True
             return pa.RecordBatch.from_pydict({"archive": [name], "bytes": [size], "records": [records]})
 
         for batch in batches:
-            for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
+            for page_id, url, html, refers_to, refers_url in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     name, size, records = f"pages-{uuid.uuid4().hex}.warc{'.gz' * compress}", 0, 0
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)
-                raw = build(page_id, url, (html or "").encode(), refers_to)
+                raw = build(page_id, url, (html or "").encode(), refers_to, refers_url)
                 if compress:
                     z = zlib.compressobj(6, zlib.DEFLATED, 31)
                     raw = z.compress(raw) + z.flush()
@@ -110,7 +129,11 @@ def write(pages: DataFrame, path: str, least: int = LEAST, compress: bool = True
             yield closed()
 
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    rows = pages.join(revisits(pages, least), (F.col("page_id") == F.col("_page")) & (F.xxhash64("html") == F.col("_html")), "left").select("page_id", "url", "html", "refers_to")
+    later = materialize(revisits(pages, least), f"{path}/revisits")
+    if later.count() <= BROADCAST_ROWS:  # else both sides are shuffled
+        later = F.broadcast(later)
+    same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.xxhash64("html") == F.col("_html"))
+    rows = pages.join(later, same, "left").select("page_id", "url", "html", "refers_to", "refers_url")
     return materialize(rows.mapInArrow(archives, "archive string, bytes long, records long"), f"{path}/manifest")
 
 
@@ -240,9 +263,11 @@ def salvage(file, size: int, start: int = 0, end: int | None = None, compressed:
 
 
 def read(spark: SparkSession, path: str, manifest: DataFrame, range_bytes: int = RANGE) -> DataFrame:
-    """All records and gaps of the archives of ``manifest``: kind is record or gap.
+    """All records and gaps of the archives of ``manifest`` (archive, bytes): kind is record or gap.
 
-    Byte ranges come from the archives' sizes; plain archives are one range each.
+    Byte ranges come from the archives' sizes, and each is a partition: dealt by ranges of their
+    order in a number of partitions that is given, so neither hashing nor adaptive execution puts
+    many into one task.
     """
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,10 +289,10 @@ def read(spark: SparkSession, path: str, manifest: DataFrame, range_bytes: int =
     step = F.when(F.col("archive").endswith(".gz"), F.lit(range_bytes).cast("long")).otherwise(F.greatest("bytes", F.lit(1)))
     parts = manifest.where("bytes > 0").withColumn("step", step).select("archive", "step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.col("step"))).alias("start"))
     parts = parts.select("archive", "start", (F.col("start") + F.col("step")).alias("stop"))
-    return parts.repartition("archive", "start").mapInArrow(ranges, READ_SCHEMA)
+    return parts.repartitionByRange(max(1, min(parts.count(), TASKS)), "archive", "start").mapInArrow(ranges, READ_SCHEMA)
 
 
-ARROW = pa.schema([("kind", pa.string()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("reason", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+ARROW = pa.schema([("kind", pa.string()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("reason", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("refers_to_record", pa.string()), ("payload", pa.binary())])
 
 
 def _row(archive: str, x: Found) -> dict:
@@ -282,12 +307,23 @@ def _row(archive: str, x: Found) -> dict:
         "page_id": number("warc-page"), "url": x.head.get("warc-target-uri"), "record_type": kind,
         "payload_bytes": len(body) if stored else number("warc-payload-length"),
         "payload_digest": hashlib.sha256(body).hexdigest() if stored else x.head.get("warc-payload-digest", "").partition(":")[2] or None,
-        "refers_to": number("warc-refers-to-page"), "payload": body if stored else None,
+        "refers_to": number("warc-refers-to-page"), "record_id": x.head.get("warc-record-id"), "refers_to_record": x.head.get("warc-refers-to"), "payload": body if stored else None,
     }
 
 
-def roundtrip(pages: DataFrame) -> DataFrame:
+def recover(spark: SparkSession, path: str, manifest: DataFrame, range_bytes: int = RANGE) -> DataFrame:
+    """The records of ``read`` without their payloads; what was found, gaps included, is written to ``path``/found."""
+    found = materialize(read(spark, path, manifest, range_bytes).drop("payload"), f"{path}/found")
+    return found.where("kind = 'record'").drop("kind", "archive", "offset", "length", "reason")
+
+
+def quarantine(spark: SparkSession, path: str) -> DataFrame:
+    """The log of ``recover``: archive, offset, length and reason of every gap."""
+    return spark.read.parquet(f"{path}/found").where("kind = 'gap'").select("archive", "offset", "length", "reason")
+
+
+def roundtrip(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Writes ``pages`` to archives in the shared folder and gives what the salvage reader finds, without the payloads."""
     spark = pages.sparkSession
-    path = workspace(spark, "warc")
-    return read(spark, path, write(pages, path)).where("kind = 'record'").drop("kind", "archive", "offset", "length", "reason", "payload")
+    path = path or workspace(spark, "warc")
+    return recover(spark, path, write(pages, path))

@@ -56,6 +56,32 @@ def test_cascade_order_changes_nothing(spark):
     assert [e.rank for e in estimates] == sorted((e.rank for e in estimates), reverse=True)
 
 
+def test_cascade_spares_later_rules(spark):
+    """A rule behind one that rejects is not evaluated: here its count would raise an error."""
+    few = next(r for r in quality.RULES if r.name == "few_words")
+    bomb = quality.Rule("bomb", lambda c: F.when(c.n_words < quality.MIN_WORDS, F.raise_error(F.lit("evaluated")).cast("boolean")).otherwise(F.lit(False)))
+    rows = docs(spark)
+    kept = lambda rules: rows.where(quality.let(quality.Counts(F.col("text")).n_words, lambda n: quality.cascade(F.col("text"), rules, n_words=n)).isNull()).count()
+    assert kept([few, bomb]) == sum(len(WORD.findall(rows_ or "")) >= quality.MIN_WORDS for rows_ in TEXTS + TEXTS[5:7])
+    with pytest.raises(Exception, match="evaluated"):
+        kept([bomb, few])
+
+
+def test_every_rule_with_counts_at_hand_and_without(spark):
+    """A rule says the same from the text as from known counts, and as in Python."""
+    known = {n: F.col(f"s.{n}") for n in ("n_words", "word_chars", "n_symbols", "line", "n_repeat_words")}
+    texts = [*TEXTS, "a b c " * 20 + " ".join(f"w{k}" for k in range(60)), "a b c d " * 30, "AB cd " * 40]
+    rows = docs(spark, texts).select("doc_id", "text", quality.statistics(F.col("text")).alias("s"))
+    flags = [F.coalesce(r.rejects(quality.Counts(F.col("text"), **k)), F.lit(True)).alias(f"{r.name}_{x}") for x, k in enumerate(({}, known)) for r in quality.RULES]
+    for r in rows.select("doc_id", *flags).collect():
+        n, chars, symbols, dup, covered = brute(texts[r.doc_id])
+        text = texts[r.doc_id] or ""
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        upper = sum(c.isupper() for c in text)
+        want = {"few_words": n < 50, "repeated_windows": 100 * covered > 50 * n, "symbols": symbols > 0.25 * n, "repeated_lines": dup > 0.5 * len(lines), "long_words": chars > 30 * n, "exclamations": sum(c in "!?" for c in text) > 0.5 * n, "capitals": upper > 0.5 * chars}
+        assert {k: (r[f"{k}_0"], r[f"{k}_1"]) for k in want} == {k: (v, v) for k, v in want.items()}, r.doc_id
+
+
 @pytest.mark.parametrize("run", [quality.score, quality.keep_clean, mixing.plan, mixing.mix, secrets.scan, secrets.redact])
 def test_empty_table(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).collect() == []
@@ -92,15 +118,37 @@ def test_secret_spans(spark):
     assert "prefixed" not in by[9] + by[10] + by[11]  # three owners share it: an example
 
 
+def test_many_repositories_of_one_owner_are_an_example(spark):
+    """A value that an owner copies to many repositories is none of its live ones."""
+    few, many_ = "ghp_" + "Kk1" * 13, "ghp_" + "Qq2" * 13
+    rows = [(k, f"here {many_}", "one", "x", 1) for k in range(secrets.EXAMPLE_REPOSITORIES)] + [(1000 + k, f"here {few}", "one", "x", 1) for k in range(secrets.EXAMPLE_REPOSITORIES - 1)]
+    got = secrets.scan(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.doc_id >= 1000, r.spans, r.n_live, r.n_examples) for r in got} == {(False, "", 0, 1), (True, "prefixed:5:48", 1, 0)}
+
+
+def test_no_secret_is_written(spark):
+    """What is kept in the shared folder are digests."""
+    found = secrets.find(docs(spark, SECRETS))
+    assert LIVE not in repr(found.collect())
+
+
+def test_hot_value(spark):
+    """A value in a third of all documents gets its verdict in each of them."""
+    rows = [(k, f"token={'h' * 9 if k % 3 == 0 else f'value{k}x'}", f"s{k % 5}", "x", 1) for k in range(300)]
+    got = secrets.scan(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sum(r.n_examples for r in got) == 100 and sum(r.n_live for r in got) == 200
+
+
 def test_ownership_counts(spark):
     found = secrets.find(docs(spark, SECRETS))
     owners, repos = defaultdict(set), defaultdict(set)
     for r in found.collect():
         for x in [*r.base, *r.more]:
-            h = hashlib.sha256(x.value.encode()).hexdigest()
+            h = bytes(x.value)
             owners[h].add(r._owner)
             repos[h].add(r._repo)
-    got = {r.value_hash: (r.owners, r.repositories) for r in secrets.ownership(found).collect()}
+    got = {bytes(r.value_hash): (r.owners, r.repositories) for r in secrets.ownership(found).collect()}
+    assert hashlib.sha256(LIVE.encode()).digest() in got
     # a null owner counts as one value of its own
     assert got == {h: (len(owners[h]), len(repos[h])) for h in owners}
 
