@@ -146,3 +146,15 @@ def null_stripping(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = F.when(F.col("event_id") % 2 == 0, F.col("event_type")).when(F.col("event_id") % 4 == 1, "")
     m = runs.strip_empty(F.create_map(F.lit("a"), F.col("props"), F.lit("b"), other))
     return table(spark, sf_dir, "events").select("event_id", F.size(m).alias("n"), runs.has_result(other).alias("some"))
+
+
+@query("""SELECT event_id AS id, CAST(0 AS INT) AS pos, CASE event_id % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'tool-call' ELSE 'tool-result' END AS type, CASE WHEN event_id % 3 > 0 THEN event_type END AS tool, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN replace(props, ' ', '') ELSE 'user ' || user_id END AS content FROM events
+UNION ALL SELECT event_id, 1, 'tool-call', 'again', '{}' FROM events WHERE event_id % 3 = 1""")
+def t7_agent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of an agent's stream to events: texts, tool calls, and tools' results among other messages."""
+    k, t = F.col("event_id") % 3, F.col("event_type")
+    said = F.concat(F.lit('{"text":"'), t, F.lit('"}'))
+    calls = F.concat(F.lit('{"text":"","tool_calls":[{"name":"'), t, F.lit('","args":'), F.replace("props", F.lit(" "), F.lit("")), F.lit('},{"name":"again","args":{}}]}'))
+    update = F.concat(F.lit('{"tools":{"messages":[{"type":"ai","content":"x"},{"type":"tool","name":"'), t, F.lit('","content":"user '), F.col("user_id").cast("string"), F.lit('"}]},"idle":{}}'))
+    chunks = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(k < 2, "messages").otherwise("updates").alias("mode"), F.when(k == 0, said).when(k == 1, calls).otherwise(update).alias("body"))
+    return stream.agent_events(chunks)

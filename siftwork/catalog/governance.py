@@ -111,6 +111,16 @@ def g10_g11_sliding_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return govern.limit_calls(calls, 3, 3_600_000, 60_000)
 
 
+@query("""WITH RECURSIVE e AS (SELECT page_id % 3 AS key, page_id AS id, page_id * 7000 AS "at", row_number() OVER (PARTITION BY page_id % 3 ORDER BY page_id) AS n FROM pages),
+r AS (SELECT DISTINCT key, CAST(NULL AS BIGINT) AS id, CAST(0 AS BIGINT) AS n, true AS ok, CAST([] AS BIGINT[]) AS times FROM e UNION ALL
+SELECT key, id, n, len(kept) < 2, CASE WHEN len(kept) < 2 THEN list_append(kept, "at") ELSE kept END FROM (SELECT e.key, e.id, e."at", e.n, list_filter(r.times, lambda t: e."at" - t < 60000) AS kept FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1))
+SELECT id, CASE WHEN ok THEN NULL ELSE 'SOURCE_RATE_LIMITED' END AS error FROM r WHERE n > 0""")
+def r8_host_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fallback by host: so many calls within the last minute, without an interval."""
+    calls = table(spark, sf_dir, "pages").select((F.col("page_id") % 3).alias("key"), F.col("page_id").alias("id"), (F.col("page_id") * 7000).alias("at"))
+    return govern.limit_calls(calls, 2).select("id", F.when(~F.col("allowed"), "SOURCE_RATE_LIMITED").alias("error"))
+
+
 @query("""SELECT event_id, CAST(least(60000, 1000 * power(2, event_id % 8)) AS DOUBLE) AS delay_ms, greatest(CAST(least(60000, 1000 * power(2, event_id % 8)) AS DOUBLE), CAST(5000 AS DOUBLE)) AS asked_ms FROM events""")
 def g12_retry_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
     attempt = F.col("event_id") % 8 + 1

@@ -107,6 +107,21 @@ def s11_s12_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.generated(spark, "Find 40 hiring teams").drop("source_urls")
 
 
+@query("""SELECT i AS rec_idx, 'Channel ' || printf('%03d', i + 1) AS channel_name, ((i + 1) * 10) || 'K' AS subscribers, ['algorithms', 'web development', 'systems', 'data'][i % 4 + 1] AS primary_topics, 'https://list-' || i % 3 || '.example.com/' AS source_url FROM (SELECT unnest(generate_series(0, 19)) AS i)""")
+def s12_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prompt = "The 20 best coding channels"
+    assert fixtures.template(prompt) == "channel"
+    return fixtures.channels(spark, prompt).select("rec_idx", "channel_name", "subscribers", "primary_topics", "source_url")
+
+
+@query("""SELECT 'd' || n_regionkey || '.example.com' AS domain, lpad(CAST(max(n_nationkey) AS VARCHAR), 3, '0') AS slug, 'second' AS playbook FROM nation GROUP BY n_regionkey""")
+def s13_domain_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several skills name a domain, in two playbooks each and in other cases: the last one counts."""
+    d = F.concat(F.lit("D"), F.col("n_regionkey").cast("string"), F.lit(".Example.com"))
+    books = F.array(F.struct(F.lit("first").alias("playbook"), F.array(d, F.upper(d)).alias("domains")), F.struct(F.lit("second").alias("playbook"), F.array(F.lower(d)).alias("domains")))
+    return fixtures.domain_index(table(spark, sf_dir, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 3, "0").alias("slug"), books.alias("playbooks")))
+
+
 @query("""SELECT n_nationkey, lower(n_name) AS name, regexp_replace(lower(n_name), '[^a-z0-9]+', '-', 'g') AS slug, 'Body of ' || n_name AS body FROM nation""")
 def s13_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")

@@ -2,7 +2,8 @@
 
 Forms differ on purpose: a dataset value keeps its query and host name, a match key drops scheme
 and ``www.``, a source's canonical form drops tracking and secret parameters and sorts the rest.
-Not covered: punycode, percent-encoding and dot segments.
+Paths and queries are percent-encoded and paths lose their dot segments, as URL parsers do it. Not
+covered: punycode.
 """
 
 from __future__ import annotations
@@ -62,9 +63,34 @@ def _split(c: Column) -> Column:
     return F.split(F.regexp_replace(c, GRAMMAR, groups), NUL)
 
 
+#: Characters that are percent-encoded in paths and in queries, and segments that stand for this and the upper level.
+UNSAFE_PATH = r"[^\x21\x24-\x3B\x3D\x40-\x5F\x61-\x7A\x7C\x7E\x25]"
+UNSAFE_QUERY = r"[^\x21\x24-\x26\x28-\x3B\x3D\x3F-\x7E\x25]"
+THIS_LEVEL, UPPER_LEVEL = r"(?i)^(?:\.|%2e)$", r"(?i)^(?:\.|%2e){2}$"
+DOTS = r"(?i)/(?:\.|%2e){1,2}(?:/|$)"
+
+
+def _encoded(c: Column, unsafe: str) -> Column:
+    """``c`` with the UTF-8 bytes of unsafe characters in hex; other texts aren't taken apart."""
+    one = lambda x: F.when(x.rlike(unsafe), F.regexp_replace(F.hex(F.encode(x, "UTF-8")), "(..)", r"%$1")).otherwise(x)
+    return F.when(c.rlike(unsafe), F.array_join(F.transform(F.split(c, ""), one), "")).otherwise(c)
+
+
+def _without_dots(path: Column) -> Column:
+    """A path without segments of one or two dots, which mean the same and the upper level; at the end they leave a slash."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(
+        F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), F.array().cast("array<string>"),
+        lambda acc, x: F.when(x.rlike(UPPER_LEVEL), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(x.rlike(THIS_LEVEL), acc).otherwise(F.concat(acc, F.array(x))),
+    )
+    last = F.element_at(parts, -1)
+    made = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when((last.rlike(UPPER_LEVEL) | last.rlike(THIS_LEVEL)) & (F.size(kept) > 0), "/").otherwise(""))
+    return F.when(path.rlike(DOTS), made).otherwise(path)
+
+
 def _parts(a: Column) -> Parts:
     get = lambda k: F.when(F.size(a) == 6, F.get(a, F.lit(k - 1))).otherwise("")
-    scheme, port, path, query = F.lower(get(1)), get(4), get(5), get(6)
+    scheme, port, path, query = F.lower(get(1)), get(4), _encoded(_without_dots(get(5)), UNSAFE_PATH), _encoded(get(6), UNSAFE_QUERY)
     default = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
     return Parts(scheme, get(2), F.lower(get(3)), F.when(default, "").otherwise(port), F.when(path == "", "/").otherwise(path), F.when(query == "?", "").otherwise(query), F.coalesce(F.size(a) == 6, F.lit(False)))
 

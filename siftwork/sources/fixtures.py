@@ -13,8 +13,8 @@ from siftwork.plans.model import Field, MatchRule, Plan
 
 #: Record counts of generated fixtures.
 LEAST, MOST, USUAL = 5, 100, 25
-#: Words of a prompt that choose a template, in order; the first template is the rest.
-TEMPLATES = {"company": (), "job": ("job", "role", "hiring", "salary"), "sponsor": ("sponsor", "event", "conference")}
+#: Words of a prompt that choose a template, in order; the one without words is the rest.
+TEMPLATES = {"channel": ("youtube", "channel", "video", "coding"), "company": (), "job": ("job", "role", "hiring", "salary"), "sponsor": ("sponsor", "event", "conference")}
 
 
 def wanted_count(prompt: str) -> int:
@@ -36,6 +36,26 @@ def generated(spark: SparkSession, prompt: str) -> DataFrame:
     return spark.range(wanted_count(prompt)).select(F.col("id").alias("rec_idx"), F.concat(F.lit(f"{kind.title()} "), n).alias("name"), site.alias("website"), F.lit(kind).alias("kind"), F.array(site).alias("source_urls"))
 
 
+def channels(spark: SparkSession, prompt: str) -> DataFrame:
+    """Records of the template of video channels: name, address, subscribers, topics, creator, description and the source that lists them, by rule."""
+    k = F.col("id")
+    n = F.format_string("%03d", k + 1)
+    topics = F.array(*[F.lit(x) for x in ("algorithms", "web development", "systems", "data")])
+    source = F.concat(F.lit("https://list-"), (k % 3).cast("string"), F.lit(".example.com/"))
+    return spark.range(wanted_count(prompt)).select(
+        k.alias("rec_idx"), F.concat(F.lit("Channel "), n).alias("channel_name"), F.concat(F.lit("https://video.example.com/@channel-"), n).alias("channel_url"), F.format_string("%dK", (k + 1) * 10).alias("subscribers"),
+        F.element_at(topics, (k % 4 + 1).cast("int")).alias("primary_topics"), F.concat(F.lit("Creator "), n).alias("creator"), F.concat(F.lit("Verified record matching prompt criteria #"), (k + 1).cast("string")).alias("description"),
+        source.alias("source_url"), F.array(source).alias("source_urls"),
+    )
+
+
+def domain_index(skills: DataFrame) -> DataFrame:
+    """domain, slug and playbook: of the skills' playbooks (slug, playbooks: array of playbook and domains) the last that names a domain, in any case."""
+    books = skills.select("slug", F.posexplode("playbooks").alias("at", "b")).select("slug", "at", F.col("b.playbook").alias("playbook"), F.explode("b.domains").alias("domain"))
+    last = F.max(F.struct("slug", "at", "playbook")).alias("last")
+    return books.groupBy(F.lower("domain").alias("domain")).agg(last).select("domain", "last.slug", "last.playbook")
+
+
 def slug(c: Column, most: int = 64) -> Column:
     """Lower-case letters and digits joined by single hyphens."""
     return F.regexp_replace(F.substring(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, most), "-+$", "")

@@ -92,3 +92,24 @@ def limited(calls: DataFrame, limit: int, width_ms: int = 60_000, interval_ms: i
     """A stream of calls (key, id, at in ms) with the limiter's decisions."""
     schema = "key string, id long, at long, allowed boolean, retry_after_ms long"
     return calls.groupBy("key").transformWithStateInPandas(Limiter(limit, width_ms, interval_ms), outputStructType=schema, outputMode="Append", timeMode="None")
+
+
+_SAID = "struct<text:string,tool_calls:array<struct<name:string,args:string>>>"
+_UPDATES = "map<string,struct<messages:array<struct<type:string,name:string,content:string>>>>"
+_EVENT = "array<struct<type:string,tool:string,content:string>>"
+
+
+def agent_events(chunks: DataFrame) -> DataFrame:
+    """id, pos, type, tool and content of the events in an agent's stream: ``chunks`` (id, mode, body as JSON).
+
+    A chunk of mode messages holds a text, if it isn't empty, and tool calls; one of mode updates
+    holds, by node, messages, of which the tools' are results. Row-local, so it also runs on a stream.
+    """
+    event = lambda kind, tool, content: F.struct(F.lit(kind).alias("type"), tool.cast("string").alias("tool"), content.alias("content"))
+    said, updates = F.from_json("body", _SAID), F.from_json("body", _UPDATES)
+    text = F.when(F.length(said["text"]) > 0, F.array(event("text", F.lit(None), said["text"]))).cast(_EVENT)
+    calls = F.transform(said["tool_calls"], lambda c: event("tool-call", c["name"], c["args"])).cast(_EVENT)
+    results = F.flatten(F.transform(F.map_values(updates), lambda n: F.transform(F.filter(F.coalesce(n["messages"], F.array().cast("array<struct<type:string,name:string,content:string>>")), lambda m: m["type"] == "tool"), lambda m: event("tool-result", m["name"], m["content"])))).cast(_EVENT)
+    none = F.array().cast(_EVENT)
+    found = F.when(F.col("mode") == "messages", F.concat(F.coalesce(text, none), F.coalesce(calls, none))).when(F.col("mode") == "updates", F.coalesce(results, none)).otherwise(none)
+    return chunks.select("id", F.posexplode(found).alias("pos", "e")).select("id", "pos", "e.type", "e.tool", "e.content")

@@ -151,3 +151,12 @@ def test_countries(spark):
     df = spark.createDataFrame(rows, "raw string, want string")
     assert all(r[0] == r[1] for r in df.select(values.country(F.col("raw")), "want").collect())
     assert len(values.countries()) >= 250
+
+
+def test_urls_are_encoded_and_without_dots(spark):
+    cases = {
+        "http://h.example.com/a b/é?q=ü v": "http://h.example.com/a%20b/%C3%A9?q=%C3%BC%20v", "https://h.example.com/a/./b/../c": "https://h.example.com/a/c", "https://h.example.com/a/b/..": "https://h.example.com/a",
+        "https://h.example.com/../x": "https://h.example.com/x", "https://h.example.com/%2E%2e/y/%7e": "https://h.example.com/y/%7e", "https://h.example.com/a.b/..c/😀": "https://h.example.com/a.b/..c/%F0%9F%98%80",
+        "https://h.example.com/.": "https://h.example.com/", "https://h.example.com/a%20b?x='1'": "https://h.example.com/a%20b?x=%271%27",
+    }
+    assert one(spark, urls.dataset_form, *cases) == list(cases.values())
