@@ -9,8 +9,8 @@ folder and reads it again for the next. All but the last keep the columns of the
 4. mixing: documents are repeated or left out so that the sources come to their target weights.
 5. byte-level BPE: token counts and digests of what goes to training.
 
-An empty table gives an empty result at each stage; what nulls and repeated rows give is stated
-by the operators.
+An empty table gives an empty result at each stage. Columns beyond those of the documents are
+carried along by all stages but the last.
 """
 
 from __future__ import annotations
@@ -26,22 +26,27 @@ VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_to
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects. Null and empty texts have too few words and go; repeated rows stay or go together."""
     return quality.keep_clean(docs)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies and of equal texts: that with the least id, a null id last. Null texts are no copies of each other."""
     return ngram_join.keep_one(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with reported secrets replaced in ``text`` and ``n_chars`` counted anew. A null text stays null."""
     return secrets.redact(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated or left out for their source's target; null sources are one source, and texts without words are left out or repeated by chance alone."""
     return mixing.mix(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row of counts and digests for each row that goes to training; a null text has no tokens."""
     return bpe.encode(docs, VOCABULARY, PATTERN)
 
 

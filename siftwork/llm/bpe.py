@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.llm._arrays import releasing
+from siftwork.llm._common import unroll
 
 #: Characters of a chunk, and of the part it shares with the next one.
 CHUNK, OVERLAP = 1 << 16, 512
@@ -177,7 +178,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = False, ch
             for k in range(batch.num_rows):
                 doc_id, text, row = (batch.column(j)[k].as_py() for j in range(3))
                 for n, c in enumerate(chunks(text, chunk, overlap)):
-                    yield pa.RecordBatch.from_pydict({"row": [row], "doc_id": [doc_id], "n": [n], "start": [c.start], "text": [c.text], "last": [c.last]}, schema=pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("start", pa.int64()), ("text", pa.string()), ("last", pa.bool_())]))
+                    yield pa.RecordBatch.from_pydict({"row": [row], "doc_id": [doc_id], "n": [n], "start": [c.start], "text": [c.text], "last": [c.last]}, schema=pa.schema([("row", pa.string()), ("doc_id", pa.int64()), ("n", pa.int32()), ("start", pa.int64()), ("text", pa.string()), ("last", pa.bool_())]))
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = codec(vocabulary, pattern)
@@ -195,13 +196,13 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = False, ch
                 for k in range(batch.num_rows):
                     yield tuple(c[k].as_py() for c in batch.columns)
 
-        def texts() -> Iterator[tuple[int, Iterator[Chunk]]]:
+        def texts() -> Iterator[tuple[int | None, Iterator[Chunk]]]:
             stream = rows()
             head = next(stream, None)
             while head is not None:
                 state["next"], row = head, head[0]
 
-                def of(row: int = row) -> Iterator[Chunk]:
+                def of(row: str = row) -> Iterator[Chunk]:
                     while state["next"] is not None and state["next"][0] == row:
                         _, _, _, start, text, last, ends = state["next"]
                         cuts = [0, *[e - start for e in ends]]
@@ -220,8 +221,10 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = False, ch
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     long_text = F.coalesce(F.length("text") > chunk, F.lit(False))
     short = docs.where(~long_text).mapInArrow(releasing(whole), _schema(ids))
-    parts = docs.where(long_text).select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    kinds = "row long, doc_id long, n int, start long, text string, last boolean"
+    # a long text is known by its contents and its ordinal among equal rows, wherever it lies: a lost task cuts it alike
+    long_rows = docs.where(long_text).groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("times"))
+    parts = unroll(long_rows, "times", "nth").select("doc_id", "text", F.md5(F.to_json(F.struct("doc_id", F.sha2("text", 256).alias("text"), "nth"))).alias("row"))
+    kinds = "row string, doc_id long, n int, start long, text string, last boolean"
     parts = parts.mapInArrow(cut, kinds).repartition("row", "n").mapInArrow(tokenised, f"{kinds}, ends array<long>")
     return short.unionByName(parts.repartition("row").sortWithinPartitions("row", "n").mapInArrow(stitched, _schema(ids)))
 

@@ -439,9 +439,10 @@ def library():
 
 def test_bpe(spark, library):
     texts = [*TEXTS, "<|endoftext|> don't we'll", "z" * 700, " " * 900 + "end", "word " * 3000]
-    got = bpe.encode(docs(spark, texts), VOCABULARY, P.PATTERN, ids=True, chunk=500, overlap=40)
+    rows = docs(spark, texts).withColumns({"n_tokens": F.lit("x"), "ids": F.lit(1), "row": F.lit("y"), "nth": F.lit(0)})
+    got = bpe.encode(rows.unionByName(rows.where("doc_id = 10")), VOCABULARY, P.PATTERN, ids=True, chunk=500, overlap=40)
     rows = got.collect()
-    assert len(rows) == len(texts) + 1
+    assert len(rows) == len(texts) + 2  # two rows are repeated, one of them long
     for r in rows:
         ids = library.encode_ordinary(texts[r.doc_id] or "")
         assert r.ids == ids and r.n_tokens == len(ids)
