@@ -148,7 +148,7 @@ def x4_counts_and_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("line") + 2).cast("long").alias("size"))
 
 
-@query("""SELECT n_nationkey AS row, n AS cell, v AS text FROM (SELECT n_nationkey, unnest(['A', 'B', 'C']) AS n, unnest([CAST(n_nationkey AS VARCHAR), n_name, CASE WHEN n_regionkey > 1 THEN '1' ELSE '0' END]) AS v FROM nation)""")
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS row, n AS cell, v AS text FROM (SELECT n_nationkey, unnest(['A', 'B', 'C']) AS n, unnest([CAST(n_nationkey AS VARCHAR), n_name, CASE WHEN n_regionkey > 1 THEN '1' ELSE '0' END]) AS v FROM nation)""")
 def x3_sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A workbook written and read back: number, text and boolean cells."""
     n = table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_nationkey", "n_name", (F.col("n_regionkey") > 1).alias("high"))

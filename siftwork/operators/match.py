@@ -133,7 +133,14 @@ def merge(records: DataFrame, links: DataFrame, fields: list[Field] | tuple[Fiel
     heads = links.select(F.col("duplicate_of").alias("rec_idx")).distinct()
     members = linked.join(heads, "rec_idx", "left_semi").withColumn("group", F.col("rec_idx")).unionByName(linked.where("duplicate_of is not null").withColumn("group", F.col("duplicate_of")))
     members = settled(members.select("group", "rec_idx", "values", "source_urls"))
-    first = members.groupBy("group").agg(*[F.min(F.when(_present(f).isNotNull(), F.struct("rec_idx", _present(f).alias("v")))).getField("v").alias(f"_first_{f.key}") if f.type != "object" else F.min_by(_present(f), F.when(_present(f).isNotNull(), F.col("rec_idx"))).alias(f"_first_{f.key}") for f in fields])
+
+    def first_value(f: Field) -> Column:
+        there = _present(f).isNotNull()
+        if f.type == "object":  # maps have no order
+            return F.min_by(_present(f), F.when(there, F.col("rec_idx")))
+        return F.min(F.when(there, F.struct("rec_idx", _present(f).alias("v")))).getField("v")
+
+    first = members.groupBy("group").agg(*[first_value(f).alias(f"_first_{f.key}") for f in fields])
     sightings = members.select("group", "rec_idx", F.posexplode("source_urls").alias("pos", "url")).groupBy("group", "url").agg(F.min(F.struct("rec_idx", "pos")).alias("at"))
     seen = sightings.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("at", "url"))).alias("_seen"))
     whole = settled(first.join(seen, "group", "left"))
@@ -143,7 +150,11 @@ def merge(records: DataFrame, links: DataFrame, fields: list[Field] | tuple[Fiel
         same = (text.fold(own) == text.fold(kept)) if f.type == "string" else (F.to_json(F.struct(own.alias("v"))) == F.to_json(F.struct(kept.alias("v"))))
         shown = (lambda c: c.cast("string")) if f.type in ("string", "number", "integer", "boolean") else F.to_json
         before = F.transform(F.filter("_seen", lambda x: x["at"]["rec_idx"] < F.col("rec_idx")), lambda x: x["url"])
-        found.append(F.when(own.isNotNull() & ~same, F.struct(F.lit(f.key).alias("field"), shown(kept).alias("canonical_value"), shown(own).alias("alternate_value"), before.alias("canonical_urls"), F.col("source_urls").alias("alternate_urls"))))
+        conflict = F.struct(
+            F.lit(f.key).alias("field"), shown(kept).alias("canonical_value"), shown(own).alias("alternate_value"),
+            before.alias("canonical_urls"), F.col("source_urls").alias("alternate_urls"),
+        )
+        found.append(F.when(own.isNotNull() & ~same, conflict))
     against = salted(members, whole, "group", "inner").select("group", "rec_idx", F.posexplode_outer(F.array_compact(F.array(*found)).cast(CONFLICT)).alias("pos", "c")).where("c is not null")
     conflicts = against.groupBy("group").agg(F.transform(F.sort_array(F.collect_list(F.struct("rec_idx", "pos", "c"))), lambda x: x["c"]).alias("_conflicts"))
     heads = whole.join(conflicts, "group", "left").withColumnRenamed("group", "rec_idx").withColumn("_head", F.lit(True))
@@ -228,7 +239,8 @@ def similar_pairs(names: DataFrame, threshold: float) -> DataFrame:
     longest = F.floor(size / F.lit(threshold) + 1e-9).cast("int")
     shortest = F.greatest(F.lit(1), F.ceil(size * threshold - 1e-9).cast("int"))
     left = names.select("rec_idx", "name", "blocks", "ids", F.explode(F.flatten(F.transform(F.array_distinct(F.transform(F.sequence(size, longest), edits)), own))).alias("key"))
-    right = names.select(F.col("rec_idx").alias("_idx"), F.col("name").alias("_name"), F.col("blocks").alias("_blocks"), F.col("ids").alias("_ids"), F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(shortest, size), sought)))).alias("key"))
+    own_columns = (F.col(c).alias(n) for c, n in (("rec_idx", "_idx"), ("name", "_name"), ("blocks", "_blocks"), ("ids", "_ids")))
+    right = names.select(*own_columns, F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(shortest, size), sought)))).alias("key"))
     near = text.similar(F.col("name"), F.col("_name"), threshold)
     pairs = left.join(right, "key").where((F.col("rec_idx") != F.col("_idx")) & F.arrays_overlap("blocks", "_blocks") & near)
     shared = F.exists(F.arrays_zip("ids", "_ids"), lambda x: x["ids"] == x["_ids"])
@@ -295,7 +307,10 @@ def resolve(records: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
     decided = settled(decided)
     events = decided.select("canonical_idx", "duplicate_idx", "decision", F.lit("LIKELY_ENTITY").alias("match_type"), "confidence", F.array(*[F.lit(k) for k in [field, *others]]).alias("matched_fields"))
     merged = decided.where("decision = 'MERGED'").select(F.col("duplicate_idx").alias("rec_idx"), F.col("canonical_idx").alias("duplicate_of"))
-    before = records.withColumnRenamed("conflicts", "_old").withColumnRenamed("duplicate_of", "_linked") if "duplicate_of" in records.columns else records.withColumn("_old", F.array().cast(CONFLICT)).withColumn("_linked", F.lit(None).cast("long"))
+    if "duplicate_of" in records.columns:
+        before = records.withColumnRenamed("conflicts", "_old").withColumnRenamed("duplicate_of", "_linked")
+    else:
+        before = records.withColumns({"_old": F.array().cast(CONFLICT), "_linked": F.lit(None).cast("long")})
     untouched = before.where("_linked is not null").drop("_old").withColumnRenamed("_linked", "duplicate_of").withColumn("conflicts", F.array().cast(CONFLICT))
     kept = before.where("_linked is null").drop("_linked").withColumnRenamed("_old", "old_conflicts")
     out = merge(kept, merged, plan.fields).withColumn("conflicts", F.concat("old_conflicts", "conflicts")).drop("old_conflicts")

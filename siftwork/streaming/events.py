@@ -95,7 +95,8 @@ def limited(calls: DataFrame, limit: int, width_ms: int = 60_000, interval_ms: i
 
 
 _SAID = "struct<text:string,tool_calls:array<struct<name:string,args:string>>>"
-_UPDATES = "map<string,struct<messages:array<struct<type:string,name:string,content:string>>>>"
+_MESSAGES = "array<struct<type:string,name:string,content:string>>"
+_UPDATES = f"map<string,struct<messages:{_MESSAGES}>>"
 _EVENT = "array<struct<type:string,tool:string,content:string>>"
 
 
@@ -109,7 +110,10 @@ def agent_events(chunks: DataFrame) -> DataFrame:
     said, updates = F.from_json("body", _SAID), F.from_json("body", _UPDATES)
     text = F.when(F.length(said["text"]) > 0, F.array(event("text", F.lit(None), said["text"]))).cast(_EVENT)
     calls = F.transform(said["tool_calls"], lambda c: event("tool-call", c["name"], c["args"])).cast(_EVENT)
-    results = F.flatten(F.transform(F.map_values(updates), lambda n: F.transform(F.filter(F.coalesce(n["messages"], F.array().cast("array<struct<type:string,name:string,content:string>>")), lambda m: m["type"] == "tool"), lambda m: event("tool-result", m["name"], m["content"])))).cast(_EVENT)
+    no_messages = F.array().cast(_MESSAGES)
+    tools = lambda n: F.filter(F.coalesce(n["messages"], no_messages), lambda m: m["type"] == "tool")
+    results = F.transform(F.map_values(updates), lambda n: F.transform(tools(n), lambda m: event("tool-result", m["name"], m["content"])))
+    results = F.flatten(results).cast(_EVENT)
     none = F.array().cast(_EVENT)
     found = F.when(F.col("mode") == "messages", F.concat(F.coalesce(text, none), F.coalesce(calls, none))).when(F.col("mode") == "updates", F.coalesce(results, none)).otherwise(none)
     return chunks.select("id", F.posexplode(found).alias("pos", "e")).select("id", "pos", "e.type", "e.tool", "e.content")
