@@ -160,3 +160,22 @@ def test_urls_are_encoded_and_without_dots(spark):
         "https://h.example.com/.": "https://h.example.com/", "https://h.example.com/a%20b?x='1'": "https://h.example.com/a%20b?x=%271%27",
     }
     assert one(spark, urls.dataset_form, *cases) == list(cases.values())
+
+
+def test_shared_folder():
+    """Only a local session may do without a shared folder; a path without a scheme is the default file system's."""
+    from types import SimpleNamespace as N
+
+    from siftwork.operators import store
+
+    def session(folder, master, system):
+        hadoop = N(hadoopConfiguration=lambda: N(get=lambda _: system))
+        return N(conf=N(get=lambda _, default: folder or default), sparkContext=N(master=master, _jsc=hadoop))
+
+    assert store.shared_folder(session(None, "local[4]", "file:///")) == store.FALLBACK
+    assert store.shared_folder(session("/shared/x/", "spark://m", "hdfs://name:8020/")) == "hdfs://name:8020/shared/x"
+    assert store.shared_folder(session("/shared/x", "spark://m", "file:///")) == "file:///shared/x"
+    assert store.shared_folder(session("file:/shared/x", "spark://m", "hdfs://name")) == "file:///shared/x"
+    assert store.shared_folder(session("s3a://b/x/", "spark://m", "hdfs://name")) == "s3a://b/x"
+    with pytest.raises(RuntimeError):
+        store.shared_folder(session(None, "spark://m", "file:///"))
