@@ -146,6 +146,10 @@ class Digest:
         return (self.n, self.ids.hexdigest(), self.raw.hexdigest()) + ((self.all,) if keep else ())
 
 
+#: A chunk of a long text on its way.
+CUT = pa.schema([("row", pa.string()), ("doc_id", pa.int64()), ("n", pa.int32()), ("start", pa.int64()), ("text", pa.string()), ("last", pa.bool_())])
+
+
 def _schema(keep: bool) -> str:
     return "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep
 
@@ -178,7 +182,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = False, ch
             for k in range(batch.num_rows):
                 doc_id, text, row = (batch.column(j)[k].as_py() for j in range(3))
                 for n, c in enumerate(chunks(text, chunk, overlap)):
-                    yield pa.RecordBatch.from_pydict({"row": [row], "doc_id": [doc_id], "n": [n], "start": [c.start], "text": [c.text], "last": [c.last]}, schema=pa.schema([("row", pa.string()), ("doc_id", pa.int64()), ("n", pa.int32()), ("start", pa.int64()), ("text", pa.string()), ("last", pa.bool_())]))
+                    one = {"row": [row], "doc_id": [doc_id], "n": [n], "start": [c.start], "text": [c.text], "last": [c.last]}
+                    yield pa.RecordBatch.from_pydict(one, schema=CUT)
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = codec(vocabulary, pattern)

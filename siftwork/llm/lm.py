@@ -46,12 +46,14 @@ from siftwork.llm._common import materialize, open_fs, workspace
 #: Bits of the filter for each entry, probes for each entry; the scale of counts.
 BITS, PROBES, EXACT, RATIO, LEVELS = 10, 5, 4, 1.25, 120
 #: Words of the longest grams, and the weights of the priors of pairs and triples.
-ORDER, PRIORS = 3, {2: 20.0, 3: 8.0}
-#: Grams of a segment at most, on average; sums that a map task holds before it passes them on; bytes of text of a slice, and of a partition of slices.
-SEGMENT_GRAMS, HELD, TEXT, PART_BYTES = 1 << 20, 1 << 21, 4 << 20, 16 << 20
+ORDER, PRIORS = 3, {2: 200.0, 3: 4.0}
+#: Grams of a segment at most, on average; sums that a map task holds before it passes them on; bytes of text that are counted at once, and of a slice.
+SEGMENT_GRAMS, HELD, TEXT, SLICE = 1 << 20, 1 << 22, 4 << 20, 8 << 20
 ALPHA = 0.1
 #: The end's hash input holds a space, so no word is equal to it.
 END = " </s>"
+#: Bytes of a word's hash within its segment, and of its count in answers.
+WIDE = 6
 #: Kinds of what is counted; grams of more words have their number.
 WORDS = 1
 
@@ -88,12 +90,27 @@ def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
 
 
 def packed(kind: int, h: np.ndarray) -> bytes:
-    """Hashes as they travel to their segment: whole for words, which are counted exactly, the lower half for grams."""
-    return h.astype("<u8").tobytes() if kind == WORDS else (h & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
+    """Hashes as they travel to their segment, which the upper bits tell: six bytes for words, which are counted exactly, the lower half for grams."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDE].tobytes() if kind == WORDS else h.astype("<u8").view("<u4")[::2].tobytes()
 
 
 def unpacked(kind: int, raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u8" if kind == WORDS else "<u4").astype(np.uint64)
+    return _widened(np.frombuffer(raw, np.uint8).reshape(-1, WIDE)) if kind == WORDS else np.frombuffer(raw, "<u4").astype(np.uint64)
+
+
+def _widened(low: np.ndarray) -> np.ndarray:
+    """Numbers from their ``WIDE`` low bytes."""
+    return np.ascontiguousarray(np.pad(low, ((0, 0), (0, 8 - WIDE)))).view("<u8")[:, 0]
+
+
+def told(kind: int, found: np.ndarray) -> bytes:
+    """Answers as they travel back: a byte for a level; counts byte by byte, lowest bytes first, so the many zeros lie together."""
+    return found.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDE].T.tobytes() if kind == WORDS else found.astype(np.uint8).tobytes()
+
+
+def heard(kind: int, raw: bytes) -> np.ndarray:
+    """Counts of words and levels of grams, as numbers."""
+    return _widened(np.frombuffer(raw, np.uint8).reshape(WIDE, -1).T) if kind == WORDS else np.frombuffer(raw, np.uint8)
 
 
 def by_segment(h: np.ndarray, segments: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -137,7 +154,7 @@ PART = pa.schema([("kind", pa.int32()), ("segment", pa.int64()), ("hashes", pa.b
 
 
 def count(docs: DataFrame, segments: int, order: int = ORDER) -> DataFrame:
-    """Partial sums of the counts of words and grams: one row for each map flush, kind and segment, with packed arrays."""
+    """Partial sums of the counts of words and grams: rows by map flush, kind and segment, with packed arrays; without counts for what occurred once."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {kind: [] for kind in range(WORDS, order + 1)}
@@ -152,7 +169,12 @@ def count(docs: DataFrame, segments: int, order: int = ORDER) -> DataFrame:
                 rows = []
                 for segment, own in by_segment(h, segments):
                     n = c[own]
-                    rows.append((kind, segment, packed(kind, h[own]), n.astype("<u1" if n.max() < 1 << 8 else "<u4" if n.max() < 1 << 32 else "<u8").tobytes()))
+                    one, more = own[n == 1], own[n > 1]
+                    if len(one):  # most grams; they travel without a count
+                        rows.append((kind, segment, packed(kind, h[one]), b""))
+                    if len(more):
+                        most = n.max()
+                        rows.append((kind, segment, packed(kind, h[more]), c[more].astype("<u1" if most < 1 << 8 else "<u4" if most < 1 << 32 else "<u8").tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(PART)], schema=PART)
 
         for batch in batches:
@@ -235,7 +257,13 @@ class Filter:
         return found
 
 
-def build(parts: DataFrame, path: str, order: int = ORDER) -> DataFrame:
+def _by_segment(rows: DataFrame, segments: int) -> DataFrame:
+    """``rows`` dealt by segment, a few segments to a task at any size."""
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), segments // 8 + 1)
+    return rows.repartition(tasks, "segment")
+
+
+def build(parts: DataFrame, path: str, segments: int, order: int = ORDER) -> DataFrame:
     """Writes each segment's exact words and filters below ``path``; returns segment, file, words and tokens."""
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +278,7 @@ def build(parts: DataFrame, path: str, order: int = ORDER) -> DataFrame:
             name = f"{now}-{uuid.uuid4().hex}.seg"
             with fs.open_output_stream(f"{root}/{name}", compression=None) as f:
                 f.write(struct.pack(f"<{2 + 2 * len(filters)}q", len(wh), len(filters), *[x for g in filters for x in (len(g.bits), int(g.size))]))
-                f.write(wh.astype("<u8").tobytes() + wc.astype("<i8").tobytes())
+                f.write(packed(WORDS, wh) + packed(WORDS, wc.astype(np.uint64)))
                 for g in filters:
                     f.write(g.bits.tobytes())
             return pa.RecordBatch.from_pydict({"segment": [now], "file": [name], "words": [len(wh)], "tokens": [int(wc.sum())]})
@@ -262,11 +290,12 @@ def build(parts: DataFrame, path: str, order: int = ORDER) -> DataFrame:
                     held.clear()
                 now, kind, c = segment.as_py(), kind.as_py(), c.as_py()
                 h = unpacked(kind, h.as_py())
-                held.setdefault(kind, Sums()).add(h, np.frombuffer(c, f"<u{len(c) // len(h)}").astype(np.int64))
+                counts = np.frombuffer(c, f"<u{len(c) // len(h)}").astype(np.int64) if c else np.ones(len(h), np.int64)
+                held.setdefault(kind, Sums()).add(h, counts)
         if now is not None:
             yield done()
 
-    dealt = parts.repartition("segment").sortWithinPartitions("segment")
+    dealt = _by_segment(parts, segments).sortWithinPartitions("segment")
     return materialize(dealt.mapInArrow(releasing(built), "segment long, file string, words long, tokens long"), f"{path}/manifest")
 
 
@@ -278,22 +307,22 @@ class Segment:
         words, n = struct.unpack("<2q", raw[:16])
         sizes = struct.unpack(f"<{2 * n}q", raw[16 : 16 + 16 * n])
         at = 16 + 16 * n
-        self.words = np.frombuffer(raw, "<u8", words, at)
-        self.counts = np.frombuffer(raw, "<i8", words, at := at + 8 * words)
-        at += 8 * words
+        self.words = unpacked(WORDS, raw[at : at + WIDE * words])
+        self.counts = unpacked(WORDS, raw[at + WIDE * words : at + 2 * WIDE * words]).astype(np.int64)
+        at += 2 * WIDE * words
         self.filters = {}
         for k in range(n):
             self.filters[2 + k] = Filter(np.frombuffer(raw, np.uint8, sizes[2 * k], at), sizes[2 * k + 1])
             at += sizes[2 * k]
 
-    def answer(self, kind: int, h: np.ndarray) -> bytes:
+    def answer(self, kind: int, h: np.ndarray) -> np.ndarray:
         """Exact counts of words, levels of grams."""
         if kind != WORDS:
-            return self.filters[kind].look(h).astype("<u1").tobytes()
+            return self.filters[kind].look(h)
         if not len(self.words):
-            return np.zeros(len(h), "<i8").tobytes()
+            return np.zeros(len(h), np.int64)
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, self.counts[at], 0).astype("<i8").tobytes()
+        return np.where(self.words[at] == h, self.counts[at], 0)
 
 
 def distinct(texts: pa.Array, order: int) -> tuple[np.ndarray, dict[int, tuple]]:
@@ -327,25 +356,31 @@ def ask(sliced: DataFrame, segments: int, order: int) -> DataFrame:
     return sliced.groupBy("slice").applyInArrow(asked, "slice long, kind int, segment long, hashes binary")
 
 
-def answer(questions: DataFrame, path: str, present: dict[int, str]) -> DataFrame:
+def answer(questions: DataFrame, path: str, segments: int, present: dict[int, str]) -> DataFrame:
     """The questions with ``found`` in place of the hashes: a worker fetches a segment and answers all questions to it."""
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, segment = None, None
         for batch in batches:
-            found = []
-            for kind, k, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+            kinds, at = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            cuts = [0, *(np.flatnonzero((kinds[1:] != kinds[:-1]) | (at[1:] != at[:-1])) + 1).tolist(), len(at)]
+            found: list[bytes] = []
+            for a, b in zip(cuts[:-1], cuts[1:]):  # all questions of a kind to a segment at once
+                kind, k = int(kinds[a]), int(at[a])
                 if k != now:
                     now, segment = k, Segment(path, present[k]) if k in present else None
-                h = unpacked(kind, h.as_py())
-                found.append(segment.answer(kind, h) if segment else bytes(len(h) * (8 if kind == WORDS else 1)))
+                asked = batch.column(3).slice(a, b - a).to_pylist()
+                h = unpacked(kind, b"".join(asked))
+                ends = np.cumsum([len(x) // (WIDE if kind == WORDS else 4) for x in asked]).tolist()
+                known = segment.answer(kind, h) if segment else np.zeros(len(h), np.int64)
+                found += [told(kind, known[x:y]) for x, y in zip([0, *ends[:-1]], ends)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], schema=ANSWER)
 
-    dealt = questions.repartition("segment").sortWithinPartitions("segment")
+    dealt = _by_segment(questions, segments).sortWithinPartitions("segment", "kind")
     return dealt.mapInArrow(releasing(answered), "slice long, kind int, segment long, found binary")
 
 
-def score(docs: DataFrame, segments: int | None = None, order: int = ORDER, slice_bytes: int = TEXT) -> DataFrame:
+def score(docs: DataFrame, segments: int | None = None, order: int = ORDER, slice_bytes: int = SLICE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = docs.sparkSession
     path = workspace(spark, "lm")
@@ -353,15 +388,16 @@ def score(docs: DataFrame, segments: int | None = None, order: int = ORDER, slic
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     if segments is None:  # about 6 bytes a token, and most grams of a text are its own
         segments = max(8, (order - 1) * size // (6 * SEGMENT_GRAMS) + 1)
-    manifest = build(count(docs, segments, order), f"{path}/segments", order)
+    manifest = build(count(docs, segments, order), f"{path}/segments", segments, order)
     n, v = manifest.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     present = {r[0]: r[1] for r in manifest.select("segment", "file").collect()}  # one name a segment, not a gram
     base_all = n + ALPHA * (v + 1)
     # by contents, and the partition that a row lies in, so that rows repeated often are spread; a lost task deals its rows alike again
-    place = F.pmod(F.xxhash64("doc_id", "text") + F.spark_partition_id(), F.lit(size // slice_bytes + 1))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES + 1)
+    n_slices = size // slice_bytes + 1
+    place = F.pmod(F.xxhash64("doc_id", "text") + F.spark_partition_id(), F.lit(n_slices))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * n_slices)  # few slices by chance in one
     sliced = docs.withColumn("slice", place).repartition(parts, "slice")
-    answers = answer(ask(sliced, segments, order), f"{path}/segments", present)
+    answers = answer(ask(sliced, segments, order), f"{path}/segments", segments, present)
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
@@ -373,8 +409,9 @@ def score(docs: DataFrame, segments: int | None = None, order: int = ORDER, slic
             parts.setdefault(kind, []).append((segment, raw))
         values = {}
         for kind, (_, back, there) in own.items():
-            raw = b"".join(x for _, x in sorted(parts.get(kind, [])))
-            known = np.frombuffer(raw, "<i8").astype(np.float64) if kind == WORDS else MEANS[np.frombuffer(raw, "<u1")]
+            raw = [heard(kind, x) for _, x in sorted(parts.get(kind, []))]
+            known = np.concatenate(raw) if raw else np.zeros(0, np.uint8)
+            known = known.astype(np.float64) if kind == WORDS else MEANS[known]
             values[kind] = np.zeros(len(there))
             values[kind][there] = known[back]
         exact = values[WORDS]
@@ -384,8 +421,10 @@ def score(docs: DataFrame, segments: int | None = None, order: int = ORDER, slic
             context = np.concatenate([[0.0], values[k - 1][:-1]]) * own[k][2]
             p = interpolate(p, values[k], context, PRIORS[k])
         ids = pa.concat_arrays(texts.column("doc_id").chunks)
-        columns = [ids, held_out(ids), sizes, np.add.reduceat((exact > 0).astype(np.int64), starts), np.full(len(sizes), n, np.int64), np.add.reduceat(base, starts), np.add.reduceat(np.log10(p), starts)]
+        total = lambda x: np.add.reduceat(x, starts)
+        columns = [ids, held_out(ids), sizes, total((exact > 0).astype(np.int64)), np.full(len(sizes), n, np.int64), total(base), total(np.log10(p))]
         release()
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
-    return sliced.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return sliced.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(scored, schema)

@@ -155,8 +155,12 @@ def _small(df: DataFrame) -> DataFrame:
 def _groups(reps: DataFrame, depth: int, tries: int, before: int | None, path: str) -> DataFrame:
     """bucket, n (texts) and weight (shingles) of the nodes that hold pairs not verified before. Nodes with the same texts in several tries count once, at the first."""
     rows = reps.select("key", "label", "shingles", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("tree"))
-    rows = rows.select("tree", "shingles", _prefix(depth).alias("bucket"), F.xxhash64("key").alias("k"), F.xxhash64(F.lit(1), "key").alias("l"), (_prefix(before) if before else F.lit(0)).alias("deep"))
-    some = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("weight"), F.bit_xor("k").alias("set"), F.bit_xor("l").alias("also"), F.min("tree").alias("tree"), F.min("deep").alias("low"), F.max("deep").alias("high"))
+    deep = _prefix(before) if before else F.lit(0)
+    rows = rows.select("tree", "shingles", _prefix(depth).alias("bucket"), F.xxhash64("key").alias("k"), F.xxhash64(F.lit(1), "key").alias("l"), deep.alias("deep"))
+    some = rows.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("weight"), F.bit_xor("k").alias("set"), F.bit_xor("l").alias("also"),
+        F.min("tree").alias("tree"), F.min("deep").alias("low"), F.max("deep").alias("high"),
+    )
     some = some.where("n > 1" + (" and low <> high" if before else ""))
     return materialize(some.groupBy("n", "weight", "set", "also").agg(F.min_by("bucket", "tree").alias("bucket")).select("bucket", "n", "weight"), f"{path}/buckets-{depth}")
 
@@ -373,10 +377,12 @@ def _classes(docs: DataFrame, threshold: float, recall: float, path: str) -> Dat
     top = top.join(same.select(F.col("key").alias("component"), "text_id"), "component").select("component", F.least("low", "text_id").alias("class_id"))
     named = parts.join(top, "component").select(F.col("node").alias("key"), "class_id", "component").unionByName(top.select(F.col("component").alias("key"), "class_id", "component"))
     texts = same.select("key", "copies", "text_id").join(named, "key", "left").join(links, "key", "left")
-    texts = texts.select("key", "text_id", F.coalesce("component", "key").alias("component"), F.coalesce("class_id", "text_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    n_links = F.col("copies") - 1 + F.coalesce("links", F.lit(0))
+    texts = texts.select("key", "text_id", F.coalesce("component", "key").alias("component"), F.coalesce("class_id", "text_id").alias("class_id"), n_links.alias("n_links"))
     texts = materialize(texts, f"{path}/named")  # a table of its own: Spark can then split a hot text's side of the join
     rows = signed.select("doc_id", "key").join(texts, "key", "left")
-    return rows.select("doc_id", "key", "component", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("text_id")).alias("text_id"))
+    of = lambda c: F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col(c)).alias(c)
+    return rows.select("doc_id", "key", "component", of("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), of("text_id"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -402,5 +408,6 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     if twice.isEmpty():
         return left
     one = left.join(_small(twice), on, "left_semi")
-    one = one.groupBy(F.col("doc_id").alias("__one_id"), text_key(F.col("text")).alias("__gone_key")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), row_key(*docs.columns)).alias("__doc"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = one.groupBy(F.col("doc_id").alias("__one_id"), text_key(F.col("text")).alias("__gone_key")).agg(F.min_by(whole, row_key(*docs.columns)).alias("__doc"))
     return left.join(_small(twice), on, "left_anti").unionByName(one.select(*[F.col(f"__doc.`{c}`").alias(c) for c in docs.columns]))

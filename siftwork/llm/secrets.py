@@ -111,13 +111,17 @@ def _judged(each: DataFrame, judged: DataFrame, how: str = "inner") -> DataFrame
     return each.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).join(spread, ["value_hash", "_salt"], how).drop("_salt")
 
 
-def scan(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, owner: str = "source", repository: str = "doc_id", example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
+def scan(
+    docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, owner: str = "source", repository: str = "doc_id",
+    example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES,
+) -> DataFrame:
     """doc_id, all spans (base ones and live candidates) with their verdicts, for every document."""
     found = find(docs, kinds, owner, repository)
     judged = verdicts(found, example_owners, example_repositories).select("value_hash", "verdict")
     some = (F.size("base") > 0) | (F.size("more") > 0)
     plain = found.where(~some).select("doc_id", "base", F.array().cast(SPAN).alias("live"), F.lit(0).cast("long").alias("n_examples"), F.lit(0).cast("long").alias("n_live"))
-    each = found.where(some).select("_row", "doc_id", "base", F.explode(F.concat(F.transform("base", lambda x: F.struct(x.alias("x"), F.lit(True).alias("b"))), F.transform("more", lambda x: F.struct(x.alias("x"), F.lit(False).alias("b"))))).alias("s"))
+    marked = lambda c, b: F.transform(c, lambda x: F.struct(x.alias("x"), F.lit(b).alias("b")))
+    each = found.where(some).select("_row", "doc_id", "base", F.explode(F.concat(marked("base", True), marked("more", False))).alias("s"))
     each = _judged(each.withColumn("value_hash", F.col("s.x.value")), judged)
     live = F.col("verdict") == "live"
     with_spans = each.groupBy("_row").agg(
@@ -131,7 +135,10 @@ def scan(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, owner: str = "source"
     return rows.select("doc_id", *counts, F.sha2(_joined(F.col("base"), kinds), 256).alias("base_sha256"), _joined(F.concat("base", "live"), kinds).alias("spans"), "n_live", "n_examples")
 
 
-def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, owner: str = "source", repository: str = "doc_id", example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES, mark: str = "[SECRET]") -> DataFrame:
+def redact(
+    docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, owner: str = "source", repository: str = "doc_id",
+    example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES, mark: str = "[SECRET]",
+) -> DataFrame:
     """The documents with every base span and every live candidate replaced by ``mark``.
 
     Values that many owners share are judged as in ``scan``. The texts are scanned once more for

@@ -292,7 +292,8 @@ def read(spark: SparkSession, path: str, manifest: DataFrame, range_bytes: int =
     return parts.repartitionByRange(max(1, min(parts.count(), TASKS)), "archive", "start").mapInArrow(ranges, READ_SCHEMA)
 
 
-ARROW = pa.schema([("kind", pa.string()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("reason", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("refers_to_record", pa.string()), ("payload", pa.binary())])
+_ARROW = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+ARROW = pa.schema([(name, _ARROW[kind]) for name, kind in (field.split() for field in READ_SCHEMA.split(", "))])
 
 
 def _row(archive: str, x: Found) -> dict:
