@@ -44,11 +44,11 @@ from siftwork.llm._arrays import hashes, mix, release, releasing, slices, word_h
 from siftwork.llm._common import materialize, open_fs, workspace
 
 #: Bits of the filter for each entry, probes for each entry; the scale of counts.
-BITS, PROBES, EXACT, RATIO, LEVELS = 10, 5, 4, 1.25, 120
+BITS, PROBES, EXACT, RATIO, LEVELS = 9, 5, 4, 1.25, 120
 #: Words of the longest grams, and the weights of the priors of pairs and triples.
 ORDER, PRIORS = 3, {2: 200.0, 3: 4.0}
 #: Grams of a segment at most, on average; sums that a map task holds before it passes them on; bytes of text that are counted at once, and of a slice.
-SEGMENT_GRAMS, HELD, TEXT, SLICE = 1 << 20, 1 << 22, 4 << 20, 8 << 20
+SEGMENT_GRAMS, HELD, TEXT, SLICE = 1 << 20, 1 << 22, 4 << 20, 12 << 20
 ALPHA = 0.1
 #: The end's hash input holds a space, so no word is equal to it.
 END = " </s>"
