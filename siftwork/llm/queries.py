@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import bpe, chat, lm, media, mixing, ngram_join, oracles, quality, secrets, sharding, warc
+from siftwork.llm import bpe, chat, collocation, lm, media, mixing, ngram_join, oracles, packing, quality, repair, secrets, sharding, warc
 from siftwork.llm._common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,5 +57,24 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_join, op2_quality_rules, op3_shards, op4_media_columns, op5_chat_format, op6_warc, op7_lm_score, op8_source_mix, op9_byte_bpe, op10_secret_scan)}
-ORACLE_SQL: dict[str, str] = {"op1_ngram_join": oracles.JOIN, "op2_quality_rules": oracles.QUALITY, "op5_chat_format": oracles.CHAT, "op6_warc": oracles.WARC, "op10_secret_scan": oracles.SECRETS}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damaged_and_repaired(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.mine(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op1_ngram_join, op2_quality_rules, op3_shards, op4_media_columns, op5_chat_format, op6_warc, op7_lm_score, op8_source_mix, op9_byte_bpe, op10_secret_scan, op11_packing, op12_conversation_repair, op13_collocations)
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": oracles.JOIN, "op2_quality_rules": oracles.QUALITY, "op5_chat_format": oracles.CHAT, "op6_warc": oracles.WARC, "op10_secret_scan": oracles.SECRETS,
+    "op12_conversation_repair": oracles.REPAIR, "op13_collocations": oracles.PHRASES,
+}
