@@ -28,6 +28,9 @@ whole text. A single word of any length is encoded as a whole.
 from __future__ import annotations
 
 import os
+import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,42 +49,90 @@ WINDOW, END = 4096, 2
 #: Pieces of one length for each bucket, and the most buckets.
 BUCKET, MOST_BUCKETS = 1_000, 1 << 16
 #: Bytes of text that are tokenised at once; words remembered in a worker, and their greatest length.
-SLICE, REMEMBERED, SHORT = 2 << 20, 400_000, 64
+SLICE, REMEMBERED, SHORT = 6 << 20, 1_200_000, 32
+#: Fixed value: lower-case letters that no normalisation changes.
+PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 #: A rank's bits in the key of a plan's entry; the length is above them.
 RANK_BITS = 48
 
 
 class Words:
-    """Ids of words as the tokenizer gives them, remembered."""
+    """Ids of words as the tokenizer gives them. Those of short words are remembered, behind one another in one array."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-
-    def ids(self, words: list[str]) -> list[np.ndarray]:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, words
-        fresh = dict(zip(new, (np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(new, add_special_tokens=False))))
-        self.known.update((w, i) for w, i in fresh.items() if len(w) <= SHORT)
-        return [fresh[w] if w in fresh else self.known[w] for w in words]
+        # words of plain letters are one pre-token as they stand
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # letters that become a letter and a mark, which joins the punctuation behind it
+        letters = (c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c)[0] == "L")
+        self.end = r"([^\P{L}" + "".join(c for c in letters if unicodedata.category(unicodedata.normalize("NFC", c).lower()[-1])[0] != "L") + "])([.,;:!?])"
+        self.forget()
+
+    def forget(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+
+    def _append(self, at: int, encoded: list[list[int]]) -> None:
+        """Puts the ids of further words behind slot ``at`` - 1, in arrays that double."""
+        ends = (self.ends[at - 1] if at else 0) + np.cumsum([len(e) for e in encoded])
+        flat = np.array([i for e in encoded for i in e], np.uint32)
+        for name, size in (("ids", int(ends[-1])), ("ends", at + len(ends))):
+            held = getattr(self, name)
+            if size > len(held):
+                setattr(self, name, np.concatenate([held, np.zeros(max(size, 2 * len(held)) - len(held), held.dtype)]))
+        self.ids[int(ends[-1]) - len(flat) : int(ends[-1])] = flat
+        self.ends[at : at + len(ends)] = ends
+
+    def _encode(self, words: list[str]) -> list[list[int]]:
+        out: list[list[int]] = [[]] * len(words)
+        plain = [PLAIN(w) is not None for w in words]
+        for tokenizer, some in ((self.plain, True), (self.tokenizer, False)):
+            at = [k for k, p in enumerate(plain) if p is some]
+            for k, e in zip(at, tokenizer.encode_batch_fast([words[k] for k in at], add_special_tokens=False)):
+                out[k] = e.ids
+        return out
+
+    def find(self, words: list[str]) -> np.ndarray:
+        """Slots of distinct words. Those of long words hold until the next call."""
+        if len(self.slots) + len(words) > REMEMBERED:
+            self.forget()
+        found = list(map(self.slots.get, words))
+        new = [k for k, slot in enumerate(found) if slot is None]
+        if new:
+            new.sort(key=lambda k: len(words[k]) > SHORT)
+            at = len(self.slots)
+            self._append(at, self._encode([words[k] for k in new]))
+            for slot, k in enumerate(new, at):
+                found[k] = slot
+            self.slots.update((words[k], found[k]) for k in new if len(words[k]) <= SHORT)
+        return np.array(found, np.int64)
 
     def texts(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by ``end``; number of ids by text)."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        texts = pc.fill_null(texts, "")
+        if not pc.any(pc.match_substring_regex(texts, r"\p{M}")).as_py():
+            # without marks to compose, case can be folded before, and a letter ends a token before punctuation: fewer words
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), self.end, r"\1 \2")
+        split = pc.ascii_split_whitespace(texts)
         coded = pc.dictionary_encode(split.flatten())
-        words = self.ids(coded.dictionary.to_pylist()) + [np.array([end], np.uint32)]
-        sizes = np.array([len(w) for w in words])
+        slots = self.find(coded.dictionary.to_pylist())
+        n = int(slots.max(initial=-1)) + 1
+        starts = np.concatenate([[0], self.ends[: max(n - 1, 0)]])[slots] if len(slots) else slots
+        sizes = np.append(self.ends[slots] - starts, 1)
+        starts = np.append(starts, self.ends[n - 1] if n else 0)
         bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
-        order = np.insert(coded.indices.to_numpy(zero_copy_only=False), bounds[1:], len(words) - 1)
-        lengths, first = sizes[order], np.concatenate([[0], np.cumsum(sizes)[:-1]])[order]
-        ends = np.cumsum(lengths)
-        at = np.repeat(first - (ends - lengths), lengths) + np.arange(lengths.sum())
+        order = np.insert(coded.indices.to_numpy(zero_copy_only=False), bounds[1:], len(slots))
+        lengths = sizes.astype(np.int32)[order]
+        ends = np.cumsum(lengths, dtype=np.int64)
+        at = np.repeat((starts[order] - (ends - lengths)).astype(np.int32), lengths) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
         of_text = ends[bounds[1:] + np.arange(len(bounds) - 1)]
-        return np.concatenate(words)[at], np.diff(of_text, prepend=0)
+        ids = np.append(self.ids[: self.ends[n - 1] if n else 0], np.uint32(end))
+        return ids[at], np.diff(of_text, prepend=0)
 
 
 @lru_cache(maxsize=1)
