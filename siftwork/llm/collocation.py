@@ -5,12 +5,16 @@
    can only let a pair through). Both sets are kept as bit filters of fixed size, the one thing
    that is broadcast; what passes wrongly is counted like the rest and ends below ``LEAST``.
 2. Each shard, a slice of a task's texts, numbers its words in byte order and sorts its positions by the
-   words that follow, as far as the pairs are frequent. The sorted phrases of one to five words
-   with their counts become count transducers, one for each prefix range (a language, a first word
-   and the first byte of a second), built incrementally: as soon as a phrase leaves a state
-   behind, that state is final, and an equal one (same weight and arcs) takes its place.
+   words that follow, as far as the pairs are frequent. The sorted phrases of two to five words
+   with their counts become count transducers, one for each prefix range, built incrementally: as
+   soon as a phrase leaves a state behind, that state is final, and an equal one (same weight and
+   arcs) takes its place. A prefix range is a language and the shortest prefix of the first word
+   with at most a ``RANGES``-th of all words; a word that is more frequent by itself is parted by
+   the first byte of the second word. So ranges stay small however frequent a word is, and those
+   that have to be split are few: these prefixes are broadcast.
 3. The transducers of a range are united: their sorted phrases are merged, equal ones add their
-   weights, and the sum is built anew. Ranges of many shards are united by groups of shards first.
+   weights, and the sum is built anew. Ranges of many shards are united by groups of shards
+   first. The words' own counts, known from step 1, join as one further transducer.
 4. Candidates are the phrases of a united transducer with at least ``LEAST`` occurrences. Their
    parts are sent to the parts' ranges, made an acceptor there, and composed with the transducer:
    both are walked along the labels they share, and the final weights are the parts' counts.
@@ -27,7 +31,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import groupby
 
 import numpy as np
@@ -44,7 +48,9 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 #: Fixed value: characters that end a piece.
 ENDS = r"[.,;:!?\n-\r]+"
 #: Bytes of text of a shard; bits of a filter; transducers of a range that one task unites at once.
-SHARD, BITS, UNITED = 12 << 20, 1 << 26, 64
+SHARD, BITS, UNITED = 16 << 20, 1 << 26, 64
+#: Prefixes with more than this share of all words are split, up to a number of characters.
+RANGES, PREFIX = 1_000, 8
 #: Salts by which the candidates of one language are ranked first.
 SALTS = 64
 #: Bytes of the languages' totals that are broadcast at most.
@@ -140,7 +146,7 @@ def _positions(part: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, list[str
         split = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.binary_join_element_wise(pc.ascii_lower(texts), ".", " "), ENDS, " . "))
         coded = pc.dictionary_encode(split.flatten())
         words = coded.dictionary.to_pylist()
-        number = np.arange(len(words))
+        number = np.arange(len(words), dtype=np.int32)
         number[[k for k, w in enumerate(words) if w in (".", "")]] = -1
         if "" in words:  # white space at an end
             keep = pc.not_equal(split.flatten(), "").to_numpy(zero_copy_only=False)
@@ -235,8 +241,8 @@ def frequent_pairs(texts: DataFrame, words: np.ndarray, least: int = LEAST) -> D
     return texts.mapInArrow(releasing(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
 
 
-def _phrases(at: np.ndarray, keys: np.ndarray, rank: np.ndarray, words: np.ndarray, pairs: np.ndarray) -> Iterator[tuple[tuple[int, ...], int]]:
-    """(ranks of the words, count) of a shard's phrases in ascending order: sorted positions, cut at pairs that aren't frequent."""
+def _phrases(at: np.ndarray, keys: np.ndarray, rank: np.ndarray, words: np.ndarray, pairs: np.ndarray) -> Iterator[list]:
+    """[ranks of the words, count] of a shard's phrases of two words or more in ascending order: sorted positions, cut at pairs that aren't frequent."""
     good = np.append(_held(words, keys), False)[at] & (at >= 0)
     step = np.zeros(len(at), bool)
     here = np.flatnonzero(good[:-1] & good[1:])
@@ -257,37 +263,72 @@ def _phrases(at: np.ndarray, keys: np.ndarray, rank: np.ndarray, words: np.ndarr
     new = np.ones(len(rows), bool)
     new[1:] = (rows[1:] != rows[:-1]).any(1)
     first = np.flatnonzero(new)
-    alone = np.bincount(ranks, minlength=base)
-    alone[0] = 0
-    found: dict[int, list[tuple[list[int], int]]] = {}
+    path: list[list] = []
+    out: list[list] = []
+    # a longer phrase counts for those that it begins with; they lie on one path, which is given out when its first pair ends
     for row, n in zip(rows[first].tolist(), np.diff(np.append(first, len(rows))).tolist()):
-        found.setdefault(row[0], []).append((row[: row.index(0)] if 0 in row else row, n))
-    for head in np.flatnonzero(alone).tolist():
-        out, path = [[(head,), int(alone[head])]], []
-        for row, n in found.get(head, ()):
-            same = 0
-            while same < min(len(path), len(row) - 1) and path[same][0][-1] == row[same + 1]:
+        row = row[: row.index(0)] if 0 in row else row
+        if not path or row[:2] != path[0][0]:
+            yield from out
+            path, out, same = [], [], 1
+        else:
+            same = 2
+            while same <= len(path) and same < len(row) and path[same - 1][0][-1] == row[same]:
                 same += 1
-            del path[same:]
-            for k in range(same + 1, len(row)):
-                path.append([tuple(row[: k + 1]), 0])
-                out.append(path[-1])
-            for entry in path:
-                entry[1] += n
-        yield from map(tuple, out)
+            del path[same - 1 :]
+        for k in range(same, len(row)):
+            path.append([row[: k + 1], 0])
+            out.append(path[-1])
+        for entry in path:
+            entry[1] += n
+    yield from out
+
+
+class Ranges:
+    """Prefix ranges of phrases, from the prefixes (language, text) that too many words have."""
 
+    def __init__(self, split: set[tuple[str, str]]):
+        self.split = split
 
-def part_of(phrase: tuple[str, ...]) -> int:
-    """First byte of the second word; 0 for a single word."""
-    return phrase[1].encode()[0] if len(phrase) > 1 else 0
+    def of(self, lang: str, phrase: Sequence[str]) -> tuple[str, int]:
+        """(prefix of the first word, first byte of the second word: 0 for a single word, and where the first needn't be parted)."""
+        word = phrase[0]
+        for n in range(1, min(len(word), PREFIX) + 1):
+            if (lang, word[:n]) not in self.split:
+                return word[:n], 0
+        return word, phrase[1].encode()[0] if len(phrase) > 1 else 0
 
 
-_RANGE = [("lang", pa.string()), ("word", pa.string()), ("part", pa.int32())]
+def prefix_ranges(words: DataFrame) -> Ranges:
+    """Ranges for ``words`` (lang, word, f). The prefixes that come to the driver have a share of at least 1 / ``RANGES`` of all words each, so for each length there are no more."""
+    total = words.agg(F.sum("f").alias("n")).first()["n"] or 0
+    begun = words.select("lang", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(PREFIX))), lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("prefix"), "f")
+    return Ranges({(r["lang"], r["prefix"]) for r in begun.groupBy("lang", "prefix").agg(F.sum("f").alias("n")).where(F.col("n") * RANGES > total).collect()})
+
+
+_RANGE = [("lang", pa.string()), ("prefix", pa.string()), ("part", pa.int32())]
 _STORED = [("weights", pa.list_(pa.int64())), ("degrees", pa.list_(pa.int32())), ("labels", pa.list_(pa.string())), ("targets", pa.list_(pa.int32()))]
-_STORED_SQL = "lang string, word string, part int, shard long, weights array<long>, degrees array<int>, labels array<string>, targets array<int>"
+_STORED_SQL = "lang string, prefix string, part int, shard long, weights array<long>, degrees array<int>, labels array<string>, targets array<int>"
+
+
+def _ranged(lang: str, said: Iterable[tuple[tuple[str, ...], int]], ranges: Ranges, shard: int) -> Iterator[dict]:
+    """Rows of the transducers of sorted phrases, one a range."""
+    for (prefix, part), group in groupby(said, lambda p: ranges.of(lang, p[0])):
+        yield {"lang": lang, "prefix": prefix, "part": part, "shard": shard} | Transducer.of(group).row()
 
 
-def shard_transducers(texts: DataFrame, words: np.ndarray, pairs: np.ndarray) -> DataFrame:
+def word_transducers(words: DataFrame, ranges: Ranges) -> DataFrame:
+    """The counts of ``words`` (lang, word, f) as transducers, several a range if its words lie in several tasks."""
+    schema = pa.schema(_RANGE + [("shard", pa.int64())] + _STORED)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        yield from _batched((row for lang, group in groupby(stream, lambda r: r[0]) for row in _ranged(lang, (((w,), f) for _, w, f in group), ranges, -1)), schema)
+
+    return words.select("lang", "word", "f").repartitionByRange("lang", "word").sortWithinPartitions("lang", "word").mapInArrow(build, _STORED_SQL)
+
+
+def shard_transducers(texts: DataFrame, words: np.ndarray, pairs: np.ndarray, ranges: Ranges) -> DataFrame:
     """A count transducer for each shard and prefix range."""
     frequent, joined = (texts.sparkSession.sparkContext.broadcast(x) for x in (words, pairs))
     schema = pa.schema(_RANGE + [("shard", pa.int64())] + _STORED)
@@ -303,8 +344,7 @@ def shard_transducers(texts: DataFrame, words: np.ndarray, pairs: np.ndarray) ->
                     rank[order] = np.arange(len(held))
                     named = [""] + [held[k] for k in order]
                     said = ((tuple([named[r] for r in phrase]), n) for phrase, n in _phrases(at, _keys(lang, held), rank, frequent.value, joined.value))
-                    for (word, second), group in groupby(said, lambda p: (p[0][0], part_of(p[0]))):
-                        yield {"lang": lang, "word": word, "part": second, "shard": task << 20 | nth} | Transducer.of(group).row()
+                    yield from _ranged(lang, said, ranges, task << 20 | nth)
 
         yield from _batched(rows(), schema)
 
@@ -337,7 +377,7 @@ def united(stored: DataFrame, least: int = LEAST) -> DataFrame:
         return releasing(work)
 
     groups = stored.agg(F.count_distinct("shard").alias("n")).first()["n"]
-    key = ["lang", "word", "part", "shard"]
+    key = ["lang", "prefix", "part", "shard"]
     while True:
         groups = -(-groups // UNITED)
         salted = stored.withColumn("shard", F.pmod(F.xxhash64("shard"), F.lit(max(groups, 1))))
@@ -362,19 +402,24 @@ def candidates(ranges: DataFrame) -> DataFrame:
     return ranges.mapInArrow(say, "lang string, words array<string>, f long")
 
 
-def part_counts(ranges: DataFrame, parts: DataFrame) -> DataFrame:
+def part_counts(ranges: DataFrame, parts: DataFrame, known: Ranges) -> DataFrame:
     """(lang, words, f) of ``parts`` (lang, words), distinct: in each range their acceptor is composed with its transducer."""
-    first, second = F.col("words")[0], F.when(F.size("words") > 1, F.conv(F.substring(F.hex(F.get("words", F.lit(1))), 1, 2), 16, 10).cast("int")).otherwise(0)
     none = [F.lit(None).cast(t).alias(c) for c, t in (("weights", "array<long>"), ("degrees", "array<int>"), ("labels", "array<string>"), ("targets", "array<int>"))]
-    asked = parts.select("lang", first.alias("word"), second.alias("part"), "words", *none)
-    key = ["lang", "word", "part"]
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = [known.of(lang, words) for lang, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p for p, _ in at], pa.string()), pa.array([p for _, p in at], pa.int32()), b.column(1)], names=["lang", "prefix", "part", "words"])
+
+    asked = parts.select("lang", "words").mapInArrow(placed, "lang string, prefix string, part int, words array<string>").select("*", *none)
+    key = ["lang", "prefix", "part"]
     both = ranges.withColumn("words", F.lit(None).cast("array<string>")).select(*asked.columns).unionByName(asked)
     schema = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("f", pa.int64())])
 
     def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict]:
             stream = (r for b in batches for r in b.to_pylist())
-            for (lang, _, _), group in groupby(stream, lambda r: (r["lang"], r["word"], r["part"])):
+            for (lang, _, _), group in groupby(stream, lambda r: (r["lang"], r["prefix"], r["part"])):
                 counts = _read(next(group))  # nulls first: the range itself, then its parts in order
                 acceptor = Transducer.of((tuple(r["words"]), 1) for r in group)
                 for phrase, weight in counts.composed(acceptor):
@@ -398,7 +443,9 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     frequent, totals = word_counts(texts, least)
     words = _filter(frequent.select("key"))
     pairs = _filter(frequent_pairs(texts, words, least))
-    ranges = united(materialize(shard_transducers(texts, words, pairs), workspace(spark, "collocation")), least)
+    known = prefix_ranges(frequent)
+    stored = shard_transducers(texts, words, pairs, known).unionByName(word_transducers(frequent, known))
+    ranges = united(materialize(stored, workspace(spark, "collocation")), least)
     found = materialize(candidates(ranges), workspace(spark, "collocation"))
 
     longer = found.where(F.size("words") > 2)
@@ -410,7 +457,7 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     cuts = free.select("lang", "words", "f", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k"))
     cuts = cuts.select("lang", "words", "f", "k", F.slice("words", F.lit(1), F.col("k")).alias("left"), F.slice("words", F.col("k") + 1, F.size("words")).alias("right"))
     asked = cuts.select("lang", F.explode(F.array("left", "right")).alias("words")).distinct()
-    counts = materialize(part_counts(ranges, asked), workspace(spark, "collocation"))
+    counts = materialize(part_counts(ranges, asked, known), workspace(spark, "collocation"))
     part = lambda side, f: counts.select("lang", F.col("words").alias(side), F.col("f").alias(f))
     scored = cuts.join(part("left", "l"), ["lang", "left"]).join(part("right", "r"), ["lang", "right"]).join(_small(totals), "lang").withColumnRenamed("f", "a")
     best = scored.withColumn("score", F.expr(SCORE)).groupBy("lang", "words", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
