@@ -210,19 +210,30 @@ def _batched(rows: Iterator[dict], schema: pa.Schema, size: int = 4096) -> Itera
 
 
 def word_counts(texts: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """((lang, word, key, f) of words that occur ``least`` times, (lang, n) of all words)."""
+    """((lang, word, f) of words that occur ``least`` times, (lang, n) of all words)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _shards(batches):
             for lang, at, words in _positions(part):
                 n = np.bincount(at[at >= 0], minlength=len(words))
                 some = np.flatnonzero(n)
-                held = [words[k] for k in some.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(held), pa.string()), pa.array(held, pa.string()), pa.array(_keys(lang, held).view(np.int64)), pa.array(n[some])], names=["lang", "word", "key", "f"])
+                held, counts = [words[k] for k in some.tolist()] + [""], np.append(n[some], n.sum())  # no word is empty: the total
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(held), pa.string()), pa.array(held, pa.string()), pa.array(counts)], names=["lang", "word", "f"])
 
-    counted = texts.mapInArrow(releasing(count), "lang string, word string, key long, f long").groupBy("lang", "word", "key").agg(F.sum("f").alias("f"))
-    counted = materialize(counted, workspace(texts.sparkSession, "collocation"))
-    return counted.where(F.col("f") >= least), counted.groupBy("lang").agg(F.sum("f").alias("n"))
+    counted = texts.mapInArrow(releasing(count), "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
+    kept = materialize(counted.where((F.col("f") >= least) | (F.col("word") == "")), workspace(texts.sparkSession, "collocation"))
+    return kept.where("word <> ''"), kept.where("word = ''").select("lang", F.col("f").alias("n"))
+
+
+def word_keys(words: DataFrame) -> DataFrame:
+    """64-bit keys of ``words`` (lang, word)."""
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = hashes([f"{lang}\t{w}" for lang, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist())])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["key"])
+
+    return words.select("lang", "word").mapInArrow(key, "key long")
 
 
 def frequent_pairs(texts: DataFrame, words: np.ndarray, least: int = LEAST) -> DataFrame:
@@ -441,7 +452,7 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     texts = docs.select("text", "lang")
     frequent, totals = word_counts(texts, least)
-    words = _filter(frequent.select("key"))
+    words = _filter(word_keys(frequent))
     pairs = _filter(frequent_pairs(texts, words, least))
     known = prefix_ranges(frequent)
     stored = shard_transducers(texts, words, pairs, known).unionByName(word_transducers(frequent, known))
