@@ -29,4 +29,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from siftwork.catalog import datasets, events, governance, native, quality, scans, values  # noqa: F401
+    from siftwork.catalog import datasets, events, governance, native, nested, quality, scans, values  # noqa: F401

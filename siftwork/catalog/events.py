@@ -42,6 +42,29 @@ def t6_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.numbered(table(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("event_id", "seq")
 
 
+@query("""SELECT user_id AS run, event_id AS id, CASE event_id % 5 WHEN 0 THEN 'agent.tool.started' WHEN 1 THEN 'agent.tool.completed' WHEN 2 THEN 'agent.failed' WHEN 3 THEN 'agent.completed' ELSE 'agent.progress' END AS type,
+CASE event_id % 5 WHEN 0 THEN CASE WHEN event_type = 'view' THEN 'search' WHEN event_type = 'click' THEN 'scrape' ELSE event_type END WHEN 1 THEN 'search' END AS tool, CASE event_id % 5 WHEN 0 THEN CASE WHEN event_type = 'view' THEN 'SEARCH' WHEN event_type = 'click' THEN 'SCRAPE' END WHEN 1 THEN 'SEARCH' END AS step,
+CASE event_id % 5 WHEN 0 THEN CASE WHEN event_type = 'view' THEN 'Searching the web for user ' || user_id WHEN event_type = 'click' THEN 'Scraping u' || user_id || '.example.com' ELSE event_type || ' started' END WHEN 1 THEN 'Search returned 2 results'
+WHEN 2 THEN 'key [REDACTED] of ' || event_type WHEN 3 THEN 'Agent completed in ' || user_id || ' ms' ELSE 'Agent emitted text progress' END AS summary,
+CASE event_id % 5 WHEN 3 THEN '{"durationMs":' || user_id || ',"model":"unknown"}' WHEN 4 THEN '{"characterCount":' || length(event_type) || '}' END AS details, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events""")
+def t6_tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls, results, failures, ends and texts of an agent as numbered events of its run, with type, step and summary."""
+    return stream.sequenced(stream.tool_events(agent_chunks(table(spark, sf_dir, "events"))))
+
+
+def agent_chunks(e: DataFrame) -> DataFrame:
+    """Tool calls and results made of the events' own columns."""
+    k, user, t = F.col("event_id") % 5, F.col("user_id").cast("string"), F.col("event_type")
+    tool = F.when(k == 1, "search").when(k == 0, F.when(t == "view", "search").when(t == "click", "scrape").otherwise(t))
+    call = F.concat(F.lit('{"query":"user '), user, F.lit('","url":"https://U'), user, F.lit('.example.com/x"}'))
+    found = F.concat(F.lit('{"data":{"web":[{"url":"https://a.example.com/"},{"title":"'), t, F.lit('"},{"n":1}]}}'))
+    kinds = F.element_at(F.array(*[F.lit(x) for x in ("tool-call", "tool-result", "error", "done", "text")]), (k + 1).cast("int"))
+    return e.select(
+        F.col("user_id").alias("run"), F.col("event_id").alias("id"), kinds.alias("kind"), tool.alias("tool"), F.when(k == 0, call).when(k == 1, found).alias("body"), F.when(k == 2, F.concat(F.lit("key fc-abcdefghijkl0123 of "), t)).alias("error"),
+        F.when(k == 4, t).alias("content"), F.when(k == 3, F.col("user_id")).alias("duration_ms"), F.lit(None).cast("string").alias("model"),
+    )
+
+
 _STEPS = """s AS (SELECT l_orderkey AS run, l_linenumber AS step, CASE WHEN l_returnflag = 'R' THEN 'FAILED' ELSE 'COMPLETED' END AS status, CAST(l_quantity AS BIGINT) AS records FROM lineitem)"""
 
 
@@ -133,7 +156,7 @@ def q14_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT conv_id, string_agg('[' || upper(role) || ' ' || turn || ']: ' || substr(coalesce(text, ''), 1, 500), chr(10) || chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id""")
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.transcript(table(spark, sf_dir, "conversations").where(F.col("conv_id") >= 0), 500)
+    return runs.transcript(table(spark, sf_dir, "conversations"), 500)
 
 
 @query("""SELECT key, min(turn) AS turn FROM (SELECT conv_id AS key, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS s FROM conversations) WHERE s >= 1500 GROUP BY key""")

@@ -44,6 +44,16 @@ def g1_g2_source_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", urls.source_form(u).alias("canonical_url"), F.sha2(urls.source_form(u), 256).alias("url_hash"), urls.ranking_form(u).alias("ranking_url"), plain.alias("plain"))
 
 
+@query("""SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) || '://xn--bcher-' || 'kva.' || regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '\\.$', '') || '/' AS canonical_url, page_id % 2 = 0 AS allowed FROM pages""")
+def g1_international_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts with a label beyond ASCII meet their ASCII form, also in rules."""
+    p = urls.parts(F.col("url"))
+    raw = F.concat(p.scheme, F.lit("://B\u00dcCHER."), F.when(F.col("page_id") % 2 == 0, p.host).otherwise(F.concat(p.host, F.lit("."))), F.lit("/"))
+    pages = table(spark, sf_dir, "pages").select("page_id", raw.alias("url"), p.host.alias("_host"))
+    decided = govern.decide(pages.select("page_id", "url"), SourcePolicy(), international=True)
+    return decided.select("page_id", "canonical_url", (F.col("allowed") & (F.col("page_id") % 2 == 0)).alias("allowed"))
+
+
 @query("""SELECT page_id, regexp_replace(split_part(url, '#', 1), '/$', '') AS evidence_url FROM pages""")
 def g3_evidence_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", urls.evidence_form(F.col("url")).alias("evidence_url"))
@@ -91,6 +101,25 @@ def g6_g7_g8_w6_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return govern.robots_decisions(requests, govern.robots_rules(files)).select("id", "allowed", "robots_status", "delay_ms")
 
 
+@query(f"""WITH p AS (SELECT page_id AS id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin, CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) END || regexp_extract(url, '^[^?#]*(\\?[^#]*)', 1) AS target FROM pages),
+o AS (SELECT DISTINCT lower(origin) AS origin FROM p), r AS (SELECT origin, length(o.origin) % 2 = 0 AS allow, substr(target, 1, k) AS path FROM o, (SELECT DISTINCT substr(target, 1, 4) AS target FROM p), (VALUES (3), (4)) v(k)
+UNION ALL SELECT origin, false, '/*?page' FROM o UNION ALL SELECT origin, true, '/en/' FROM o),
+h AS (SELECT p.id, arg_max(allow, length(replace(path, '*', '')) * 2 + CASE WHEN allow THEN 1 ELSE 0 END) AS verdict FROM p JOIN r ON lower(p.origin) = r.origin AND CASE WHEN path LIKE '%*%' THEN contains(substr(target, 2), '?page') ELSE starts_with(target, path) END GROUP BY p.id)
+SELECT p.id, coalesce(verdict, true) AS allowed FROM p LEFT JOIN h ON p.id = h.id""")
+def g8_w6_page_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' own paths under rules made of the paths that occur, on every origin, and a wildcard."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url")
+    asked = urls.with_parts(F.col("url"), lambda p: F.struct(F.concat(p.scheme, F.lit("://"), p.authority).alias("origin"), F.concat(p.path, p.query).alias("target")))
+    seen = pages.select(asked.alias("a"))
+    origins, heads = seen.select("a.origin").distinct(), seen.select(F.substring("a.target", 1, 4).alias("head")).distinct()
+    paths = heads.select(F.explode(F.array(F.substring("head", 1, 3), "head")).alias("path")).distinct()
+    listed = paths.agg(F.collect_list("path").alias("paths"))  # one robots file for all origins
+    both = origins.join(F.broadcast(listed)).select("origin", F.explode("paths").alias("path")).select("origin", (F.length("origin") % 2 == 0).alias("allow"), "path")
+    more = origins.select("origin", F.explode(F.array(F.struct(F.lit(False).alias("allow"), F.lit("/*?page").alias("path")), F.struct(F.lit(True).alias("allow"), F.lit("/en/").alias("path")))).alias("r")).select("origin", "r.*")
+    rules = both.unionByName(more).withColumn("delay_ms", F.lit(None).cast("long"))
+    return govern.robots_decisions(pages, rules).select("id", "allowed")
+
+
 @query("""SELECT page_id AS id, CASE page_id % 4 WHEN 0 THEN 'NOT_FOUND' WHEN 1 THEN 'UNAVAILABLE' WHEN 2 THEN 'DISALLOWED' ELSE 'UNAVAILABLE' END AS robots_status, page_id % 4 = 0 AS allowed FROM pages""")
 def g9_robots_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     origins = [(f"https://r{k}.example.com", s) for k, s in enumerate((404, 503, 200))]
@@ -199,26 +228,17 @@ def w5_no_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.rank(_candidates(spark, sf_dir), ["the of"], 7).select("idx", "domain")
 
 
-@query("""SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(trim(b.text))) WHERE length(trim(b.text)) >= 2""")
+@query("""WITH b AS (SELECT item_id, lower(trim(text)) AS v, list_filter(string_split_regex(lower(trim(text)), '\\s+'), lambda w: length(w) >= 3) AS w FROM benchmark
+UNION ALL SELECT -1 - c_custkey, lower(c_mktsegment || ' ' || substr(CAST(c_custkey AS VARCHAR), 1, 2)), [lower(c_mktsegment)] FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT 1000000 + n_nationkey, lower(substr(n_name, 1, 2)), [] FROM nation),
+d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE trim(text) <> '')
+SELECT doc_id, item_id FROM d JOIN b ON (length(v) >= 2 AND contains(t, v)) OR (len(w) > 0 AND len(list_filter(w, lambda x: NOT contains(t, x))) = 0)""")
 def e1_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage as a whole. The second half of E1 (all words of three or more characters) is left out, as in the SQL."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.trim("text")).alias("passage")).where(F.length("passage") >= 2)
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"))
-    return _holding(d, b)
-
-
-def _holding(d: DataFrame, b: DataFrame) -> DataFrame:
-    # equi-join on the longest inner word of the passage, or its first two characters if it has none, then the exact test
-    parts = F.split("passage", " ")
-    inner = F.slice(parts, 2, F.greatest(F.lit(0), F.size(parts) - 2))
-    keyed = b.withColumn("w", F.reduce(inner, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a)))
-    short = keyed.where("w = ''").withColumn("w", F.substring("passage", 1, 2))
-    words = d.select("doc_id", F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
-    found = keyed.where("w <> ''").join(words, "w")
-    if not short.isEmpty():
-        pairs = F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda i: F.substring(F.col("t"), i, F.lit(2)))
-        found = found.unionByName(short.join(d.where(F.length("t") >= 2).select("doc_id", F.explode(F.array_distinct(pairs)).alias("w")), "w"))
-    return found.join(d, "doc_id").where(F.col("t").contains(F.col("passage"))).select("doc_id", "item_id").distinct()
+    """Documents that verify a value: a benchmark passage, a market segment with a number, two letters of a nation; as a whole or by all words of three characters or more."""
+    passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("vid"), F.col("text").alias("value"))
+    segments = table(spark, sf_dir, "customer").where(F.col("c_custkey") % 10 == 0).select((-1 - F.col("c_custkey")).cast("long").alias("vid"), F.concat("c_mktsegment", F.lit(" "), F.substring(F.col("c_custkey").cast("string"), 1, 2)).alias("value"))
+    nations = table(spark, sf_dir, "nation").select((F.lit(1_000_000) + F.col("n_nationkey")).cast("long").alias("vid"), F.substring("n_name", 1, 2).alias("value"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sid"), F.col("text").alias("snippet"))
+    return provenance.verified_pairs(d, passages.unionByName(segments).unionByName(nations)).select(F.col("sid").alias("doc_id"), F.col("vid").alias("item_id"))
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:

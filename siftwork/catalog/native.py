@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,3 +82,24 @@ def z6_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def z7_approximate_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"), F.approx_count_distinct("l_orderkey", 0.02).alias("orders"))
+
+
+#: Logarithm of a sketch's registers, and the relative standard error that goes with it.
+REGISTERS = 12
+ERROR = 1.04 / 2 ** (REGISTERS / 2)
+
+
+@query("""WITH d AS (SELECT DISTINCT date_trunc('day', ts) AS day, user_id FROM events), r AS (SELECT DISTINCT day, n FROM d, (VALUES (1), (7), (30)) v(n))
+SELECT CAST(r.day AS TIMESTAMP) AS day, CAST(n AS INT) AS days, (SELECT count(DISTINCT user_id) FROM d WHERE d.day <= r.day AND d.day > r.day - n * INTERVAL 1 DAY) AS exact, true AS close FROM r""")
+def z7_merged_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct users of the last 1, 7 and 30 days: sketches are made once a day and united over each range, and told to lie within three standard errors of the exact count."""
+    e = table(spark, sf_dir, "events").select(F.date_trunc("day", "ts").alias("day"), "user_id")
+    daily = e.groupBy("day").agg(F.hll_sketch_agg("user_id", REGISTERS).alias("sketch"))
+    days = e.select("day", "user_id").distinct()
+    ends = lambda n, k: F.struct(F.lit(n).alias("days"), F.dateadd(F.col("day"), k).cast(e.schema["day"].dataType).alias("end"))
+    reach = F.explode(F.flatten(F.array(*[F.transform(F.sequence(F.lit(0), F.lit(n - 1)), partial(ends, n)) for n in (1, 7, 30)]))).alias("r")
+    known = daily.select(F.col("day").alias("end"))
+    united = daily.select("sketch", reach).select("r.end", "r.days", "sketch").join(known, "end", "left_semi").groupBy("end", "days").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
+    exact = days.select("user_id", reach).select("r.end", "r.days", "user_id").join(known, "end", "left_semi").groupBy("end", "days").agg(F.count_distinct("user_id").alias("exact"))
+    close = F.abs(F.col("estimate") - F.col("exact")) <= F.greatest(F.lit(1.0), 3 * ERROR * F.col("exact"))
+    return united.join(exact, ["end", "days"]).select(F.col("end").alias("day"), "days", "exact", close.alias("close"))

@@ -2,23 +2,26 @@
 
 Forms differ on purpose: a dataset value keeps its query and host name, a match key drops scheme
 and ``www.``, a source's canonical form drops tracking and secret parameters and sorts the rest.
-Paths and queries are percent-encoded and paths lose their dot segments, as URL parsers do it. Not
-covered: punycode.
+Paths and queries are percent-encoded and paths lose their dot segments, as URL parsers do it.
+Hosts beyond ASCII are for ``with_ascii_host``, which the others don't call, as it needs Python.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 GRAMMAR = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#@]*)@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\s\[\]]+)(?::(\d*))?((?:/[^?#]*)?)(\?[^#]*)?(#.*)?$"
 #: Parameters that only track, and those that may hold secrets.
-TRACKING = r"(?i)^(utm_.+|gclid|fbclid|mc_cid|mc_eid)$"
-SECRET = r"(?i)^(token|access_token|api_key|apikey|key|session|sessionid|auth)$"
-TRACKING_OR_SECRET = r"(?i)^(utm_.+|gclid|fbclid|mc_cid|mc_eid|token|access_token|api_key|apikey|key|session|sessionid|auth)$"
+TRACKING_NAMES, SECRET_NAMES = "utm_.+|gclid|fbclid|mc_cid|mc_eid", "token|access_token|api_key|apikey|key|session|sessionid|auth"
+TRACKING, SECRET, TRACKING_OR_SECRET = (rf"(?i)^({names})$" for names in (TRACKING_NAMES, SECRET_NAMES, f"{TRACKING_NAMES}|{SECRET_NAMES}"))
 #: Host names that are never public.
 LOCAL_SUFFIXES = ("localhost", "local", "internal", "corp", "lan", "home", "intranet", "localdomain")
 METADATA_HOSTS = ("localhost", "metadata.google", "metadata", "instance-data")
@@ -101,8 +104,35 @@ def parts(c: Column) -> Parts:
 
 
 def with_parts(c: Column, body: Callable[[Parts], Column]) -> Column:
-    """``body`` of a URL's parts, which are found once for each row."""
-    return F.transform(F.array(_split(c)), lambda a: body(_parts(a)))[0]
+    """``body`` of a URL's parts. Each part is made once for a row; ``body`` refers to fields, however often it uses them."""
+    names = [f.name for f in fields(Parts)]
+    made = F.transform(F.array(_split(c)), lambda a: F.struct(*[getattr(p, n).alias(n) for p in [_parts(a)] for n in names]))
+    return F.transform(made, lambda s: body(Parts(*[s[n] for n in names])))[0]
+
+
+#: Fixed value: the prefix of a label that stands for characters beyond ASCII.
+ENCODED_LABEL = "xn--"
+#: An authority with a character beyond ASCII behind a scheme.
+WIDE_HOST = r"^([A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?)([^/?#:@]*[^\x00-\x7F/?#:@][^/?#:@]*)"
+
+
+def ascii_label(label: str) -> str:
+    """A host's label in ASCII: compatibility form in lower case, in bootstring code if it still has wider characters."""
+    plain = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", label).lower())
+    return plain if plain.isascii() else ENCODED_LABEL + plain.encode("punycode").decode("ascii")
+
+
+@F.pandas_udf(StringType())
+def _ascii_host(hosts: pd.Series) -> pd.Series:
+    dots = re.compile("[.\u3002\uff0e\uff61]")
+    return hosts.map(lambda h: None if h is None else ".".join(map(ascii_label, dots.split(h))))
+
+
+def with_ascii_host(c: Column) -> Column:
+    """A URL whose host is in ASCII, as the other forms expect it. Only hosts with wider characters leave the JVM, in Arrow batches."""
+    wide = c.rlike(WIDE_HOST)
+    made = _ascii_host(F.when(wide, F.regexp_extract(c, WIDE_HOST, 2)))
+    return F.when(wide, F.concat(F.regexp_extract(c, WIDE_HOST, 1), made, F.regexp_replace(c, WIDE_HOST, ""))).otherwise(c)
 
 
 def _no_slashes(path: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from functools import lru_cache
 
 from pyspark.sql import Column, SparkSession
@@ -15,8 +16,12 @@ EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]{2,}$"
 UNITS = {"thousand": 1e3, "k": 1e3, "million": 1e6, "m": 1e6, "billion": 1e9, "b": 1e9, "trillion": 1e12, "t": 1e12}
 CODES = ("USD", "EUR", "GBP", "INR", "JPY", "CAD", "AUD", "CNY")
 SYMBOLS = {"$": "USD", "€": "EUR", "£": "GBP", "₹": "INR", "¥": "JPY"}
-#: Names that differ from those of the Java library, or that it lacks.
-RENAMED = {"TR": "Türkiye", "XK": "Kosovo"}
+#: Names that differ from those of the Java library, and codes that it lacks: reserved, regional and former ones.
+RENAMED = {
+    "AC": "Ascension Island", "AN": "Curaçao", "BU": "Myanmar (Burma)", "CP": "Clipperton Island", "CQ": "Sark", "CS": "Serbia", "DD": "Germany", "DG": "Diego Garcia", "DY": "Benin", "EA": "Ceuta & Melilla", "EU": "European Union",
+    "EZ": "Eurozone", "FX": "France", "HV": "Burkina Faso", "IC": "Canary Islands", "NH": "Vanuatu", "QO": "Outlying Oceania", "RH": "Zimbabwe", "SU": "Russia", "TA": "Tristan da Cunha", "TP": "Timor-Leste", "TR": "Türkiye",
+    "UK": "United Kingdom", "UN": "United Nations", "VD": "Vietnam", "XA": "Pseudo-Accents", "XB": "Pseudo-Bidi", "XK": "Kosovo", "YD": "Yemen", "YU": "Serbia", "ZR": "Congo - Kinshasa",
+}
 
 
 @lru_cache
@@ -52,11 +57,12 @@ def _lookup(keys, values) -> Column:
 
 
 def number(c: Column) -> Column:
-    """The one number in a text, times its unit."""
+    """The one number in a text, times its unit; null beyond what a double can hold."""
     unit = F.lower(F.regexp_extract(c, r"(?i)\d[\d,]*(?:\.\d+)?\s*(thousand|million|billion|trillion|k|m|b|t)\b", 1))
     kept = F.regexp_replace(c, r"[^0-9.+-]", "")
     times = F.coalesce(F.try_element_at(_lookup(UNITS, UNITS.values()), unit), F.lit(1.0))
-    return F.when(kept.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)$"), kept.try_cast("double") * times)
+    value = F.when(kept.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)$"), kept.try_cast("double") * times)
+    return F.when(F.abs(value) < float("inf"), value)
 
 
 def plain_number(n: Column) -> Column:
@@ -78,12 +84,20 @@ def currency(c: Column) -> Column:
     return F.concat_ws(" ", currency_code(c), F.when(number(c).isNotNull(), plain_number(number(c))))
 
 
+def _found(pairs: dict[str, str], key: Column, buckets: int = 256) -> Column:
+    """A key's value, null if it has none: an array of small maps by checksum, as a look-up in a map reads all its keys."""
+    held: list[dict[str, str]] = [{} for _ in range(buckets)]
+    for k, v in pairs.items():
+        held[zlib.crc32(k.encode()) % buckets][k] = v
+    tables = F.array(*[_lookup(h, h.values()) if h else F.create_map().cast("map<string,string>") for h in held])
+    return F.try_element_at(F.get(tables, (F.crc32(key.cast("binary")) % buckets).cast("int")), key)
+
+
 def country(c: Column) -> Column:
     """English name of a country's code or name; other texts as they are."""
     folded, names = F.lower(F.regexp_replace(F.trim(c), r"[.]", "")), countries()
-    by_code = _lookup((k.lower() for k in names), names.values())
-    by_name = _lookup((v.lower() for v in names.values()), names.values())
-    return F.coalesce(F.when(folded.rlike("^[a-z]{2}$"), F.try_element_at(by_code, folded)).otherwise(F.try_element_at(by_name, folded)), F.trim(c))
+    by_code, by_name = {k.lower(): v for k, v in names.items()}, {v.lower(): v for v in names.values()}
+    return F.coalesce(_found(by_name | by_code, folded), F.trim(c))
 
 
 def is_country(c: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from siftwork.functions import text, urls, values
 from siftwork.functions.text import fold_key
+from siftwork.operators import nested
 from siftwork.plans import model
 from siftwork.plans.model import Field, Plan
 
@@ -45,8 +46,8 @@ def prepared(c: Column, kind: str, f: Field, plan: Plan) -> Column:
         items = F.filter(F.transform(c, lambda x: text_value(x.cast("string"), Field(f.key, "array"), plan)), lambda x: x.isNotNull())
         return F.when(F.size(items) > 0, items)
     if kind.startswith(("map", "struct")):
-        pairs = c if kind.startswith("map") else F.from_json(F.to_json(c), "map<string,string>")
-        return F.transform_values(pairs, lambda k, v: text.clean(v.cast("string")))
+        # inner values by their own keys, on every level; what is nested stays JSON
+        return F.from_json(nested.normal_json(F.to_json(c, {"ignoreNullFields": "false"}), f.key, plan), "map<string,string>")
     return text_value(c.cast("string"), f, plan)
 
 

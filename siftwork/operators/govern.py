@@ -4,23 +4,33 @@ from __future__ import annotations
 
 import re
 from collections import deque
+from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftwork.functions import urls
 from siftwork.functions.text import redact
+from siftwork.operators.store import settled
 from siftwork.plans.model import SourcePolicy
 
 #: Longest crawl delay, size of a robots file that is read, agent that asks.
 MAX_DELAY_MS, ROBOTS_CHARS, AGENT = 60_000, 512 * 1024, "SiftworkBot"
+#: Tasks that an origin's requests are dealt to.
+SALTS = 16
+#: Calls of a limiter's segment, stretches by which it is warmed up, rounds of mending.
+SEGMENT, WARM, ROUNDS = 200_000, 4, 8
 LIFECYCLE = ("DISCOVERED", "ALLOWED", "BLOCKED", "QUEUED", "PROCESSING", "COLLECTED", "FAILED", "SKIPPED")
 
 
-def decide(sources: DataFrame, policy: SourcePolicy, url: str = "url") -> DataFrame:
-    """``sources`` with canonical_url, domain, url_hash, allowed and code: the first reason that applies, or null."""
+def decide(sources: DataFrame, policy: SourcePolicy, url: str = "url", international: bool = False) -> DataFrame:
+    """``sources`` with canonical_url, domain, url_hash, allowed and code: the first reason that applies, or null. ``international`` brings hosts beyond ASCII to ASCII first."""
+
     def judged(p: urls.Parts) -> Column:
         host = F.regexp_replace(p.host, r"\.$", "")
         code = (
@@ -34,6 +44,8 @@ def decide(sources: DataFrame, policy: SourcePolicy, url: str = "url") -> DataFr
             code = code.when(~urls.matches_rules(host, policy.allowed), "DOMAIN_NOT_ALLOWLISTED")
         return F.struct(F.when(p.is_url, host).otherwise("").alias("domain"), code.alias("code"))
 
+    if international:
+        sources = sources.withColumn(url, urls.with_ascii_host(F.col(url)))
     c = F.col(url)
     out = sources.withColumns({"canonical_url": F.coalesce(urls.source_form(c), urls.safe_form(c)), "_judged": urls.with_parts(c, judged)})
     out = out.withColumns({"domain": F.col("_judged.domain"), "code": F.col("_judged.code"), "url_hash": F.sha2("canonical_url", 256)})
@@ -75,32 +87,105 @@ def robots_rules(files: DataFrame, agent: str = AGENT) -> DataFrame:
     return delays.join(rules, "origin", "left").select("origin", "allow", "path", "delay_ms")
 
 
-def robots_pattern(path: Column) -> Column:
-    """A rule's path as a pattern: ``*`` is anything, ``$`` at the end is the end."""
-    body = F.regexp_replace(F.regexp_replace(path, r"\$$", ""), r"([\\.\[\](){}+?^$|])", r"\\$1")
-    return F.concat(F.lit("^"), F.regexp_replace(body, r"\*", ".*"), F.when(path.endswith("$"), "$").otherwise(""))
+class Rules:
+    """The compiled rules of one origin: a trie of literal prefixes, whole paths, and the patterns with wildcards from the strongest down.
+
+    A rule's strength is its length without ``*`` and ``$``; among equals allowing wins.
+    """
+
+    def __init__(self) -> None:
+        self.trie: dict = {}
+        self.whole: dict[str, tuple[int, bool]] = {}
+        self.patterns: list[tuple[tuple[int, bool], re.Pattern]] = []
+        self.delay: int | None = None
+        self.status: int | None = None
+
+    def add(self, path: str, allow: bool) -> None:
+        strength = (len(re.sub(r"[*$]", "", path)), allow)
+        if "*" in path:
+            body = ".*".join(map(re.escape, path.removesuffix("$").split("*")))
+            self.patterns.append((strength, re.compile(body + "$" * path.endswith("$"))))
+        elif path.endswith("$"):
+            self.whole[path[:-1]] = max(strength, self.whole.get(path[:-1], strength))
+        else:
+            node = self.trie
+            for c in path:
+                node = node.setdefault(c, {})
+            node[""] = max(strength, node.get("", strength))
+
+    def seal(self) -> None:
+        self.patterns.sort(key=lambda p: p[0], reverse=True)
+
+    def allowed(self, target: str) -> bool:
+        best, node = self.whole.get(target, (-1, True)), self.trie
+        for c in target:
+            node = node.get(c)
+            if node is None:
+                break
+            best = max(best, node.get("", best))
+        for strength, pattern in self.patterns:
+            if strength <= best:
+                break
+            if pattern.match(target):
+                return strength[1]
+        return best[1]
+
+
+def _ruled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by origin, its rules before the requests: compiles the rules, then decides request by request."""
+    now, held = object(), Rules()
+    for b in batches:
+        verdicts, delays, statuses, sealed = [], [], [], False
+        columns = (b.column(c).to_pylist() for c in ("_origin", "_salt", "_rule", "_allow", "_path", "_delay", "_status", "_target"))
+        for origin, salt, rule, allow, path, delay, status, target in zip(*columns):
+            if (origin, salt) != now:
+                now, held, sealed = (origin, salt), Rules(), False
+            if rule:
+                if path is not None:
+                    held.add(path, allow)
+                held.delay = max((d for d in (held.delay, delay) if d is not None), default=None)
+                held.status = status if held.status is None else held.status
+                sealed = False
+                continue
+            if not sealed:
+                held.seal()
+                sealed = True
+            verdicts.append(target is None or held.allowed(target))
+            delays.append(held.delay)
+            statuses.append(held.status)
+        asked = b.filter(pc.invert(b.column("_rule")))
+        yield pa.RecordBatch.from_arrays([asked.column("_old"), pa.array(verdicts, pa.bool_()), pa.array(delays, pa.int64()), pa.array(statuses, pa.int32())], names=["_old", "_verdict", "delay_ms", "_status"])
 
 
 def robots_decisions(requests: DataFrame, rules: DataFrame, responses: DataFrame | None = None) -> DataFrame:
-    """``requests`` (id, url) with allowed, robots_status and delay_ms.
+    """``requests`` (id, url) with origin, delay_ms, robots_status and allowed; each stays one row, repeated ids too.
 
     The longest matching rule decides, allow before disallow on ties. ``responses`` (origin,
-    status) tells how the files were answered: 404 and 410 allow, other failures forbid.
+    status; one row an origin) tells how the files were answered: 404 and 410 allow, other failures forbid.
+    An origin's rules go once to each of ``SALTS`` tasks, which compile them and see a part of its requests.
     """
     asked = urls.with_parts(F.col("url"), lambda p: F.struct(F.concat(p.scheme, F.lit("://"), p.authority).alias("origin"), F.concat(p.path, p.query).alias("target")))
-    target = requests.withColumn("_asked", asked).withColumns({"origin": F.col("_asked.origin"), "_target": F.col("_asked.target")}).drop("_asked")
-    hits = target.join(rules, "origin").withColumn("_hit", F.when(F.col("path").isNotNull(), F.rlike("_target", robots_pattern(F.col("path")))).otherwise(False))
-    strength = F.when(F.col("_hit"), F.struct(F.length(F.regexp_replace("path", "[*$]", "")).alias("n"), F.col("allow").alias("allow")))
-    best = hits.groupBy("id").agg(F.max(strength).alias("best"), F.max("delay_ms").alias("delay_ms"))
-    out = target.join(best, "id", "left")
-    verdict = F.coalesce(F.col("best.allow"), F.lit(True))
-    status = F.when(verdict, "ALLOWED").otherwise("DISALLOWED")
+    old = F.struct(*[F.col(f"`{c}`") for c in requests.columns])
+    target = requests.select(old.alias("_old"), asked.alias("_asked")).select("_old", F.col("_asked.origin").alias("_origin"), F.col("_asked.target").alias("_target"))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    target = target.select(
+        "_origin", F.pmod(F.xxhash64("_target"), F.lit(SALTS)).cast("int").alias("_salt"), F.lit(False).alias("_rule"), none("boolean", "_allow"), none("string", "_path"), none("long", "_delay"), none("int", "_status"), "_target",
+        F.struct(F.struct("_old.*").alias("row"), F.col("_origin").alias("origin")).alias("_old"),
+    )
+    kind = target.schema["_old"].dataType.simpleString()
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    known = rules.select(F.col("origin").alias("_origin"), salt, F.lit(True).alias("_rule"), F.col("allow").alias("_allow"), F.col("path").alias("_path"), F.col("delay_ms").cast("long").alias("_delay"), none("int", "_status"), none("string", "_target"), none(kind, "_old"))
+    both = target.unionByName(known)
+    if responses is not None:
+        told = responses.select(F.col("origin").alias("_origin"), salt, F.lit(True).alias("_rule"), none("boolean", "_allow"), none("string", "_path"), none("long", "_delay"), F.col("status").cast("int").alias("_status"), none("string", "_target"), none(kind, "_old"))
+        both = both.unionByName(told)
+    dealt = both.repartition("_origin", "_salt").sortWithinPartitions("_origin", "_salt", F.desc("_rule"))
+    out = dealt.mapInArrow(_ruled, f"_old {kind}, _verdict boolean, delay_ms long, _status int")
+    status = F.when(F.col("_verdict"), "ALLOWED").otherwise("DISALLOWED")
     if responses is not None:
-        out = out.join(responses.select("origin", F.col("status").alias("_status")), "origin", "left")
         s = F.col("_status")
         status = F.when(s.isin(404, 410), "NOT_FOUND").when(s.isNull() | ~s.between(200, 299), "UNAVAILABLE").otherwise(status)
-    out = out.withColumn("robots_status", status)
-    return out.withColumn("allowed", F.col("robots_status").isin("ALLOWED", "NOT_FOUND")).drop("_target", "best", "_status")
+    return out.select("_old.row.*", F.col("_old.origin").alias("origin"), "delay_ms", status.alias("robots_status")).withColumn("allowed", F.col("robots_status").isin("ALLOWED", "NOT_FOUND"))
 
 
 class Window:
@@ -123,6 +208,47 @@ class Window:
         return wait <= 0, max(0, wait)
 
 
+_CALL = "part long, segment long, id long, at long, head array<long>, allowed boolean, retry_after_ms long, remaining long, log array<long>"
+
+
+def _limited(limit: int, width_ms: int, interval_ms: int, kind: str):
+    """Meets calls sorted by (key, part, segment, at, id). A row with ``head`` tells the log to begin with; ``warm`` rows only fill it.
+
+    Gives the decisions, and for parts of several segments each segment's log at its begin and at its end.
+    """
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state, begin, last = None, None, None, None
+        names = ["key", "part", "segment", "id", "at", "head", "allowed", "retry_after_ms", "remaining", "log"]
+
+        def ended() -> list[tuple]:
+            if now is None or last is None:
+                return []
+            log = lambda times, at: [t for t in times if t > at - width_ms]
+            return [(*now, None, None, log(begin or (), last[0]), None, None, None, log(state.times, last[1]))]
+
+        for pdf in batches:
+            rows = []
+            for key, part, segment, i, at, warm, head, first, nxt in zip(*(pdf[c] for c in ("key", "part", "segment", "id", "at", "warm", "head", "first", "next"))):
+                key = None if pd.isna(key) else key
+                if now is None or (key, part, segment) != now:
+                    rows += ended()
+                    now, state, begin = (key, part, segment), Window(limit, width_ms, interval_ms), None
+                    last = None if pd.isna(first) else (int(first), int(nxt))
+                if head is not None:
+                    state.times.extend(int(t) for t in head)
+                    continue
+                if not warm and begin is None:
+                    begin = list(state.times)
+                ok, wait = state.ask(int(at))
+                if not warm:
+                    rows.append((*now, i, at, None, ok, wait, max(0, limit - len(state.times)), None))
+            yield pd.DataFrame(rows, columns=names)
+        yield pd.DataFrame(ended(), columns=names)
+
+    return decide, f"key {kind}, {_CALL}"
+
+
 def limit_calls(calls: DataFrame, limit: int, width_ms: int = 60_000, interval_ms: int = 0) -> DataFrame:
     """``calls`` (key, id, at in ms) with allowed, retry_after_ms, remaining.
 
@@ -130,28 +256,63 @@ def limit_calls(calls: DataFrame, limit: int, width_ms: int = 60_000, interval_m
     runs empty. So a key's calls are parted where a stretch of the window's width has none, which
     the distinct (key, stretch) tell; each part is met in order by one task. It streams through
     sorted; only the accepted calls of one window are held.
+
+    A part of more than ``SEGMENT`` calls is cut into segments of whole stretches that are met at
+    the same time, each on a guess: its log after the ``WARM`` stretches before it. Where the guess
+    is the log with which the segment before ended, both are right. The others are met again
+    from that log, which mends those behind them as soon as the logs meet. After ``ROUNDS`` rounds
+    what is left of a part, which then has calls whose phase never meets, is met in order.
     """
     kind = dict(calls.dtypes)["key"]
-
-    def decide(batches):
-        now, state = None, None
-        for pdf in batches:
-            rows = []
-            for k, part, i, at in zip(pdf["key"], pdf["part"], pdf["id"], pdf["at"]):
-                if state is None or (k, part) != now:
-                    now, state = (k, part), Window(limit, width_ms, interval_ms)
-                ok, wait = state.ask(int(at))
-                rows.append((k, i, at, ok, wait, max(0, limit - len(state.times))))
-            yield pd.DataFrame(rows, columns=["key", "id", "at", "allowed", "retry_after_ms", "remaining"])
-
+    decide, schema = _limited(limit, width_ms, interval_ms, kind)
     at = F.col("at").cast("long")
     calls = calls.select("key", F.col("id").cast("long").alias("id"), at.alias("at"), F.floor(at / F.lit(width_ms)).alias("stretch"))
     # stretches that follow each other have one difference of number and rank
-    rank = F.row_number().over(W.partitionBy("key").orderBy("stretch"))
-    parts = calls.select("key", "stretch").distinct().select(F.col("key").alias("_key"), F.col("stretch").alias("_stretch"), (F.col("stretch") - rank).alias("part"))
-    calls = calls.join(parts, F.col("key").eqNullSafe(F.col("_key")) & (F.col("stretch") == F.col("_stretch"))).select("key", "part", "id", "at")
-    dealt = calls.repartition("key", "part").sortWithinPartitions("key", "part", "at", "id")
-    return dealt.mapInPandas(decide, f"key {kind}, id long, at long, allowed boolean, retry_after_ms long, remaining long")
+    counted = calls.groupBy("key", "stretch").agg(F.count(F.lit(1)).alias("n"))
+    by_key = W.partitionBy("key").orderBy("stretch")
+    parts = counted.withColumn("part", F.col("stretch") - F.row_number().over(by_key))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("key", "part").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = settled(parts.withColumn("segment", F.floor(before / SEGMENT)))
+    several = parts.groupBy("key", "part").agg(F.max("segment").alias("last")).where(F.col("last") > 0)
+    plain = [F.lit(False).alias("warm"), F.lit(None).cast("array<long>").alias("head"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("next")]
+    meet = lambda rows: rows.repartition("key", "part", "segment").sortWithinPartitions("key", "part", "segment", F.col("at").asc_nulls_first(), "id").mapInPandas(decide, schema)
+    same = lambda a, b, *cs: reduce(lambda x, c: x & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")), cs, F.lit(True))
+    result = ["key", "id", "at", "allowed", "retry_after_ms", "remaining"]
+    placed = calls.alias("c").join(parts.alias("p"), same("c", "p", "key", "stretch"))
+    if several.isEmpty():
+        return meet(placed.select("c.key", "p.part", "p.segment", "c.id", "c.at", *plain)).select(*result)
+    spans = parts.groupBy("key", "part", "segment").agg(F.min("stretch").alias("low"), F.max("stretch").alias("high"))
+    spans = settled(spans.select("key", "part", "segment", "low", (F.col("low") * width_ms).alias("first"), ((F.col("high") + 1) * width_ms).alias("next")))
+    # segments are numbered by calls, so the next one may be further than one on
+    numbered = W.partitionBy("key", "part").orderBy("segment")
+    follows = settled(spans.select("key", "part", "segment", F.lead("segment").over(numbered).alias("after"), F.lead("low").over(numbered).alias("after_low"), F.count(F.lit(1)).over(W.partitionBy("key", "part")).alias("count")))
+    near = parts.alias("p").join(follows.alias("f"), same("p", "f", "key", "part", "segment")).where(F.col("after").isNotNull() & (F.col("p.stretch") >= F.col("after_low") - WARM))
+    both = parts.select("key", "part", "stretch", "segment", F.lit(False).alias("warm")).unionByName(near.select("p.key", "p.part", "p.stretch", F.col("after").alias("segment"), F.lit(True).alias("warm")))
+    told = spans.alias("s").join(follows.alias("f"), same("s", "f", "key", "part", "segment")).where("count > 1").select("s.key", "s.part", "s.segment", "s.first", "s.next")
+    dealt = calls.alias("c").join(both.alias("b"), same("c", "b", "key", "stretch")).select("c.key", "b.part", "b.segment", "c.id", "c.at", "b.warm")
+    dealt = settled(dealt.alias("d").join(told.alias("t"), same("d", "t", "key", "part", "segment"), "left").select("d.*", F.lit(None).cast("array<long>").alias("head"), "t.first", "t.next"))
+    met = settled(meet(dealt))
+    links = follows.where("after is not null").select("key", "part", "segment", "after")
+
+    def wrong() -> DataFrame:
+        """(key, part, segment, head) of segments that were met with another log than the one before left."""
+        logs = met.where("log is not null")
+        ends = links.alias("l").join(logs.alias("a"), same("l", "a", "key", "part", "segment")).select("l.key", "l.part", F.col("l.after").alias("segment"), F.col("a.log").alias("end"))
+        return settled(ends.alias("e").join(logs.alias("b"), same("e", "b", "key", "part", "segment")).where(F.col("e.end") != F.col("b.head")).select("e.key", "e.part", "e.segment", F.col("e.end").alias("head")))
+
+    for _ in range(ROUNDS):
+        todo = wrong()
+        if todo.isEmpty():
+            return met.where("log is null").select(*result)
+        again = dealt.where("not warm").alias("d").join(todo.alias("t"), same("d", "t", "key", "part", "segment"), "left_semi")
+        heads = todo.alias("t").join(told.alias("s"), same("t", "s", "key", "part", "segment")).select("t.key", "t.part", "t.segment", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("at"), F.lit(False).alias("warm"), "t.head", "s.first", "s.next")
+        met = settled(met.alias("m").join(todo.alias("t"), same("m", "t", "key", "part", "segment"), "left_anti").unionByName(meet(again.unionByName(heads))))
+    todo = wrong()
+    from_ = settled(todo.groupBy("key", "part").agg(F.min_by(F.struct("segment", "head"), "segment").alias("f")).select("key", "part", F.col("f.segment").alias("from"), F.col("f.head").alias("head")))
+    late = lambda rows, how: rows.alias("r").join(from_.alias("f"), same("r", "f", "key", "part") & (F.col("r.segment") >= F.col("f.from")), how)
+    rest = late(dealt.where("not warm"), "inner").select("r.key", "r.part", F.col("f.from").alias("segment"), "r.id", "r.at", "r.warm", F.lit(None).cast("array<long>").alias("head"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("next"))
+    heads = from_.select("key", "part", F.col("from").alias("segment"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("at"), F.lit(False).alias("warm"), "head", F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("next"))
+    return late(met, "left_anti").where("r.log is null").select(*[f"r.{c}" for c in result]).unionByName(meet(rest.unionByName(heads)).select(*result))
 
 
 def retry_delay(attempt: Column, initial_ms: int, multiplier: float, most_ms: int, retry_after: Column | None = None, jitter: Column | None = None) -> Column:

@@ -4,17 +4,23 @@
 16 bytes; what is shuffled and joined are record numbers and digests. One rule needs one minimum by
 key. Several rules interact, as only unmatched records register their keys: records are decided in
 rounds, in each of which those register that are the first undecided ones of all their keys, and
-those that hold a registered key are out. Entity resolution decides the same way over the graph of
-pairs that share an identifier. No component of linked records is ever gathered.
+those that hold a registered key are out; what few rounds leave is decided in order, in groups of
+bounded size. Entity resolution registers names with their identifiers in the same way.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.functions import text, urls
 from siftwork.functions.text import is_missing
+from siftwork.operators import graph, nested
 from siftwork.operators.store import settled
 from siftwork.plans import model
 from siftwork.plans.model import Field, MatchRule, Plan
@@ -25,14 +31,15 @@ LEGAL_FORMS = ("incorporated", "inc", "limited", "ltd", "llc", "llp", "corp", "c
 CONFLICT = "array<struct<field:string,canonical_value:string,alternate_value:string,canonical_urls:array<string>,alternate_urls:array<string>>>"
 #: Tasks that the rows of one key are dealt to in joins.
 SALTS = 16
+#: Rounds of registration at a time; rows that one task decides in order at most.
+ROUNDS, IN_ORDER = 4, 1_000_000
+_REGISTERED = "rule int, k binary, first long"
 
 
 def stable_json(c: Column, kind: str) -> Column:
-    """JSON text whose objects have sorted keys."""
-    if kind.startswith("map"):
-        return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c))))
-    if kind.startswith(("array", "struct")):
-        return F.to_json(c)
+    """JSON text whose objects have sorted keys, on every level."""
+    if kind.startswith(("array", "map", "struct")):
+        return nested.canonical(F.to_json(c))
     return F.to_json(F.struct(c.alias("v"))) if kind == "string" else c.cast("string")
 
 
@@ -79,23 +86,61 @@ def first_of_key(rows: DataFrame, match_key: Column, order: str) -> DataFrame:
     return out.withColumn("duplicate_of", F.when(F.col(order) > F.col("_least"), F.col("_least"))).drop("_key", "_least")
 
 
-def registered(each: DataFrame) -> DataFrame:
-    """rule, k, first: the record that registers each key of ``each`` (rec_idx, rule, k; settled), if one does.
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (group, rec_idx, rule, k) sorted by group and record: the keys that get registered, decided record by record."""
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+    for _, members in groupby(rows, lambda r: r[0]):
+        known: set[tuple[int, bytes]] = set()
+        found: list[tuple[int, bytes, int]] = []
+        for rec, held in groupby(members, lambda r: r[1]):
+            keys = [(rule, k) for _, _, rule, k in held]
+            if known.isdisjoint(keys):
+                known.update(keys)
+                found += [(rule, k, rec) for rule, k in keys]
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.int64()))], names=["rule", "k", "first"])
+
+
+def _round(open_: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(keys registered by records that are the first undecided ones of all their keys, rows of records that stay undecided)."""
+    lows = settled(open_.groupBy("rule", "k").agg(F.min("rec_idx").alias("rec_idx")))
+    firsts = lows.groupBy("rec_idx").agg(F.count(F.lit(1)).alias("held")).join(sizes, "rec_idx").where("held = n").select("rec_idx")
+    new = settled(lows.join(firsts, "rec_idx").select("rule", "k", F.col("rec_idx").alias("first")))
+    out = settled(open_.join(new.select("rule", "k"), ["rule", "k"]).select("rec_idx").distinct())
+    return new, settled(open_.join(out, "rec_idx", "left_anti"))
+
 
-    In order, a record registers all its keys unless one of them is known by then. In each round
-    the first undecided record of all its keys registers, and whoever holds one of these keys
-    can't any more; the rounds are few, as both leave together. Only counters come to the driver.
+def registered(each: DataFrame) -> DataFrame:
+    """rule, k, first: the record that registers each key of ``each`` (rec_idx, rule, k; distinct and settled), if one does.
+
+    In order, a record registers all its keys unless one of them is known by then. In each of the
+    first rounds the first undecided record of all its keys registers, and whoever holds one of
+    these keys can't any more: that decides nearly all. What waits on long chains is decided
+    record by record, as a whole if it has at most ``IN_ORDER`` rows, else by components; only a
+    component that is larger goes on in rounds. So the number of jobs doesn't grow with a chain,
+    but for a single one of more than that many rows. Only counters come to the driver.
     """
     sizes = settled(each.groupBy("rec_idx").agg(F.count(F.lit(1)).alias("n")))
-    found, open_ = None, each
+    found, open_, ordered = [], each, ["group", "rec_idx"]
     while not open_.isEmpty():
-        lows = open_.groupBy("rule", "k").agg(F.min("rec_idx").alias("rec_idx"))
-        firsts = lows.groupBy("rec_idx").agg(F.count(F.lit(1)).alias("held")).join(sizes, "rec_idx").where("held = n").select("rec_idx")
-        new = settled(lows.join(firsts, "rec_idx").select("rule", "k", F.col("rec_idx").alias("first")))
-        found = new if found is None else found.unionByName(new)
-        out = open_.join(new.select("rule", "k"), ["rule", "k"]).select("rec_idx").distinct()
-        open_ = settled(open_.join(out, "rec_idx", "left_anti"))
-    return found if found is not None else each.withColumnRenamed("rec_idx", "first").select("rule", "k", "first")
+        for _ in range(ROUNDS):
+            new, open_ = _round(open_, sizes)
+            found.append(new)
+            left = open_.count()
+            if not left:
+                break
+        if not left:
+            break
+        if left <= IN_ORDER:
+            found.append(settled(open_.select(F.lit(0).alias("group"), "rec_idx", "rule", "k").repartition(1).sortWithinPartitions(*ordered).mapInArrow(_in_order, _REGISTERED)))
+            break
+        lows = open_.groupBy("rule", "k").agg(F.min("rec_idx").alias("low"))
+        roots = graph.components(open_.join(settled(lows), ["rule", "k"]).select(F.col("rec_idx").alias("a"), F.col("low").alias("b")))
+        grouped = settled(open_.join(roots.select(F.col("idx").alias("rec_idx"), F.col("root").alias("group")), "rec_idx", "left").select(F.coalesce("group", "rec_idx").alias("group"), "rec_idx", "rule", "k"))
+        giants = settled(grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > IN_ORDER).select("group"))
+        small = grouped.join(giants, "group", "left_anti")
+        found.append(settled(small.repartition("group").sortWithinPartitions(*ordered).mapInArrow(_in_order, _REGISTERED)))
+        open_ = settled(grouped.join(giants, "group").select("rec_idx", "rule", "k"))
+    return reduce(DataFrame.unionByName, found) if found else each.withColumnRenamed("rec_idx", "first").select("rule", "k", "first")
 
 
 def links(records: DataFrame, plan: Plan) -> DataFrame:
@@ -248,16 +293,19 @@ def similar_pairs(names: DataFrame, threshold: float) -> DataFrame:
     return pairs.groupBy(low, high).agg(F.bool_or(F.coalesce(shared, F.lit(False))).alias("shared"), F.max(text.similarity(F.col("name"), F.col("_name"))).alias("confidence"))
 
 
+def _id_keys(plan: Plan) -> list[str]:
+    """Text fields that tell records apart: declared in a rule, or named like an identifier."""
+    declared = {k for r in plan.match_rules for k in r.keys}
+    return [f.key for f in plan.fields if f.type == "string" and (f.key in declared or model.is_identifier(f.key))]
+
+
 def _named(records: DataFrame, plan: Plan) -> DataFrame | None:
     """rec_idx, name, blocks, ids of the records that aren't duplicates yet and have a name."""
     field = model.name_field(plan)
     if field is None:
         return None
-    fuzzy = next((r for r in plan.match_rules if r.strategy == "FUZZY_REVIEW"), None)
-    declared = {k for r in plan.match_rules for k in r.keys}
-    texts = [f.key for f in plan.fields if f.type == "string"]
-    id_keys = [k for k in texts if k in declared or model.is_identifier(k)]
-    block_keys = [k for k in texts if model.is_identifier(k)]
+    id_keys = _id_keys(plan)
+    block_keys = [k for k in id_keys if model.is_identifier(k)]
     name = entity_name(F.col(f"values.`{field}`"))
     ids = F.array(*[identifier(k, F.col(f"values.`{k}`")) for k in id_keys]) if id_keys else F.array(F.lit(None).cast("string"))
     blocks = [F.concat(F.lit("name:"), F.substring(name, 1, 2))] + [F.concat(F.lit(f"id:{k}:"), identifier(k, F.col(f"values.`{k}`"))) for k in block_keys]
@@ -265,20 +313,52 @@ def _named(records: DataFrame, plan: Plan) -> DataFrame | None:
     return open_.select("rec_idx", name.alias("name"), F.array_distinct(F.array_compact(F.array(*blocks))).alias("blocks"), ids.alias("ids")).where("name is not null")
 
 
-def merged_away(edges: DataFrame) -> DataFrame:
-    """idx of the records that go to an earlier one: ``edges`` (left_idx, right_idx) lead from one that isn't itself gone to a later one.
+def similar_names(names: DataFrame, threshold: float) -> DataFrame:
+    """name, other, confidence of all pairs of distinct ``names`` (name) that are similar enough, in both directions."""
+    numbered = settled(names.select(F.monotonically_increasing_id().alias("rec_idx"), "name", F.array(F.lit("")).alias("blocks"), F.array(F.lit(None).cast("string")).alias("ids")))
+    pairs = similar_pairs(numbered, threshold)
+    number = lambda side, c: numbered.select(F.col("rec_idx").alias(side), F.col("name").alias(c))
+    named = settled(pairs.join(number("left_idx", "name"), "left_idx").join(number("right_idx", "other"), "right_idx").select("name", "other", "confidence"))
+    return named.unionByName(named.select(F.col("other").alias("name"), F.col("name").alias("other"), "confidence"))
+
+
+def _prefix(c: str) -> Column:
+    return F.substring(c, 1, 2)
 
-    In each round the records without an earlier undecided neighbour stay, and their later
-    neighbours go; edges of decided records are done with.
+
+def best_earlier(named: DataFrame, threshold: float, blocking: list[int]) -> DataFrame:
+    """canonical_idx, duplicate_idx, shared, confidence: the best earlier record of each one of ``named`` (rec_idx, name, ids) that has one.
+
+    Names are compared once for all records that have them. A record goes if an earlier one that
+    stays has a similar name and shares an identifier. At most one record with the same name and
+    identifier stays, so this is registration of keys: a name with its identifier, and a pair of
+    similar names with an identifier that both occur with. Names that begin otherwise count only
+    for the identifiers (by number) in ``blocking``. Without a shared identifier the best is the first staying record of the
+    most similar name. No two records are ever paired.
     """
-    gone, open_ = None, settled(edges)
-    while not open_.isEmpty():
-        stay = open_.select(F.col("left_idx").alias("idx")).distinct().join(open_.select(F.col("right_idx").alias("idx")).distinct(), "idx", "left_anti")
-        new = settled(open_.join(stay.withColumnRenamed("idx", "left_idx"), "left_idx").select(F.col("right_idx").alias("idx")).distinct())
-        gone = new if gone is None else gone.unionByName(new)
-        left = open_.join(new.withColumnRenamed("idx", "left_idx"), "left_idx", "left_anti").join(new.withColumnRenamed("idx", "right_idx"), "right_idx", "left_anti")
-        open_ = settled(left)
-    return gone if gone is not None else edges.select(F.col("left_idx").alias("idx")).limit(0)
+    names = similar_names(named.select("name").distinct(), threshold).withColumn("close", _prefix("name") == _prefix("other"))
+    names = settled(names)
+    ids = settled(named.select("rec_idx", "name", F.posexplode("ids").alias("rule", "id")).where("id is not null"))
+    cells = settled(ids.select("rule", "id", "name").distinct())
+    met = cells.join(names, "name").where(F.col("close") | F.col("rule").isin(blocking) if blocking else F.col("close"))
+    met = met.join(cells.withColumnRenamed("name", "other"), ["rule", "id", "other"], "left_semi").select("rule", "id", "name", "other", "confidence")
+    met = met.unionByName(cells.select("rule", "id", "name", F.col("name").alias("other"), F.lit(1.0).alias("confidence")))
+    pair = F.md5(F.to_json(F.struct("id", F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b"))))
+    met = settled(met.select("rule", "id", "name", F.unhex(pair).alias("k"), "confidence"))
+    each = settled(ids.join(met, ["rule", "id", "name"]).select("rec_idx", "rule", "k", "name", "confidence"))
+    known = settled(registered(each.select("rec_idx", "rule", "k")))
+    # who registered a key, and by which of its two names
+    owners = settled(known.join(each.select(F.col("rec_idx").alias("first"), "rule", "k", F.col("name").alias("_name")), ["first", "rule", "k"]))
+    hits = each.join(owners, ["rule", "k"]).where("first < rec_idx")
+    near = F.when(F.col("name") == F.col("_name"), 1.0).otherwise(F.col("confidence"))
+    shared = settled(hits.groupBy("rec_idx").agg(F.min(F.struct((-near).alias("distance"), "first")).alias("best")).select("rec_idx", F.col("best.first").alias("canonical_idx"), F.lit(True).alias("shared"), (-F.col("best.distance")).alias("confidence")))
+    staying = settled(named.select("rec_idx", "name").join(shared.select("rec_idx"), "rec_idx", "left_anti"))
+    first = settled(staying.groupBy("name").agg(F.min("rec_idx").alias("first"), F.count(F.lit(1)).alias("n")))
+    around = names.where("close").select("name", "other", "confidence").unionByName(first.select("name", F.col("name").alias("other"), F.lit(1.0).alias("confidence")))
+    options = around.join(first.select(F.col("name").alias("other"), "first"), "other").groupBy("name").agg(F.sort_array(F.collect_list(F.struct((-F.col("confidence")).alias("distance"), "first"))).alias("options"))
+    chosen = salted(staying, settled(options), "name", "inner").select("rec_idx", F.try_element_at(F.filter("options", lambda o: o["first"] < F.col("rec_idx")), F.lit(1)).alias("best")).where("best is not null")
+    review = chosen.select("rec_idx", F.col("best.first").alias("canonical_idx"), F.lit(False).alias("shared"), (-F.col("best.distance")).alias("confidence"))
+    return shared.unionByName(review).withColumnRenamed("rec_idx", "duplicate_idx")
 
 
 def resolve(records: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
@@ -294,15 +374,9 @@ def resolve(records: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
     if named is None:
         return records, empty
     field = model.name_field(plan)
-    pairs = settled(similar_pairs(settled(named), fuzzy.threshold if fuzzy else 0.94))
-    if pairs.isEmpty():
-        return records, empty
     ambiguous = fuzzy.ambiguous if fuzzy else "REVIEW_REQUIRED"
-    gone = merged_away(pairs.where("shared").select("left_idx", "right_idx"))
-    rank = F.struct((~F.col("shared")).alias("other"), (-F.col("confidence")).alias("distance"), "left_idx", "confidence")
-    decided = pairs.join(gone.select(F.col("idx").alias("left_idx")), "left_idx", "left_anti").groupBy("right_idx").agg(F.min(rank).alias("best"))
-    decision = F.when(F.col("best.other"), ambiguous).otherwise("MERGED")
-    decided = decided.select(F.col("best.left_idx").alias("canonical_idx"), F.col("right_idx").alias("duplicate_idx"), decision.alias("decision"), F.col("best.confidence").alias("confidence"))
+    found = best_earlier(settled(named), fuzzy.threshold if fuzzy else 0.94, [n for n, k in enumerate(_id_keys(plan)) if model.is_identifier(k)])
+    decided = found.withColumn("decision", F.when(F.col("shared"), "MERGED").otherwise(ambiguous)).drop("shared")
     others = [k for k in (fuzzy.keys if fuzzy else ()) if k != field]
     decided = settled(decided)
     events = decided.select("canonical_idx", "duplicate_idx", "decision", F.lit("LIKELY_ENTITY").alias("match_type"), "confidence", F.array(*[F.lit(k) for k in [field, *others]]).alias("matched_fields"))

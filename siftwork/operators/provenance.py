@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwork.functions import urls
 from siftwork.functions.text import SPACE
+from siftwork.operators.store import settled
 
 
 def verifies(snippet: Column, value: Column) -> Column:
@@ -28,6 +29,42 @@ def verifies_any(snippet: Column, values: Column) -> Column:
     return F.coalesce(F.exists(values, lambda x: verifies(snippet, x)), F.lit(False))
 
 
+def verifies_object(snippet: Column, values: Column) -> Column:
+    """Whether a snippet holds a value of a map of texts."""
+    return verifies_any(snippet, F.map_values(values))
+
+
+def _grams(c: Column) -> Column:
+    """Distinct runs of three characters, in one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)(?=(...))"), F.lit(1)))
+
+
+def verified_pairs(snippets: DataFrame, values: DataFrame) -> DataFrame:
+    """sid, vid of all ``snippets`` (sid, snippet) that verify one of ``values`` (vid, value: text), by ``verifies``.
+
+    A value that has words of three characters or more is verified by all of them, so a snippet
+    must hold every run of three characters of these words. Of them, each value asks for the one
+    that the fewest snippets hold; who answers is tested as a whole.
+    Other values, of two characters or more, are asked for by their first two. Only runs that some value asks for
+    leave a snippet, and a value's text meets only snippets that hold its rarest run.
+    """
+    v = values.where("value is not null").select("vid", F.lower(F.trim("value")).alias("v"))
+    words = F.filter(F.split("v", f"{SPACE}+"), lambda w: F.length(w) >= 3)
+    v = settled(v.select("vid", "v", F.array_distinct(F.flatten(F.transform(words, _grams))).alias("grams"), F.substring("v", 1, 2).alias("pair")).where((F.size("grams") > 0) | (F.length("v") >= 2)))
+    s = settled(snippets.where(F.trim("snippet") != "").select("sid", F.lower("snippet").alias("s")))
+    asked = v.where(F.size("grams") > 0).select("vid", F.explode("grams").alias("gram"))
+    held = settled(s.select("sid", F.explode(_grams(F.col("s"))).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi"))
+    often = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = settled(asked.join(often, "gram", "left").groupBy("vid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m")).where("m.n > 0").select("vid", F.col("m.gram").alias("gram")))
+    found = held.join(rarest, "gram").select("sid", "vid")
+    short = v.where(F.size("grams") == 0).select("vid", "pair")
+    if not short.isEmpty():
+        pairs = s.select("sid", F.explode(F.array_distinct(F.regexp_extract_all("s", F.lit("(?s)(?=(..))"), F.lit(1)))).alias("pair"))
+        found = found.unionByName(pairs.join(short, "pair").select("sid", "vid"))
+    tested = found.join(v.select("vid", "v"), "vid").join(s, "sid")
+    return tested.where(verifies(F.col("s"), F.col("v"))).select("sid", "vid")
+
+
 def attach(records: DataFrame, sources: DataFrame) -> DataFrame:
     """Evidence rows (rec_idx, source_id, url) of the records' urls whose canonical form is a known source's; others are dropped."""
     each = records.select("rec_idx", F.posexplode(F.array_distinct("source_urls")).alias("at", "url")).withColumn("url_hash", F.sha2(F.coalesce(urls.source_form(F.col("url")), F.lit("")), 256))

@@ -41,33 +41,43 @@ def score(terms: list[str], preferred: list[str] = ()) -> Column:
     return F.least(F.lit(1.0), coverage(terms, words("title")) * TITLE + coverage(terms, words("snippet")) * SNIPPET + coverage(terms, words("url")) * URL + phrase + liked)
 
 
-def best_by_url(candidates: DataFrame, terms: list[str], preferred: list[str] = ()) -> DataFrame:
-    """idx, canonical, domain, points (score in millionths) of the best candidate of each page, above the cut.
+def best_by_url(candidates: DataFrame, terms: list[str], preferred: list[str] = (), by: tuple[str, ...] = ()) -> DataFrame:
+    """idx, canonical, domain, points (score in millionths) of the best candidate of each page, above the cut; columns ``by`` part the candidates into lists of their own.
 
     Reduced by ``max_by`` before the shuffle: pages with many candidates need no window.
     """
-    rows = candidates.select("idx", urls.ranking_form(F.col("url")).alias("canonical"), urls.bare_host(F.col("url")).alias("domain"), F.round(score(terms, preferred) * SCALE).cast("long").alias("points"))
+    rows = candidates.select(*by, "idx", urls.ranking_form(F.col("url")).alias("canonical"), urls.bare_host(F.col("url")).alias("domain"), F.round(score(terms, preferred) * SCALE).cast("long").alias("points"))
     rows = rows.where(F.col("canonical").isNotNull() & (F.col("points") >= int(LEAST * SCALE)))
-    return rows.groupBy("canonical").agg(F.max(F.struct("points", (-F.col("idx")).alias("at"), "domain")).alias("m")).select((-F.col("m.at")).alias("idx"), "canonical", F.col("m.domain").alias("domain"), F.col("m.points").alias("points"))
+    return rows.groupBy(*by, "canonical").agg(F.max(F.struct("points", (-F.col("idx")).alias("at"), "domain")).alias("m")).select(*by, (-F.col("m.at")).alias("idx"), "canonical", F.col("m.domain").alias("domain"), F.col("m.points").alias("points"))
 
 
-def diversified(ranked: DataFrame, limit: int) -> DataFrame:
+def diversified(ranked: DataFrame, limit: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Greedy top-k in which each pick lowers its domain's others by a penalty.
 
     Within a domain picks go by score, so a candidate's adjusted score is its own less the penalty
     for its rank there, and the greedy choice is the top-k of the adjusted scores. No candidate
     beyond a domain's first ``limit`` can be chosen, so the ranks come from a pruned window.
     """
-    w = W.partitionBy("domain").orderBy(F.desc("points"), "idx")
+    w = W.partitionBy(*by, "domain").orderBy(F.desc("points"), "idx")
     rows = ranked.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= limit)
     rows = rows.withColumn("adjusted", F.col("points") - int(PENALTY * SCALE) * (F.col("_rank") - 1)).drop("_rank")
-    return rows.orderBy(F.desc("adjusted"), F.desc("points"), "idx").limit(limit)
+    return _first(rows, limit, by, F.desc("adjusted"), F.desc("points"), "idx")
 
 
-def rank(candidates: DataFrame, queries: list[str], limit: int, preferred: list[str] = ()) -> DataFrame:
-    """The chosen candidates by score: idx, canonical, domain, points, adjusted. Without query terms the first ones in order."""
+def _first(rows: DataFrame, limit: int, by: tuple[str, ...], *order: Column | str) -> DataFrame:
+    """The first ``limit`` rows, or those of each list."""
+    if not by:
+        return rows.orderBy(*order).limit(limit)
+    return rows.withColumn("_rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("_rank") <= limit).drop("_rank")
+
+
+def rank(candidates: DataFrame, queries: list[str], limit: int, preferred: list[str] = (), by: tuple[str, ...] = ()) -> DataFrame:
+    """The chosen candidates by score: idx, canonical, domain, points, adjusted. Without query terms the first ones in order.
+
+    Columns ``by`` part the candidates into lists that rank apart, each with its own ``limit``.
+    """
     terms = query_terms(queries)
     if limit <= 0 or not terms:
-        plain = candidates.select("idx", urls.ranking_form(F.col("url")).alias("canonical"), urls.bare_host(F.col("url")).alias("domain"), F.lit(0).cast("long").alias("points"), F.lit(0).cast("long").alias("adjusted"))
-        return plain.orderBy("idx").limit(max(limit, 0))
-    return diversified(best_by_url(candidates, terms, preferred), limit).orderBy(F.desc("points"), "idx")
+        plain = candidates.select(*by, "idx", urls.ranking_form(F.col("url")).alias("canonical"), urls.bare_host(F.col("url")).alias("domain"), F.lit(0).cast("long").alias("points"), F.lit(0).cast("long").alias("adjusted"))
+        return _first(plain, max(limit, 0), by, "idx")
+    return diversified(best_by_url(candidates, terms, preferred, by), limit, by).orderBy(*by, F.desc("points"), "idx")

@@ -52,12 +52,22 @@ def _row(c: Column, category: str | None) -> Column:
     )
 
 
-def search_rows(payloads: DataFrame, text: str = "payload") -> DataFrame:
-    """id, pos and the rows of a search result: named lists at either level, ``results``, or a bare array; rows without url and title are dropped."""
-    c = json_text(F.col(text))
+def _all_rows(text: Column) -> Column:
+    """Rows of all lists of a search result, with or without url and title."""
+    c = json_text(text)
     of = lambda path, category: F.transform(items(c, path), lambda x: _row(x, category))
     lists = [of(f"{level}.{k}", k) for level in LEVELS for k in CATEGORIES] + [of(f"{level}.results", None) for level in LEVELS] + [of("$", None)]
-    each = payloads.select("id", F.posexplode(F.concat(*lists)).alias("pos", "r"))
+    return F.concat(*lists)
+
+
+def hits(text: Column) -> Column:
+    """Array of the rows of a search result that have a url or a title."""
+    return F.filter(_all_rows(text), lambda r: r["url"].isNotNull() | r["title"].isNotNull())
+
+
+def search_rows(payloads: DataFrame, text: str = "payload") -> DataFrame:
+    """id, pos and the rows of a search result: named lists at either level, ``results``, or a bare array; rows without url and title are dropped."""
+    each = payloads.select("id", F.posexplode(_all_rows(F.col(text))).alias("pos", "r"))
     return each.select("id", "pos", "r.*").where(F.col("url").isNotNull() | F.col("title").isNotNull()).withColumns({"title": F.coalesce("title", F.lit("")), "url": F.coalesce("url", F.lit(""))})
 
 

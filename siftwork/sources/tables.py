@@ -47,9 +47,9 @@ def history(events: DataFrame, entity, limit: int | None = None, key: str = "ent
 
 
 def replay(events: DataFrame, entity, after=None, key: str = "entity_id", order: str = "seq") -> DataFrame:
-    """Events of an entity behind a given one; none if that one isn't known."""
+    """Events of an entity behind a given one, by a filter that the scan can take; none if that one isn't known."""
     rows = events.where(F.col(key) == entity)
     if after is None:
         return rows.orderBy(order)
-    known = rows.where(F.col(order) == after).select(F.col(order).alias("_after"))
-    return rows.join(known, F.col(order) > F.col("_after")).drop("_after").orderBy(order)
+    known = rows.where(F.col(order) == after).limit(1).count()
+    return rows.where(F.col(order) > after if known else F.lit(False)).orderBy(order)

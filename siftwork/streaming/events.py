@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from siftwork.operators.govern import Window
+from siftwork.functions import urls
+from siftwork.operators.govern import Window, safe_message
+from siftwork.sources import payloads
 
 #: Actions after which a run sends nothing more.
 TERMINAL = ("RUN_COMPLETED", "RUN_FAILED", "RUN_CANCELLED")
@@ -69,13 +74,16 @@ def sessions(events: DataFrame, gap: str, by: str = "user_id", late: str | None
 
 
 class Limiter(StatefulProcessor):
-    """Sliding-window limit with the accepted times of each key as state. Calls are judged when they arrive, in the order of their times within a batch."""
+    """Sliding-window limit with the accepted times of each key as state. Calls are judged when they arrive, in the order of their times within a batch.
+
+    A key that has had no call for ``idle_ms`` of processing time leaves the state store.
+    """
 
-    def __init__(self, limit: int, width_ms: int, interval_ms: int = 0):
-        self.limit, self.width_ms, self.interval_ms = limit, width_ms, interval_ms
+    def __init__(self, limit: int, width_ms: int, interval_ms: int, idle_ms: int):
+        self.limit, self.width_ms, self.interval_ms, self.idle_ms = limit, width_ms, interval_ms, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("times", "at long", ttlDurationMs=None)
+        self.times = handle.getListState("times", "at long", ttlDurationMs=self.idle_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         window = Window(self.limit, self.width_ms, self.interval_ms, [t[0] for t in self.times.get()] if self.times.exists() else [])
@@ -88,10 +96,88 @@ class Limiter(StatefulProcessor):
         pass
 
 
-def limited(calls: DataFrame, limit: int, width_ms: int = 60_000, interval_ms: int = 0) -> DataFrame:
-    """A stream of calls (key, id, at in ms) with the limiter's decisions."""
+def limited(calls: DataFrame, limit: int, width_ms: int = 60_000, interval_ms: int = 0, idle_ms: int | None = None) -> DataFrame:
+    """A stream of calls (key, id, at in ms) with the limiter's decisions. Needs the RocksDB state store.
+
+    Without ``idle_ms`` a key is forgotten after twice the window or interval, a minute at least; a
+    stream that replays old calls more slowly than they came needs a longer time.
+    """
     schema = "key string, id long, at long, allowed boolean, retry_after_ms long"
-    return calls.groupBy("key").transformWithStateInPandas(Limiter(limit, width_ms, interval_ms), outputStructType=schema, outputMode="Append", timeMode="None")
+    idle_ms = idle_ms or max(60_000, 2 * width_ms, 2 * interval_ms)
+    return calls.groupBy("key").transformWithStateInPandas(Limiter(limit, width_ms, interval_ms, idle_ms), outputStructType=schema, outputMode="Append", timeMode="ProcessingTime")
+
+
+class Counter(StatefulProcessor):
+    """Numbers the rows of each run from 1 on, in the order of ``at`` within a batch; the last number is state, so a restarted stream goes on."""
+
+    def __init__(self, order: list[str], names: list[str]):
+        self.order, self.names = order, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "n long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = pd.concat(list(rows)).sort_values(self.order)
+        last = self.last.get()[0] if self.last.exists() else 0
+        held["seq"] = range(last + 1, last + 1 + len(held))
+        self.last.update((last + len(held),))
+        yield held[[*self.names, "seq"]]
+
+    def close(self) -> None:
+        pass
+
+
+#: The kind of step that a tool belongs to.
+STEP_OF_TOOL = {"search": "SEARCH", "scrape": "SCRAPE", "interact": "INTERACT", "formatOutput": "EXTRACT", "bashExec": "TRANSFORM"}
+
+
+def tool_events(chunks: DataFrame) -> DataFrame:
+    """``chunks`` (run, id, kind, tool, body: JSON of a call's input or a result's output, error, content, duration_ms, model) as run events: run, id, type, tool, step, summary, details.
+
+    Row-local, so it runs on a batch and on a stream; ``sequenced`` numbers either. Summaries are
+    fixed values. Domains come from the body's url; errors are free of known keys.
+    """
+    kind, tool, error = F.col("kind"), F.coalesce("tool", F.lit("unknown")), safe_message(F.col("error"))
+    at = lambda path: F.get_json_object("body", path)
+    domain, text = urls.host(at("$.url")), F.concat
+    query = text(F.lit(" for "), F.substring(at("$.query"), 1, 180))
+    started = (
+        F.when(tool == "search", text(F.lit("Searching the web"), F.coalesce(query, F.lit(""))))
+        .when((tool == "scrape") & domain.isNotNull(), text(F.lit("Scraping "), domain))
+        .when((tool == "interact") & domain.isNotNull(), text(F.lit("Interacting with "), domain))
+        .when(tool == "formatOutput", "Formatting structured extraction output")
+        .otherwise(text(tool, F.lit(" started")))
+    )
+    failed = safe_message(at("$.error"))
+    pages = text(tool, F.lit(" returned content for "), F.coalesce(urls.host(F.coalesce(at("$.url"), at("$.data.url"))), F.lit("a source")))
+    completed = (
+        F.when((tool == "search") & failed.isNotNull(), text(F.lit("Search failed: "), failed))
+        .when(tool == "search", text(F.lit("Search returned "), F.size(payloads.hits(F.col("body"))).cast("string"), F.lit(" results")))
+        .when(tool.isin("scrape", "interact", "map") & failed.isNotNull(), text(tool, F.lit(" failed: "), failed))
+        .when(tool.isin("scrape", "interact", "map"), pages)
+        .otherwise(text(tool, F.lit(" completed")))
+    )
+    duration = F.coalesce("duration_ms", F.lit(0)).cast("string")
+    summary = (
+        F.when(kind == "tool-call", started).when(kind == "tool-result", completed).when(kind == "error", F.coalesce(error, F.lit("Agent execution failed")))
+        .when(kind == "done", text(F.lit("Agent completed in "), duration, F.lit(" ms"))).otherwise(text(F.lit("Agent emitted "), kind, F.lit(" progress")))
+    )
+    types = F.when(kind == "tool-call", "agent.tool.started").when(kind == "tool-result", "agent.tool.completed").when(kind == "error", "agent.failed").when(kind == "done", "agent.completed").otherwise("agent.progress")
+    on_tool = kind.isin("tool-call", "tool-result")
+    step = reduce(lambda c, t: c.when(tool == t[0], t[1]), list(STEP_OF_TOOL.items())[1:], F.when(tool == "search", "SEARCH"))
+    details = (
+        F.when(kind == "done", F.to_json(F.struct(F.coalesce("duration_ms", F.lit(0)).cast("long").alias("durationMs"), F.coalesce("model", F.lit("unknown")).alias("model"))))
+        .when((kind == "text") & (F.length("content") > 0), F.to_json(F.struct(F.length("content").alias("characterCount"))))
+    )
+    return chunks.select("run", "id", types.alias("type"), F.when(on_tool, tool).alias("tool"), F.when(on_tool, step).alias("step"), summary.alias("summary"), details.alias("details"))
+
+
+def sequenced(events: DataFrame, order: str = "id") -> DataFrame:
+    """Events with ``seq`` from 1 on in each run. On a stream the numbers go on where the last batch ended, also after a restart (RocksDB state store); on a batch they come from a window."""
+    if not events.isStreaming:
+        return numbered(events, "run", order)
+    schema = T.StructType([*events.schema.fields, T.StructField("seq", T.LongType())])
+    return events.groupBy("run").transformWithStateInPandas(Counter([order], events.columns), outputStructType=schema, outputMode="Append", timeMode="None")
 
 
 _SAID = "struct<text:string,tool_calls:array<struct<name:string,args:string>>>"
