@@ -29,10 +29,10 @@ ties in score and count are broken by the phrase.
 
 from __future__ import annotations
 
-import heapq
+import gc
 import re
-from collections.abc import Iterable, Iterator, Sequence
-from itertools import groupby
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +48,7 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 #: Fixed value: characters that end a piece.
 ENDS = r"[.,;:!?\n-\r]+"
 #: Bytes of text of a shard; bits of a filter; transducers of a range that one task unites at once.
-SHARD, BITS, UNITED = 16 << 20, 1 << 26, 64
+SHARD, BITS, UNITED = 12 << 20, 1 << 26, 64
 #: Prefixes with more than this share of all words are split, up to a number of characters.
 RANGES, PREFIX = 1_000, 8
 #: Salts by which the candidates of one language are ranked first.
@@ -71,31 +71,29 @@ class Transducer:
         """From distinct phrases in ascending order with their weights."""
         weights: list[int] = []
         arcs: list[tuple[tuple[str, int], ...]] = []
-        known: dict[tuple, int] = {}
-        path: list[tuple[int, list]] = [(0, [])]  # weight and closed arcs of each state on the last phrase's path
+        known: dict[object, int] = {}
+        ended, out = [0], [[]]  # weight and closed arcs of each state on the last phrase's path
         last: tuple[str, ...] = ()
-
-        def close(down: int) -> None:
-            while len(path) > down + 1:
-                weight, out = path.pop()
-                state = (weight, tuple(out))
-                if state not in known:
-                    known[state] = len(weights)
-                    weights.append(weight)
-                    arcs.append(state[1])
-                path[-1][1].append((last[len(path) - 1], known[state]))
-
-        for phrase, weight in phrases:
-            same = 0
-            while same < min(len(last), len(phrase)) and last[same] == phrase[same]:
+        for phrase, weight in chain(phrases, [((), 0)]):  # the empty phrase closes all but the root
+            same, most = 0, min(len(last), len(phrase))
+            while same < most and last[same] == phrase[same]:
                 same += 1
-            close(same)
-            path.extend((0, []) for _ in phrase[same:])
-            path[-1] = (weight, path[-1][1])
-            last = phrase
-        close(0)
-        weights.append(path[0][0])
-        arcs.append(tuple(path[0][1]))
+            for depth in range(len(last), same, -1):
+                held, own = out.pop(), ended.pop()
+                state = (own, *held) if held else own
+                number = known.get(state)
+                if number is None:
+                    number = known[state] = len(weights)
+                    weights.append(own)
+                    arcs.append(tuple(held))
+                out[-1].append((last[depth - 1], number))
+            for _ in range(len(phrase) - same):
+                ended.append(0)
+                out.append([])
+            if phrase:
+                ended[-1], last = weight, phrase
+        weights.append(0)
+        arcs.append(tuple(out[0]))
         return cls(weights, arcs, len(weights) - 1)
 
     def phrases(self) -> Iterator[tuple[tuple[str, ...], int]]:
@@ -132,9 +130,11 @@ class Transducer:
 
 def union(parts: Iterable[Transducer], least: int = 0) -> Transducer:
     """The sum of transducers; phrases below ``least`` go."""
-    merged = groupby(heapq.merge(*(t.phrases() for t in parts), key=lambda p: p[0]), lambda p: p[0])
-    sums = ((phrase, sum(w for _, w in same)) for phrase, same in merged)
-    return Transducer.of((p, w) for p, w in sums if w >= least)
+    sums: dict[tuple[str, ...], int] = {}
+    for t in parts:
+        for phrase, weight in t.phrases():
+            sums[phrase] = sums.get(phrase, 0) + weight
+    return Transducer.of(sorted((p, w) for p, w in sums.items() if w >= least))
 
 
 def _positions(part: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, list[str]]]:
@@ -198,6 +198,19 @@ def _filter(keys: DataFrame) -> np.ndarray:
     return out
 
 
+def _acyclic(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` without the search for cycles, of which tuples and lists of states have none."""
+
+    def run(batches: Iterator) -> Iterator:
+        gc.disable()
+        try:
+            yield from work(batches)
+        finally:
+            gc.enable()
+
+    return releasing(run)
+
+
 def _batched(rows: Iterator[dict], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
     held: list[dict] = []
     for r in rows:
@@ -252,8 +265,8 @@ def frequent_pairs(texts: DataFrame, words: np.ndarray, least: int = LEAST) -> D
     return texts.mapInArrow(releasing(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
 
 
-def _phrases(at: np.ndarray, keys: np.ndarray, rank: np.ndarray, words: np.ndarray, pairs: np.ndarray) -> Iterator[list]:
-    """[ranks of the words, count] of a shard's phrases of two words or more in ascending order: sorted positions, cut at pairs that aren't frequent."""
+def _phrases(at: np.ndarray, keys: np.ndarray, rank: np.ndarray, words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's phrases of two words or more in ascending order: (ranks of five words, number of words, count), from sorted positions that are cut at pairs that aren't frequent."""
     good = np.append(_held(words, keys), False)[at] & (at >= 0)
     step = np.zeros(len(at), bool)
     here = np.flatnonzero(good[:-1] & good[1:])
@@ -271,28 +284,21 @@ def _phrases(at: np.ndarray, keys: np.ndarray, rank: np.ndarray, words: np.ndarr
     else:
         order = np.lexsort(columns[::-1])
     rows = np.stack(columns, 1)[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows[1:] != rows[:-1]).any(1)
-    first = np.flatnonzero(new)
-    path: list[list] = []
-    out: list[list] = []
-    # a longer phrase counts for those that it begins with; they lie on one path, which is given out when its first pair ends
-    for row, n in zip(rows[first].tolist(), np.diff(np.append(first, len(rows))).tolist()):
-        row = row[: row.index(0)] if 0 in row else row
-        if not path or row[:2] != path[0][0]:
-            yield from out
-            path, out, same = [], [], 1
-        else:
-            same = 2
-            while same <= len(path) and same < len(row) and path[same - 1][0][-1] == row[same]:
-                same += 1
-            del path[same - 1 :]
-        for k in range(same, len(row)):
-            path.append([row[: k + 1], 0])
-            out.append(path[-1])
-        for entry in path:
-            entry[1] += n
-    yield from out
+    # where each prefix of so many words begins in the sorted rows, how often it occurs, and at what place it comes
+    changed = np.ones(len(rows), bool)
+    changed[1:] = rows[1:, 0] != rows[:-1, 0]
+    firsts, sizes, counts = [], [], []
+    for n in range(2, LONGEST + 1):
+        changed[1:] |= rows[1:, n - 1] != rows[:-1, n - 1]
+        begin = np.flatnonzero(changed)
+        count = np.diff(np.append(begin, len(rows)))
+        whole = rows[begin, n - 1] > 0
+        firsts.append(begin[whole])
+        counts.append(count[whole])
+        sizes.append(np.full(int(whole.sum()), n))
+    first, size, count = (np.concatenate(x) for x in (firsts, sizes, counts))
+    place = np.lexsort((size, first))
+    return rows[first[place]], size[place], count[place]
 
 
 class Ranges:
@@ -301,13 +307,17 @@ class Ranges:
     def __init__(self, split: set[tuple[str, str]]):
         self.split = split
 
-    def of(self, lang: str, phrase: Sequence[str]) -> tuple[str, int]:
-        """(prefix of the first word, first byte of the second word: 0 for a single word, and where the first needn't be parted)."""
-        word = phrase[0]
+    def head(self, lang: str, word: str) -> tuple[str, bool]:
+        """(prefix of the first word, whether the word is frequent enough to be parted by the second)."""
         for n in range(1, min(len(word), PREFIX) + 1):
             if (lang, word[:n]) not in self.split:
-                return word[:n], 0
-        return word, phrase[1].encode()[0] if len(phrase) > 1 else 0
+                return word[:n], False
+        return word, True
+
+    def of(self, lang: str, phrase: Sequence[str]) -> tuple[str, int]:
+        """(prefix of the first word, first byte of the second word: 0 for a single word, and where the first needn't be parted)."""
+        prefix, parted = self.head(lang, phrase[0])
+        return prefix, phrase[1].encode()[0] if parted and len(phrase) > 1 else 0
 
 
 def prefix_ranges(words: DataFrame) -> Ranges:
@@ -324,8 +334,11 @@ _STORED_SQL = "lang string, prefix string, part int, shard long, weights array<l
 
 def _ranged(lang: str, said: Iterable[tuple[tuple[str, ...], int]], ranges: Ranges, shard: int) -> Iterator[dict]:
     """Rows of the transducers of sorted phrases, one a range."""
-    for (prefix, part), group in groupby(said, lambda p: ranges.of(lang, p[0])):
-        yield {"lang": lang, "prefix": prefix, "part": part, "shard": shard} | Transducer.of(group).row()
+    heads = groupby(said, lambda p: p[0][0])
+    for (prefix, parted), words in groupby(((ranges.head(lang, word), list(group)) for word, group in heads), lambda h: h[0]):
+        same = chain.from_iterable(group for _, group in words)
+        for part, group in groupby(same, lambda p: p[0][1].encode()[0] if len(p[0]) > 1 else 0) if parted else [(0, same)]:
+            yield {"lang": lang, "prefix": prefix, "part": part, "shard": shard} | Transducer.of(group).row()
 
 
 def word_transducers(words: DataFrame, ranges: Ranges) -> DataFrame:
@@ -353,13 +366,14 @@ def shard_transducers(texts: DataFrame, words: np.ndarray, pairs: np.ndarray, ra
                     order = sorted(range(len(held)), key=held.__getitem__)
                     rank = np.empty(len(held), np.int64)
                     rank[order] = np.arange(len(held))
-                    named = [""] + [held[k] for k in order]
-                    said = ((tuple([named[r] for r in phrase]), n) for phrase, n in _phrases(at, _keys(lang, held), rank, frequent.value, joined.value))
+                    named = ["", *(held[k] for k in order)].__getitem__
+                    found, sizes, counts = _phrases(at, _keys(lang, held), rank, frequent.value, joined.value)
+                    said = ((tuple(map(named, row[:size])), n) for row, size, n in zip(found.tolist(), sizes.tolist(), counts.tolist()))
                     yield from _ranged(lang, said, ranges, task << 20 | nth)
 
         yield from _batched(rows(), schema)
 
-    return texts.mapInArrow(releasing(build), _STORED_SQL)
+    return texts.mapInArrow(_acyclic(build), _STORED_SQL)
 
 
 def united(stored: DataFrame, least: int = LEAST) -> DataFrame:
@@ -385,7 +399,7 @@ def united(stored: DataFrame, least: int = LEAST) -> DataFrame:
 
             yield from _batched(rows(), schema)
 
-        return releasing(work)
+        return _acyclic(work)
 
     groups = stored.agg(F.count_distinct("shard").alias("n")).first()["n"]
     key = ["lang", "prefix", "part", "shard"]
