@@ -172,17 +172,18 @@ def parameters(query: Column, drop: str) -> Column:
     return F.when((query == "") | (joined == ""), "").otherwise(F.concat(F.lit("?"), joined))
 
 
-def source_form(c: Column) -> Column:
-    """Canonical URL of a source; null if its scheme, credentials or host rule it out."""
+def source_of(p: Parts, hidden: Column) -> Column:
+    """Canonical URL of a source's parts; null if its scheme or credentials rule it out, or ``hidden``, that its host isn't public."""
+    host = F.regexp_replace(p.host, r"\.$", "")
+    authority = F.concat(host, F.when(p.port == "", "").otherwise(F.concat(F.lit(":"), p.port)))
+    path = F.when(F.length(p.path) > 1, _no_slashes(p.path)).otherwise(p.path)
+    made = F.concat(p.scheme, F.lit("://"), authority, F.when(path == "", "/").otherwise(path), parameters(p.query, TRACKING_OR_SECRET))
+    return F.when(p.is_http & (p.user == "") & ~hidden, made)
 
-    def form(p: Parts) -> Column:
-        host = F.regexp_replace(p.host, r"\.$", "")
-        authority = F.concat(host, F.when(p.port == "", "").otherwise(F.concat(F.lit(":"), p.port)))
-        path = F.when(F.length(p.path) > 1, _no_slashes(p.path)).otherwise(p.path)
-        made = F.concat(p.scheme, F.lit("://"), authority, F.when(path == "", "/").otherwise(path), parameters(p.query, TRACKING_OR_SECRET))
-        return F.when(p.is_http & (p.user == "") & ~non_public_host(host), made)
 
-    return with_parts(c, form)
+def source_form(c: Column) -> Column:
+    """Canonical URL of a source; null if its scheme, credentials or host rule it out."""
+    return with_parts(c, lambda p: source_of(p, non_public_host(p.host)))
 
 
 def ranking_form(c: Column) -> Column:
@@ -205,15 +206,16 @@ def evidence_form(c: Column) -> Column:
     return with_parts(c, form)
 
 
-def safe_form(c: Column) -> Column:
-    """URL for logs: no credentials, fragment or secret parameters, cut at 2,000 characters."""
+def safe_of(p: Parts) -> Column:
+    """A URL's parts for logs: no credentials, fragment or secret parameters, cut at 2,000 characters."""
+    pairs = F.filter(F.split(F.substring(p.query, 2, 1 << 30), "&"), lambda x: (x != "") & ~F.substring_index(x, "=", 1).rlike(SECRET))
+    query = F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise("")
+    return F.when(p.is_url, F.substring(F.concat(p.scheme, F.lit("://"), p.authority, p.path, query), 1, 2000)).otherwise("[invalid-source-url]")
 
-    def form(p: Parts) -> Column:
-        pairs = F.filter(F.split(F.substring(p.query, 2, 1 << 30), "&"), lambda x: (x != "") & ~F.substring_index(x, "=", 1).rlike(SECRET))
-        query = F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise("")
-        return F.when(p.is_url, F.substring(F.concat(p.scheme, F.lit("://"), p.authority, p.path, query), 1, 2000)).otherwise("[invalid-source-url]")
 
-    return with_parts(c, form)
+def safe_form(c: Column) -> Column:
+    """URL for logs: no credentials, fragment or secret parameters, cut at 2,000 characters."""
+    return with_parts(c, safe_of)
 
 
 def host(c: Column) -> Column:

@@ -33,23 +33,27 @@ def decide(sources: DataFrame, policy: SourcePolicy, url: str = "url", internati
 
     def judged(p: urls.Parts) -> Column:
         host = F.regexp_replace(p.host, r"\.$", "")
-        code = (
-            F.when(~p.is_url, "INVALID_URL")
-            .when(~p.is_http, "UNSUPPORTED_SCHEME")
-            .when(p.user != "", "URL_CREDENTIALS_BLOCKED")
-            .when(urls.non_public_host(host), "NON_PUBLIC_HOST_BLOCKED")
-            .when(urls.matches_rules(host, policy.blocked), "DOMAIN_DENYLISTED")
-        )
-        if policy.allowed:
-            code = code.when(~urls.matches_rules(host, policy.allowed), "DOMAIN_NOT_ALLOWLISTED")
-        return F.struct(F.when(p.is_url, host).otherwise("").alias("domain"), code.alias("code"))
 
+        def told(hidden: Column) -> Column:
+            code = (
+                F.when(~p.is_url, "INVALID_URL")
+                .when(~p.is_http, "UNSUPPORTED_SCHEME")
+                .when(p.user != "", "URL_CREDENTIALS_BLOCKED")
+                .when(hidden, "NON_PUBLIC_HOST_BLOCKED")
+                .when(urls.matches_rules(host, policy.blocked), "DOMAIN_DENYLISTED")
+            )
+            if policy.allowed:
+                code = code.when(~urls.matches_rules(host, policy.allowed), "DOMAIN_NOT_ALLOWLISTED")
+            return F.struct(F.coalesce(urls.source_of(p, hidden), urls.safe_of(p)).alias("canonical_url"), F.when(p.is_url, host).otherwise("").alias("domain"), code.alias("code"))
+
+        return F.transform(F.array(urls.non_public_host(host)), told)[0]
+
+    # all that is told of a URL comes from its parts in one pass
     if international:
         sources = sources.withColumn(url, urls.with_ascii_host(F.col(url)))
-    c = F.col(url)
-    out = sources.withColumns({"canonical_url": F.coalesce(urls.source_form(c), urls.safe_form(c)), "_judged": urls.with_parts(c, judged)})
-    out = out.withColumns({"domain": F.col("_judged.domain"), "code": F.col("_judged.code"), "url_hash": F.sha2("canonical_url", 256)})
-    return out.withColumn("allowed", F.col("code").isNull()).drop("_judged")
+    out = sources.withColumn("_judged", urls.with_parts(F.col(url), judged))
+    out = out.withColumns({"canonical_url": F.col("_judged.canonical_url"), "domain": F.col("_judged.domain"), "code": F.col("_judged.code")})
+    return out.withColumns({"url_hash": F.sha2("canonical_url", 256), "allowed": F.col("code").isNull()}).drop("_judged")
 
 
 def safe_addresses(addresses: Column) -> Column:

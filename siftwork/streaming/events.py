@@ -99,6 +99,9 @@ class Limiter(StatefulProcessor):
 def limited(calls: DataFrame, limit: int, width_ms: int = 60_000, interval_ms: int = 0, idle_ms: int | None = None) -> DataFrame:
     """A stream of calls (key, id, at in ms) with the limiter's decisions. Needs the RocksDB state store.
 
+    As state expires by the clock, Spark goes on with batches without data: a run that should end when all
+    is read needs ``spark.sql.streaming.noDataMicroBatches.enabled`` off.
+
     Without ``idle_ms`` a key is forgotten after twice the window or interval, a minute at least; a
     stream that replays old calls more slowly than they came needs a longer time.
     """

@@ -125,6 +125,7 @@ def test_streaming_limiter(spark, feed, tmp_path):
     one = str(tmp_path / "one")
     e.coalesce(1).write.parquet(one)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     got = collected(spark, stream.limited(calls(stream.read(spark, one, SCHEMA)), 3, 3_600_000), "l", tmp_path, "append")
     want = govern.limit_calls(calls(e), 3, 3_600_000).select("key", "id", "at", "allowed", "retry_after_ms")
     assert sorted(got.collect()) == sorted(want.collect())
