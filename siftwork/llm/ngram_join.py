@@ -327,20 +327,21 @@ def components(edges: DataFrame, path: str) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, name: str) -> DataFrame:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
+        low = materialize(low, f"{path}/low-{name}")  # a table of its own: the neighbours of a large component's root can then be split
         joined = both.join(low, "u")
         if large:  # neighbours above a node go to its least neighbour
             out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:  # neighbours below a node, and the node, go to the least of them
             out = joined.where("v < u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.where("m < u").select("u", F.col("m").alias("v")))
-        return out.where("u <> v").distinct()
+        return materialize(out.where("u <> v").distinct(), f"{path}/{name}")
 
     edges = materialize(edges.where("u <> v").distinct(), f"{path}/edges")
     now = state(edges)
     for k in itertools.count():
-        edges = materialize(star(star(edges, True), False), f"{path}/round-{k}")
+        edges = star(star(edges, True, f"large-{k}"), False, f"small-{k}")
         last, now = now, state(edges)
         if now == last:
             break
@@ -397,17 +398,19 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     classes = materialize(_classes(docs, threshold, recall, path), f"{path}/classes")
     some = classes.where("key is not null")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    kept = some.groupBy("component").agg(F.min(rank).alias("kept"))
-    goes = some.join(kept.withColumnRenamed("component", "_component"), F.col("component") == F.col("_component"))
-    goes = goes.where(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("key") == F.col("kept.key")))).select(F.col("doc_id").alias("__gone_id"), F.col("key").alias("__gone_key")).distinct()
+    kept = some.groupBy("component").agg(F.min(rank).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    kept = materialize(kept.withColumnRenamed("component", "_component"), f"{path}/kept")  # a table of its own: the rows of a large class can then be split
+    goes = some.join(kept, F.col("component") == F.col("_component"))
+    goes = goes.where(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("key") == F.col("kept.key")))).select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct()
     goes = materialize(goes, f"{path}/goes")
-    twice = some.groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias("__gone_id"), F.col("key").alias("__gone_key"))
+    twice = some.groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"))
     twice = materialize(twice, f"{path}/twice")
-    on = F.col("__gone_id").eqNullSafe(F.col("doc_id").cast("long")) & (text_key(F.col("text")) == F.col("__gone_key"))
-    left = docs.join(_small(goes), on, "left_anti")
-    if twice.isEmpty():
-        return left
-    one = left.join(_small(twice), on, "left_semi")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = one.groupBy(F.col("doc_id").alias("__one_id"), text_key(F.col("text")).alias("__gone_key")).agg(F.min_by(whole, row_key(*docs.columns)).alias("__doc"))
-    return left.join(_small(twice), on, "left_anti").unionByName(one.select(*[F.col(f"__doc.`{c}`").alias(c) for c in docs.columns]))
+    # the documents' own columns travel in a struct, so they may have any names
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_key(F.col("text")).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    on = F.col("gone_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("gone_key"))
+    left = rows.join(_small(goes), on, "left_anti")
+    if not twice.isEmpty():
+        digest = F.unhex(F.sha2(F.to_json("doc"), 256))
+        one = left.join(_small(twice), on, "left_semi").groupBy("id", "key").agg(F.min_by("doc", digest).alias("doc"))
+        left = left.join(_small(twice), on, "left_anti").unionByName(one.select(*left.columns))
+    return left.select("doc.*")

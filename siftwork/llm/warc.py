@@ -35,9 +35,10 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as Frame
 from pyspark.sql import functions as F
 
-from siftwork.llm._common import BROADCAST_ROWS, materialize, open_fs, workspace
+from siftwork.llm._common import materialize, open_fs, workspace
 
 #: Payloads from this size on are stored once. Fixed value of the query.
 LEAST = 100
@@ -52,6 +53,8 @@ VERSION = re.compile(rb"WARC/(?:1\.[01]|0\.\d+)\r\n")
 MAGIC = b"\x1f\x8b\x08"
 
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, record_id string, refers_to_record string, payload binary"
+#: Bytes of the table of revisits that is broadcast at most, and of a row besides its URL.
+BROADCAST_BYTES, ROW = 64 << 20, 48
 READ_SCHEMA = f"kind string, archive string, offset long, length long, reason string, {RECORD}"
 
 
@@ -59,11 +62,12 @@ def payload(html: Column) -> Column:
     return F.encode(F.coalesce(html, F.lit("")), "UTF-8")
 
 
-def revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
+def revisits(pages: DataFrame, path: str, least: int = LEAST) -> DataFrame:
     """_page, _html (a hash that tells rows of one id apart), refers_to and refers_url of the pages whose payload an earlier page holds: a small table of ids."""
     thin = pages.where(F.octet_length("html") >= least).select("page_id", "url", F.xxhash64("html").alias("_html"), F.unhex(F.sha2("html", 256)).alias("digest"))
     low = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("low")
     first = thin.groupBy("digest").agg(low, F.count(F.lit(1)).alias("n")).where("n > 1 and low is not null").select("digest", "low")
+    first = materialize(first, f"{path}/first")  # a table of its own: Spark can then split the pages of a frequent payload
     later = thin.join(first, "digest").where(F.col("page_id").isNull() | (F.col("page_id") > F.col("low.page_id")))
     return later.select(F.col("page_id").alias("_page"), "_html", F.col("low.page_id").alias("refers_to"), F.col("low.url").alias("refers_url")).distinct()
 
@@ -129,8 +133,9 @@ def write(pages: DataFrame, path: str, least: int = LEAST, compress: bool = True
             yield closed()
 
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    later = materialize(revisits(pages, least), f"{path}/revisits")
-    if later.count() <= BROADCAST_ROWS:  # else both sides are shuffled
+    later = materialize(revisits(pages, path, least), f"{path}/revisits")
+    size = later.agg(F.sum(F.coalesce(F.octet_length("refers_url"), F.lit(0)) + ROW)).first()[0] or 0
+    if size <= BROADCAST_BYTES:  # else both sides are shuffled
         later = F.broadcast(later)
     same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.xxhash64("html") == F.col("_html"))
     rows = pages.join(later, same, "left").select("page_id", "url", "html", "refers_to", "refers_url")
@@ -226,10 +231,10 @@ def _plain(w: Window, at: int) -> Found:
 
 
 def salvage(file, size: int, start: int = 0, end: int | None = None, compressed: bool = True) -> Iterator[Found]:
-    """Records that begin in [start, end) and the gaps between them, in order.
+    """Records that begin in [start, end) and the stretches between them, in order.
 
-    A range that begins inside a record leaves what comes before its first valid place to the
-    range before it.
+    A range may begin inside a record of the range before it, so what comes before its first record
+    is only perhaps a gap: ``gaps`` tells, when all ranges are read.
     """
     w, at, end = Window(file, size), start, size if end is None else min(end, size)
     read, mark = (_member, MAGIC) if compressed else (_plain, b"WARC/")
@@ -237,7 +242,7 @@ def salvage(file, size: int, start: int = 0, end: int | None = None, compressed:
     while at < end:
         found = read(w, at) if w.get(at, len(mark)) == mark else Found(at, at + 1, "no record begins here")
         if found.head is not None:
-            if gap >= 0 and not (gap == start and start > 0):
+            if gap >= 0:
                 yield Found(gap, at, why)
             gap = -1
             yield found
@@ -253,7 +258,7 @@ def salvage(file, size: int, start: int = 0, end: int | None = None, compressed:
                 at += k
                 break
             at += max(1, len(data) - len(mark) + 1)
-    if gap >= 0 and not (gap == start and start > 0):
+    if gap >= 0:
         # the gap ends with the next valid record, even behind this range
         stop = at
         while stop < size and read(w, stop).head is None:
@@ -263,7 +268,7 @@ def salvage(file, size: int, start: int = 0, end: int | None = None, compressed:
 
 
 def read(spark: SparkSession, path: str, manifest: DataFrame, range_bytes: int = RANGE) -> DataFrame:
-    """All records and gaps of the archives of ``manifest`` (archive, bytes): kind is record or gap.
+    """All records of the archives of ``manifest`` (archive, bytes), and for each range the stretches in which it found none: kind is record or stretch.
 
     Byte ranges come from the archives' sizes, and each is a partition: dealt by ranges of their
     order in a number of partitions that is given, so neither hashing nor adaptive execution puts
@@ -297,7 +302,7 @@ ARROW = pa.schema([(name, _ARROW[kind]) for name, kind in (field.split() for fie
 
 
 def _row(archive: str, x: Found) -> dict:
-    row = {"kind": "gap" if x.head is None else "record", "archive": archive, "offset": x.start, "length": x.end - x.start, "reason": x.reason or None}
+    row = {"kind": "stretch" if x.head is None else "record", "archive": archive, "offset": x.start, "length": x.end - x.start, "reason": x.reason or None}
     if x.head is None:
         return row
     number = lambda name: int(v) if (v := x.head.get(name, "")).lstrip("-").isdigit() else None
@@ -318,9 +323,28 @@ def recover(spark: SparkSession, path: str, manifest: DataFrame, range_bytes: in
     return found.where("kind = 'record'").drop("kind", "archive", "offset", "length", "reason")
 
 
+def gaps(found: DataFrame) -> DataFrame:
+    """archive, offset, length, reason of all bytes of archives that no record of ``found`` covers.
+
+    ``found`` has the records and stretches without one of all ranges; a stretch that a record of the
+    range before covers is no gap. What an archive of archives holds inside a record's payload may be found as records
+    by a range that begins there; they lie within the outer record and open no gap.
+    """
+    end = (F.col("offset") + F.col("length")).alias("end")
+    records = found.where("kind = 'record'").select("archive", "offset", end)
+    perhaps = found.where("kind = 'stretch'").select("archive", F.col("offset").alias("from"), end, "reason")
+    before = Frame.partitionBy("archive").orderBy("offset", "end").rowsBetween(Frame.unboundedPreceding, -1)
+    inner = records.withColumn("last", F.coalesce(F.max("end").over(before), F.lit(0))).where(F.col("offset") > F.col("last")).select("archive", F.col("last").alias("offset"), F.col("offset").alias("stop"))
+    ends = records.groupBy("archive").agg(F.max("end").alias("offset"))
+    tails = perhaps.groupBy("archive").agg(F.max("end").alias("stop")).join(ends, "archive", "left").select("archive", F.coalesce("offset", F.lit(0)).alias("offset"), "stop").where("offset < stop")
+    open_ = inner.unionByName(tails)
+    told = open_.join(perhaps, "archive", "left").where((F.col("from") < F.col("stop")) & (F.col("end") > F.col("offset")))
+    return told.groupBy("archive", "offset", "stop").agg(F.min_by("reason", "from").alias("reason")).select("archive", "offset", (F.col("stop") - F.col("offset")).alias("length"), "reason")
+
+
 def quarantine(spark: SparkSession, path: str) -> DataFrame:
     """The log of ``recover``: archive, offset, length and reason of every gap."""
-    return spark.read.parquet(f"{path}/found").where("kind = 'gap'").select("archive", "offset", "length", "reason")
+    return gaps(spark.read.parquet(f"{path}/found"))
 
 
 def roundtrip(pages: DataFrame, path: str | None = None) -> DataFrame:

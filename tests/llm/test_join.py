@@ -97,6 +97,15 @@ def test_keep_one(spark):
     assert all(r.class_id == f"c{r.doc_id}" and r.text == texts[r.doc_id] for r in out)
 
 
+def test_keep_one_with_columns_of_any_name(spark):
+    names = ["gone_id", "__gone_id", "__gone_key", "__one_id", "key", "id", "doc", "digest", "kept", "component"]
+    texts = corpus(3)
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in texts.items()]
+    out = nj.keep_one(spark.createDataFrame(rows + [r for r in rows[:9] if (r[1] or "").strip()], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)))
+    _, classes = brute(texts)
+    assert out.columns == ["doc_id", "text", *names] and sorted(map(tuple, out.collect())) == sorted(r for r in rows if classes[r[0]] == r[0])
+
+
 def test_keep_one_with_null_and_clashing_ids(spark):
     """Unrelated texts stay, whatever their ids; of near copies one stays."""
     words = lambda name, n=40: " ".join(f"{name}{k}" for k in range(n))
