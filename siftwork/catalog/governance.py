@@ -178,7 +178,13 @@ def g15_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return govern.lifecycle(changes).select("run", "url_hash", "status", "attempts")
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT page_id AS id, url, regexp_replace({_HOST}, '\\.$', '') AS domain, {SOURCE_FORM} AS canonical, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin FROM pages),
+q AS (SELECT id, url, domain, domain IN ({_LIST(DENIED)}) OR {" OR ".join(f"domain LIKE '%.{d}'" for d in DENIED)} AS denied,
+regexp_extract(canonical, '^([a-z]+://[^/?#]+)', 1) IN (SELECT origin FROM p) AND regexp_matches(regexp_replace(canonical, '^[a-z]+://[^/?#]+', ''), '^/.*\\.html') AS forbidden FROM p),
+e AS (SELECT domain AS key, id, id * 1000 AS "at", row_number() OVER (PARTITION BY domain ORDER BY id) AS n FROM q WHERE NOT denied AND NOT forbidden),
+r AS (SELECT DISTINCT key, CAST(NULL AS BIGINT) AS id, CAST(0 AS BIGINT) AS n, true AS ok, CAST([] AS BIGINT[]) AS times FROM e UNION ALL
+SELECT key, id, n, len(kept) < 5, CASE WHEN len(kept) < 5 THEN list_append(kept, "at") ELSE kept END FROM (SELECT e.key, e.id, e."at", e.n, list_filter(r.times, lambda t: e."at" - t < 60000) AS kept FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1))
+SELECT q.id, url, domain, CASE WHEN denied OR forbidden THEN 'BLOCKED' WHEN ok THEN 'QUEUED' ELSE 'SKIPPED' END AS status, CASE WHEN denied THEN 'DOMAIN_DENYLISTED' WHEN forbidden THEN 'ROBOTS_DISALLOW' WHEN NOT ok THEN 'RATE_LIMIT' END AS code FROM q LEFT JOIN r ON r.id = q.id""")
 def g16_governed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", (F.col("page_id") * 1000).alias("at"))
     origin = F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1)
