@@ -11,8 +11,10 @@ tasks, merged as they come, and written to the shared folder, from where the wor
 is the broadcast, and it does not pass through the driver. To score, documents are dealt to slices
 of some MB. A slice asks for each of its distinct grams once; the questions are shuffled to the
 segments, a worker fetches each segment once and answers all questions to it by membership
-probes, and the answers are shuffled back to their slices. So the work is in proportion to the
-text at any size, and a worker holds a segment and a slice. The exact counts of words, which the
+probes, and the answers are shuffled back to their slices. A worker holds a segment and a slice.
+There is a row for each slice and segment that it asks, so with many segments a row holds few
+grams, in the end one: an exchange of some 50 bytes a gram instead of 4 at 30 GB. And the driver
+holds a file name a segment. Both bound this form to a few TB. The exact counts of words, which the
 base score needs, are kept in the segments too, as sorted arrays of 64-bit hashes.
 
 The model is a trigram model with Dirichlet priors: p(w | u v) = (c(u v w) + B3 p(w | v)) / (c(u v) + B3),
