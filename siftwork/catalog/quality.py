@@ -192,7 +192,10 @@ def q6_q8_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.metrics(score.assess(merged, DOCS), events).select("raw_records", "source_backed", "valid", "duplicates", "conflicts", "quality_score")
 
 
-@query()
+@query(f"""WITH {_ISSUES}, r AS (SELECT o_orderkey AS k, count(*) FILTER (severity = 'ERROR') AS e, count(*) FILTER (severity = 'WARNING') AS w FROM orders LEFT JOIN i ON rec_idx = o_orderkey GROUP BY o_orderkey),
+c AS (SELECT *, CASE WHEN k % 11 = 0 THEN 0.05 ELSE least(0.95, greatest(0.05, 0.35 + CASE WHEN k % 5 <> 0 THEN 0.25 ELSE 0 END + CASE WHEN e = 0 THEN 0.15 ELSE 0 END - least(0.2, w * 0.025))) END::DOUBLE AS confidence FROM r)
+SELECT count(*) AS raw_records, count(*) AS normalized_records, count(*) FILTER (k % 11 <> 0) AS source_backed, count(*) FILTER (k % 11 = 0) AS unsupported, count(*) FILTER (e = 0) AS valid, count(*) FILTER (e > 0) AS invalid, 0 AS duplicates, 0 AS conflicts,
+CAST(sum(e) AS BIGINT) AS errors, CAST(sum(w) AS BIGINT) AS warnings, floor(avg(confidence) * 10000 + 0.5) / 10000 AS mean_confidence, floor(avg(confidence) * 10000 + 0.5) / 10000 AS quality_score, 0 AS review_required FROM c""")
 def q7_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain on the orders' records: one row of metrics."""
     return score.process(_orders(spark, sf_dir), ORDERS).metrics

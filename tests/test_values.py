@@ -130,12 +130,14 @@ def test_insert_needs_evidence(spark):
 
 
 def test_snippets_of_short_passages(spark):
-    from siftwork.catalog.governance import _holding
+    """A passage as a whole, or all its words of three characters or more, wherever they stand."""
+    from siftwork.operators import provenance
 
-    texts = {1: "so alpha betas, c", 2: "alpha", 3: "x", 4: None, 5: "a  b c"}
+    texts = {1: "so alpha betas, c", 2: "alpha", 3: "x", 4: None, 5: "a  b c", 6: "betas before alpha"}
     passages = {1: "alpha", 2: "alpha beta", 3: "pha betas, c", 4: "a  b", 5: "zz"}
-    got = _holding(spark.createDataFrame(list(texts.items()), "doc_id long, t string"), spark.createDataFrame(list(passages.items()), "item_id long, passage string")).collect()
-    assert sorted(map(tuple, got)) == sorted((d, i) for d, t in texts.items() for i, p in passages.items() if t and p in t)
+    held = lambda t, p: p in t or (any(len(w) >= 3 for w in p.split()) and all(w in t for w in p.split() if len(w) >= 3))
+    got = provenance.verified_pairs(spark.createDataFrame(list(texts.items()), "sid long, snippet string"), spark.createDataFrame(list(passages.items()), "vid long, value string")).collect()
+    assert sorted(map(tuple, got)) == sorted((d, i) for d, t in texts.items() for i, p in passages.items() if t and held(t, p))
 
 
 def test_folds_are_those_of_the_standard(spark):
