@@ -49,7 +49,7 @@ WINDOW, END = 4096, 2
 #: Pieces of one length for each bucket, and the most buckets.
 BUCKET, MOST_BUCKETS = 1_000, 1 << 16
 #: Bytes of text that are tokenised at once; words remembered in a worker, and their greatest length.
-SLICE, REMEMBERED, SHORT = 6 << 20, 1_200_000, 32
+SLICE, REMEMBERED, SHORT = 4 << 20, 800_000, 32
 #: Fixed value: lower-case letters that no normalisation changes.
 PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 #: A rank's bits in the key of a plan's entry; the length is above them.
