@@ -153,3 +153,31 @@ def test_pipeline_invariants(spark):
 def test_confidence_formula(spark):
     args = [F.lit(x) for x in (True, 3, 0.5, 1, 2, 1)]
     assert abs(spark.range(1).select(score.confidence(*args)).first()[0] - (0.35 + 0.2 + 0.125 - 0.05 - 0.1)) < 1e-9
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.93])
+def test_near_names(spark, threshold):
+    """All pairs, against all comparisons; records with equal names make each pair once."""
+    rng = random.Random(5)
+    texts = sorted({"".join(rng.choice("ab") for _ in range(rng.randrange(1, 9))) for _ in range(60)} | {f"name{rng.randrange(1000):011d}{'x' * rng.randrange(18)}" for _ in range(40)})
+
+    def near(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return 1 - row[-1] / max(len(a), len(b))
+
+    want = {(a, b) for a in texts for b in texts if a < b and near(a, b) >= threshold - 1e-12}
+    got = [tuple(sorted((r.name, r.other))) for r in match.near_names(spark.createDataFrame([(t,) for t in texts], "name string"), threshold).collect()]
+    assert len(got) == len(want) and set(got) == want
+    twice = spark.createDataFrame([(2 * i + k, t, ["x"], [str(k)]) for i, t in enumerate(texts) for k in (0, 1)], "rec_idx long, name string, blocks array<string>, ids array<string>")
+    pairs = match.similar_pairs(twice, threshold).collect()
+    assert len(pairs) == len({(p.left_idx, p.right_idx) for p in pairs}) == 4 * len(want) + len(texts) and all(p.shared == ((p.right_idx - p.left_idx) % 2 == 0) for p in pairs)
+
+
+def test_names_with_a_common_beginning_meet_few_others(spark):
+    names = spark.range(2000).select(F.format_string("supplier%09d", "id").alias("name"))
+    keys = names.select(F.explode(F.array_distinct(match._deleted(F.lit(1)))).alias("key")).groupBy("key").count()
+    assert keys.agg(F.max("count")).first()[0] <= 60
