@@ -44,3 +44,12 @@ def test_aggregates_are_combined_before_the_shuffle(spark, data, name):
 
 def test_top_k_keeps_few_rows(spark, data):
     assert "TakeOrderedAndProject" in plan(spark, data, "l5_l6_l7_sorted")
+
+
+def test_what_matching_wrote_is_not_broadcast(spark):
+    """A file's size says little of its rows, so no join with it goes by way of the driver."""
+    from siftwork.operators import match
+
+    rows = match.settled(spark.range(100).withColumnRenamed("id", "rec_idx"))
+    text = spark.range(100).withColumnRenamed("id", "rec_idx").join(rows.groupBy("rec_idx").count(), "rec_idx")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in text and "SortMergeJoin" in text
