@@ -181,3 +181,9 @@ def test_names_with_a_common_beginning_meet_few_others(spark):
     names = spark.range(2000).select(F.format_string("supplier%09d", "id").alias("name"))
     keys = names.select(F.explode(F.array_distinct(match._deleted(F.lit(1)))).alias("key")).groupBy("key").count()
     assert keys.agg(F.max("count")).first()[0] <= 60
+
+
+def test_conflicts_cost_a_quarter_at_most(spark):
+    """Three conflicts or more take 0.25, as in the reference, not 0.3."""
+    args = [F.lit(x) for x in (True, 3, 1.0, 0, 0)]
+    assert [round(spark.range(1).select(score.confidence(*args, F.lit(n))).first()[0], 9) for n in (2, 3, 9)] == [0.75, 0.7, 0.7]
