@@ -187,3 +187,13 @@ def test_conflicts_cost_a_quarter_at_most(spark):
     """Three conflicts or more take 0.25, as in the reference, not 0.3."""
     args = [F.lit(x) for x in (True, 3, 1.0, 0, 0)]
     assert [round(spark.range(1).select(score.confidence(*args, F.lit(n))).first()[0], 9) for n in (2, 3, 9)] == [0.75, 0.7, 0.7]
+
+
+def test_events_need_no_merge(spark):
+    """The events of links alone are those of deduplication."""
+    plan = Plan((Field("title"),), match_rules=(MatchRule(("title",)),))
+    df = clean.normalize(records(spark, [(0, [], "One"), (1, [], "one!"), (2, [], "Two")], "title string"), plan)
+    alone = match.key_events(match.links(df, plan), plan).collect()
+    merged, events = match.deduplicate(df, plan)
+    assert alone == events.collect() and [(e.canonical_idx, e.duplicate_idx, e.match_type) for e in alone] == [(0, 1, "NORMALIZED")]
+    assert all(not r.conflicts for r in merged.collect())
