@@ -189,3 +189,14 @@ def test_numbers_are_read_in_one_pass(spark):
     text = spark.createDataFrame([("9" * 308,), ("9" * 308 + " k",), ("9" * 400,), ("1, million",), ("+.5",), ("1-2",), ("12 kbar",), ("٣",)], "c string").select(made.alias("n"))
     assert [r.n for r in text.collect()] == [float("9" * 308), None, None, 1e6, 0.5, None, 12.0, None]
     assert str(text._jdf.queryExecution().analyzed()).count("regexp_replace") <= 3
+
+
+def test_wide_classes_are_asked_last(spark):
+    """Patterns of many ranges pass over common characters by one range, and hold the same characters as before."""
+    assert text._WIDE.startswith(r"(?![\x00-\x{BB}])") and text.ONE_SPACE.startswith(r"(?![\x21-\x{9F}])") and text.UNFOLDED.startswith(r"(?![\x21-\x{9F}])")
+    chars = spark.range(0x30000).where("id < 55296 or id > 57343").selectExpr("cast(id as int) as id", "decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32') as c")
+    plain = {c for c in range(0xA0, 0x30000) if not 0xAC00 <= c <= 0xD7A3 and not 0xD800 <= c <= 0xDFFF and len(text._plain(chr(c))) > 1}
+    assert plain <= {r.id for r in chars.where(F.col("c").rlike(text._WIDE)).collect()}
+    for old, new in ((text.SPACE, text.ONE_SPACE), (text.UNFOLDED[text.UNFOLDED.index("(?:"):], text.UNFOLDED)):
+        for c in (F.col("c"), F.concat(F.lit("a"), F.col("c"), F.lit("b")), F.concat(F.col("c"), F.lit(" b")), F.concat(F.lit("b"), F.col("c"))):
+            assert chars.where(c.rlike(old) != c.rlike(new)).collect() == []
