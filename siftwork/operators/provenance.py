@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.functions import urls
-from siftwork.functions.text import SPACE
+from siftwork.functions.text import ONE_SPACE, SPACE
+from siftwork.operators.match import salted
 from siftwork.operators.store import settled
 
+#: Pairs of tokens and values that are sent whole to the tasks; more are shuffled.
+BROADCAST = 200_000
+
 
 def verifies(snippet: Column, value: Column) -> Column:
     """Whether a snippet holds a value (two characters or more), or all its words of three characters or more."""
@@ -34,35 +38,67 @@ def verifies_object(snippet: Column, values: Column) -> Column:
     return verifies_any(snippet, F.map_values(values))
 
 
-def _grams(c: Column) -> Column:
-    """Distinct runs of three characters, in one pass over the text."""
-    return F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)(?=(...))"), F.lit(1)))
+def _runs(c: Column, n: int) -> Column:
+    """Distinct runs of ``n`` characters, in one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+
+def _within(vocabulary: DataFrame, needles: DataFrame) -> DataFrame:
+    """needle, token, n of all ``needles`` (needle: without white space) within tokens of ``vocabulary`` (token, n).
+
+    A token holds every run of three characters of a needle (of a shorter one, itself): each needle
+    asks for that of its runs which the fewest tokens hold, and who answers is tested.
+    """
+    width = F.least(F.length("needle"), F.lit(3))
+    widths = [r[0] for r in needles.select(width.alias("w")).distinct().collect()]
+    none = F.array().cast("array<string>")
+    of = lambda c: F.concat(none, *[F.when(width == w, _runs(c, w)).otherwise(none) for w in widths])
+    asked = needles.select("needle", F.explode(of(F.col("needle"))).alias("gram"))
+    held = vocabulary.select("token", "n", F.explode(F.array_distinct(F.concat(none, *[_runs(F.col("token"), w) for w in widths]))).alias("gram"))
+    often = held.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    rarest = settled(asked.join(often, "gram").groupBy("needle").agg(F.min(F.struct("often", "gram")).alias("m")).select("needle", F.col("m.gram").alias("gram")))
+    return held.join(rarest, "gram").where(F.col("token").contains(F.col("needle"))).select("needle", "token", "n")
 
 
 def verified_pairs(snippets: DataFrame, values: DataFrame) -> DataFrame:
     """sid, vid of all ``snippets`` (sid, snippet) that verify one of ``values`` (vid, value: text), by ``verifies``.
 
-    A value that has words of three characters or more is verified by all of them, so a snippet
-    must hold every run of three characters of these words. Of them, each value asks for the one
-    that the fewest snippets hold; who answers is tested as a whole.
-    Other values, of two characters or more, are asked for by their first two. Only runs that some value asks for
-    leave a snippet, and a value's text meets only snippets that hold its rarest run.
+    A value that has words of three characters or more is verified by all of them; another one, of
+    two characters or more, as a whole. Either way a snippet holds certain texts without white space,
+    the value's needles, and each of them lies within one token of the snippet. So needles are looked
+    for once in the vocabulary of all tokens, and each value asks for the needle whose tokens occur
+    least. Values with equal needles are one value here; only those with several needles meet
+    the texts of the snippets that answer.
     """
-    v = values.where("value is not null").select("vid", F.lower(F.trim("value")).alias("v"))
-    words = F.filter(F.split("v", f"{SPACE}+"), lambda w: F.length(w) >= 3)
-    v = settled(v.select("vid", "v", F.array_distinct(F.flatten(F.transform(words, _grams))).alias("grams"), F.substring("v", 1, 2).alias("pair")).where((F.size("grams") > 0) | (F.length("v") >= 2)))
-    s = settled(snippets.where(F.trim("snippet") != "").select("sid", F.lower("snippet").alias("s")))
-    asked = v.where(F.size("grams") > 0).select("vid", F.explode("grams").alias("gram"))
-    held = settled(s.select("sid", F.explode(_grams(F.col("s"))).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi"))
-    often = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = settled(asked.join(often, "gram", "left").groupBy("vid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m")).where("m.n > 0").select("vid", F.col("m.gram").alias("gram")))
-    found = held.join(rarest, "gram").select("sid", "vid")
-    short = v.where(F.size("grams") == 0).select("vid", "pair")
-    if not short.isEmpty():
-        pairs = s.select("sid", F.explode(F.array_distinct(F.regexp_extract_all("s", F.lit("(?s)(?=(..))"), F.lit(1)))).alias("pair"))
-        found = found.unionByName(pairs.join(short, "pair").select("sid", "vid"))
-    tested = found.join(v.select("vid", "v"), "vid").join(s, "sid")
-    return tested.where(verifies(F.col("s"), F.col("v"))).select("sid", "vid")
+    words = lambda c: F.array_distinct(F.filter(F.split(c, ONE_SPACE), lambda w: w != ""))
+    v = values.where("value is not null and vid is not null").select("vid", F.lower(F.trim("value")).alias("v")).where(F.length("v") >= 2).withColumn("words", words(F.col("v")))
+    v = v.withColumn("long", F.filter("words", lambda w: F.length(w) >= 3)).withColumn("worded", F.size("long") > 0)
+    members = settled(v.select("vid", F.when(F.col("worded"), F.sort_array("long")).otherwise(F.col("words")).alias("needles"), F.when(~F.col("worded"), F.col("v")).otherwise("").alias("whole")))
+    alike = settled(members.groupBy("needles", "whole").agg(F.min("vid").alias("head")))
+    # one needle that is all that is asked for needs no further test
+    sure = (F.size("needles") == 1) & ((F.col("whole") == "") | (F.col("whole") == F.col("needles")[0]))
+    asked = alike.select("head", F.size("needles").alias("size"), sure.alias("sure"), F.explode("needles").alias("needle"))
+    s = settled(snippets.where("sid is not null").where(F.trim("snippet") != "").select("sid", F.lower("snippet").alias("s")))
+    tokens = s.select("sid", F.explode(words(F.col("s"))).alias("token"))
+    vocabulary = settled(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    holds = settled(_within(vocabulary, settled(asked.select("needle").distinct())))
+    weights = holds.groupBy("needle").agg(F.sum("n").alias("n"))
+    # a value with a needle that no token holds is verified by none
+    rarest = asked.join(weights, "needle").groupBy("head", "size", "sure").agg(F.min(F.struct("n", "needle")).alias("m"), F.count(F.lit(1)).alias("held")).where("held = size")
+    wanted = settled(rarest.select("head", "sure", F.col("m.needle").alias("needle")).join(holds.select("needle", "token"), "needle").select("token", F.struct("head", "sure").alias("ask")))
+    met = tokens.join(F.broadcast(wanted), "token") if wanted.count() <= BROADCAST else salted(tokens, wanted, "token", "inner")
+    found = settled(met.select("sid", "ask.head", "ask.sure").distinct())
+    tested = found.where("not sure").select("sid", "head")
+    blank = alike.where("size(needles) = 0")
+    if not blank.isEmpty():  # values of white space alone
+        pairs = s.select("sid", F.explode(_runs(F.col("s"), 2)).alias("pair"))
+        tested = tested.unionByName(pairs.join(blank.select("head", F.substring("whole", 1, 2).alias("pair")), "pair").select("sid", "head"))
+    tested = tested.join(alike, "head").join(s, "sid")
+    holds_all = F.when(F.col("whole") != "", F.col("s").contains(F.col("whole"))).otherwise(F.forall("needles", lambda w: F.col("s").contains(w)))
+    pairs = found.where("sure").select("sid", "head").unionByName(tested.where(holds_all).select("sid", "head"))
+    rest = members.join(alike, ["needles", "whole"]).where("vid <> head").select("head", "vid")
+    more = salted(pairs, rest, "head", "inner").select("sid", "vid")
+    return pairs.select("sid", F.col("head").alias("vid")).unionByName(more)
 
 
 def attach(records: DataFrame, sources: DataFrame) -> DataFrame:

@@ -191,6 +191,27 @@ def test_numbers_are_read_in_one_pass(spark):
     assert str(text._jdf.queryExecution().analyzed()).count("regexp_replace") <= 3
 
 
+def test_alike_values_are_looked_for_once(spark, monkeypatch):
+    """Values with equal words are one until the end, and what is written grows with texts and pairs, not with each snippet's runs of characters."""
+    from siftwork.operators import provenance
+
+    rows, settled = [], provenance.settled
+    monkeypatch.setattr(provenance, "settled", lambda df: rows.append((out := settled(df)).count()) or out)
+    snippets = spark.range(300).selectExpr("id as sid", "concat('Solar panels of extraordinary machinery: part ', id % 7, ' of the whole arrangement') as snippet")
+    values = spark.range(300).selectExpr("id as vid", "case when id % 3 = 0 then concat('machinery ', id % 90) when id % 3 = 1 then 'PART 5' else concat('whole missing ', id) end as value")
+    got = provenance.verified_pairs(snippets, values)
+    assert got.count() == 300 * 200 == got.distinct().count() and not got.where("vid % 3 = 2").count()
+    assert sum(rows) < 3000
+
+
+def test_white_space_values(spark):
+    snippets = spark.createDataFrame([(1, "a\t\tb"), (2, "a\tb"), (3, "x \n y")], "sid long, snippet string")
+    values = spark.createDataFrame([(1, "\t\t"), (2, " \n"), (3, "\t"), (4, "a\tb"), (5, None), (6, "é é")], "vid long, value string")
+    from siftwork.operators import provenance
+
+    assert sorted(map(tuple, provenance.verified_pairs(snippets, values).collect())) == [(1, 1), (2, 4), (3, 2)]
+
+
 def test_wide_classes_are_asked_last(spark):
     """Patterns of many ranges pass over common characters by one range, and hold the same characters as before."""
     assert text._WIDE.startswith(r"(?![\x00-\x{BB}])") and text.ONE_SPACE.startswith(r"(?![\x21-\x{9F}])") and text.UNFOLDED.startswith(r"(?![\x21-\x{9F}])")
