@@ -221,3 +221,14 @@ def test_wide_classes_are_asked_last(spark):
     for old, new in ((text.SPACE, text.ONE_SPACE), (text.UNFOLDED[text.UNFOLDED.index("(?:"):], text.UNFOLDED)):
         for c in (F.col("c"), F.concat(F.lit("a"), F.col("c"), F.lit("b")), F.concat(F.col("c"), F.lit(" b")), F.concat(F.lit("b"), F.col("c"))):
             assert chars.where(c.rlike(old) != c.rlike(new)).collect() == []
+
+
+def test_http_urls_are_told_by_one_match(spark):
+    """Whether a value is an http(s) URL without credentials needs none of its parts; it is told as they tell it."""
+    from siftwork.operators import check
+
+    cases = ["http://a.example", "HTTPS://A.example:80/x y?q#f", "ftp://a.example", "http://u@a.example/", "http://@a.example/", "http://[::1]/", "http:///x", "a.example", "", None, "http://a.example/\x00", "http://a.example/#\x00", "http://a.example/x\n", "https://a.example\n?b"]
+    df = spark.createDataFrame([(c,) for c in cases], "raw string")
+    by_parts = F.coalesce(urls.with_parts(F.col("raw"), lambda p: p.is_http & (p.user == "")), F.lit(False))
+    assert df.where(check.is_http_url(F.col("raw")) != by_parts).collect() == []
+    assert "transform" not in df.select(check.is_http_url(F.col("raw")))._jdf.queryExecution().optimizedPlan().toString()
