@@ -152,3 +152,13 @@ def test_inner_values(spark):
     assert {r.j: r.made for r in table.select("j", nested.normal_json(F.col("j"), "address", plan).alias("made")).collect()} == cases
     long = json.dumps({"a": ["\\n\"" * 20_000, " x "]})
     assert json.loads(spark.range(1).select(nested.normal_json(F.lit(long), "a", plan)).first()[0])["a"][1] == "x"
+
+
+def test_entries_are_taken_apart_once(spark):
+    """What a document lacks and what it has beyond the schema come from one map of its entries."""
+    from siftwork.operators import nested
+
+    docs = spark.createDataFrame([('{"a":" ","c":1}',), ('{"a":1}',), ("[1]",), ("no JSON",), (None,)], "doc string")
+    made = docs.select(nested.conformance(docs.doc, {"a": None}).alias("f"))
+    assert [(r.f.missing, r.f.extra) for r in made.collect()] == [(["a"], ["c"]), ([], []), (["(root)"], []), (["(root)"], []), (["(root)"], [])]
+    assert made._jdf.queryExecution().analyzed().toString().count("MapType") == 1
