@@ -9,6 +9,7 @@ from siftwork.functions import urls
 from siftwork.functions.text import ONE_SPACE, SPACE
 from siftwork.operators.match import salted
 from siftwork.operators.store import settled
+from siftwork.sources.tables import dealt
 
 #: Pairs of tokens and values that are sent whole to the tasks; more are shuffled.
 BROADCAST = 200_000
@@ -120,6 +121,7 @@ def field_citations(rows: DataFrame, evidence: DataFrame) -> DataFrame:
 
     ``rows``: rec_idx, field, value (a row for each field); ``evidence``: rec_idx, evidence_id, field, snippet.
     """
+    evidence, rows = dealt(evidence.select("rec_idx", "evidence_id", "field", "snippet"), "rec_idx", rows)
     own = evidence.where("field is not null").select("rec_idx", "field").distinct().withColumn("_own", F.lit(True))
     rows = rows.join(own, ["rec_idx", "field"], "left")
     e = evidence.select("rec_idx", "evidence_id", F.col("field").alias("_field"), "snippet")

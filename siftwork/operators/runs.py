@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftwork.sources.tables import dealt
+
 ROLES = ("VIEWER", "EDITOR", "ADMIN", "OWNER")
 
 
@@ -118,6 +120,7 @@ def fail(runs: DataFrame, steps: DataFrame, failures: DataFrame) -> tuple[DataFr
 
     ``runs``: run, status, error_code, error_message; ``steps``: run, step and the same.
     """
+    steps, runs, failures = dealt(steps, "run", runs, failures)
     hit = runs.where(F.col("status").isin(*OPEN_RUN)).select("run").join(failures, "run").select("run", F.substring("code", 1, 100).alias("_code"), F.substring("message", 1, 1000).alias("_message"))
 
     def failed(rows: DataFrame, states: tuple[str, ...]) -> DataFrame:

@@ -53,3 +53,22 @@ def test_what_matching_wrote_is_not_broadcast(spark):
     rows = match.settled(spark.range(100).withColumnRenamed("id", "rec_idx"))
     text = spark.range(100).withColumnRenamed("id", "rec_idx").join(rows.groupBy("rec_idx").count(), "rec_idx")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in text and "SortMergeJoin" in text
+
+
+def test_tasks_grow_with_the_rows(spark, monkeypatch):
+    """Joins of many rows get more tasks than a shuffle has by itself, all by one partitioning; the result is the same."""
+    from pyspark.sql import functions as F
+
+    from siftwork.operators import provenance, runs
+    from siftwork.sources import tables
+
+    evidence = spark.range(6000).select((F.col("id") % 2000).alias("rec_idx"), F.col("id").alias("evidence_id"), F.when(F.col("id") % 3 > 0, "a").alias("field"), F.lit("is x").alias("snippet"))
+    rows = spark.range(2000).select(F.col("id").alias("rec_idx"), F.lit("a").alias("field"), F.lit("is").alias("value"))
+    steps = spark.range(6000).selectExpr("id % 2000 as run", "id as step", "'PENDING' as status", "'' as error_code", "'' as error_message")
+    of, failures = steps.where("step < 2000").drop("step"), spark.range(5).selectExpr("id as run", "'E' as code", "'m' as message")
+    made = lambda: [provenance.field_view(provenance.field_citations(rows, evidence)), runs.fail(of, steps, failures)[1]]
+    few = [sorted(map(tuple, df.collect())) for df in made()]
+    monkeypatch.setattr(tables.dealt, "__kwdefaults__", {"most": 100})
+    many = made()
+    assert [sorted(map(tuple, df.collect())) for df in many] == few
+    assert all("hashpartitioning(" in (p := df._jdf.queryExecution().executedPlan().toString()) and ", 60)" in p for df in many)
