@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from siftwork.functions import urls
 from siftwork.functions.text import ONE_SPACE, SPACE
-from siftwork.operators.match import salted
-from siftwork.operators.store import settled
-from siftwork.sources.tables import dealt
+from siftwork.operators.match import salted, settled
+from siftwork.sources.tables import TASK_ROWS, dealt
 
-#: Pairs of tokens and values that are sent whole to the tasks; more are shuffled.
-BROADCAST = 200_000
+#: Bytes of a table that is sent whole to the tasks, as ``_size`` tells them; more are shuffled.
+BROADCAST = 1 << 23
+#: Needles at most that are looked for in the texts themselves, if their tokens are too many to be sent.
+DIRECT = 32
 
 
 def verifies(snippet: Column, value: Column) -> Column:
@@ -44,6 +45,23 @@ def _runs(c: Column, n: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
+def _size(df: DataFrame) -> Column:
+    """Bytes that the rows of ``df`` take in a hash table, by an estimate: their texts and something for each row."""
+    texts = [name for name, kind in df.dtypes if "string" in kind]
+    return F.coalesce(F.sum(F.octet_length(F.concat_ws("", *texts)) + 64), F.lit(0))
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    """``df``, which is settled, for a join: sent whole to the tasks if it is small, else shuffled."""
+    return F.broadcast(df) if df.agg(_size(df)).first()[0] <= BROADCAST else df
+
+
+def _joined(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """``rows`` with their rows of ``small``, which is settled: that is sent whole to the tasks, or else to those that a key's rows are dealt to."""
+    sent = _sent(small)
+    return rows.join(sent, key) if sent is not small else salted(rows, small, key, "inner")
+
+
 def _within(vocabulary: DataFrame, needles: DataFrame) -> DataFrame:
     """needle, token, n of all ``needles`` (needle: without white space) within tokens of ``vocabulary`` (token, n).
 
@@ -58,7 +76,19 @@ def _within(vocabulary: DataFrame, needles: DataFrame) -> DataFrame:
     held = vocabulary.select("token", "n", F.explode(F.array_distinct(F.concat(none, *[_runs(F.col("token"), w) for w in widths]))).alias("gram"))
     often = held.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
     rarest = settled(asked.join(often, "gram").groupBy("needle").agg(F.min(F.struct("often", "gram")).alias("m")).select("needle", F.col("m.gram").alias("gram")))
-    return held.join(rarest, "gram").where(F.col("token").contains(F.col("needle"))).select("needle", "token", "n")
+    return _joined(held, rarest, "gram").where(F.col("token").contains(F.col("needle"))).select("needle", "token", "n")
+
+
+def _direct(wanted: DataFrame) -> list[str]:
+    """Needles of ``wanted`` (needle, token, ask) to be looked for in the texts: those with the most tokens, until what is left can be sent, or ``DIRECT`` of them."""
+    sizes = settled(wanted.groupBy("needle").agg(_size(wanted).alias("size")))
+    left, out = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], []
+    for needle, size in sizes.orderBy(F.desc("size"), "needle").limit(DIRECT).collect() if left > BROADCAST else []:
+        if left <= BROADCAST:
+            break
+        out.append(needle)
+        left -= size
+    return out
 
 
 def verified_pairs(snippets: DataFrame, values: DataFrame) -> DataFrame:
@@ -68,8 +98,9 @@ def verified_pairs(snippets: DataFrame, values: DataFrame) -> DataFrame:
     two characters or more, as a whole. Either way a snippet holds certain texts without white space,
     the value's needles, and each of them lies within one token of the snippet. So needles are looked
     for once in the vocabulary of all tokens, and each value asks for the needle whose tokens occur
-    least. Values with equal needles are one value here; only those with several needles meet
-    the texts of the snippets that answer.
+    least. Few needles that very many tokens hold, as two letters are, are looked for in the texts.
+    Values with equal needles are one value here; only those with several needles meet the texts of
+    the snippets that answer. What is sent whole to the tasks is bounded; no file's size decides it.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(c, ONE_SPACE), lambda w: w != ""))
     v = values.where("value is not null and vid is not null").select("vid", F.lower(F.trim("value")).alias("v")).where(F.length("v") >= 2).withColumn("words", words(F.col("v")))
@@ -86,19 +117,27 @@ def verified_pairs(snippets: DataFrame, values: DataFrame) -> DataFrame:
     weights = holds.groupBy("needle").agg(F.sum("n").alias("n"))
     # a value with a needle that no token holds is verified by none
     rarest = asked.join(weights, "needle").groupBy("head", "size", "sure").agg(F.min(F.struct("n", "needle")).alias("m"), F.count(F.lit(1)).alias("held")).where("held = size")
-    wanted = settled(rarest.select("head", "sure", F.col("m.needle").alias("needle")).join(holds.select("needle", "token"), "needle").select("token", F.struct("head", "sure").alias("ask")))
-    met = tokens.join(F.broadcast(wanted), "token") if wanted.count() <= BROADCAST else salted(tokens, wanted, "token", "inner")
+    chosen = settled(rarest.select(F.col("m.needle").alias("needle"), F.struct("head", "sure").alias("ask")))
+    wanted = settled(chosen.join(holds.select("needle", "token"), "needle").select("needle", "token", "ask"))
+    direct = _direct(wanted)
+    met = _joined(tokens, settled(wanted.where(~F.col("needle").isin(direct)).select("token", "ask")), "token").select("sid", "ask")
+    if direct:
+        said = s.select("sid", F.explode(F.filter(F.array(*map(F.lit, direct)), lambda x: F.col("s").contains(x))).alias("needle"))
+        met = met.unionByName(_joined(said, settled(chosen.where(F.col("needle").isin(direct))), "needle").select("sid", "ask"))
     found = settled(met.select("sid", "ask.head", "ask.sure").distinct())
     tested = found.where("not sure").select("sid", "head")
     blank = alike.where("size(needles) = 0")
     if not blank.isEmpty():  # values of white space alone
         pairs = s.select("sid", F.explode(_runs(F.col("s"), 2)).alias("pair"))
         tested = tested.unionByName(pairs.join(blank.select("head", F.substring("whole", 1, 2).alias("pair")), "pair").select("sid", "head"))
-    tested = tested.join(alike, "head").join(s, "sid")
+    tested = _joined(tested, alike, "head").join(s, "sid")
     holds_all = F.when(F.col("whole") != "", F.col("s").contains(F.col("whole"))).otherwise(F.forall("needles", lambda w: F.col("s").contains(w)))
-    pairs = found.where("sure").select("sid", "head").unionByName(tested.where(holds_all).select("sid", "head"))
-    rest = members.join(alike, ["needles", "whole"]).where("vid <> head").select("head", "vid")
-    more = salted(pairs, rest, "head", "inner").select("sid", "vid")
+    pairs = settled(found.where("sure").select("sid", "head").unionByName(tested.where(holds_all).select("sid", "head")))
+    # the values that are alike follow only where one was found; each of their rows goes to as many tasks as the pairs need
+    shares = settled(pairs.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / TASK_ROWS).cast("int").alias("tasks")))
+    rest = members.join(_sent(alike), ["needles", "whole"]).where("vid <> head").select("head", "vid").join(_sent(shares), "head").select("head", "vid", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
+    dealt_out = pairs.join(_sent(shares), "head").select("sid", "head", F.pmod(F.xxhash64("sid"), F.col("tasks")).cast("int").alias("task"))
+    more = dealt_out.join(rest.hint("merge"), ["head", "task"]).select("sid", "vid")
     return pairs.select("sid", F.col("head").alias("vid")).unionByName(more)
 
 

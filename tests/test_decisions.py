@@ -154,6 +154,22 @@ def test_verified_pairs(spark):
     assert [r[0] for r in held.select(provenance.verifies_object(F.col("s"), F.col("v"))).collect()] == [True, False, False]
 
 
+@pytest.mark.parametrize("direct", [0, 1, 32])
+def test_verified_pairs_beyond_what_is_sent(spark, monkeypatch, direct):
+    """A small file may hold many rows: what is sent whole to the tasks is bounded by rows and texts, and the shuffled and the direct way find the same."""
+    plans, settled = [], provenance.settled
+    monkeypatch.setattr(provenance, "settled", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or settled(df))
+    monkeypatch.setattr(provenance, "BROADCAST", -1)
+    monkeypatch.setattr(provenance, "DIRECT", direct, raising=False)
+    snippets = spark.range(200).selectExpr("id as sid", "concat('Nation ', id % 9, ' banana', id, ' of the  whole\tarrangement ', if(id % 3 = 0, 'e g', 'part')) as snippet")
+    values = spark.createDataFrame(enumerate(["na", "NA", "ban", "part", "e g", "the whole", "the  whole", "banana17", "of banana", "missing na", "\t", " ", "x", None, "  "]), "vid long, value string")
+    got = provenance.verified_pairs(snippets, values)
+    want = snippets.crossJoin(values).where(provenance.verifies(F.col("snippet"), F.col("value"))).select("sid", "vid")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert not [p for p in plans if "Broadcast" in p]
+
+
 def test_hosts_beyond_ascii(spark):
     # samples of the bootstring standard
     assert urls.ascii_label("bücher") == "xn--bcher-kva" and urls.ascii_label("他们为什么不说中文") == "xn--ihqwcrb4cv8a8dqg056pqjye" and urls.ascii_label("Pročprostěnemluvíčesky") == "xn--proprostnemluvesky-uyb24dma41a"
