@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from siftwork import catalog
 from siftwork.functions import urls, values
 from siftwork.operators import govern, graph, match, provenance
 from siftwork.operators.store import settled
@@ -170,6 +171,26 @@ def test_verified_pairs_beyond_what_is_sent(spark, monkeypatch, direct):
     assert not [p for p in plans if "Broadcast" in p]
 
 
+def test_every_customer_is_looked_for(spark, tmp_path):
+    """The query reads its tables whole, as its SQL does: no customer is left out by its key."""
+    import duckdb
+
+    catalog.load()
+    rows = {
+        "benchmark": ("item_id long, text string", [(1, "a building of brick")]),
+        "customer": ("c_custkey long, c_mktsegment string", [(k, ("BUILDING", "MACHINERY")[k % 2]) for k in range(1, 25)]),
+        "nation": ("n_nationkey long, n_name string", [(1, "BRAZIL")]),
+        "documents": ("doc_id long, text string", [(1, "The building 12"), (2, "a building of brick"), (3, "brick"), (4, " "), (5, None)]),
+    }
+    con = duckdb.connect()
+    for name, (schema, data) in rows.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = sorted(map(tuple, catalog.QUERIES["e1_snippets"](spark, str(tmp_path)).collect()))
+    assert got == sorted((d, -1 - k) for d in (1, 2) for k in range(2, 25, 2)) + [(2, 1), (2, 1_000_001), (3, 1_000_001)]
+    assert got == sorted(con.execute(catalog.SQL["e1_snippets"]).fetchall())
+
+
 def test_hosts_beyond_ascii(spark):
     # samples of the bootstring standard
     assert urls.ascii_label("bücher") == "xn--bcher-kva" and urls.ascii_label("他们为什么不说中文") == "xn--ihqwcrb4cv8a8dqg056pqjye" and urls.ascii_label("Pročprostěnemluvíčesky") == "xn--proprostnemluvesky-uyb24dma41a"
